@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontamination, licenses, media, packing, url_filters, warc
+from telemill.llm import decontamination, licenses, media, packing, quality, toxicity, url_filters, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -34,6 +34,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "lang", "n_units", "log10_p", "perplexity", "threshold", "keep")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
@@ -74,6 +79,18 @@ def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def remainder(n: int):
+    """crc32 of the doc_id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels.where(remainder(4) != 2))
+    scored = toxicity.score(docs.select("doc_id", "text"), net)
+    return scored.select("doc_id", (F.coalesce(remainder(4), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.recognise(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("unmatched", ",").alias("unmatched"))
@@ -82,8 +99,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_url_filters": op5_url_filters,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
 }

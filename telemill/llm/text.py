@@ -88,17 +88,18 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray  # words of text i are bounds[i]:bounds[i + 1]
+    prefixes: tuple[np.ndarray, ...] = ()  # for each size asked for, the hash of each word's first bytes
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = ALNUM) -> Words:
-    """Split every text into words and hash them."""
+def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = ALNUM, prefix_sizes: tuple[int, ...] = ()) -> Words:
+    """Split every text into words and hash them, and on request their first bytes (a shorter word's whole)."""
     n = len(data)
     if n == 0:
         empty = np.zeros(0, dtype=np.int64)
-        return Words(np.zeros(0, dtype=np.uint64), empty, empty, np.zeros(len(offsets), dtype=np.int64))
+        return Words(np.zeros(0, dtype=np.uint64), empty, empty, np.zeros(len(offsets), dtype=np.int64), tuple(np.zeros(0, dtype=np.uint64) for _ in prefix_sizes))
     mask = word_bytes[data]
     first, last = mask.copy(), mask.copy()
     first[1:] &= ~mask[:-1]
@@ -108,6 +109,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = ALN
     last[inner - 1] = mask[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes = np.empty(len(starts), dtype=np.uint64)
+    heads = tuple(np.empty(len(starts), dtype=np.uint64) for _ in prefix_sizes)
     i = 0
     while i < len(starts):
         a = starts[i]
@@ -120,9 +122,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = ALN
         total[0] = 0
         np.cumsum(part, out=total[1:])
         s, e = starts[i:j] - a, ends[i:j] - a
-        hashes[i:j] = mix((total[e] - total[s]) * _RI.upto(b - a)[s] + (e - s).astype(np.uint64))
+        back = _RI.upto(b - a)[s]
+        hashes[i:j] = mix((total[e] - total[s]) * back + (e - s).astype(np.uint64))
+        for size, out in zip(prefix_sizes, heads):
+            out[i:j] = mix((total[np.minimum(e, s + size)] - total[s]) * back + np.uint64(1 << 32 | size))
         i = j
-    return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
+    return Words(hashes, starts, ends, np.searchsorted(starts, offsets), heads)
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
