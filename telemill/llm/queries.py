@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontamination, licenses, media, near_dedup, packing, quality, toxicity, url_filters, warc
+from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, toxicity, url_filters, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -48,6 +48,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held"))
+    return language_model.score(docs, "held")
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.encode_media(table(spark, sf_dir, "documents"))).drop("seek_offsets")
 
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_url_filters": op5_url_filters,
+    "op6_language_model": op6_language_model,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_toxicity": op9_toxicity,
