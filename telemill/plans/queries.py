@@ -1,0 +1,910 @@
+"""Registered queries over the canonical telemetry, each with DuckDB SQL where SQL can say the same.
+
+Keys start with the operator's row in the survey.  Results are flat: times are
+microseconds, money is double, arrays are joined texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from telemill.operators import analytics as an
+from telemill.operators import explorer as ex
+from telemill.operators import filters as fi
+from telemill.operators import ingest as ing
+from telemill.operators import pricing as pr
+from telemill.operators import quality as qu
+from telemill.operators import retention as rt
+from telemill.operators import rollups as ro
+from telemill.operators import sessions as ss
+from telemill.operators import subagents as sa
+from telemill.operators import timeline as tl
+from telemill.operators import tool_calls as tc
+from telemill.plans import canonical
+from telemill.plans import oracle_base as ob
+from telemill.schemas import EVENT_COUNTERS, MEASURES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+NOW = datetime(2024, 1, 31)
+START = datetime(2024, 1, 1)
+ALL_TIME = an.Query(NOW, START, NOW)
+MID = an.Query(NOW, datetime(2024, 1, 10, 5, 30), datetime(2024, 1, 14, 12))
+
+
+class Tables:
+    """The canonical tables of one input, built when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def raw(self, name: str) -> DataFrame:
+        return canonical.table(self.spark, self.dir, name)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return canonical.events(self.spark, self.dir)
+
+    @cached_property
+    def keyless_events(self) -> DataFrame:
+        return canonical.events(self.spark, self.dir, keyless=True)
+
+    @cached_property
+    def tool_calls(self) -> DataFrame:
+        return tc.fold_tool_calls(self.events, keyless=False)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return ss.fold_sessions(self.events)
+
+    @cached_property
+    def counted_sessions(self) -> DataFrame:
+        return ss.fold_sessions(self.events, self.turns, self.tool_calls, self.subagents)
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        return ss.fold_turns(self.events)
+
+    @cached_property
+    def subagents(self) -> DataFrame:
+        return sa.fold_subagents(self.events)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return canonical.prices(self.spark)
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        return canonical.metric_samples(self.spark, self.dir)
+
+    @cached_property
+    def hourly(self) -> DataFrame:
+        return ro.hourly_events(self.events, self.tool_calls, self.sessions, self.prices)
+
+    @cached_property
+    def hourly_metrics(self) -> DataFrame:
+        return ro.hourly_metrics(self.samples, self.sessions)
+
+    @cached_property
+    def both(self) -> DataFrame:
+        return self.hourly.unionByName(self.hourly_metrics)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return ro.daily(self.both)
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Columns that any engine compares alike."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        if kind.startswith("timestamp"):
+            c = F.unix_micros(c)
+        elif kind.startswith("decimal"):
+            c = c.cast("double")
+        elif kind.startswith("array"):
+            c = F.array_join(c, ",")
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind in ("int", "smallint"):
+            c = c.cast("long")
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def query(name: str, sql: str | None = None, recursive: bool = False):
+    """Register a query, and its SQL over the common table expressions of the oracles."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: flat(f(Tables(spark, sf_dir)))
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def with_(sql: str, *parts: str) -> str:
+    body = "".join(parts)
+    return f"WITH RECURSIVE {body} {sql}" if "tree AS" in body else f"WITH {body} {sql}"
+
+
+_T = lambda *cs: ", ".join(f"epoch_us({c}) AS {c}" for c in cs)
+_D = lambda *cs: ", ".join(f"{c}::DOUBLE AS {c}" for c in cs)
+_L = lambda *cs: ", ".join(f"{c}::BIGINT AS {c}" for c in cs)
+TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
+
+EV, TC, SE, TU, SA, RH, MS, RM = ob.EV, ob.TC, ob.SE, ob.TU, ob.SA, ob.RH, ob.MS, ob.RM
+BOTH = EV + TC + SE + RH + MS + RM + ", rl AS (SELECT * FROM rh UNION ALL BY NAME SELECT * FROM rm), rd AS (SELECT date_trunc('day', bucket)::TIMESTAMP AS bucket, project, vendor, model, source, " + ", ".join(f"sum({c})::{'DECIMAL(18, 8)' if c.startswith('cost') else 'BIGINT'} AS {c}" for c in MEASURES) + " FROM rl GROUP BY ALL)"
+
+# --- events and folds ---
+
+_EVENT_COLS = "seq, epoch_us(ts) AS ts, epoch_us(ingested_at) AS ingested_at, session_id, prompt_id, vendor, source, kind, event_name, vendor_seq, tool_name, tool_use_id, decision, decision_source, tool_source, query_source, model, input_tokens, output_tokens, cache_read_tokens, cache_creation_tokens, cost_usd::DOUBLE AS cost_usd, cost_source, duration_ms::BIGINT AS duration_ms, success, error_type, agent_id, parent_agent_id, agent_type, permission_mode, file_path, request_id, clock_skewed, dedup_key"
+
+
+@query("B11_slim_events", with_(f"SELECT {_EVENT_COLS} FROM ev", EV))
+def _(t):
+    return t.events.drop("attrs", "message_uuid")
+
+
+_SE = "session_id, vendor, project, cwd, start_type, end_reason, permission_mode, app_version, terminal_type, user_email, " + _T("started_at", "ended_at", "first_seen_at", "last_event_at") + ", event_count, " + ", ".join(TOKENS) + ", " + _D("cost_usd", "cost_estimated_usd") + ", coalesce(array_to_string(models, ','), '') AS models, status, derived_error_count"
+
+
+@query("D1_sessions", with_(f"SELECT {_SE} FROM se", EV, SE))
+def _(t):
+    return t.sessions.drop("cost_by_query_source", "entrypoint", "user_account_uuid", "organization_id")
+
+
+@query("D2_ranked_fields", with_("SELECT session_id, project, cwd, start_type, end_reason, permission_mode, app_version, terminal_type, user_email FROM se", EV, SE))
+def _(t):
+    return t.sessions.select("session_id", "project", "cwd", "start_type", "end_reason", "permission_mode", "app_version", "terminal_type", "user_email")
+
+
+@query("D4_session_times", with_(f"SELECT session_id, {_T('started_at', 'ended_at', 'first_seen_at', 'last_event_at')} FROM se", EV, SE))
+def _(t):
+    return t.sessions.select("session_id", "started_at", "ended_at", "first_seen_at", "last_event_at")
+
+
+@query("D5_session_status", with_("SELECT status, count(*) AS n FROM se GROUP BY status", EV, SE))
+def _(t):
+    return t.sessions.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("D6_cost_by_query_source", with_("SELECT session_id, qs AS query_source, cost::DOUBLE AS cost FROM cm", EV, SE))
+def _(t):
+    return ss.cost_map(t.events).select("session_id", F.explode("cost_by_query_source").alias("query_source", "cost"))
+
+
+@query("D7_models", with_("SELECT session_id, m AS model FROM (SELECT session_id, unnest(models) AS m FROM se)", EV, SE))
+def _(t):
+    return t.sessions.select("session_id", F.explode("models").alias("model"))
+
+
+_TU = "session_id, prompt_id, " + _T("started_at", "ended_at", "first_seen_at", "last_event_at") + ", status, api_request_count, " + ", ".join(TOKENS) + ", cost_usd::DOUBLE AS cost_usd, coalesce(array_to_string(models, ','), '') AS models, turn_index"
+
+
+@query("D8_turns", with_(f"SELECT {_TU} FROM tui", EV, TU))
+def _(t):
+    return t.turns.drop("cost_estimated_usd", "derived_error_count", "derived_duration_ms")
+
+
+@query("D9_turn_status", with_("SELECT status, count(*) AS n FROM tui GROUP BY status", EV, TU))
+def _(t):
+    return t.turns.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("D10_turn_index", with_("SELECT session_id, prompt_id, turn_index FROM tui", EV, TU))
+def _(t):
+    return t.turns.select("session_id", "prompt_id", "turn_index")
+
+
+@query("D11_turn_count", with_("SELECT session_id, count(tu.prompt_id) AS turn_count FROM se LEFT JOIN tu USING (session_id) GROUP BY session_id", EV, SE, TU))
+def _(t):
+    return ss.fold_sessions(t.events, t.turns).select("session_id", "turn_count")
+
+
+@query("D12_contributions", with_("SELECT seq, session_id, prompt_id, tool_name, tool_use_id, kind, source, decision, a_in::BIGINT AS input_size_bytes, a_out::BIGINT AS result_size_bytes FROM tc0", EV, TC))
+def _(t):
+    return tc.contributions(t.events).select("seq", "session_id", "prompt_id", "tool_name", "tool_use_id", "kind", "source", "decision", "input_size_bytes", "result_size_bytes")
+
+
+@query("D13_call_ids", with_("SELECT DISTINCT session_id, tool_use_id, id FROM tc0", EV, TC))
+def _(t):
+    return tc.contributions(t.events).select("session_id", "tool_use_id", tc.keyed_id().alias("id")).distinct()
+
+
+@query("D14_keyless_calls")
+def _(t):
+    return tc.fold_tool_calls(t.keyless_events).select("session_id", "id", "prompt_id", "tool_name", "tool_use_id", "correlation", "event_count", "started_at")
+
+
+_TC = "session_id, id, prompt_id, tool_use_id, tool_name, tool_source, decision, decision_source, agent_id, permission_mode, " + _L("duration_ms") + ", success, error_type, file_path, " + _L("input_size_bytes", "result_size_bytes") + ", " + _T("started_at", "decided_at", "ended_at") + ", correlation, event_count, wait_ms::BIGINT AS wait_ms"
+
+
+@query("D15_tool_calls", with_(f"SELECT {_TC} FROM tcw", EV, TC))
+def _(t):
+    return t.tool_calls
+
+
+@query("D16_decisions", with_("SELECT id, tool_source, decision, decision_source, epoch_us(decided_at) AS decided_at FROM tcw", EV, TC))
+def _(t):
+    return t.tool_calls.select("id", "tool_source", "decision", "decision_source", "decided_at")
+
+
+@query("D17_ranked_call_fields", with_(f"SELECT id, agent_id, permission_mode, file_path, error_type, success, {_L('duration_ms', 'input_size_bytes', 'result_size_bytes')} FROM tcw", EV, TC))
+def _(t):
+    return t.tool_calls.select("id", "agent_id", "permission_mode", "file_path", "error_type", "success", "duration_ms", "input_size_bytes", "result_size_bytes")
+
+
+@query("D18_correlation", with_("SELECT correlation, count(*) AS n FROM tcw GROUP BY correlation", EV, TC))
+def _(t):
+    return t.tool_calls.groupBy("correlation").agg(F.count("*").alias("n"))
+
+
+@query("D19_call_merge", with_("SELECT id, event_count, decision FROM tcw", EV, TC))
+def _(t):
+    """Two batches, merged by folding the touched sessions anew."""
+    cut = F.lit(datetime(2024, 1, 15))
+    fold = lambda e: tc.fold_tool_calls(e, keyless=False)
+    stored = fold(t.events.where(F.col("ts") < cut))
+    late = t.events.where(F.col("ts") >= cut).select("session_id").distinct()
+    return ss.rebuild(stored, t.events, late, fold).select("id", "event_count", "decision")
+
+
+@query("D20_tool_counters", with_("SELECT se.session_id, count(tc.id) AS tool_call_count, count(*) FILTER (WHERE decision = 'reject') AS tool_reject_count FROM se LEFT JOIN tc USING (session_id) GROUP BY ALL", EV, TC, SE))
+def _(t):
+    return ss.fold_sessions(t.events, tool_calls=t.tool_calls).select("session_id", "tool_call_count", "tool_reject_count")
+
+
+@query("D20_turn_tool_counters", with_("SELECT tu.session_id, tu.prompt_id, count(tc.id) AS tool_call_count, count(*) FILTER (WHERE decision = 'reject') AS tool_reject_count FROM tu LEFT JOIN tc ON tc.session_id = tu.session_id AND tc.prompt_id = tu.prompt_id GROUP BY ALL", EV, TC, TU))
+def _(t):
+    return ss.fold_turns(t.events, t.tool_calls).select("session_id", "prompt_id", "tool_call_count", "tool_reject_count")
+
+
+@query("D21_wait", with_("SELECT id, wait_ms::BIGINT AS wait_ms FROM tcw WHERE wait_ms IS NOT NULL", EV, TC))
+def _(t):
+    return t.tool_calls.where(F.col("wait_ms").isNotNull()).select("id", "wait_ms")
+
+
+_SA = "sa.session_id, sa.agent_id, parent_agent_id, agent_type, prompt_id, spawn_tool_use_id, epoch_us(started_at) AS started_at, epoch_us(ended_at) AS ended_at, status"
+
+
+@query("D22_subagents", with_(f"SELECT {_SA}, coalesce(depth, 1)::BIGINT AS depth FROM sa LEFT JOIN tree USING (session_id, agent_id)", EV, SA))
+def _(t):
+    return t.subagents
+
+
+@query("D23_inferred_parents", with_("SELECT session_id, agent_id, found[1] AS found_parent, found[2] AS spawn_tool_use_id FROM spawn", EV, SA))
+def _(t):
+    known = t.events.where(F.col("kind").isin("subagent.start", "subagent.stop") & F.col("parent_agent_id").isNotNull()).select("session_id", "agent_id").distinct()
+    agents = t.subagents.drop("spawn_tool_use_id").join(known, ["session_id", "agent_id"], "left_anti")
+    return sa.infer_parents(agents, t.events)
+
+
+@query("D24_depth", with_("SELECT session_id, agent_id, depth::BIGINT AS depth, path FROM tree", EV, SA))
+def _(t):
+    return sa.tree_rows(t.subagents).select("session_id", "agent_id", "depth", "path")
+
+
+@query("D25_subagent_status", with_("SELECT status, count(*) AS n FROM sa GROUP BY status", EV, SA))
+def _(t):
+    return t.subagents.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("D26_subagent_calls", with_("SELECT sa.session_id, sa.agent_id, CASE WHEN bool_or(c.correlation <> 'otel_only') THEN count(*) FILTER (WHERE c.agent_id = sa.agent_id) END AS tool_call_count FROM sa LEFT JOIN tc c USING (session_id) GROUP BY ALL", EV, TC, SA))
+def _(t):
+    return sa.count_calls(t.subagents, t.tool_calls).select("session_id", "agent_id", "tool_call_count")
+
+
+@query("D27_derived_counters", with_("SELECT session_id, derived_error_count FROM se", EV, SE))
+def _(t):
+    return t.sessions.select("session_id", "derived_error_count")
+
+
+@query("D28_abandoned", with_("SELECT session_id, CASE WHEN status IN ('active', 'unknown') AND ended_at IS NULL AND last_event_at < TIMESTAMP '2024-01-30 12:00:00' THEN 'abandoned' ELSE status END AS status FROM se", EV, SE))
+def _(t):
+    return ss.sweep_abandoned(t.sessions, datetime(2024, 1, 30, 12)).select("session_id", "status")
+
+
+@query("D29_rebuild", with_("SELECT 'sessions' AS projection, count(*) AS rows FROM se UNION ALL SELECT 'turns', count(*) FROM tu UNION ALL SELECT 'tool_calls', count(*) FROM tc UNION ALL SELECT 'subagents', count(*) FROM sa", EV, TC, SE, TU, SA))
+def _(t):
+    parts = {"sessions": t.sessions, "turns": t.turns, "tool_calls": t.tool_calls, "subagents": t.subagents}
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("projection"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("D30_scoped_rebuild", with_("SELECT 'turns' AS \"table\", count(*) AS rows FROM tu WHERE session_id IN (SELECT session_id FROM ev WHERE ts >= TIMESTAMP '2024-01-30') UNION ALL SELECT 'tool_calls', count(*) FROM tc WHERE session_id IN (SELECT session_id FROM ev WHERE ts >= TIMESTAMP '2024-01-30')", EV, TC, TU))
+def _(t):
+    return ss.rebuild_scope({"turns": t.turns, "tool_calls": t.tool_calls}, ss.touched(t.events, datetime(2024, 1, 30)))
+
+
+# --- rollups, prices, metrics ---
+
+_RKEY = "epoch_us(bucket) AS bucket, project, vendor, model"
+_RALL = f"{_RKEY}, source, {', '.join(EVENT_COUNTERS)}, {_D('cost_reported_usd', 'cost_estimated_usd')}, loc_added, loc_removed, active_seconds, commits, pull_requests, edit_decisions_accept, edit_decisions_reject"
+
+
+@query("E1_event_rollup", with_(f"SELECT {_RKEY}, sessions_started, turns, api_requests, api_errors, {_L(*TOKENS)}, {_D('cost_reported_usd')}, {', '.join(f'un_{c}::BIGINT AS uncosted_{c}' for c in TOKENS)} FROM re", EV, TC, SE, RH))
+def _(t):
+    return ro.event_rollup(t.events, t.sessions)
+
+
+@query("E2_tool_rollup", with_("SELECT epoch_us(date_trunc('hour', tc.started_at)) AS bucket, coalesce(se.project, '') AS project, coalesce(se.vendor, 'unknown') AS vendor, count(*) AS tool_calls, count(*) FILTER (WHERE decision = 'reject') AS tool_rejects FROM tc LEFT JOIN se USING (session_id) GROUP BY ALL", EV, TC, SE))
+def _(t):
+    return ro.tool_rollup(t.tool_calls, t.sessions)
+
+
+@query("E3_merged_rollup", with_(f"SELECT {_RKEY}, {', '.join(EVENT_COUNTERS)} FROM rb", EV, TC, SE, RH))
+def _(t):
+    return ro.merged_rollup(ro.event_rollup(t.events, t.sessions), ro.tool_rollup(t.tool_calls, t.sessions)).select(*ro.ROLLUP_KEY, *EVENT_COUNTERS)
+
+
+@query("E4_estimates", with_(f"SELECT {_RALL} FROM rh", EV, TC, SE, RH))
+def _(t):
+    return t.hourly
+
+
+@query("E5_price_resolve", with_("SELECT model, pm.pm AS price_model, DATE_TRUNC('day', bucket)::DATE::VARCHAR AS day, (SELECT max(d)::VARCHAR FROM prices WHERE prices.pm = pm.pm AND d <= rb.bucket::DATE) AS price_date FROM rb JOIN pm USING (model) GROUP BY ALL", EV, TC, SE, RH))
+def _(t):
+    rows = t.events.where(F.col("model").isNotNull()).select("model", F.to_date("ts").alias("day")).distinct()
+    got = pr.resolve_prices(rows, t.prices, F.col("day"))
+    return got.where(F.col("price_model").isNotNull()).select("model", "price_model", "day", "price_date")
+
+
+@query("E6_metric_deltas", with_("SELECT dedup_key, temporality, name, value, delta FROM md", EV + MS))
+def _(t):
+    return ro.sample_deltas(t.samples).select("dedup_key", "temporality", "name", "value", "delta")
+
+
+@query("E7_delta_passthrough", with_("SELECT name, count(*) AS n, count(*) FILTER (WHERE delta = value) AS same FROM md WHERE temporality = 'delta' GROUP BY name", EV + MS))
+def _(t):
+    return ro.sample_deltas(t.samples).where(F.col("temporality") == "delta").groupBy("name").agg(F.count("*").alias("n"), F.count_if(F.col("delta") == F.col("value")).alias("same"))
+
+
+@query("E8_gauge_last", with_("SELECT session_id, epoch_us(date_trunc('hour', ts)) AS bucket, sum(delta) AS value FROM md WHERE temporality IN ('gauge', 'unspecified') GROUP BY ALL", EV + MS))
+def _(t):
+    rows = ro.sample_deltas(t.samples).where(F.col("temporality").isin("gauge", "unspecified"))
+    return rows.groupBy("session_id", F.date_trunc("hour", F.col("ts")).alias("bucket")).agg(F.sum("delta").alias("value"))
+
+
+@query("E9_delta_write_back", with_("SELECT temporality, count(*) AS n, count(delta) AS with_delta FROM md GROUP BY temporality", EV + MS))
+def _(t):
+    return ro.sample_deltas(t.samples).groupBy("temporality").agg(F.count("*").alias("n"), F.count("delta").alias("with_delta"))
+
+
+@query("E10_series_checkpoint", with_("SELECT epoch_us(max(ts)) AS last_ts, arg_max(value, row(ts, dedup_key)) AS last_value, count(*) AS samples FROM ms WHERE temporality = 'cumulative' GROUP BY series", EV + MS))
+def _(t):
+    n = t.samples.where(F.col("temporality") == "cumulative").groupBy("series_hash").agg(F.count("*").alias("samples"))
+    return ro.series_checkpoint(t.samples).join(n, "series_hash").select("last_ts", "last_value", "samples")
+
+
+@query("E11_metric_pivot", with_(f"SELECT {_RALL} FROM rm", EV, SE, MS, RM))
+def _(t):
+    return t.hourly_metrics
+
+
+@query("E12_both_sources", with_("SELECT source, count(*) AS n, sum(api_requests)::BIGINT AS api_requests, sum(active_seconds)::BIGINT AS active_seconds FROM rl GROUP BY source", BOTH))
+def _(t):
+    return t.both.groupBy("source").agg(F.count("*").alias("n"), F.sum("api_requests").alias("api_requests"), F.sum("active_seconds").alias("active_seconds"))
+
+
+@query("E13_daily", with_(f"SELECT {_RALL} FROM rd", BOTH))
+def _(t):
+    return t.daily
+
+
+@query("E14_bucket_replace", with_("SELECT source, epoch_us(bucket) AS bucket, sum(api_requests)::BIGINT AS api_requests, sum(turns)::BIGINT AS turns FROM rl GROUP BY ALL", BOTH))
+def _(t):
+    """Buckets of the later half are replaced by themselves, from rows that were halved before."""
+    claimed = t.both.where(F.col("bucket") >= F.lit(datetime(2024, 1, 15))).select("bucket", "source").distinct()
+    stale = t.both.withColumn("turns", F.when(F.col("bucket") >= F.lit(datetime(2024, 1, 15)), 0).otherwise(F.col("turns")))
+    return ro.replace_buckets(stale, t.both, claimed).groupBy("source", "bucket").agg(F.sum("api_requests").alias("api_requests"), F.sum("turns").alias("turns"))
+
+
+@query("E15_dirty_buckets", with_("SELECT DISTINCT epoch_us(date_trunc('hour', ts)) AS bucket, 'event' AS source FROM (SELECT ts FROM ev UNION ALL SELECT started_at FROM tc) UNION SELECT DISTINCT epoch_us(date_trunc('hour', ts)), 'metric' FROM ms", EV, TC, MS))
+def _(t):
+    return ro.dirty_buckets(t.events, t.samples, t.tool_calls)
+
+
+@query("E16_moved_sessions", with_("SELECT DISTINCT epoch_us(h) AS bucket, s AS source FROM (SELECT unnest(generate_series(date_trunc('hour', first_seen_at), date_trunc('hour', last_event_at), INTERVAL 1 HOUR)[1:720]) AS h FROM se WHERE project IS NOT NULL), (VALUES ('event'), ('metric')) v(s)", EV, SE))
+def _(t):
+    before = t.sessions.withColumns({"project": F.lit(None).cast("string"), "cwd": F.lit(None).cast("string")})
+    return ro.moved_buckets(before, t.sessions)
+
+
+@query("E17_claim", with_("SELECT epoch_us(b) AS bucket, s AS source FROM (SELECT DISTINCT date_trunc('hour', ts) AS b, 'event' AS s FROM ev ORDER BY b LIMIT 200) UNION SELECT epoch_us(b), s FROM (VALUES (TIMESTAMP '2024-01-31 00:00:00'), (TIMESTAMP '2024-01-30 23:00:00')) x(b), (VALUES ('event'), ('metric')) y(s)", EV))
+def _(t):
+    return ro.claim(ro.dirty_buckets(t.events), 200, NOW)
+
+
+@query("E18_raw_guard", with_("SELECT count(*) AS n FROM (SELECT DISTINCT date_trunc('hour', ts) FROM ev)", EV))
+def _(t):
+    dirty = ro.dirty_buckets(t.events).unionByName(ro.dirty_buckets(t.events).withColumn("bucket", F.col("bucket") - F.expr("INTERVAL 400 DAY")))
+    return ro.with_raw_data(dirty, rt.covered_months(t.events, START, NOW)).agg(F.count("*").alias("n"))
+
+
+@query("E19_window_pruning", with_("SELECT count(*) AS n FROM ev WHERE date_trunc('hour', ts) IN (SELECT DISTINCT date_trunc('hour', ts) AS b FROM ev ORDER BY b LIMIT 100)", EV))
+def _(t):
+    return ro.rows_of(t.events, ro.dirty_buckets(t.events).orderBy("bucket").limit(100)).agg(F.count("*").alias("n"))
+
+
+@query("E20_bucket_list", with_("SELECT epoch_us(unnest(generate_series(date_trunc('hour', min(ts)), max(ts), INTERVAL 1 HOUR))) AS bucket FROM ev", EV))
+def _(t):
+    edges = t.events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return ro.bucket_list(t.spark, edges.a, edges.b)
+
+
+@query("A8_price_import", "SELECT p_type AS model, count(*) AS n, CASE WHEN p_type < 'M' THEN 'unchanged' ELSE 'updated' END AS outcome FROM part GROUP BY ALL")
+def _(t):
+    """Part types as models with prices; a second list changes those from M on."""
+    money = lambda c: F.col(c).cast("decimal(12,6)")
+    listed = t.raw("part").groupBy(F.col("p_type").alias("model")).agg(F.min("p_retailprice").alias("p"), F.count("*").alias("n"))
+    first = listed.select("model", F.to_date(F.lit("2024-01-01")).alias("effective_from"), F.lit("USD").alias("currency"), money("p").alias("input_per_mtok"), money("p").alias("output_per_mtok"), money("p").alias("cache_read_per_mtok"), money("p").alias("cache_write_per_mtok"), F.lit("repo").alias("source"))
+    second = first.withColumn("output_per_mtok", F.when(F.col("model") >= "M", F.col("output_per_mtok") + 1).otherwise(F.col("output_per_mtok")).cast("decimal(12,6)"))
+    _, outcome = pr.import_prices(first, second)
+    return outcome.join(listed.select("model", "n"), "model").select("model", "n", "outcome")
+
+
+@query("J9_as_of_prices", "WITH p AS (SELECT p_type AS model, d FROM (SELECT DISTINCT p_type FROM part), (VALUES (DATE '1993-01-01'), (DATE '1995-06-01'), (DATE '1997-01-01')) v(d)), r AS (SELECT p_type AS model, l_shipdate::DATE AS day FROM lineitem JOIN part ON l_partkey = p_partkey) SELECT model, (SELECT max(d)::VARCHAR FROM p WHERE p.model = r.model AND p.d <= r.day) AS price_date, count(*) AS n FROM r GROUP BY ALL")
+def _(t):
+    """Line items as requests, part types as models, three dates for each."""
+    types = t.raw("part").select(F.col("p_type").alias("model")).distinct()
+    one = F.lit(1).cast("decimal(12,6)")
+    dates = F.explode(F.array(*[F.to_date(F.lit(d)) for d in ("1993-01-01", "1995-06-01", "1997-01-01")]))
+    prices = types.select("model", dates.alias("effective_from"), F.lit("USD").alias("currency"), *[one.alias(c) for c in ("input_per_mtok", "output_per_mtok", "cache_read_per_mtok", "cache_write_per_mtok")], F.lit("repo").alias("source"))
+    rows = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("model"), F.to_date("l_shipdate").alias("day"))
+    return pr.resolve_prices(rows, prices, F.col("day")).groupBy("model", "price_date").agg(F.count("*").alias("n"))
+
+
+# --- explorer ---
+
+
+@query("F1_session_list", with_(f"SELECT {_SE} FROM se ORDER BY last_event_at DESC, session_id DESC LIMIT 51", EV, SE))
+def _(t):
+    keep = [c for c in t.sessions.columns if c not in ("cost_by_query_source", "entrypoint", "user_account_uuid", "organization_id")]
+    return ex.session_list(t.sessions, t.tool_calls, fi.SessionFilter()).select(*keep)
+
+
+@query("F2_session_page", with_("SELECT session_id, epoch_us(started_at) AS started_at FROM se WHERE started_at < TIMESTAMP '2024-01-05' OR started_at IS NULL ORDER BY started_at DESC NULLS LAST, session_id DESC LIMIT 501", EV, SE))
+def _(t):
+    page = ex.session_list(t.sessions, t.tool_calls, fi.SessionFilter(), "started", (datetime(2024, 1, 5), ""), 500)
+    return page.select("session_id", "started_at")
+
+
+@query("F4_session_summary", with_("SELECT session_id, floor((epoch_us(coalesce(ended_at, last_event_at)) - epoch_us(started_at)) / 1000)::BIGINT AS duration_ms, started_at IS NULL AS partial, round(cost_usd::DOUBLE, 8) AS total_cost_usd FROM se", EV, SE))
+def _(t):
+    return ex.session_summaries(t.sessions).select("session_id", "duration_ms", "partial", "total_cost_usd")
+
+
+@query("F5_dominant_source", with_("SELECT se.session_id, coalesce(arg_max(qs, row(cost, -ascii(qs || chr(1)))), '') AS dominant_source, coalesce(max(cost), 0)::DOUBLE AS dominant_cost, (coalesce(sum(cost), 0) - coalesce(max(cost), 0))::DOUBLE AS other_cost FROM se LEFT JOIN cm USING (session_id) GROUP BY se.session_id", EV, SE))
+def _(t):
+    return ex.session_summaries(t.sessions).select("session_id", "dominant_source", "dominant_cost", "other_cost")
+
+
+@query("F6_mode_history", with_("SELECT session_id, epoch_us(ts) AS ts, seq, 'default' AS from_mode, 'acceptEdits' AS to_mode, a_trigger AS \"trigger\" FROM ev WHERE kind = 'permission.mode_changed'", EV))
+def _(t):
+    return ex.mode_history(t.events)
+
+
+_ROUND = lambda c, p: f"CASE WHEN quantile_cont({c}, {p}) >= 0 THEN floor(quantile_cont({c}, {p}) + 0.5) ELSE ceil(quantile_cont({c}, {p}) - 0.5) END::BIGINT"
+
+
+@query("F7_top_tools", with_(f"SELECT session_id, tool_name, count(*) AS calls, count(*) FILTER (WHERE decision = 'reject') AS rejects, {_ROUND('duration_ms', 0.5)} AS p50_ms, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, tool_name) AS place FROM tc GROUP BY session_id, tool_name QUALIFY place <= 10", EV, TC))
+def _(t):
+    return ex.top_tools(t.tool_calls)
+
+
+@query("F8_decision_totals", with_("SELECT session_id, count(*) FILTER (WHERE decision = 'accept') AS accept, count(*) FILTER (WHERE decision = 'reject') AS reject, count(*) FILTER (WHERE decision IN ('accept', 'reject')) AS decided, count(*) FILTER (WHERE decision IN ('accept', 'reject') AND correlation = 'exact') AS exact_decided FROM tc GROUP BY session_id", EV, TC))
+def _(t):
+    return ex.decision_totals(t.tool_calls)
+
+
+@query("F9_decision_sources", with_("SELECT session_id, coalesce(decision_source, '') AS decision_source, count(*) AS n FROM tc WHERE decision IN ('accept', 'reject') GROUP BY ALL", EV, TC))
+def _(t):
+    return ex.decision_sources(t.tool_calls)
+
+
+@query("F10_sources_seen", with_("SELECT DISTINCT session_id, source FROM ev", EV))
+def _(t):
+    return ex.sources_seen(t.events)
+
+
+@query("F11_session_hook_latency", with_(f"SELECT session_id, count(*) AS executions, {_ROUND('duration_ms', 0.5)} AS p50_ms, {_ROUND('duration_ms', 0.95)} AS p95_ms FROM ev WHERE kind = 'hook.execution_end' GROUP BY session_id", EV))
+def _(t):
+    return ex.session_hook_latency(t.events).drop("p50_by_hook_event")
+
+
+@query("F12_raw_expired", with_("SELECT session_id, first_seen_at < (SELECT date_trunc('month', min(ts)) FROM ev) AS raw_events_expired FROM se", EV, SE))
+def _(t):
+    return ex.raw_expired(t.sessions, t.events)
+
+
+@query("F13_turn_list", with_("SELECT session_id, prompt_id, turn_index FROM tui ORDER BY first_seen_at, prompt_id LIMIT 51", EV, TU))
+def _(t):
+    return ex.turn_list(t.turns).select("session_id", "prompt_id", "turn_index")
+
+
+@query("F14_event_list", with_("SELECT seq, epoch_us(ts) AS ts, vendor_seq FROM ev ORDER BY ts DESC, vendor_seq DESC NULLS FIRST, seq DESC LIMIT 501", EV))
+def _(t):
+    return ex.event_list(t.events, t.sessions, fi.EventFilter(), descending=True, limit=500).select("seq", "ts", "vendor_seq")
+
+
+@query("F15_event_page", with_("SELECT seq, epoch_us(ts) AS ts FROM ev WHERE ts > TIMESTAMP '2024-01-12' ORDER BY ts, vendor_seq NULLS LAST, seq LIMIT 501", EV))
+def _(t):
+    return ex.event_list(t.events, t.sessions, fi.EventFilter(), position=(datetime(2024, 1, 12), None, 10**12), limit=500).select("seq", "ts")
+
+
+@query("F16_event_by_reference", with_("SELECT seq, kind FROM ev WHERE seq = 77 AND ts = (SELECT ts FROM ev WHERE seq = 77)", EV))
+def _(t):
+    at = t.events.where(F.col("seq") == 77).select("ts").first().ts
+    return ex.event_by_reference(t.events, at, 77).select("seq", "kind")
+
+
+@query("F17_tool_call_list", with_("SELECT id, epoch_us(started_at) AS started_at FROM tc WHERE tool_name IN ('Bash', 'Edit') ORDER BY started_at DESC, id DESC LIMIT 501", EV, TC))
+def _(t):
+    return ex.tool_call_list(t.tool_calls, t.sessions, fi.ToolCallFilter(tools=("Bash", "Edit")), limit=500).select("id", "started_at")
+
+
+@query("F18_subagent_tree", with_("SELECT session_id, agent_id, depth::BIGINT AS depth, path FROM tree", EV, SA))
+def _(t):
+    return sa.tree_rows(t.subagents).select("session_id", "agent_id", "depth", "path")
+
+
+@query("F19_session_tree", with_("SELECT se.session_id, 'root' AS agent_id, 0::BIGINT AS depth, status, CASE WHEN bool_or(correlation <> 'otel_only') THEN count(*) FILTER (WHERE tc.id IS NOT NULL AND tc.agent_id IS NULL) END AS tool_call_count, NULL AS parent_agent_id FROM se LEFT JOIN tc USING (session_id) GROUP BY se.session_id, status UNION ALL SELECT sa.session_id, sa.agent_id, any_value(depth)::BIGINT, any_value(sa.status), CASE WHEN bool_or(correlation <> 'otel_only') THEN count(*) FILTER (WHERE tc.agent_id = sa.agent_id) END, CASE WHEN any_value(depth) = 1 THEN 'root' ELSE any_value(sa.parent_agent_id) END FROM sa JOIN tree USING (session_id, agent_id) LEFT JOIN tc ON tc.session_id = sa.session_id GROUP BY sa.session_id, sa.agent_id", EV, TC, SE, SA))
+def _(t):
+    return sa.session_tree(t.subagents, t.sessions, t.tool_calls).select("session_id", "agent_id", "depth", "status", "tool_call_count", "parent_agent_id")
+
+
+@query("F20_tree_paths", with_("SELECT session_id, 'root/' || path AS path FROM tree UNION ALL SELECT session_id, 'root' FROM se", EV, SE, SA))
+def _(t):
+    return sa.session_tree(t.subagents, t.sessions, t.tool_calls).select("session_id", "path")
+
+
+@query("F21_cost_attribution", with_("SELECT session_id, qs AS query_source, cost::DOUBLE AS cost, cost = max(cost) OVER (PARTITION BY session_id) AS is_greatest FROM cm", EV, SE))
+def _(t):
+    s = ex.session_summaries(t.sessions).select("session_id", "dominant_cost", F.explode("cost_by_query_source").alias("query_source", "cost"))
+    return s.select("session_id", "query_source", "cost", (F.col("cost") == F.col("dominant_cost")).alias("is_greatest"))
+
+
+@query("F22_events_since", with_("SELECT seq, epoch_us(ts) AS ts FROM ev WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY ts, seq LIMIT 2000", EV))
+def _(t):
+    return ex.events_since(t.events, datetime(2024, 1, 20)).select("seq", "ts")
+
+
+@query("F23_list_totals", with_("SELECT count(*) AS sessions, round(sum(cost_usd::DOUBLE), 8) AS cost_usd, sum(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)::BIGINT AS tokens FROM se", EV, SE))
+def _(t):
+    return ex.list_totals(t.sessions)
+
+
+@query("F24_session_strip", with_("SELECT se.session_id, input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens AS tokens, CASE WHEN count(tc.id) > 0 THEN count(*) FILTER (WHERE decision = 'reject') / count(tc.id) END AS reject_rate FROM se LEFT JOIN tc USING (session_id) GROUP BY ALL", EV, TC, SE))
+def _(t):
+    return ex.session_strip(ss.fold_sessions(t.events, tool_calls=t.tool_calls))
+
+
+# --- filters ---
+
+_F = fi.SessionFilter(projects=("p1", "p2"), models=("opal-2",), statuses=("ended", "active"), text="P2")
+
+
+@query("B8_session_filters", with_("SELECT session_id FROM se WHERE project IN ('p1', 'p2') AND list_contains(models, 'opal-2') AND status IN ('ended', 'active') AND (contains(lower(session_id), 'p2') OR contains(lower(project), 'p2') OR contains(lower(cwd), 'p2'))", EV, SE))
+def _(t):
+    return fi.sessions(t.sessions, t.tool_calls, _F).select("session_id")
+
+
+@query("B5_session_by_tool", with_("SELECT session_id FROM se WHERE session_id IN (SELECT session_id FROM tc WHERE tool_name IN ('Task')) AND session_id IN (SELECT session_id FROM tc WHERE decision_source IN ('hook', 'config'))", EV, TC, SE))
+def _(t):
+    return fi.sessions(t.sessions, t.tool_calls, fi.SessionFilter(tools=("Task",), decision_sources=("hook", "config"))).select("session_id")
+
+
+@query("B9_event_filters", with_("SELECT ev.seq FROM ev JOIN se USING (session_id) WHERE ev.kind IN ('tool.pre', 'tool.result') AND tool_name IN ('Bash', 'Read') AND ev.vendor IN ('claude_code') AND se.project IN ('p3') AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-25'", EV, SE))
+def _(t):
+    f = fi.EventFilter(kinds=("tool.pre", "tool.result"), tools=("Bash", "Read"), vendors=("claude_code",), projects=("p3",), start=datetime(2024, 1, 2), end=datetime(2024, 1, 25))
+    return fi.events(t.events, t.sessions, f).select("seq")
+
+
+@query("B10_call_filters", with_("SELECT id FROM tc JOIN se USING (session_id) WHERE tool_name = 'Edit' AND decision_source = 'config' AND project IN ('p0', 'p5')", EV, TC, SE))
+def _(t):
+    return fi.tool_calls(t.tool_calls, t.sessions, fi.ToolCallFilter(tools=("Edit",), decision_sources=("config",), projects=("p0", "p5"))).select("id")
+
+
+@query("B14_kind_groups", with_("SELECT CASE WHEN kind = 'unknown' THEN 'fallback' WHEN kind LIKE 'hook.%' THEN 'hooks' WHEN kind LIKE 'subagent.%' THEN 'agentic' ELSE split_part(kind, '.', 1) END AS \"group\", count(*) AS n FROM ev GROUP BY ALL", EV))
+def _(t):
+    return t.events.groupBy(qu.kind_group(F.col("kind")).alias("group")).agg(F.count("*").alias("n"))
+
+
+# --- analytics ---
+
+_W = "bucket >= TIMESTAMP '2024-01-01' AND bucket < TIMESTAMP '2024-01-31' AND source = 'event'"
+_MIDW = "bucket >= TIMESTAMP '2024-01-10 05:30:00' AND bucket < TIMESTAMP '2024-01-14 12:00:00' AND source = 'event'"
+_COST = "(cost_reported_usd::DOUBLE + cost_estimated_usd::DOUBLE)"
+
+
+def _sum_sql(cols):
+    return ", ".join(f"sum({c})::DOUBLE AS {c}" if c.startswith("cost_") else f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in cols)
+
+
+@query("G2_summary", with_(f"SELECT {_sum_sql(an.ATTRIBUTABLE)}, {_sum_sql(an.NOT_ATTRIBUTABLE)}, sum(tool_rejects) / sum(tool_calls) AS reject_rate, sum(cost_estimated_usd)::DOUBLE / (sum(cost_reported_usd)::DOUBLE + sum(cost_estimated_usd)::DOUBLE) AS estimated_share FROM rh WHERE {_W}", EV, TC, SE, RH))
+def _(t):
+    return an.summary(t.hourly, ALL_TIME).drop("cost_usd", "not_attributable")
+
+
+@query("G3_summary_of_model", with_(f"SELECT {_sum_sql(an.ATTRIBUTABLE)}, NULL::BIGINT AS tool_calls, 'sessions_started,turns,tool_calls,tool_rejects,loc_added,loc_removed,active_seconds' AS not_attributable FROM rh WHERE {_W} AND model IN ('opal-2')", EV, TC, SE, RH))
+def _(t):
+    q = an.Query(NOW, START, NOW, models=("opal-2",))
+    return an.summary(t.hourly, q).select(*an.ATTRIBUTABLE, "tool_calls", "not_attributable")
+
+
+@query("G4_metrics_only_projects", with_("SELECT DISTINCT project FROM rm WHERE project <> '' AND bucket >= TIMESTAMP '2024-01-01' AND bucket < TIMESTAMP '2024-01-31' AND project NOT IN (SELECT project FROM rh WHERE project NOT IN ('p1', 'p4'))", BOTH))
+def _(t):
+    rollup = t.both.where((F.col("source") == "metric") | ~F.col("project").isin("p1", "p4"))
+    return an.metrics_only_projects(rollup, ALL_TIME)
+
+
+@query("G5_series_sums", with_(f"SELECT epoch_us(bucket) AS bucket, vendor AS group_key, {_sum_sql(['sessions_started', 'turns', 'api_requests', 'api_errors', 'tool_calls', 'tool_rejects', *TOKENS, 'cost_reported_usd', 'cost_estimated_usd', 'loc_added', 'loc_removed'])} FROM rd WHERE {_W} GROUP BY ALL", BOTH))
+def _(t):
+    return an.series_sums(t.both, t.daily, ALL_TIME, "vendor")
+
+
+def _series(window: str, table: str, value: str, key: str, unit: str, start: str, end: str, top: int) -> str:
+    return f"""SELECT * FROM (WITH x AS (SELECT bucket, {key} AS key, round(sum({value}), 8) AS v FROM {table} WHERE {window} GROUP BY ALL), k AS (SELECT key FROM x GROUP BY key ORDER BY sum(v) DESC, key LIMIT {top}),
+y AS (SELECT bucket, CASE WHEN key IN (SELECT key FROM k) THEN key ELSE 'other' END AS series, sum(v) AS v FROM x GROUP BY ALL), s AS (SELECT DISTINCT series FROM y),
+b AS (SELECT unnest(generate_series(date_trunc('{unit}', TIMESTAMP '{start}')::TIMESTAMP, TIMESTAMP '{end}' - INTERVAL 1 MICROSECOND, INTERVAL 1 {unit})) AS bucket)
+SELECT epoch_us(b.bucket) AS bucket, s.series, round(coalesce(y.v, 0), 8) AS value FROM b CROSS JOIN s LEFT JOIN y ON y.bucket = b.bucket AND y.series = s.series)"""
+
+
+@query("G7_hourly_cost_by_project", with_(_series(_MIDW, "rh", _COST, "project", "hour", "2024-01-10 05:30:00", "2024-01-14 12:00:00", 8), EV, TC, SE, RH))
+def _(t):
+    return an.timeseries(t.hourly, t.daily, "cost", MID, "project")
+
+
+@query("G8_daily_tokens_top3", with_(_series(_W, "rd", "(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)::DOUBLE", "project", "day", "2024-01-01", "2024-01-31", 3), BOTH))
+def _(t):
+    return an.timeseries(t.both, t.daily, "tokens", ALL_TIME, "project", top=3)
+
+
+@query("G9_single_series", with_("SELECT epoch_us(unnest(generate_series(TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01 23:00:00', INTERVAL 1 HOUR))) AS bucket, '' AS series, 0::DOUBLE AS value FROM (SELECT count(*) FROM ev)", EV))
+def _(t):
+    return an.timeseries(t.hourly, t.daily, "cost", an.Query(datetime(2025, 1, 2)))
+
+
+@query("G6_metric_values", with_(f"SELECT project, sum({_COST}) AS cost, sum(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)::DOUBLE AS tokens, sum(loc_added + loc_removed)::DOUBLE AS loc, sum(turns)::DOUBLE AS turns FROM (SELECT project, cost_reported_usd, cost_estimated_usd, {', '.join(TOKENS)}, loc_added, loc_removed, turns FROM rl) GROUP BY project".replace(f"sum({_COST}) AS cost", "round(sum(cost_reported_usd + cost_estimated_usd)::DOUBLE, 6) AS cost"), BOTH))
+def _(t):
+    return t.both.groupBy("project").agg(F.round(F.sum(an.metric_value("cost")), 6).alias("cost"), *[F.sum(an.metric_value(m)).alias(m) for m in ("tokens", "loc", "turns")])
+
+
+def _top(inner: str) -> str:
+    return f"SELECT key, value, CASE WHEN sum(value) OVER () <> 0 THEN value / sum(value) OVER () ELSE 0 END AS share FROM ({inner}) ORDER BY value DESC, key LIMIT 20"
+
+
+@query("G10_breakdown_by_model", with_(_top(f"SELECT model AS key, sum(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)::DOUBLE AS value FROM rh WHERE {_W} GROUP BY model"), EV, TC, SE, RH))
+def _(t):
+    return an.breakdown("model", ALL_TIME, t.hourly, metric="tokens")
+
+
+@query("G11_breakdown_by_decision_source", with_(_top("SELECT decision_source AS key, count(*)::DOUBLE AS value FROM tc WHERE decision_source IS NOT NULL AND started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-31' GROUP BY ALL"), EV, TC))
+def _(t):
+    return an.breakdown("decision_source", ALL_TIME, tool_calls=t.tool_calls, sessions=t.sessions)
+
+
+@query("G11_breakdown_by_tool", with_(_top("SELECT tool_name AS key, count(*)::DOUBLE AS value FROM tc JOIN se USING (session_id) WHERE project IN ('p1', 'p2') AND tc.started_at >= TIMESTAMP '2024-01-01' AND tc.started_at < TIMESTAMP '2024-01-31' GROUP BY ALL"), EV, TC, SE))
+def _(t):
+    return an.breakdown("tool", an.Query(NOW, START, NOW, projects=("p1", "p2")), tool_calls=t.tool_calls, sessions=t.sessions)
+
+
+@query("G12_breakdown_by_query_source", with_("SELECT qs AS key, sum(cost)::DOUBLE AS value FROM cm JOIN se USING (session_id) WHERE last_event_at >= TIMESTAMP '2024-01-01' AND last_event_at < TIMESTAMP '2024-01-31' GROUP BY qs", EV, SE))
+def _(t):
+    return an.breakdown("query_source", ALL_TIME, sessions=t.sessions).drop("share")
+
+
+@query("G13_share_of_projects", with_(_top(f"SELECT project AS key, sum(api_requests)::DOUBLE AS value FROM rh WHERE {_W} GROUP BY project"), EV, TC, SE, RH))
+def _(t):
+    return an.breakdown("project", ALL_TIME, t.hourly, metric="calls")
+
+
+@query("G15_decision_matrix", with_("SELECT tool_name, count(*) FILTER (WHERE decision = 'accept') AS accept, count(*) FILTER (WHERE decision = 'reject') AS reject, count(*) FILTER (WHERE decision IN ('accept', 'reject')) AS decided, CASE WHEN count(*) FILTER (WHERE decision IN ('accept', 'reject')) > 0 THEN count(*) FILTER (WHERE decision IN ('accept', 'reject') AND correlation = 'exact') / count(*) FILTER (WHERE decision IN ('accept', 'reject')) ELSE 1 END AS exact_share FROM tc WHERE started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-31' GROUP BY ALL", EV, TC))
+def _(t):
+    return an.decision_matrix(t.tool_calls, t.sessions, ALL_TIME).drop("wait_p50_ms", "wait_p95_ms")
+
+
+_BYSRC = "SELECT tool_name, decision_source, count(*) AS n FROM tc WHERE decision IS NOT NULL AND decision_source IS NOT NULL AND started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-31' GROUP BY ALL"
+
+
+@query("G16_decisions_by_source", with_(_BYSRC, EV, TC))
+def _(t):
+    return an.decisions_by_source(t.tool_calls, t.sessions, ALL_TIME)
+
+
+@query("G17_wait_percentiles", with_(f"SELECT tool_name, {_ROUND('wait_ms', 0.5)} AS wait_p50_ms, {_ROUND('wait_ms', 0.95)} AS wait_p95_ms FROM tcw WHERE started_at >= TIMESTAMP '2024-01-01' AND started_at < TIMESTAMP '2024-01-31' GROUP BY tool_name", EV, TC))
+def _(t):
+    return an.decision_matrix(t.tool_calls, t.sessions, ALL_TIME).select("tool_name", "wait_p50_ms", "wait_p95_ms")
+
+
+@query("G18_has_estimates", with_("SELECT bool_or(cost_estimated_usd > 0) AS estimated_cost_present FROM rl", BOTH))
+def _(t):
+    return an.has_estimates(t.both)
+
+
+_PP = "bucket >= TIMESTAMP '2024-01-16'"
+
+
+def _pop(metric: str, value: str) -> str:
+    a, b = f"round(sum({value}) FILTER (WHERE {_PP}), 8)", f"round(sum({value}) FILTER (WHERE NOT {_PP}), 8)"
+    return f"SELECT '{metric}' AS metric, {a} AS value, {b} AS before, round({a} - {b}, 8) AS delta FROM rh WHERE bucket >= TIMESTAMP '2024-01-01' AND bucket < TIMESTAMP '2024-01-31'"
+
+
+@query("G19_period_over_period", with_(" UNION ALL ".join([_pop("cost", "(cost_reported_usd + cost_estimated_usd)") .replace("FROM rh", "FROM rh"), _pop("tokens", "(input_tokens + output_tokens + cache_read_tokens + cache_creation_tokens)"), _pop("api_requests", "api_requests"), _pop("tool_calls", "tool_calls")]).replace("AS value", "::DOUBLE AS value").replace("AS before", "::DOUBLE AS before").replace("AS delta", "::DOUBLE AS delta"), EV, TC, SE, RH))
+def _(t):
+    return an.period_over_period(t.hourly, an.Query(NOW, datetime(2024, 1, 16), NOW)).drop("change")
+
+
+@query("G20_sparkline", with_(f"SELECT epoch_us(b.bucket) AS bucket, round(coalesce(sum(api_requests), 0), 8)::DOUBLE AS value FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS bucket) b LEFT JOIN (SELECT * FROM rd WHERE {_W}) rd ON rd.bucket = b.bucket GROUP BY b.bucket", BOTH))
+def _(t):
+    return an.sparkline(an.timeseries(t.both, t.daily, "api_requests", ALL_TIME, "project", top=2))
+
+
+@query("G21_cost_bands", with_("SELECT session_id, cost_usd::DOUBLE AS cost, CASE WHEN (SELECT min(cost_usd) = max(cost_usd) FROM se) THEN 'none' WHEN cost_usd::DOUBLE >= (SELECT quantile_cont(cost_usd::DOUBLE, 0.9) FROM se) THEN 'critical' WHEN cost_usd::DOUBLE >= (SELECT quantile_cont(cost_usd::DOUBLE, 0.75) FROM se) THEN 'warn' ELSE 'none' END AS band FROM se", EV, SE))
+def _(t):
+    return an.cost_bands(t.sessions)
+
+
+@query("G22_reject_bands", with_("SELECT session_id, CASE WHEN r >= 0.15 THEN 'critical' WHEN r >= 0.05 THEN 'warn' ELSE 'none' END AS band FROM (SELECT session_id, count(*) FILTER (WHERE decision = 'reject') / count(*) AS r FROM tc GROUP BY session_id)", EV, TC))
+def _(t):
+    return t.tool_calls.groupBy("session_id").agg(an.reject_band(F.count_if(F.col("decision") == "reject") / F.count("*")).alias("band"))
+
+
+@query("G23_matrix_peak", with_(f"SELECT decision_source, max(n) AS column_peak, max(max(n)) OVER () AS peak FROM ({_BYSRC}) GROUP BY decision_source", EV, TC))
+def _(t):
+    return an.matrix_peak(an.decisions_by_source(t.tool_calls, t.sessions, ALL_TIME))
+
+
+# --- quality, ingest, retention, timeline ---
+
+
+@query("Q1_facets", with_("SELECT DISTINCT 'projects' AS facet, project AS value FROM se WHERE project <> '' UNION SELECT 'vendors', vendor FROM se UNION SELECT 'models', unnest(models) FROM se UNION SELECT 'tools', tool_name FROM tc UNION SELECT 'decision_sources', decision_source FROM tc WHERE decision_source IS NOT NULL UNION SELECT 'query_sources', qs FROM cm", EV, TC, SE))
+def _(t):
+    return qu.facets(t.sessions, t.tool_calls)
+
+
+@query("Q7_coverage", with_("SELECT bool_or(source = 'otel_log') AS logs_seen, bool_or(source = 'hook') AS hooks_seen, (SELECT count(*) > 0 FROM ms) AS metrics_seen, (SELECT bool_or(file_path IS NOT NULL OR input_size_bytes IS NOT NULL) FROM tc) AS tool_details_seen FROM ev", EV, TC, MS))
+def _(t):
+    return qu.coverage(t.events, t.samples, t.tool_calls)
+
+
+@query("Q8_unknown_kinds", with_("SELECT event_name, source, count(*) AS n, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen FROM ev WHERE kind = 'unknown' GROUP BY ALL", EV))
+def _(t):
+    return qu.unknown_kinds(t.events).drop("sample")
+
+
+@query("Q9_hook_latency", with_(f"SELECT a_hook AS hook_event, count(*) AS executions, {_ROUND('duration_ms', 0.5)} AS p50_ms, {_ROUND('duration_ms', 0.95)} AS p95_ms, {_ROUND('duration_ms', 0.99)} AS p99_ms, count(*) FILTER (WHERE NOT success) AS errors, count(*) FILTER (WHERE a_cancelled > 0) AS cancelled FROM ev WHERE kind = 'hook.execution_end' GROUP BY a_hook", EV))
+def _(t):
+    return qu.hook_latency(t.events)
+
+
+@query("Q10_unknown_total", with_("SELECT count(*) AS n FROM ev WHERE kind = 'unknown'", EV))
+def _(t):
+    return qu.unknown_total(qu.unknown_kinds(t.events))
+
+
+def _doubled(t) -> DataFrame:
+    """Every event, and every third one again; a few from years ago."""
+    again = t.events.where(F.col("seq") % 3 == 0).withColumn("seq", F.col("seq") + 10**9)
+    old = t.events.where(F.col("seq") % 50 == 0).withColumns({"ts": F.col("ts") - F.expr("INTERVAL 900 DAY"), "dedup_key": F.concat(F.lit("old:"), "dedup_key")})
+    return t.events.unionByName(again).unionByName(old)
+
+
+def _ledger(t) -> DataFrame:
+    return t.events.where(F.col("seq") % 7 == 0).select("dedup_key", F.col("ts").alias("first_seen_at"))
+
+
+_DOUBLED = "dbl AS (SELECT seq, ts, dedup_key, false AS old FROM ev UNION ALL SELECT seq + 1000000000, ts, dedup_key, false FROM ev WHERE seq % 3 = 0 UNION ALL SELECT seq, ts, 'old:' || dedup_key, true FROM ev WHERE seq % 50 = 0)"
+
+
+@query("I1_ledger_dedup", with_("SELECT dedup_key, min(seq) AS seq FROM dbl WHERE NOT old AND dedup_key NOT IN (SELECT dedup_key FROM ev WHERE seq % 7 = 0) GROUP BY dedup_key", EV, ", ", _DOUBLED))
+def _(t):
+    months = rt.covered_months(t.events, START, NOW)
+    return ing.survivors(_doubled(t), _ledger(t), months).select("dedup_key", "seq")
+
+
+@query("I2_batch_dedup", with_("SELECT dedup_key, min(seq) AS seq FROM dbl GROUP BY dedup_key", EV, ", ", _DOUBLED))
+def _(t):
+    return ing.first_of_key(_doubled(t)).select("dedup_key", "seq")
+
+
+@query("I4_too_old", with_("SELECT seq, dedup_key FROM dbl WHERE NOT old", EV, ", ", _DOUBLED))
+def _(t):
+    return ing.covered(_doubled(t), rt.covered_months(t.events, START, NOW)).select("seq", "dedup_key")
+
+
+@query("I5_accounts", with_("SELECT CASE WHEN old THEN 'too_old' WHEN row_number() OVER (PARTITION BY dedup_key ORDER BY ts, seq) > 1 OR dedup_key IN (SELECT dedup_key FROM ev WHERE seq % 7 = 0) THEN 'deduped' ELSE 'written' END AS outcome, count(*) AS n FROM dbl GROUP BY ALL".replace("SELECT CASE", "SELECT outcome, count(*) AS n FROM (SELECT CASE").replace("AS outcome, count(*) AS n FROM dbl GROUP BY ALL", "AS outcome FROM dbl) GROUP BY outcome"), EV, ", ", _DOUBLED))
+def _(t):
+    return ing.accounts(ing.outcome(_doubled(t), _ledger(t), rt.covered_months(t.events, START, NOW)))
+
+
+@query("I6_sequence", with_("SELECT dedup_key, row_number() OVER (ORDER BY ts, dedup_key) AS seq FROM ev", EV))
+def _(t):
+    return ing.with_sequence(t.events.drop("seq")).select("dedup_key", "seq")
+
+
+@query("I8_ingest_lag", with_("SELECT round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.95), 6) AS p95, round(quantile_cont(l, 0.99), 6) AS p99, " + ", ".join(f"count(*) FILTER (WHERE l <= {e}) AS le_{e}" for e in (1, 5, 30, 60, 300, 1800)) + ", count(*) AS n FROM (SELECT (epoch_us(ingested_at) - epoch_us(ts)) / 1000000 AS l FROM ev)", EV))
+def _(t):
+    return ing.ingest_lag(t.events)
+
+
+@query("I9_by_source", with_("SELECT source, count(*) AS n FROM ev GROUP BY source", EV))
+def _(t):
+    return ing.by_source(t.events)
+
+
+@query("Q11_reconcile", with_("SELECT (SELECT count(*) FROM dbl) AS received, count(DISTINCT kind) AS kinds, count(*) FILTER (WHERE kind = 'unknown') AS unknown, count(*) AS stored, (SELECT count(*) FROM se WHERE started_at IS NULL) AS sessions_without_start, true AS balanced FROM ev", EV, SE, ", ", _DOUBLED))
+def _(t):
+    empty = _ledger(t).limit(0)
+    months = rt.covered_months(t.events, START, NOW)
+    out = qu.reconcile(_doubled(t), ing.accounts(ing.outcome(_doubled(t), empty, months)), ing.survivors(_doubled(t), empty, months), t.sessions)
+    return out.select("received", "kinds", "unknown", "stored", "sessions_without_start", "balanced")
+
+
+@query("Q12_checksum")
+def _(t):
+    parts = {"sessions": t.sessions, "turns": t.turns, "tool_calls": t.tool_calls, "subagents": t.subagents}
+    out = None
+    for name, df in parts.items():
+        one = qu.checksum(df).select(F.lit(name).alias("projection"), "rows", F.col("hash").cast("string").alias("hash"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("R1_expired_months", with_("SELECT date_trunc('month', ts)::DATE::VARCHAR AS month, count(*) AS rows FROM dbl WHERE old GROUP BY ALL", EV, ", ", _DOUBLED))
+def _(t):
+    return rt.expired_months(_doubled(t), datetime(2023, 12, 31))
+
+
+@query("R2_precise_prune", with_("SELECT count(*) AS n FROM ev WHERE ts >= TIMESTAMP '2024-01-15 06:00:00'", EV))
+def _(t):
+    return rt.precise_prune(t.events, datetime(2024, 1, 15, 6)).agg(F.count("*").alias("n"))
+
+
+@query("R3_session_expiry", with_("SELECT 'turns' AS \"table\", count(*) AS n FROM tu JOIN se USING (session_id) WHERE se.last_event_at >= TIMESTAMP '2024-01-30' UNION ALL SELECT 'sessions', count(*) FROM se WHERE last_event_at >= TIMESTAMP '2024-01-30'", EV, SE, TU))
+def _(t):
+    left = rt.without_sessions({"turns": t.turns, "sessions": t.sessions}, rt.expired_sessions(t.sessions, datetime(2024, 1, 30)))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n, df in left.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("R4_prune_ledger", with_("SELECT dedup_key FROM ev WHERE seq % 7 = 0 AND ts >= TIMESTAMP '2024-01-20'", EV))
+def _(t):
+    return rt.prune_ledger(_ledger(t), datetime(2024, 1, 20)).select("dedup_key")
+
+
+@query("R5_covered_months", with_("SELECT DISTINCT date_trunc('month', ts)::DATE::VARCHAR AS month FROM ev", EV))
+def _(t):
+    return rt.covered_months(_doubled(t), START, NOW)
+
+
+@query("H1_collapse")
+def _(t):
+    return tl.collapse(t.events).select("session_id", "kind", "moment", "ts", "members", "sources", "tool_name", "decision")
+
+
+@query("H3_tool_threads", with_("SELECT seq, count(*) OVER w AS size, first_value(seq) OVER (PARTITION BY session_id, tool_use_id ORDER BY CASE WHEN kind = 'tool.pre' THEN 0 ELSE 1 END, ts, vendor_seq NULLS LAST, seq) AS parent_seq, first_value(seq) OVER (PARTITION BY session_id, tool_use_id ORDER BY CASE kind WHEN 'tool.result' THEN 0 WHEN 'tool.decision' THEN 1 WHEN 'tool.permission_request' THEN 2 ELSE 3 END, ts, vendor_seq NULLS LAST, seq) AS display_seq FROM ev WHERE tool_use_id IS NOT NULL WINDOW w AS (PARTITION BY session_id, tool_use_id)", EV))
+def _(t):
+    return tl.tool_threads(t.events).select("seq", "size", "parent_seq", "display_seq")
+
+
+@query("H4_turn_runs", with_("SELECT seq, sum(CASE WHEN p IS NOT DISTINCT FROM prompt_id AND n > 1 THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY ts, seq)::BIGINT AS run FROM (SELECT *, lag(prompt_id) OVER w AS p, row_number() OVER w AS n FROM ev WINDOW w AS (PARTITION BY session_id ORDER BY ts, seq))", EV))
+def _(t):
+    return tl.turn_runs(t.events).select("seq", "run")
+
+
+@query("H4_conversation_runs", "SELECT conv_id, turn, sum(CASE WHEN p = role THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn, text)::BIGINT AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations)")
+def _(t):
+    return tl.turn_runs(t.raw("conversations"), "conv_id", "role", ("turn", "text")).select("conv_id", "turn", "run")
