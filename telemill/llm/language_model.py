@@ -121,7 +121,8 @@ def _word_exchange(table: DataFrame, shards: int) -> DataFrame:
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(distinct))
         ids = _FIRST + rank * shards + int(pdf["shard"].iloc[0])
         cut = np.cumsum([0, *map(len, hashes)])
-        out = [(b, int(pdf["shard"].iloc[0]), pack(_u32(counts[where[x:y]])), pack(_u32(ids[where[x:y]])), 0) for b, x, y in zip(pdf["block"], cut[:-1], cut[1:])]
+        marked = _marked(counts, np.bincount(where, minlength=len(distinct)) == 1)
+        out = [(b, int(pdf["shard"].iloc[0]), pack(marked[where[x:y]]), pack(_u32(ids[where[x:y]])), 0) for b, x, y in zip(pdf["block"], cut[:-1], cut[1:])]
         got = pd.DataFrame(out, columns=["block", "shard", "counts", "ids", "v"])
         got.loc[0, "v"] = int((counts > 0).sum())
         return got
@@ -133,7 +134,7 @@ def _word_exchange(table: DataFrame, shards: int) -> DataFrame:
 class _Tokens:
     """The tokens of a block's texts, each text closed by its end, and what they follow."""
 
-    def __init__(self, lengths: np.ndarray, held: np.ndarray, seq: np.ndarray, counts: np.ndarray, ids: np.ndarray, train_docs: int):
+    def __init__(self, lengths: np.ndarray, held: np.ndarray, seq: np.ndarray, counts: np.ndarray, only: np.ndarray, ids: np.ndarray, train_docs: int):
         n = lengths.astype(np.int64) + 1
         self.bounds = np.concatenate([[0], np.cumsum(n)])
         self.n, self.train_docs = int(self.bounds[-1]), train_docs
@@ -143,6 +144,8 @@ class _Tokens:
         self.w[word] = ids[seq]
         self.c = np.full(self.n, train_docs, dtype=np.int64)
         self.c[word] = counts[seq]
+        self.only = np.zeros(self.n, dtype=bool)
+        self.only[word] = only[seq]
         self.train = np.repeat(~held, n)
         self.place = np.arange(self.n) - np.repeat(self.bounds[:-1], n)
 
@@ -153,18 +156,24 @@ class _Tokens:
         out[some] = self.w[some - k]
         return out
 
-    def context_counts(self, last: np.ndarray) -> np.ndarray:
-        """Training counts of the contexts, from the counts ``last`` of the n-grams that end at each token."""
-        out = np.full(self.n, self.train_docs, dtype=np.int64)
+    def of_contexts(self, last: np.ndarray, first) -> np.ndarray:
+        """What ``last`` has for the n-gram that ends before each token; ``first`` at a text's start."""
+        out = np.full(self.n, first, dtype=last.dtype)
         some = np.flatnonzero(self.place >= 1)
         out[some] = last[some - 1]
         return out
 
 
 class _Request:
-    """A block's distinct n-grams of one order, in the order in which shards get them."""
+    """A block's distinct n-grams of one order, in the order in which shards get them.
 
-    def __init__(self, tokens: _Tokens, order: int, context_counts: np.ndarray, shards: int):
+    Contexts that no other block has at all come last: the block answers these
+    itself, in the same way, and sends nothing.
+    """
+
+    def __init__(self, tokens: _Tokens, order: int, counts: np.ndarray, only: np.ndarray, shards: int):
+        """counts, only: of the n-grams of the order below, by the token where they end."""
+        context_counts = tokens.of_contexts(counts, tokens.train_docs)
         seen = np.flatnonzero(context_counts > 0)  # of others nothing can be known
         columns = [tokens.before(k)[seen] for k in range(order - 1, 0, -1)]
         key = columns[0].astype(np.uint64)
@@ -180,8 +189,9 @@ class _Request:
         cc = context_counts[seen][first]
         grams, gram_of = np.unique(ctx.astype(np.uint64) << np.uint64(32) | tokens.w[seen].astype(np.uint64), return_inverse=True)
         gram_ctx, gram_w = (grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        counts = np.bincount(gram_of[tokens.train[seen]], minlength=len(grams))
-        parts = -(-cc // HOT)
+        trained = np.bincount(gram_of[tokens.train[seen]], minlength=len(grams))
+        alone = tokens.of_contexts(only, False)[seen][first]
+        parts = np.where(alone, 1, -(-cc // HOT))
         head_start = np.concatenate([[0], np.cumsum(parts)])
         head_ctx = np.repeat(np.arange(len(cc)), parts)
         head_part = np.arange(len(head_ctx)) - head_start[head_ctx]
@@ -189,41 +199,58 @@ class _Request:
         for j in range(contexts.shape[1]):
             h = mix(h * np.uint64(31) + contexts[:, j].astype(np.uint64) + np.uint64(1))
         head_shard = (mix(h[head_ctx] + head_part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        head_shard[alone[head_ctx]] = shards
         gram_head = head_start[gram_ctx] + (mix(gram_w.astype(np.uint64)) % parts[gram_ctx].astype(np.uint64)).astype(np.int64)
         self.heads = np.argsort(head_shard, kind="stable")
         rank = np.empty(len(self.heads), dtype=np.int64)
         rank[self.heads] = np.arange(len(self.heads))
         self.grams = np.argsort(rank[gram_head], kind="stable")
-        self.head_cut = np.searchsorted(head_shard[self.heads], np.arange(shards + 1))
+        self.head_cut = np.searchsorted(head_shard[self.heads], np.arange(shards + 2))
         children = np.bincount(rank[gram_head], minlength=len(self.heads))
         self.gram_cut = np.concatenate([[0], np.cumsum(children)])[self.head_cut]
         self.seen, self.gram_of, self.ctx, self.head_ctx, self.n_ctx = seen, gram_of, ctx, head_ctx, len(cc)
         self.contexts, self.cc, self.children = contexts[head_ctx[self.heads]], cc[head_ctx[self.heads]], children
-        self.w, self.counts = gram_w[self.grams], counts[self.grams]
+        self.w, self.counts = gram_w[self.grams], trained[self.grams]
 
     def payloads(self) -> Iterator[tuple[int, bytes]]:
         """(shard, message) for every shard that has any of the contexts."""
-        for s in range(len(self.head_cut) - 1):
-            a, b, x, y = self.head_cut[s], self.head_cut[s + 1], self.gram_cut[s], self.gram_cut[s + 1]
-            if b > a:
-                columns = self.contexts[a:b]
-                lead = np.diff(columns[:, 0], prepend=0)
-                parts = [pack(_u32(lead)), *(pack(_u32(columns[:, j])) for j in range(1, columns.shape[1])), pack(_u32(self.cc[a:b])), pack(_u32(self.children[a:b])), pack(_gaps(self.w[x:y], self.children[a:b])), pack(_u32(self.counts[x:y]))]
-                yield s, _bundle(parts)
-
-    def spread(self, alpha: np.ndarray, counts: np.ndarray, gamma: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(alpha, gamma, count of the n-gram) of each of n tokens, from the shards' answers in a row."""
-        a, c = np.zeros(len(self.grams)), np.zeros(len(self.grams), dtype=np.int64)
+        for s in range(len(self.head_cut) - 2):
+            if self.head_cut[s + 1] > self.head_cut[s]:
+                yield s, self._message(s)
+
+    def _message(self, s: int) -> bytes:
+        a, b, x, y = self.head_cut[s], self.head_cut[s + 1], self.gram_cut[s], self.gram_cut[s + 1]
+        columns = self.contexts[a:b]
+        lead = np.diff(columns[:, 0], prepend=0)
+        return _bundle([pack(_u32(lead)), *(pack(_u32(columns[:, j])) for j in range(1, columns.shape[1])), pack(_u32(self.cc[a:b])), pack(_u32(self.children[a:b])), pack(_gaps(self.w[x:y], self.children[a:b])), pack(_u32(self.counts[x:y]))])
+
+    def own_answer(self, order: int, discount: float) -> tuple[bytes, bytes, bytes] | None:
+        """The answer to what no shard was asked."""
+        s = len(self.head_cut) - 2
+        return _answer([self._message(s)], order, discount)[0] if self.head_cut[s + 1] > self.head_cut[s] else None
+
+    def spread(self, alpha: np.ndarray, counts: np.ndarray, gamma: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(alpha, gamma, count of the n-gram, whether only this block has it) of each of n tokens, from the answers in a row."""
+        a, c = np.zeros(len(self.grams)), np.zeros(len(self.grams), dtype=np.uint64)
         a[self.grams], c[self.grams] = restored(alpha), counts
         left = np.zeros(len(self.heads))
         left[self.heads] = restored(gamma)
         left = np.bincount(self.head_ctx, left, self.n_ctx)
-        out = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64)
-        for x, y in zip(out, (a[self.gram_of], left[self.ctx], c[self.gram_of])):
+        out = np.zeros(n), np.ones(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        for x, y in zip(out, (a[self.gram_of], left[self.ctx], *_split(c[self.gram_of]))):
             x[self.seen] = y
         return out
 
 
+def _marked(counts: np.ndarray, only: np.ndarray) -> np.ndarray:
+    """Counts, and in the lowest bit whether a single block has the word or n-gram."""
+    return counts.astype(np.uint64) << np.uint64(1) | only.astype(np.uint64)
+
+
+def _split(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (marked >> np.uint64(1)).astype(np.int64), (marked & np.uint64(1)).astype(bool)
+
+
 def _gaps(w: np.ndarray, children: np.ndarray) -> np.ndarray:
     """Each word id less the one before it of the same context."""
     out = np.diff(w, prepend=0)
@@ -249,8 +276,8 @@ def _parts(raw: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def _answer(messages: list[bytes], order: int, discount: float) -> list[bytes]:
-    """A shard's answers: the trie of all training n-grams of its contexts, searched for each block's n-grams."""
+def _answer(messages: list[bytes], order: int, discount: float) -> list[tuple[bytes, bytes, bytes]]:
+    """A shard's answers (alpha, counts, gamma): the trie of all training n-grams of its contexts, searched for each block's n-grams."""
     heads, given, kids, words, trained = [], [], [], [], []
     for raw in messages:
         parts = [unpack(x) for x in _parts(raw)]
@@ -270,22 +297,24 @@ def _answer(messages: list[bytes], order: int, discount: float) -> list[bytes]:
     gram_ctx, w = np.repeat(ctx, children), np.concatenate(words)
     grams, where = np.unique(gram_ctx.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_inverse=True)
     counts = np.bincount(where, np.concatenate(trained), len(grams)).astype(np.int64)
+    asked_by = np.bincount(where, minlength=len(grams))  # blocks, as each sends an n-gram once
+    marked = _marked(counts, asked_by == 1)
     grams, counts = grams[counts > 0], counts[counts > 0]
     at = (grams >> np.uint64(32)).astype(np.int64)
     keys = np.concatenate([contexts[first][at], (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)[:, None]], axis=1)
     cc = total[first]
     gamma = quantise(discount * np.bincount(at, minlength=len(first)) / cc)
 
-    def use(trie) -> list[bytes]:
+    def use(trie) -> list[tuple[bytes, bytes, bytes]]:
         out = []
         asked = np.concatenate([np.repeat(contexts, children, axis=0), w[:, None]], axis=1)
         node = np.concatenate([trie.find(asked[i : i + 500_000]) for i in range(0, len(asked), 500_000)]) if len(asked) else np.zeros(0, dtype=np.int64)
         alpha = np.where(node >= 0, trie.codes[np.maximum(node, 0)] if len(grams) else 0, 0).astype(np.uint16)
-        known = np.where(node >= 0, counts[np.maximum(node, 0)] if len(grams) else 0, 0)
+        known = marked[where]
         a = b = 0
         for h, k in zip(heads, kids):
             x, y = len(h), int(k.sum())
-            out.append(_bundle([pack(alpha[b : b + y]), pack(_u32(known[b : b + y])), pack(gamma[ctx[a : a + x]])]))
+            out.append((pack(alpha[b : b + y]), pack(known[b : b + y]), pack(gamma[ctx[a : a + x]])))
             a, b = a + x, b + y
         return out
 
@@ -294,13 +323,14 @@ def _answer(messages: list[bytes], order: int, discount: float) -> list[bytes]:
 
 def _gram_exchange(requests: DataFrame, order: int, discount: float) -> DataFrame:
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "answer": _answer(pdf["message"].tolist(), order, discount)})
+        alpha, counts, gamma = zip(*_answer(pdf["message"].tolist(), order, discount))
+        return pd.DataFrame({"block": pdf["block"], "shard": pdf["shard"], "alpha": alpha, "counts": counts, "gamma": gamma})
 
-    return requests.groupBy("shard").applyInPandas(answer, "block long, shard int, answer binary")
+    return requests.groupBy("shard").applyInPandas(answer, "block long, shard int, alpha binary, counts binary, gamma binary")
 
 
-def _joined(table: DataFrame, answers: DataFrame, *columns: str) -> DataFrame:
-    lists = answers.groupBy("block").agg(F.collect_list(F.struct("shard", *columns)).alias("answers"))
+def _joined(table: DataFrame, answers: DataFrame, name: str, *columns: str) -> DataFrame:
+    lists = answers.groupBy("block").agg(F.collect_list(F.struct("shard", *columns)).alias(name))  # one for each shard
     return table.join(lists, "block", "left")
 
 
@@ -312,7 +342,7 @@ def _concat(parts: list[np.ndarray], kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
-_STATE = "block long, doc_ids array<long>, held array<boolean>, lengths binary, seq binary, counts binary, ids binary, lower binary, last binary"
+_STATE = "block long, doc_ids array<long>, held array<boolean>, lengths binary, seq binary, counts binary, ids binary"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -335,22 +365,39 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
     words = written(_word_exchange(table, shards), "lm-words")
     v = (words.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]) + (n_docs > 0)
     release(spark)
-    state_row = _rows(" ".join(x.split()[0] for x in _STATE.split(", ")), [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 6])
+    state_row = _rows(" ".join(x.split()[0] for x in _STATE.split(", ")), [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4])
     d1 = discounts[1]
 
     def first_state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                counts, ids = (_concat([unpack(x) for x in _by_shard(r["answers"], c)], np.uint32) for c in ("counts", "ids"))
-                t = _Tokens(unpack(r["lengths"]), np.array(r["held"], dtype=bool), unpack(r["seq"]).astype(np.int64), counts.astype(np.int64), ids.astype(np.int64), n_docs)
-                yield state_row([(r["block"], r["doc_ids"], r["held"], r["lengths"], r["seq"], pack(counts), pack(ids), pack(quantise(_words_alone(t.c))), pack(_u32(t.c)))])
+                counts, ids = (_concat([unpack(x) for x in _by_shard(r["words"], c)], np.uint32) for c in ("counts", "ids"))
+                counts = counts.astype(np.uint64)
+                yield state_row([(r["block"], r["doc_ids"], r["held"], r["lengths"], r["seq"], pack(counts), pack(ids))])
 
-    def _words_alone(c: np.ndarray) -> np.ndarray:
+    def words_alone(c: np.ndarray) -> np.ndarray:
         """Discounted frequency of a word, or what the discounts leave to the unknown one."""
         return np.where(c > 0, c - d1, d1 * v) / n_train if n_train else np.ones(len(c))
 
-    def tokens_of(r: dict) -> _Tokens:
-        return _Tokens(unpack(r["lengths"]), np.array(r["held"], dtype=bool), unpack(r["seq"]).astype(np.int64), unpack(r["counts"]).astype(np.int64), unpack(r["ids"]).astype(np.int64), n_docs)
+    def discount_of(k: int) -> float:
+        return discounts.get(k, discounts[max(discounts)])
+
+    def followed(r: dict, upto: int) -> tuple[_Tokens, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, probability of each under order ``upto``, count of its n-gram, whether only this block has it), from the answers of all orders so far."""
+        t = _Tokens(unpack(r["lengths"]), np.array(r["held"], dtype=bool), unpack(r["seq"]).astype(np.int64), *_split(unpack(r["counts"])), unpack(r["ids"]).astype(np.int64), n_docs)
+        p, count, only = words_alone(t.c), t.c, t.only
+        for k in range(2, upto + 1):
+            request = _Request(t, k, count, only, shards)
+            parts = [(x.get("alpha"), x["counts"], x.get("gamma")) for x in sorted(r[f"answers{k}"] or [], key=lambda x: x["shard"])]
+            own = request.own_answer(k, discount_of(k))
+            parts += [own] if own else []
+            alpha, known, gamma = ([unpack(x[i]) if x[i] is not None else None for x in parts] for i in (0, 1, 2))
+            n_grams, n_heads = len(request.grams), len(request.heads)
+            if any(x is None for x in alpha):  # only counts were asked for
+                alpha, gamma = [np.zeros(n_grams, np.uint16)], [np.zeros(n_heads, np.uint16)]
+            a, g, count, only = request.spread(_concat(alpha, np.uint16), _concat(known, np.uint64), _concat(gamma, np.uint16), t.n)
+            p = a + g * p
+        return t, p, count, only
 
     def asker(k: int):
         make = _rows("shard block message", [pa.int32(), pa.int64(), pa.binary()])
@@ -358,41 +405,19 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    t = tokens_of(r)
-                    request = _Request(t, k, t.context_counts(unpack(r["last"]).astype(np.int64)), shards)
-                    rows = [(s, r["block"], m) for s, m in request.payloads()]
+                    t, _, count, only = followed(r, k - 1)
+                    rows = [(s, r["block"], m) for s, m in _Request(t, k, count, only, shards).payloads()]
                     if rows:
                         yield make(rows)
 
         return ask
 
-    def met(r: dict, k: int) -> tuple[_Tokens, np.ndarray, np.ndarray]:
-        """(tokens, probability of each under order k, count of each n-gram)."""
-        t = tokens_of(r)
-        request = _Request(t, k, t.context_counts(unpack(r["last"]).astype(np.int64)), shards)
-        parts = [[unpack(y) for y in _parts(x)] for x in _by_shard(r["answers"], "answer")]
-        alpha, gamma, count = request.spread(*(_concat([p[i] for p in parts], np.uint16) for i in (0, 1, 2)), t.n)
-        return t, alpha + gamma * restored(unpack(r["lower"])), count
-
-    def next_state(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    _, p, count = met(r, k)
-                    yield state_row([(*(r[c] for c in ("block", "doc_ids", "held", "lengths", "seq", "counts", "ids")), pack(quantise(p)), pack(_u32(count)))])
-
-        return run
-
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                if order > 1:
-                    t, p, _ = met(r, order)
-                else:
-                    t = tokens_of(r)
-                    p = _words_alone(t.c)
+                t, p, _, _ = followed(r, order)
                 base = np.log10((t.c + 1.0) / (n_train + v + 1.0))
-                both = [np.add.reduceat(np.log10(x), t.bounds[:-1]) for x in (_words_alone(t.c), p)]
+                both = [np.add.reduceat(np.log10(x), t.bounds[:-1]) for x in (words_alone(t.c), p)]
                 top = np.maximum(*both)
                 total = top + np.log10(0.5 * 10 ** (both[0] - top) + 0.5 * 10 ** (both[1] - top))
                 yield pa.RecordBatch.from_arrays(
@@ -404,20 +429,18 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
                 )
 
     kept = table.select("block", "doc_ids", "held", "lengths", "seq")
-    state = written(_joined(kept, words, "counts", "ids").mapInArrow(first_state, _STATE), "lm-state")
+    state = written(_joined(kept, words, "words", "counts", "ids").mapInArrow(first_state, _STATE), "lm-state")
     dropped(table)
     dropped(words)
     release(spark)
+    answers: dict[int, DataFrame] = {}
     for k in range(2, order + 1):
-        discount = discounts.get(k, discounts[max(discounts)])
-        answers = written(_gram_exchange(state.mapInArrow(asker(k), "shard int, block long, message binary"), k, discount), "lm-answers")
-        release(spark)
-        joined = _joined(state, answers, "answer")
-        if k == order:
-            return joined.mapInArrow(scores, _SCORES)
-        new = written(joined.mapInArrow(next_state(k), _STATE), "lm-state")
-        dropped(state)
-        dropped(answers)
+        seen = state
+        for j, rows in answers.items():
+            seen = _joined(seen, rows, f"answers{j}", "counts")
+        answers[k] = written(_gram_exchange(seen.mapInArrow(asker(k), "shard int, block long, message binary"), k, discount_of(k)), "lm-answers")
         release(spark)
-        state = new
-    return state.mapInArrow(scores, _SCORES)
+    full = state
+    for j, rows in answers.items():
+        full = _joined(full, rows, f"answers{j}", "alpha", "counts", "gamma")
+    return full.mapInArrow(scores, _SCORES)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished phases."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner remove the shuffle files of finished phases before the next one writes its own."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
