@@ -34,8 +34,12 @@ _WORDS = 1 << 16
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(table rows of each word, a column for each table; where each text's words begin)."""
-    words = words_of(data, offsets, prefix_sizes=PREFIXES)
-    return np.stack([h >> np.uint64(64 - 17) for h in (words.hashes, *words.prefixes)], axis=1).astype(np.int64), words.bounds
+    rows, counts = [np.zeros((0, 1 + len(PREFIXES)), dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for i, j in slices(offsets, _SLICE):
+        words = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], prefix_sizes=PREFIXES)
+        rows.append(np.stack([(h >> np.uint64(64 - 17)).astype(np.int32) for h in (words.hashes, *words.prefixes)], axis=1))
+        counts.append(words.counts())
+    return np.concatenate(rows), np.cumsum(np.concatenate(counts))
 
 
 @dataclass
