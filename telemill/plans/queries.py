@@ -806,7 +806,7 @@ def _ledger(t) -> DataFrame:
     return t.events.where(F.col("seq") % 7 == 0).select("dedup_key", F.col("ts").alias("first_seen_at"))
 
 
-_DOUBLED = "dbl AS (SELECT seq, ts, dedup_key, false AS old FROM ev UNION ALL SELECT seq + 1000000000, ts, dedup_key, false FROM ev WHERE seq % 3 = 0 UNION ALL SELECT seq, ts, 'old:' || dedup_key, true FROM ev WHERE seq % 50 = 0)"
+_DOUBLED = "dbl AS (SELECT seq, ts, dedup_key, false AS old FROM ev UNION ALL SELECT seq + 1000000000, ts, dedup_key, false FROM ev WHERE seq % 3 = 0 UNION ALL SELECT seq, ts - INTERVAL 900 DAY, 'old:' || dedup_key, true FROM ev WHERE seq % 50 = 0)"
 
 
 @query("I1_ledger_dedup", with_("SELECT dedup_key, min(seq) AS seq FROM dbl WHERE NOT old AND dedup_key NOT IN (SELECT dedup_key FROM ev WHERE seq % 7 = 0) GROUP BY dedup_key", EV, ", ", _DOUBLED))
@@ -908,3 +908,143 @@ def _(t):
 @query("H4_conversation_runs", "SELECT conv_id, turn, sum(CASE WHEN p = role THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn, text)::BIGINT AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, text) AS p FROM conversations)")
 def _(t):
     return tl.turn_runs(t.raw("conversations"), "conv_id", "role", ("turn", "text")).select("conv_id", "turn", "run")
+
+
+# --- sources and name mapping: export requests are built from the events, then read ---
+
+
+def _attribute(key: str, kind: str, value: str) -> str:
+    return f"named_struct('key', '{key}', 'value', named_struct('{kind}', {value}))"
+
+
+def log_bodies(t: Tables) -> DataFrame:
+    """An export request for each session and day, with all of its log events as records."""
+    rows = t.events.where(F.col("source") == "otel_log").withColumn("name", F.expr("CASE kind WHEN 'llm.request' THEN 'api_request' WHEN 'llm.error' THEN 'api_error' WHEN 'tool.decision' THEN 'tool_decision' WHEN 'tool.result' THEN 'tool_result' WHEN 'hook.execution_end' THEN 'hook_execution_complete' WHEN 'permission.mode_changed' THEN 'permission_mode_changed' ELSE event_name END"))
+    strings = ["session.id:session_id", "prompt.id:prompt_id", "model:model", "tool_name:tool_name", "tool_use_id:tool_use_id", "decision:decision", "query_source:query_source", "request_id:request_id", "error_type:error_type", "tool_source:tool_source"]
+    whole = ["event.sequence:vendor_seq", "input_tokens:input_tokens", "output_tokens:output_tokens", "cache_read_tokens:cache_read_tokens", "cache_creation_tokens:cache_creation_tokens", "duration_ms:duration_ms"]
+    parts = [f"CASE WHEN {c.split(':')[1]} IS NOT NULL THEN to_json({_attribute(c.split(':')[0], 'stringValue', c.split(':')[1])}) END" for c in strings]
+    parts += [f"CASE WHEN {c.split(':')[1]} IS NOT NULL THEN to_json({_attribute(c.split(':')[0], 'intValue', 'cast(' + c.split(':')[1] + ' as string)')}) END" for c in whole]
+    parts.append(f"CASE WHEN cost_usd IS NOT NULL THEN to_json({_attribute('cost_usd', 'doubleValue', 'cast(cost_usd as double)')}) END")
+    parts.append(f"CASE WHEN decision_source IS NOT NULL THEN to_json(named_struct('key', CASE WHEN kind = 'tool.decision' THEN 'source' ELSE 'decision_source' END, 'value', named_struct('stringValue', decision_source))) END")
+    parts.append(f"CASE WHEN success IS NOT NULL THEN to_json({_attribute('success', 'boolValue', 'success')}) END")
+    parts.append(f"CASE WHEN kind = 'permission.mode_changed' THEN to_json({_attribute('to_mode', 'stringValue', 'permission_mode')}) END")
+    record = F.concat(F.lit('{"timeUnixNano":"'), F.unix_micros("ts").cast("string"), F.lit('000","eventName":"claude_code.'), "name", F.lit('","attributes":['), F.array_join(F.array_compact(F.array(*map(F.expr, parts))), ","), F.lit("]}"))
+    grouped = rows.groupBy("session_id", "vendor", F.to_date("ts").alias("day")).agg(F.array_join(F.array_sort(F.collect_list(record)), ",").alias("records"))
+    service = F.when(F.col("vendor") == "claude_code", "claude-code").otherwise(F.col("vendor"))
+    return grouped.select(F.concat(F.lit('{"resourceLogs":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"'), service, F.lit('"}},{"key":"service.version","value":{"stringValue":"0.9"}}]},"scopeLogs":[{"logRecords":['), "records", F.lit("]}]}]}")).alias("body"))
+
+
+def _received():
+    return F.lit(NOW).cast("timestamp")
+
+
+_LOGS = "FROM ev WHERE source = 'otel_log'"
+
+
+@query("A1_log_records", with_(f"SELECT session_id, epoch_us(ts) AS ts, vendor, vendor_seq, prompt_id, tool_name, tool_use_id, model, input_tokens, cost_usd::DOUBLE AS cost_usd {_LOGS}", EV))
+def _(t):
+    from telemill.sources import otlp
+
+    return otlp.logs(log_bodies(t), _received())[0].select("session_id", "ts", "vendor", "vendor_seq", "prompt_id", "tool_name", "tool_use_id", "model", "input_tokens", "cost_usd")
+
+
+@query("C12_log_mapping", with_(f"SELECT kind, count(*) AS n, count(model) AS models, count(cost_source) AS cost_sources, count(success) AS successes, count(*) FILTER (WHERE success) AS ok, sum(duration_ms)::BIGINT AS ms, count(decision) AS decisions, count(decision_source) AS decision_sources, count(error_type) AS errors, count(query_source) AS query_sources, count(permission_mode) AS modes FROM (SELECT * REPLACE (CASE WHEN kind IN ('hook.execution_end') THEN NULL ELSE success END AS success, CASE WHEN kind = 'hook.execution_end' THEN NULL ELSE duration_ms END AS duration_ms) {_LOGS}) GROUP BY kind", EV))
+def _(t):
+    from telemill.sources import otlp
+
+    rows = otlp.logs(log_bodies(t), _received())[0]
+    n = lambda c, a: F.count(c).alias(a)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), n("model", "models"), n("cost_source", "cost_sources"), n("success", "successes"), F.count_if("success").alias("ok"), F.sum("duration_ms").alias("ms"), n("decision", "decisions"), n("decision_source", "decision_sources"), n("error_type", "errors"), n("query_source", "query_sources"), n("permission_mode", "modes"))
+
+
+@query("C18_log_keys", with_(f"SELECT count(*) AS n, count(*) AS keys {_LOGS}", EV))
+def _(t):
+    from telemill.sources import otlp
+
+    rows = otlp.logs(log_bodies(t), _received())[0]
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("dedup_key").alias("keys"))
+
+
+def hook_bodies(t: Tables) -> DataFrame:
+    """A body for each session and day: an array of the day's hook payloads, or one payload alone."""
+    rows = t.events.where(F.col("source") == "hook").withColumn("name", F.expr("CASE kind WHEN 'session.start' THEN 'SessionStart' WHEN 'session.end' THEN 'SessionEnd' WHEN 'turn.start' THEN 'UserPromptSubmit' WHEN 'turn.end' THEN CASE WHEN success THEN 'Stop' ELSE 'StopFailure' END WHEN 'tool.pre' THEN 'PreToolUse' WHEN 'tool.result' THEN CASE WHEN success THEN 'PostToolUse' ELSE 'PostToolUseFailure' END WHEN 'subagent.start' THEN 'SubagentStart' ELSE 'SubagentStop' END"))
+    one = F.to_json(F.struct("session_id", F.col("name").alias("hook_event_name"), "prompt_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "permission_mode", "agent_id", "agent_type", "parent_agent_id", "tool_name", "tool_use_id", "success", "error_type", F.when(F.col("file_path").isNotNull(), F.struct("file_path")).alias("tool_input")))
+    grouped = rows.groupBy("session_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    return grouped.select(F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(F.concat(F.lit("["), F.array_join("all", ","), F.lit("]"))).alias("body"))
+
+
+@query("A6_hook_payloads", with_("SELECT session_id, epoch_us(ts) AS ts, kind, prompt_id, permission_mode, agent_id, agent_type, parent_agent_id, tool_name, tool_use_id, success, CASE WHEN kind = 'turn.end' OR kind = 'tool.result' THEN error_type END AS error_type, file_path FROM ev WHERE source = 'hook'", EV))
+def _(t):
+    from telemill.sources import hooks
+
+    return hooks.hooks(hook_bodies(t), _received())[0].select("session_id", "ts", "kind", "prompt_id", "permission_mode", "agent_id", "agent_type", "parent_agent_id", "tool_name", "tool_use_id", "success", "error_type", "file_path")
+
+
+@query("C13_hook_mapping", with_("SELECT kind, count(*) AS n, count(success) AS successes, count(file_path) AS paths FROM ev WHERE source = 'hook' GROUP BY kind", EV))
+def _(t):
+    from telemill.sources import hooks
+
+    return hooks.hooks(hook_bodies(t), _received())[0].groupBy("kind").agg(F.count("*").alias("n"), F.count("success").alias("successes"), F.count("file_path").alias("paths"))
+
+
+@query("A11_rejected_bodies", with_("SELECT 'invalid hook body' AS reason, sum(n)::BIGINT AS points FROM (SELECT count(*) AS n FROM ev WHERE source = 'hook' GROUP BY session_id, ts::DATE)", EV))
+def _(t):
+    """Every body with its sessions' ids emptied: whole bodies are rejected, with the number of payloads lost."""
+    from telemill.sources import hooks, otlp
+
+    bodies = hook_bodies(t).select(F.regexp_replace("body", '"session_id":"[^"]*"', '"session_id":""').alias("body"))
+    return otlp.rejection_summary(hooks.hooks(bodies, _received())[1]).drop("example")
+
+
+def metric_bodies(t: Tables) -> DataFrame:
+    """An export request for each user and day: the delta series as a sum, the gauge as a gauge and a histogram, a summary that nothing reads."""
+    raw = t.raw("events").withColumn("nanos", F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("000")))
+    p = lambda value: F.concat(F.lit('{"timeUnixNano":"'), "nanos", F.lit('",'), value, F.lit(',"attributes":[{"key":"type","value":{"stringValue":"input"}},{"key":"session.id","value":{"stringValue":"s'), F.col("user_id").cast("string"), F.lit('"}}]}'))
+    points = raw.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.array_join(F.array_sort(F.collect_list(p(F.concat(F.lit('"asDouble":'), F.col("value").cast("string"))))), ",").alias("d"), F.array_join(F.array_sort(F.collect_list(p(F.concat(F.lit('"asInt":"'), F.col("event_id").cast("string"), F.lit('"'))))), ",").alias("i"),
+        F.array_join(F.array_sort(F.collect_list(p(F.concat(F.lit('"count":"2","sum":'), F.col("value").cast("string"))))), ",").alias("h"), F.array_join(F.array_sort(F.collect_list(p(F.lit('"flags":1')))), ",").alias("e"),
+    )
+    parts = [
+        '{"resourceMetrics":[{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"claude-code"}}]},"scopeMetrics":[{"metrics":[{"name":"claude_code.token.usage","sum":{"aggregationTemporality":1,"dataPoints":[', F.col("d"),
+        ']}},{"name":"depth","gauge":{"dataPoints":[', F.col("i"), ']}},{"name":"latency","histogram":{"aggregationTemporality":2,"dataPoints":[', F.col("h"), ']}},{"name":"empty","gauge":{"dataPoints":[', F.col("e"), ']}},{"name":"quantiles","summary":{"dataPoints":[{"timeUnixNano":"1"}]}}]}]}]}',
+    ]
+    return points.select(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("body"))
+
+
+@query("A2_metric_points", "SELECT name, temporality, count(*) AS n, round(sum(v), 4) AS total, count(DISTINCT user_id) AS sessions FROM (SELECT 'claude_code.token.usage' AS name, 'delta' AS temporality, value AS v, user_id FROM events UNION ALL SELECT 'depth', 'gauge', event_id, user_id FROM events UNION ALL SELECT 'latency_sum', 'cumulative', value, user_id FROM events UNION ALL SELECT 'latency_count', 'cumulative', 2, user_id FROM events) GROUP BY ALL")
+def _(t):
+    from telemill.sources import otlp
+
+    rows = otlp.metrics(metric_bodies(t), _received())[0]
+    return rows.groupBy("name", "temporality").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query("A12_metric_rejects", "SELECT 'point without a value' AS reason, count(*) AS points FROM events UNION ALL SELECT 'unsupported aggregation', count(DISTINCT (user_id, ts::DATE)) FROM events")
+def _(t):
+    from telemill.sources import otlp
+
+    return otlp.rejection_summary(otlp.metrics(metric_bodies(t), _received())[1]).drop("example")
+
+
+@query("C11_clock_clamp", with_("SELECT count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-21') AS skewed, count(*) AS n FROM ev", EV))
+def _(t):
+    from telemill.functions import mapping
+
+    ts, odd = mapping.clamped(F.col("ts"), _received(), 10)
+    return t.events.select(ts.alias("ts"), odd.alias("odd")).agg(F.count_if("odd").alias("skewed"), F.count("*").alias("n"))
+
+
+@query("C23_project_of_path", with_("SELECT a_cwd AS cwd, a_project AS project, count(*) AS n FROM ev WHERE a_cwd IS NOT NULL GROUP BY ALL", EV))
+def _(t):
+    from telemill.functions.attributes import attr, base_name
+
+    return t.events.select(attr("attrs", "cwd").alias("cwd")).where(F.col("cwd").isNotNull()).groupBy("cwd", base_name(F.col("cwd")).alias("project")).agg(F.count("*").alias("n"))
+
+
+@query("C22_canonical_json", with_("SELECT count(DISTINCT (user_id, k)) AS n FROM ev", EV))
+def _(t):
+    from telemill.functions.attributes import canonical_json
+
+    raw = t.raw("events").select(F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(',"a":{"z":1,"user": "'), F.col("user_id").cast("string"), F.lit('"}}')).alias("x"), F.concat(F.lit('{"a":{"user":"'), F.col("user_id").cast("string"), F.lit('", "z": 1}, "k":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("y"))
+    both = raw.select(canonical_json(F.col("x")).alias("x"), canonical_json(F.col("y")).alias("y")).where(F.col("x") == F.col("y"))
+    return both.agg(F.count_distinct("x").alias("n"))
