@@ -37,47 +37,22 @@ def encode(values: np.ndarray) -> bytes:
 
 
 class Sequence:
-    """A coded sequence in a memory map."""
+    """A coded sequence in a memory map, decoded once by whoever searches it."""
 
     def __init__(self, raw: np.ndarray):
-        self.n, self.low, size, packed = (int(x) for x in np.frombuffer(raw[:32].tobytes(), dtype=np.int64))
-        at = 32
-        self.lows = [raw[at + k * self.n : at + (k + 1) * self.n] for k in range(self.low // 8)]
-        at += self.n * (self.low // 8)
+        self.n, low, size, packed = (int(x) for x in np.frombuffer(raw[:32].tobytes(), dtype=np.int64))
+        at = 32 + self.n * (low // 8)
         self.end = at + packed
-        ones = np.unpackbits(raw[at : self.end], count=size)
-        # elements before each high part, from the zeros between them
-        zeros = np.flatnonzero(ones == 0)
-        self.before = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        self.values = (np.flatnonzero(np.unpackbits(raw[at : self.end], count=size)) - np.arange(self.n)) << low
+        for k in range(low // 8):
+            self.values |= raw[32 + k * self.n : 32 + (k + 1) * self.n].astype(np.int64) << (8 * k)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        out = (np.searchsorted(self.before, i, side="right") - 1).astype(np.int64) << self.low
-        for k, low in enumerate(self.lows):
-            out |= low[i].astype(np.int64) << (8 * k)
-        return out
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), dtype=np.int64)
-        for k, low in enumerate(self.lows):
-            out |= low[i].astype(np.int64) << (8 * k)
-        return out
+        return self.values[i]
 
     def successor(self, x: np.ndarray) -> np.ndarray:
-        """Where the first element of at least x stands (n: nowhere): the bucket of its high part, then a search among the low parts there."""
-        high = np.minimum(x >> self.low, len(self.before) - 1)
-        over = (x >> self.low) > high
-        lo = self.before[high]
-        hi = np.where(high + 1 < len(self.before), self.before[np.minimum(high + 1, len(self.before) - 1)], self.n)
-        want = x & ((1 << self.low) - 1)
-        while True:
-            some = np.flatnonzero(lo < hi)
-            if not len(some):
-                break
-            mid = (lo[some] + hi[some]) >> 1
-            less = self._low(mid) < want[some]
-            lo[some] = np.where(less, mid + 1, lo[some])
-            hi[some] = np.where(less, hi[some], mid)
-        return np.where(over, self.n, lo)
+        """Where the first element of at least x stands (n: nowhere)."""
+        return np.searchsorted(self.values, x)
 
 
 class Trie:

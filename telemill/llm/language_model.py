@@ -33,7 +33,7 @@ from telemill.llm.text import NONSPACE, mix, text_buffers, words_of
 ORDER = 3
 DISCOUNTS = {1: 0.5, 2: 0.75, 3: 0.5}  # the last holds for higher orders
 BLOCK_BYTES = 8 << 20  # of text in a block
-SHARD_NGRAMS = 1_500_000  # that a shard is meant to hold
+SHARD_NGRAMS = 800_000  # that a shard is meant to hold
 HOT = 200_000  # occurrences of a context that one shard takes
 _START, _END, _FIRST = 0, 1, 2  # word ids
 
@@ -140,8 +140,13 @@ class _Tokens:
         self.n, self.train_docs = int(self.bounds[-1]), train_docs
         word = np.ones(self.n, dtype=bool)
         word[self.bounds[1:] - 1] = False
-        self.w = np.full(self.n, _END, dtype=np.int64)
-        self.w[word] = ids[seq]
+        # words by rank, in the order of their ids; the end is the first of them
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), dtype=np.int32)
+        place[order] = np.arange(1, len(ids) + 1)
+        self.ids = np.concatenate([[_END], ids[order]]).astype(np.int64)
+        self.rank = np.zeros(self.n, dtype=np.int32)
+        self.rank[word] = place[seq]
         self.c = np.full(self.n, train_docs, dtype=np.int64)
         self.c[word] = counts[seq]
         self.only = np.zeros(self.n, dtype=bool)
@@ -149,13 +154,6 @@ class _Tokens:
         self.train = np.repeat(~held, n)
         self.place = np.arange(self.n) - np.repeat(self.bounds[:-1], n)
 
-    def before(self, k: int) -> np.ndarray:
-        """The word k places back, the start beyond the text's first."""
-        out = np.full(self.n, _START, dtype=np.int64)
-        some = np.flatnonzero(self.place >= k)
-        out[some] = self.w[some - k]
-        return out
-
     def of_contexts(self, last: np.ndarray, first) -> np.ndarray:
         """What ``last`` has for the n-gram that ends before each token; ``first`` at a text's start."""
         out = np.full(self.n, first, dtype=last.dtype)
@@ -171,26 +169,32 @@ class _Request:
     itself, in the same way, and sends nothing.
     """
 
-    def __init__(self, tokens: _Tokens, order: int, counts: np.ndarray, only: np.ndarray, shards: int):
-        """counts, only: of the n-grams of the order below, by the token where they end."""
+    def __init__(self, tokens: _Tokens, order: int, below: _Request | None, counts: np.ndarray, only: np.ndarray, shards: int):
+        """below: the request of the order below, if any; counts, only: of its n-grams, by the token where they end."""
         context_counts = tokens.of_contexts(counts, tokens.train_docs)
+        inner = np.flatnonzero(tokens.place >= 1)
+        ctx = np.zeros(tokens.n, dtype=np.int32)  # 0: the start; then words, or n-grams below, in the order of their ids
+        if below is None:
+            ctx[inner] = tokens.rank[inner - 1]
+            contexts = np.concatenate([[[_START]], tokens.ids[1:, None]])
+        else:
+            ctx[inner] = below.full[inner - 1] + 1
+            contexts = np.concatenate([np.full((1, order - 1), _START), below.columns])
         seen = np.flatnonzero(context_counts > 0)  # of others nothing can be known
-        columns = [tokens.before(k)[seen] for k in range(order - 1, 0, -1)]
-        key = columns[0].astype(np.uint64)
-        for c in columns[1:-1]:
-            _, key = np.unique(key, return_inverse=True)
-            key = key.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64)
-        if len(columns) > 1:
-            if len(columns) > 2:
-                _, key = np.unique(key, return_inverse=True)
-            key = key.astype(np.uint64) << np.uint64(32) | columns[-1].astype(np.uint64)
-        _, first, ctx = np.unique(key, return_index=True, return_inverse=True)
-        contexts = np.stack([c[first] for c in columns], axis=1)
-        cc = context_counts[seen][first]
-        grams, gram_of = np.unique(ctx.astype(np.uint64) << np.uint64(32) | tokens.w[seen].astype(np.uint64), return_inverse=True)
-        gram_ctx, gram_w = (grams >> np.uint64(32)).astype(np.int64), (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        used = np.zeros(len(contexts), dtype=bool)
+        used[ctx[seen]] = True
+        contexts = contexts[used]
+        ctx = (np.cumsum(used, dtype=np.int32) - 1)[ctx[seen]]
+        cc, alone = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts), dtype=bool)
+        cc[ctx] = context_counts[seen]
+        alone[ctx] = tokens.of_contexts(only, False)[seen]
+        grams, gram_of = np.unique(ctx.astype(np.int64) << 32 | tokens.rank[seen], return_inverse=True)
+        gram_of = gram_of.astype(np.int32)
+        gram_ctx, gram_w = (grams >> 32).astype(np.int32), tokens.ids[grams & 0xFFFFFFFF]
+        self.full = np.full(tokens.n, -1, dtype=np.int32)
+        self.full[seen] = gram_of
+        self.columns = np.concatenate([contexts[gram_ctx], gram_w[:, None]], axis=1)
         trained = np.bincount(gram_of[tokens.train[seen]], minlength=len(grams))
-        alone = tokens.of_contexts(only, False)[seen][first]
         parts = np.where(alone, 1, -(-cc // HOT))
         head_start = np.concatenate([[0], np.cumsum(parts)])
         head_ctx = np.repeat(np.arange(len(cc)), parts)
@@ -198,18 +202,18 @@ class _Request:
         h = np.zeros(len(cc), dtype=np.uint64)
         for j in range(contexts.shape[1]):
             h = mix(h * np.uint64(31) + contexts[:, j].astype(np.uint64) + np.uint64(1))
-        head_shard = (mix(h[head_ctx] + head_part.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        head_shard = (mix(h[head_ctx] + head_part.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
         head_shard[alone[head_ctx]] = shards
         gram_head = head_start[gram_ctx] + (mix(gram_w.astype(np.uint64)) % parts[gram_ctx].astype(np.uint64)).astype(np.int64)
         self.heads = np.argsort(head_shard, kind="stable")
-        rank = np.empty(len(self.heads), dtype=np.int64)
+        rank = np.empty(len(self.heads), dtype=np.int32)
         rank[self.heads] = np.arange(len(self.heads))
         self.grams = np.argsort(rank[gram_head], kind="stable")
         self.head_cut = np.searchsorted(head_shard[self.heads], np.arange(shards + 2))
-        children = np.bincount(rank[gram_head], minlength=len(self.heads))
-        self.gram_cut = np.concatenate([[0], np.cumsum(children)])[self.head_cut]
+        self.children = np.bincount(rank[gram_head], minlength=len(self.heads))
+        self.gram_cut = np.concatenate([[0], np.cumsum(self.children)])[self.head_cut]
         self.seen, self.gram_of, self.ctx, self.head_ctx, self.n_ctx = seen, gram_of, ctx, head_ctx, len(cc)
-        self.contexts, self.cc, self.children = contexts[head_ctx[self.heads]], cc[head_ctx[self.heads]], children
+        self.contexts, self.cc = contexts[head_ctx[self.heads]], cc[head_ctx[self.heads]]
         self.w, self.counts = gram_w[self.grams], trained[self.grams]
 
     def payloads(self) -> Iterator[tuple[int, bytes]]:
@@ -329,6 +333,12 @@ def _gram_exchange(requests: DataFrame, order: int, discount: float) -> DataFram
     return requests.groupBy("shard").applyInPandas(answer, "block long, shard int, alpha binary, counts binary, gamma binary")
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch, one in memory at a time."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _joined(table: DataFrame, answers: DataFrame, name: str, *columns: str) -> DataFrame:
     lists = answers.groupBy("block").agg(F.collect_list(F.struct("shard", *columns)).alias(name))  # one for each shard
     return table.join(lists, "block", "left")
@@ -382,12 +392,12 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
     def discount_of(k: int) -> float:
         return discounts.get(k, discounts[max(discounts)])
 
-    def followed(r: dict, upto: int) -> tuple[_Tokens, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, probability of each under order ``upto``, count of its n-gram, whether only this block has it), from the answers of all orders so far."""
+    def followed(r: dict, upto: int) -> tuple[_Tokens, np.ndarray, np.ndarray, np.ndarray, _Request | None]:
+        """(tokens, probability of each under order ``upto``, count of its n-gram, whether only this block has it, the last request), from the answers of all orders so far."""
         t = _Tokens(unpack(r["lengths"]), np.array(r["held"], dtype=bool), unpack(r["seq"]).astype(np.int64), *_split(unpack(r["counts"])), unpack(r["ids"]).astype(np.int64), n_docs)
-        p, count, only = words_alone(t.c), t.c, t.only
+        p, count, only, request = words_alone(t.c), t.c, t.only, None
         for k in range(2, upto + 1):
-            request = _Request(t, k, count, only, shards)
+            request = _Request(t, k, request, count, only, shards)
             parts = [(x.get("alpha"), x["counts"], x.get("gamma")) for x in sorted(r[f"answers{k}"] or [], key=lambda x: x["shard"])]
             own = request.own_answer(k, discount_of(k))
             parts += [own] if own else []
@@ -397,16 +407,16 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
                 alpha, gamma = [np.zeros(n_grams, np.uint16)], [np.zeros(n_heads, np.uint16)]
             a, g, count, only = request.spread(_concat(alpha, np.uint16), _concat(known, np.uint64), _concat(gamma, np.uint16), t.n)
             p = a + g * p
-        return t, p, count, only
+        return t, p, count, only, request
 
     def asker(k: int):
         make = _rows("shard block message", [pa.int32(), pa.int64(), pa.binary()])
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    t, _, count, only = followed(r, k - 1)
-                    rows = [(s, r["block"], m) for s, m in _Request(t, k, count, only, shards).payloads()]
+                for r in _one_by_one(batch):
+                    t, _, count, only, below = followed(r, k - 1)
+                    rows = [(s, r["block"], m) for s, m in _Request(t, k, below, count, only, shards).payloads()]
                     if rows:
                         yield make(rows)
 
@@ -414,8 +424,8 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                t, p, _, _ = followed(r, order)
+            for r in _one_by_one(batch):
+                t, p, *_ = followed(r, order)
                 base = np.log10((t.c + 1.0) / (n_train + v + 1.0))
                 both = [np.add.reduceat(np.log10(x), t.bounds[:-1]) for x in (words_alone(t.c), p)]
                 top = np.maximum(*both)
