@@ -9,10 +9,12 @@ bounded sample of labelled rows; it then scores whole texts inside the tasks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,17 +203,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
         keep |= (F.col("toxic") == label) & (F.col("h") < F.lit(min(1.0, 2.0 * rows / count + 50 / count)))
     h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.withColumn("h", h).where(keep).withColumn("k", rank).where(F.col("k") <= rows).select("doc_id", "toxic")
-    got = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
-    found = sorted(got.collect(), key=lambda r: (r.doc_id, r.text))[: 4 * rows]
-    if not found:
-        return fit([], np.zeros(0), share)
-    y = np.array([r.toxic for r in found], dtype=np.float32)
-    out = np.random.default_rng(2).random(len(found)) < calibration
-    net = fit([r.text for r, o in zip(found, out) if not o], y[~out], share)
-    if out.any():
-        scores = net.scores(*text_buffers(pa.array([r.text for r, o in zip(found, out) if o], pa.string())))
-        net.thresholds = calibrated([r.lang for r, o in zip(found, out) if o], scores, y[out])
-    return net
+    found = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
+
+    def fitted(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The bounded sample in one task, which leaves the driver free."""
+        every = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "lang": [], "toxic": []}), *pages]).sort_values(["doc_id", "text"])[: 4 * rows]
+        y = every["toxic"].to_numpy(dtype=np.float32)
+        out = np.random.default_rng(2).random(len(every)) < calibration
+        texts, langs = every["text"].tolist(), every["lang"].tolist()
+        net = fit([t for t, o in zip(texts, out) if not o], y[~out], share)
+        if out.any():
+            scores = net.scores(*text_buffers(pa.array([t for t, o in zip(texts, out) if o], pa.string())))
+            net.thresholds = calibrated([x for x, o in zip(langs, out) if o], scores, y[out])
+        yield pd.DataFrame({"net": [pickle.dumps(net)]})
+
+    made = found.repartition(1).mapInPandas(fitted, "net binary").first()
+    return pickle.loads(made.net) if made else fit([], np.zeros(0), share)
 
 
 def calibrated(langs: list[str | None], scores: np.ndarray, labels: np.ndarray, least: int = 20) -> dict[str, float]:
