@@ -32,7 +32,7 @@ from telemill.llm.text import NONSPACE, mix, text_buffers, words_of
 
 ORDER = 3
 DISCOUNTS = {1: 0.5, 2: 0.75, 3: 0.5}  # the last holds for higher orders
-BLOCK_BYTES = 8 << 20  # of text in a block
+BLOCK_BYTES = 4 << 20  # of text in a block
 SHARD_NGRAMS = 800_000  # that a shard is meant to hold
 HOT = 200_000  # occurrences of a context that one shard takes
 _START, _END, _FIRST = 0, 1, 2  # word ids
@@ -228,6 +228,11 @@ class _Request:
         lead = np.diff(columns[:, 0], prepend=0)
         return _bundle([pack(_u32(lead)), *(pack(_u32(columns[:, j])) for j in range(1, columns.shape[1])), pack(_u32(self.cc[a:b])), pack(_u32(self.children[a:b])), pack(_gaps(self.w[x:y], self.children[a:b])), pack(_u32(self.counts[x:y]))])
 
+    def forget(self) -> None:
+        """Keep only what the order above needs."""
+        for name in [x for x in vars(self) if x not in ("full", "columns")]:
+            delattr(self, name)
+
     def own_answer(self, order: int, discount: float) -> tuple[bytes, bytes, bytes] | None:
         """The answer to what no shard was asked."""
         s = len(self.head_cut) - 2
@@ -401,12 +406,14 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
             parts = [(x.get("alpha"), x["counts"], x.get("gamma")) for x in sorted(r[f"answers{k}"] or [], key=lambda x: x["shard"])]
             own = request.own_answer(k, discount_of(k))
             parts += [own] if own else []
+            del own
             alpha, known, gamma = ([unpack(x[i]) if x[i] is not None else None for x in parts] for i in (0, 1, 2))
             n_grams, n_heads = len(request.grams), len(request.heads)
             if any(x is None for x in alpha):  # only counts were asked for
                 alpha, gamma = [np.zeros(n_grams, np.uint16)], [np.zeros(n_heads, np.uint16)]
             a, g, count, only = request.spread(_concat(alpha, np.uint16), _concat(known, np.uint64), _concat(gamma, np.uint16), t.n)
             p = a + g * p
+            request.forget()
         return t, p, count, only, request
 
     def asker(k: int):
