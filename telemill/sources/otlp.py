@@ -14,6 +14,7 @@ from telemill import schemas
 from telemill.functions import mapping as mp
 from telemill.functions.attributes import clean_json, variant_number, variant_string
 
+DEPTH = 2  # of lists within attribute values that are unwrapped; deeper ones keep their wrappers
 _KV = "array<struct<key string, value variant>>"
 LOGS = f"resourceLogs array<struct<resource struct<attributes {_KV}>, scopeLogs array<struct<scope struct<attributes {_KV}>, logRecords array<struct<timeUnixNano string, observedTimeUnixNano string, eventName string, body variant, attributes {_KV}>>>>>>"
 _NUMBER = f"array<struct<timeUnixNano string, asDouble double, asInt string, attributes {_KV}>>"
@@ -34,18 +35,18 @@ def stream_bodies(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(clean_json(F.col("value")).alias("body"))
 
 
-def value_of(v: Column, depth: int = 3) -> Column:
+def value_of(v: Column, depth: int = DEPTH) -> Column:
     """A typed attribute value without its wrapper; arrays and lists of pairs keep their structure down to ``depth``."""
     get = lambda name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
     flat = [get("stringValue"), get("boolValue"), F.try_parse_json(get("intValue", "string")), get("doubleValue"), get("bytesValue")]
     if depth:
         pairs = F.try_variant_get(v, "$.kvlistValue.values", _KV)
         items = F.try_variant_get(v, "$.arrayValue.values", "array<variant>")
-        flat += [F.to_variant_object(attribute_map(pairs, depth - 1)), F.to_variant_object(F.transform(items, lambda x: value_of(x, depth - 1)))]
+        flat += [F.when(pairs.isNotNull(), F.to_variant_object(attribute_map(pairs, depth - 1))), F.to_variant_object(F.transform(items, lambda x: value_of(x, depth - 1)))]
     return F.coalesce(*flat)
 
 
-def attribute_map(pairs: Column, depth: int = 3) -> Column:
+def attribute_map(pairs: Column, depth: int = DEPTH) -> Column:
     """Map of an attribute list, names in order; of equal names the last counts."""
     entries = F.transform(F.coalesce(pairs, F.array().cast(_KV)), lambda e: F.struct(e["key"].alias("key"), value_of(e["value"], depth).alias("value")))
     return F.map_from_entries(entries)
