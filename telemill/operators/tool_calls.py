@@ -112,4 +112,4 @@ def fold_tool_calls(events: DataFrame, keyless: bool = True, open_at_the_time: b
         F.coalesce(strict, F.min("ts")).alias("started_at"), latest(F.col("ts"), decided, kind == "tool.decision").alias("decided_at"), F.max(F.when(kind == "tool.result", F.col("ts"))).alias("ended_at"),
         F.when(logged & hooked, "exact").when(logged & guessed, "heuristic").when(logged, "otel_only").otherwise("hook_only").alias("correlation"), F.count("*").alias("event_count"),
     )
-    return one.withColumn("wait_ms", F.floor((F.unix_micros("decided_at") - F.unix_micros("started_at")) / 1000).cast("int"))
+    return one.withColumn("wait_ms", F.floor((F.unix_micros("decided_at") - F.unix_micros("started_at")) / 1000).cast("long"))

@@ -60,7 +60,7 @@ tc AS (SELECT session_id, id, arg_min(prompt_id, row(ts, seq)) FILTER (WHERE pro
     {pick("success")} AS success, {pick("error_type")} AS error_type, {pick("file_path")} AS file_path, {pick("a_in")} AS input_size_bytes, {pick("a_out")} AS result_size_bytes,
     coalesce(min(ts) FILTER (WHERE kind IN ('tool.pre', 'tool.decision')), min(ts)) AS started_at, {pick("ts", "dr", "kind = 'tool.decision'")} AS decided_at, max(ts) FILTER (WHERE kind = 'tool.result') AS ended_at,
     CASE WHEN bool_or(source = 'otel_log') AND bool_or(source = 'hook') THEN 'exact' WHEN bool_or(source = 'otel_log') THEN 'otel_only' ELSE 'hook_only' END AS correlation, count(*) AS event_count FROM tc0 GROUP BY session_id, id),
-tcw AS (SELECT *, floor((epoch_us(decided_at) - epoch_us(started_at)) / 1000)::INTEGER AS wait_ms FROM tc)"""
+tcw AS (SELECT *, floor((epoch_us(decided_at) - epoch_us(started_at)) / 1000)::BIGINT AS wait_ms FROM tc)"""
 
 SE = f""",
 cm AS (SELECT session_id, coalesce(query_source, '') AS qs, coalesce(sum(cost_usd), 0)::DECIMAL(16, 8) AS cost FROM ev WHERE kind = 'llm.request' GROUP BY ALL),
