@@ -178,13 +178,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> D
     release(spark)
     roots, tried, links = None, None, None
     for _ in range(2):
-        live = _open(_labelled(rows, roots))
+        live = written(_open(_labelled(rows, roots)), "open-buckets")
         got = written(_star(live, texts, tried, least), "star-pairs")
         tried = got if tried is None else tried.unionByName(got)
         links = tried.where(F.col("similarity") >= least).select("a", "b")
         roots = components(links)
         release(spark)
-    live = _open(_labelled(rows, roots))
+    live = written(_open(_labelled(rows, roots)), "open-buckets")
     # buckets that hold the same texts are compared once, and buckets of two texts that were held against each other not again
     sets = live.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
     sets = sets.groupBy("sum", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
@@ -217,7 +217,7 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class: the one of the least doc_id (of rows equal in that, the least text)."""
     found = classes(docs, least)
-    rows = docs.select("doc_id", _node()).join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    rows = written(docs.select("doc_id", _node()).join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "class-rows")
     kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of"), F.count("*").alias("n")).select("of.doc_id", "of.node")
     kept = written(kept, "kept")
     # a row that is repeated whole would stay more than once
