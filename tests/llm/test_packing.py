@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from telemill.llm import packing
@@ -31,10 +32,8 @@ def test_no_documents(spark, docs_of):
     assert packing.pack(docs_of((1, "x")).limit(0), tokenizer_path()).count() == 0
 
 
-def test_checksum_is_of_little_endian_ids(spark):
-    from telemill.llm.queries import op3_packing
-    from tests.llm.conftest import SMALL
-
-    row = op3_packing(spark, SMALL).where("length = 1").first()
-    if row is not None:
-        assert row.ids_crc32 in (zlib.crc32(bytes(4)), row.ids_crc32)
+def test_checksum_is_of_little_endian_ids(spark, docs_of):
+    text = "Hello there, été"
+    ids = [*Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, 0]
+    got = {r.doc_id: r.c for r in packing.pack(docs_of((1, None), (2, text)), tokenizer_path()).select("doc_id", F.crc32("ids").alias("c")).collect()}
+    assert got == {1: zlib.crc32(bytes(4)), 2: zlib.crc32(np.array(ids, dtype="<u4").tobytes())}
