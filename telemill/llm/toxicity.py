@@ -5,6 +5,8 @@ first four and five bytes, so that inflected forms share most of it.  Filters of
 several widths slide over a text, each keeps its greatest response, and a
 logistic layer turns these into a score.  The net is fitted with numpy on a
 bounded sample of labelled rows; it then scores whole texts inside the tasks.
+Only the fit is sampled: thresholds are set on every labelled row, of a text of
+any length, with a score by a net that was not fitted on that row.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telemill.llm.store import written
 from telemill.llm.text import slices, text_buffers, words_of
 
 BUCKETS = 1 << 17  # rows of each embedding table
@@ -29,7 +32,10 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 2500  # labelled rows of each class to fit on
 SAMPLE_BYTES = 32_768  # longer texts are left out of the fit, never of the scoring
+FOLDS = 4  # of the sample: each is scored by a net fitted on the others
 THRESHOLD = 0.3
+BINS = 64  # of a score's log odds to one unit, for counts over all labelled rows
+MOST_ODDS = 40  # log odds beyond this share the last bin
 _SLICE = 1 << 20
 _WORDS = 1 << 16
 
@@ -54,6 +60,7 @@ class Net:
     weight: np.ndarray  # (len(WIDTHS) * FILTERS,)
     bias: float
     thresholds: dict[str, float] = field(default_factory=dict)  # by language
+    common: float | None = None  # threshold over all languages, for those without one
 
     def _responses(self, x: np.ndarray, k: int) -> np.ndarray:
         """Responses of the k-th width's filters at every place; past the end there are zeros."""
@@ -183,15 +190,14 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 6, bat
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, calibration: float = 0.25, default: float = THRESHOLD) -> Net:
-    """Fit on at most ``rows`` labelled documents of each class, and calibrate a threshold for each language.
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, folds: int = FOLDS, thresholds: bool = True) -> Net:
+    """Fit on at most ``rows`` labelled documents of each class, and calibrate thresholds on all labelled documents.
 
     docs: doc_id, text, lang; labels: doc_id, toxic (null: unlabelled).  The
-    sample is the rows of least hash; a quarter of it is kept out of the fit to
-    set the thresholds: for each language with at least 20 documents of both
-    classes there, the middle of the widest gap between scores that gives the
-    most right answers, else ``default``.  Without labels of both classes all
-    scores are the label's share.
+    sample is the rows of least hash.  For the thresholds every labelled row
+    counts once, so that classes have their true shares: rows of the sample with
+    the score by a net fitted on the other folds, all others with the net's own.
+    Without labels of both classes all scores are the label's share.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
@@ -202,23 +208,66 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     for label, count in n.items():
         keep |= (F.col("toxic") == label) & (F.col("h") < F.lit(min(1.0, 2.0 * rows / count + 50 / count)))
     h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = known.withColumn("h", h).where(keep).withColumn("k", rank).where(F.col("k") <= rows).select("doc_id", "toxic")
-    found = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
+    chosen = written(known.withColumn("h", h).where(keep).withColumn("k", rank).where(F.col("k") <= rows).select("doc_id", "toxic"), "toxicity-sample")
+    short = F.coalesce(F.octet_length("text") <= most_bytes, F.lit(False))
+    found = docs.where(short).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
 
     def fitted(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The bounded sample in one task, which leaves the driver free."""
-        every = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "lang": [], "toxic": []}), *pages]).sort_values(["doc_id", "text"])[: 4 * rows]
-        y = every["toxic"].to_numpy(dtype=np.float32)
-        out = np.random.default_rng(2).random(len(every)) < calibration
-        texts, langs = every["text"].tolist(), every["lang"].tolist()
-        net = fit([t for t, o in zip(texts, out) if not o], y[~out], share)
-        if out.any():
-            scores = net.scores(*text_buffers(pa.array([t for t, o in zip(texts, out) if o], pa.string())))
-            net.thresholds = calibrated([x for x, o in zip(langs, out) if o], scores, y[out])
-        yield pd.DataFrame({"net": [pickle.dumps(net)]})
+        """The bounded sample in one task, which leaves the driver free: the net, then each row's score by a net that has not seen it."""
+        every = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "lang": [], "toxic": []}), *pages]).sort_values(["doc_id", "text"], ignore_index=True)
+        y, texts = every["toxic"].to_numpy(dtype=np.float32), every["text"].tolist()
+        used = np.arange(len(every)) < 4 * rows
+        pick = lambda mask: [texts[i] for i in np.flatnonzero(mask)]
+        net = fit(pick(used), y[used], share)
+        yield pd.DataFrame({"net": [pickle.dumps(net)], "lang": [None], "toxic": [None], "score": [None]})
+        if not thresholds:
+            return
+        fold = np.random.default_rng(2).permutation(len(every)) % folds
+        fold[~used] = folds  # by the net itself
+        for k in np.unique(fold):
+            own = fold == k
+            other = net if k == folds else fit(pick(used & ~own), y[used & ~own], share)
+            yield pd.DataFrame({"net": None, "lang": every["lang"][own], "toxic": y[own].astype(np.int32), "score": other.scores(*text_buffers(pa.array(pick(own), pa.string())))})
+
+    made = written(found.repartition(1).mapInPandas(fitted, "net binary, lang string, toxic int, score double"), "toxicity-net")
+    first = made.where(F.col("net").isNotNull()).select("net").first()
+    net = pickle.loads(first.net) if first else fit([], np.zeros(0), share)
+    if thresholds and len(n) > 1:
+        scored = score(docs.select("doc_id", "lang", short.alias("short"), "text"), net, ["doc_id", "lang", "short"])
+        seen = F.broadcast(chosen.distinct().withColumn("chosen", F.lit(True)))
+        outside = scored.join(known, "doc_id").join(seen, ["doc_id", "toxic"], "left").where(~(F.col("short") & F.coalesce("chosen", F.lit(False))))
+        counts = made.where(F.col("net").isNull()).select("lang", "toxic", "score").unionByName(outside.select("lang", "toxic", "score"))
+        cells = counts.groupBy("lang", odds_bin(F.col("score")).alias("bin")).agg(F.count_if(F.col("toxic") == 0).alias("no"), F.count_if(F.col("toxic") != 0).alias("yes")).toPandas()
+        net.thresholds, net.common = thresholds_of(cells)
+    return net
+
+
+def odds_bin(s):
+    """Bin of a score by its log odds, so that scores near 0 and 1 are told apart as well."""
+    odds = F.greatest(F.lit(-MOST_ODDS), F.least(F.lit(MOST_ODDS), F.log(s) - F.log1p(-s)))
+    return F.floor(F.coalesce(odds, F.when(s > 0.5, F.lit(MOST_ODDS)).otherwise(F.lit(-MOST_ODDS))) * BINS).cast("int")
+
+
+def thresholds_of(cells: pd.DataFrame, least: int = 20) -> tuple[dict[str, float], float | None]:
+    """(threshold by language, threshold over all rows) from counts of both classes by language and bin.
+
+    A language with fewer than ``least`` rows of a class has none of its own and
+    takes that over all rows, which is there as soon as both classes are.
+    """
+
+    def best(own: pd.DataFrame, least: int) -> float | None:
+        own = own.groupby("bin")[["no", "yes"]].sum().sort_index()
+        if own["no"].sum() < least or own["yes"].sum() < least:
+            return None
+        at = 1 / (1 + np.exp(-own.index.to_numpy() / BINS))
+        ends = 1 / (1 + np.exp(-(own.index.to_numpy() + 1) / BINS))
+        wrong = np.concatenate([[0], np.cumsum(own["yes"])]) + np.concatenate([np.cumsum(own["no"][::-1])[::-1], [0]])
+        low, high = np.concatenate([[0], ends]), np.concatenate([at, [1]])
+        k = int(np.where(wrong == wrong.min(), high - low, -1).argmax())
+        return float((low[k] + high[k]) / 2)
 
-    made = found.repartition(1).mapInPandas(fitted, "net binary").first()
-    return pickle.loads(made.net) if made else fit([], np.zeros(0), share)
+    each = {lang: best(own, least) for lang, own in cells.groupby("lang")}
+    return {lang: t for lang, t in each.items() if t is not None}, best(cells, 1)
 
 
 def calibrated(langs: list[str | None], scores: np.ndarray, labels: np.ndarray, least: int = 20) -> dict[str, float]:
@@ -239,13 +288,15 @@ def calibrated(langs: list[str | None], scores: np.ndarray, labels: np.ndarray,
     return out
 
 
-def score(docs: DataFrame, net: Net) -> DataFrame:
+def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with a column ``score`` (0 to 1).  Null and empty texts have a text's score without words.
 
-    Every row is scored by its text alone; columns of any name and type stay,
-    but one named score is replaced.
+    Every row is scored by its text alone; columns of any name and type stay
+    (or those of ``keep``), but one named score is replaced.
     """
     docs = docs.drop("score")
+    fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
+    kept = [docs.columns.index(f.name) for f in fields]
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
@@ -253,14 +304,14 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             got = [shared.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, _SLICE)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*(f.name for f in fields), "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def rejected(net: Net, default: float = THRESHOLD):
-    """Whether a scored row goes: its score reaches its language's threshold."""
-    limit = F.lit(default)
+    """Whether a scored row goes: its score reaches its language's threshold, or else that over all languages."""
+    limit = F.lit(default if net.common is None else net.common)
     for lang, t in sorted(net.thresholds.items()):
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
     return F.col("score") >= limit

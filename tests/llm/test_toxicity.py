@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from telemill.llm import toxicity
@@ -46,3 +47,28 @@ def test_thresholds_by_language():
     langs, scores, labels = ["de"] * 60 + ["fr"] * 10, np.concatenate([np.linspace(0, 0.2, 30), np.linspace(0.7, 1, 30), np.zeros(10)]), np.array([0] * 30 + [1] * 30 + [0] * 10)
     out = toxicity.calibrated(langs, scores, labels)
     assert set(out) == {"de"} and 0.2 < out["de"] < 0.7
+
+
+def test_thresholds_are_set_on_every_labelled_row(spark, docs_of, monkeypatch):
+    rows = sample(400)
+    long = [(1000 + i, t + " word1" * 7000, y) for i, t, y in rows[:20]]
+    docs = docs_of(*[(i, t) for i, t, _ in rows[:300]]).unionByName(docs_of(*[(i, t) for i, t, _ in rows[300:350]], lang="de")).unionByName(docs_of(*[(i, t) for i, t, _ in rows[350:360] + long], lang="fr"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:360] + long], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.thresholds_of
+    monkeypatch.setattr(toxicity, "thresholds_of", lambda cells: seen.append(cells) or own(cells))
+    net = toxicity.train(docs, labels, rows=60)
+    counts = seen[0].groupby("lang")[["no", "yes"]].sum()
+    assert counts.loc["en"].tolist() == [150, 150] and counts.loc["de"].tolist() == [25, 25] and counts.loc["fr"].tolist() == [15, 15]
+    assert set(net.thresholds) == {"en", "de"} and 0 < net.common < 1
+
+
+def test_sparse_languages_take_the_threshold_over_all_rows(spark):
+    cells = pd.DataFrame({"lang": ["en", "en", "fr", None], "bin": [-200, 300, 310, -190], "no": [90, 0, 0, 5], "yes": [0, 30, 3, 0]})
+    each, common = toxicity.thresholds_of(cells)
+    edge = lambda b: 1 / (1 + np.exp(-b / toxicity.BINS))
+    assert set(each) == {"en"} and edge(-199) < each["en"] < edge(300) and edge(-189) < common < edge(300)
+    net = toxicity.Net(None, [], [], None, 0.0, each, common)
+    got = spark.createDataFrame([("fr", 0.9), ("fr", common - 1e-6), (None, common)], "lang string, score double")
+    assert [r[0] for r in got.select(toxicity.rejected(net)).collect()] == [True, False, True]
+    assert toxicity.thresholds_of(cells[cells["lang"] == "fr"]) == ({}, None)
