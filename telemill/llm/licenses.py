@@ -1,7 +1,8 @@
 """License recognition by sentences.
 
-A text is cut into sentences, each is normalised and looked up among known
-license sentences, and the identifiers found, in order, are matched against
+A text is normalised to words and breaks.  Known license sentences are found as
+runs of words that end where a sentence or line ends, also inside of longer
+sentences and over wrapped lines, and the identifiers found, in order, are matched against
 ordered rules: a rule is a run of identifiers, and what a rule has matched no
 later rule sees.  The sentence table and the rules are parameters of a fixed
 size; all work is done by built-in functions, row by row, without a shuffle.
@@ -56,14 +57,30 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-4.0", ["CcByRef4"]),
 ]
 
-#: A sentence ends at a line break, or at one of . ! ? ; : that stands before white space or the end.
-SENTENCE_END = r"[.!?;:]+(?:\s+|$)|[\r\n]+"
+#: No known sentence goes on over one of . ! ? before white space or the end, or over a blank line.
+HARD_END = r"[.!?]+(?=\s|$)|\n{2,}"
+#: A known sentence may end at, or go on over, one of ; : before white space or the end, or a single line break.
+SOFT_END = r"[;:]+(?=\s|$)|\n"
+#: After a line break: indents and the marks of comments and quotes.
+LINE_START = r"\n[ \t\x0B\f#*/;%>|!-]+"
+_HARD, _SOFT = "\x01", "\x02"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: A-Z lower-cased, every run of other than letters and digits of ASCII one blank."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.transform(F.split(F.translate(text, upper, lower), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+def normalised(text: Column) -> Column:
+    """Words and breaks: A-Z lower-cased, ends of sentences and lines marked, every run of other than letters and digits of ASCII one blank."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + _HARD + _SOFT, "abcdefghijklmnopqrstuvwxyz  "
+    out = F.regexp_replace(F.translate(text, upper, lower), r"\r\n?", "\n")
+    out = F.regexp_replace(out, LINE_START, "\n")
+    out = F.regexp_replace(F.regexp_replace(out, HARD_END, _HARD), SOFT_END, _SOFT)
+    return F.regexp_replace(out, f"[^a-z0-9{_HARD}{_SOFT}]+", " ")
+
+
+def runs(known: list[tuple[str, str]]) -> str:
+    """Pattern of known sentences in normalised text, of several at a place the longest."""
+    between = f"[ {_SOFT}]+"
+    every = sorted({s for _, s in known}, key=lambda s: (-len(s), s))
+    first = "".join(sorted({s[0] for s in every}))
+    return f"(?<![a-z0-9])(?=[{first}])(?:{'|'.join(s.replace(' ', between) for s in every)})(?= ?(?:[{_HARD}{_SOFT}]|$))"
 
 
 def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -73,7 +90,6 @@ def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules:
     no sentences.  A license found several times is named once, at its first
     rule; rows with the same doc_id are read one by one.  No rows: no rows.
     """
-    # a cheap test first: most texts hold no word that every known sentence needs
     ids: dict[str, list[str]] = {}
     for name, sentence in known:
         ids.setdefault(name, []).append(sentence)
@@ -84,8 +100,8 @@ def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules:
             out = out.when(s.isin(*texts), F.lit(name))
         return out
 
-    every = sorted({s for _, s in known})
-    found = F.transform(F.filter(sentences(F.coalesce("text", F.lit(""))), lambda s: s.isin(*every)), name_of)
+    matches = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(runs(known)), F.lit(0))
+    found = F.transform(matches, lambda s: name_of(F.regexp_replace(s, f"[ {_SOFT}]+", " ")))
     out = docs.select(F.col("doc_id"), found.alias("sentence_ids"))
     out = out.withColumn("left", F.when(F.size("sentence_ids") > 0, F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))).otherwise(""))
     # each rule takes its runs out of what is left, and names its license if it took any

@@ -1,3 +1,5 @@
+import textwrap
+
 from telemill.llm import licenses
 
 
@@ -22,3 +24,51 @@ def test_a_longer_rule_comes_first(spark, docs_of):
     text = "\n".join(s[i] for i in ("BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "MitGrant", "MitNotice", "MitAsIs"))
     assert licenses.recognise(docs_of((1, text))).first().licenses == ["MIT", "BSD-3-Clause"]
     assert licenses.recognise(docs_of((1, "x")).limit(0)).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+def test_wrapped_texts_and_comments(spark, docs_of):
+    want = {"MIT": MIT, "BSD-2-Clause": BSD, "GPL-3.0-or-later": GPL, "Apache-2.0": APACHE}
+    rows, names = [], []
+    for name, text in want.items():
+        for mark in ("", "# ", " * ", "// ", ";; ", "! "):
+            for end in ("\n", "\r\n"):
+                lines = [line for part in text.split("\n") for line in textwrap.wrap(part, 72) or [""]]
+                rows.append((len(rows), "Copyright 2020 A. B.\n" + end.join(mark + line for line in ["", *lines])))
+                names.append(name)
+    got = {r.doc_id: r for r in licenses.recognise(docs_of(*rows)).collect()}
+    for i, name in enumerate(names):
+        assert got[i].licenses == [name] and got[i].unmatched == [], rows[i]
+
+
+def test_runs_inside_longer_sentences(spark, docs_of):
+    rows = [
+        (1, "This file is released under the MIT License."),
+        (2, "Unreleased under the MIT License."),
+        (3, "It was released under the. MIT License"),
+        (4, "It was released under\n\nthe MIT License"),
+        (5, "Copyright (c) 2020, all rights reserved"),
+        (6, "Code licensed under CC\n * BY-SA\n * 4.0; text licensed under CC BY 4.0"),
+        (7, "Released under the MIT License agreement."),
+    ]
+    got = {r.doc_id: r.sentence_ids for r in licenses.recognise(docs_of(*rows)).collect()}
+    assert got == {1: ["MitRef"], 2: [], 3: [], 4: [], 5: ["AllRights"], 6: ["CcBySaRef4", "CcByRef4"], 7: []}
