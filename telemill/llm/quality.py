@@ -8,7 +8,8 @@ every order, their contexts' statistics and the lower orders' probabilities
 meet in joins that are sharded by context.  The resulting table, of at most
 SYMBOLS ** ORDER codes, goes to every task, which scores whole documents; a
 document goes if its perplexity is above the quantile of trusted documents of
-its language and length.
+its language and length; where these are few, of beginnings of longer ones, of
+neighbouring lengths, or of all languages.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ ORDER = 4
 SYMBOLS = 48
 QUANTILE = 0.995  # of trusted documents that stay, by language
 MARGIN = 1.03  # on the perplexity at the quantile
-LEAST = 100  # trusted documents that a language and length needs for a quantile of its own
+LEAST = 100  # trusted documents that a language and length needs for a quantile of its own; with fewer, documents are pooled
+SHRINK = 5  # documents of the overall level of perplexity that count into each language's
 IDS_BROADCAST = 2_000_000  # trusted ids up to which each task holds them all (some 50 MB); more are joined by a shuffle
-WHOLE_BAND = 7  # from this length band on, a language's quantile over all lengths holds where nothing finer does
 _SLICE = 1 << 20
 
 
@@ -149,28 +150,51 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of every text."""
+        return self.scores_and_heads(data, offsets)[0]
+
+    def scores_and_heads(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of every text, perplexities of each text's first 2, 4, 8 and so on units, text by text)."""
         got, bounds = codes(data, offsets, self.order)
         total = np.concatenate([[0.0], np.cumsum(self.logs[got], dtype=np.float64)])
-        return total[bounds[1:]] - total[bounds[:-1]]
+        n = head_counts(offsets)
+        k = 2 ** (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
+        start = np.repeat(bounds[:-1], n)
+        return total[bounds[1:]] - total[bounds[:-1]], 10 ** (-(total[start + k] - total[start]) / k)
+
+
+def head_counts(offsets: np.ndarray) -> np.ndarray:
+    """How many of 2, 4, 8 and so on are at most each text's length."""
+    return np.frexp(np.maximum(np.diff(offsets), 1).astype(np.float64))[1].astype(np.int64) - 1
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with n_units (bytes of the text), log10_p and perplexity per unit (of an empty or null text: null)."""
+def score(docs: DataFrame, model: Model, heads: bool = False) -> DataFrame:
+    """``docs`` with n_units (bytes of the text), log10_p and perplexity per unit (of an empty or null text: null).
+
+    On request instead of the text: heads, the perplexities of its first 2, 4, 8 and so on units.
+    """
     docs = docs.drop("n_units", "log10_p", "perplexity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    fields = [f for f in docs.schema.fields if not (heads and f.name == "text")]
+    kept = [docs.columns.index(f.name) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
-            got = [shared.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, _SLICE)]
-            logs, n = np.concatenate(got) if got else np.zeros(0), np.diff(offsets)
+            got = [shared.value.scores_and_heads(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, _SLICE)]
+            logs, n = np.concatenate([x for x, _ in got]) if got else np.zeros(0), np.diff(offsets)
             with np.errstate(divide="ignore", invalid="ignore"):
                 each = pa.array(10 ** (-logs / n), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(logs), each], names=[*batch.schema.names, "n_units", "log10_p", "perplexity"])
+            columns = [*(batch.column(i) for i in kept), pa.array(n), pa.array(logs), each]
+            if heads:
+                ends = np.concatenate([[0], np.cumsum(head_counts(offsets))]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0), *(x for _, x in got)]))))
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in fields), *(f.name for f in kinds)])
 
     kinds = [T.StructField("n_units", T.LongType()), T.StructField("log10_p", T.DoubleType()), T.StructField("perplexity", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds]))
+    if heads:
+        kinds.append(T.StructField("heads", T.ArrayType(T.DoubleType())))
+    return docs.mapInArrow(run, T.StructType([*fields, *kinds]))
 
 
 def band(n_units):
@@ -178,18 +202,50 @@ def band(n_units):
     return F.floor(F.log2(F.greatest(n_units, F.lit(1)))).cast("int")
 
 
-def thresholds(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST) -> DataFrame:
-    """(lang, band, threshold) from scored trusted documents, for every language and band with at least ``least`` of them.
+def thresholds(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST) -> list[tuple[str | None, int, float]]:
+    """(lang, band, threshold) from scored trusted documents with heads, for every language and band from 1 to the longest document's.
 
-    A language with a third of that in all has a threshold over all lengths
-    too, given as that of WHOLE_BAND unless this band has its own.
+    A threshold is a quantile of the first of these pools with at least
+    ``least`` documents: those of the language and band; beginnings of the
+    band's least length of all of the language at least as long; the
+    language's documents of this band or longer ones, with as many shorter
+    bands as it takes; the same three over all languages, where perplexities
+    are relative to their language's level; all trusted documents.  Rows of lang None are for
+    languages without trusted text (a null language is '').  Without trusted text: none.
     """
-    q = F.percentile_approx("perplexity", quantile, 100_000) * margin
-    base = trusted.where(F.col("perplexity").isNotNull()).select("lang", band(F.col("n_units")).alias("band"), "perplexity")
-    fine = base.groupBy("lang", "band").agg(q.alias("threshold"), F.count("*").alias("n"))
-    whole = base.where(F.col("band") >= WHOLE_BAND).groupBy("lang").agg(q.alias("threshold"), F.count("*").alias("n")).withColumn("band", F.lit(WHOLE_BAND))
-    both = fine.withColumn("own", F.lit(1)).unionByName(whole.withColumn("own", F.lit(0))).where(F.col("n") >= F.when(F.col("own") == 1, least).otherwise(least // 3))
-    return both.groupBy("lang", "band").agg(F.max_by("threshold", "own").alias("threshold"))
+    base = trusted.where(F.size("heads") > 0).select(F.coalesce("lang", F.lit("")).alias("lang"), F.size("heads").alias("band"), "perplexity", "heads")
+    means = base.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.log10("perplexity")).alias("total")).collect()
+    if not means:
+        return []
+    overall = sum(r.total for r in means) / sum(r.n for r in means)
+    level = {r.lang: 10 ** ((r.total + SHRINK * overall) / (r.n + SHRINK)) for r in means}
+    own_level = F.create_map(*[F.lit(x) for pair in level.items() for x in pair])[F.col("lang")]
+    # (kind, band, perplexity): of its own band, of its beginnings, and of itself as one of at least a length
+    whole = F.array(F.struct(F.lit("own").alias("kind"), F.col("band").alias("band"), F.col("perplexity").alias("x")))
+    starts = F.transform("heads", lambda x, k: F.struct(F.lit("head").alias("kind"), (k + 1).alias("band"), x.alias("x")))
+    at_least = F.transform(F.sequence(F.lit(1), F.col("band")), lambda k: F.struct(F.lit("tail").alias("kind"), k.alias("band"), F.col("perplexity").alias("x")))
+    each = base.select("lang", own_level.alias("level"), F.explode(F.concat(whole, starts, at_least)).alias("c")).select("lang", "level", "c.*")
+    q = lambda x: F.percentile_approx(x, quantile, 20_000)
+    fine = each.groupBy("lang", "kind", "band").agg(q(F.col("x")).alias("x"), F.count("*").alias("n"))
+    common = each.groupBy("kind", "band").agg(q(F.col("x") / F.col("level")).alias("x"), F.count("*").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+    pools = {(r.lang, r.kind, r.band): (r.x, r.n) for r in fine.unionByName(common).collect()}
+    top = max(b for _, _, b in pools)
+
+    def pooled(lang: str | None, at: int, least: int) -> float | None:
+        for key in [(lang, "own", at), (lang, "head", at), *((lang, "tail", k) for k in range(at, 0, -1))]:
+            if pools.get(key, (0, 0))[1] >= least:
+                return pools[key][0]
+        return None
+
+    out = []
+    for lang in [None, *sorted(level)]:
+        for at in range(1, top + 1):
+            x = None if lang is None else pooled(lang, at, least)
+            if x is None:
+                x = pooled(None, at, least) or pooled(None, at, min(least, pools[None, "tail", 1][1]))
+                x *= 10**overall if lang is None else level[lang]
+            out.append((lang, at, x * margin))
+    return out
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -207,18 +263,18 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: floa
 
     docs: doc_id, text, lang; labels: doc_id, quality (1: trusted).  A document
     stays if its perplexity is at most the threshold of its language and length
-    band, or of the nearest shorter band that has one (perplexities of shorter
-    texts spread wider, so this is lenient); documents shorter than any such
-    band, of a language without one, and empty or null texts stay: there is no
-    ground to reject them.  Without trusted text all stay.
+    band (see :func:`thresholds`).  Null and empty texts and those of a single
+    unit stay: there is no sequence to judge.  Without trusted text all stay.
     """
     ids = trusted_ids(labels)
     model = Model.of(model_table(with_ids(docs.select("doc_id", "text"), ids), order), order)
     scored = score(docs, model)
-    numbers = written(scored.select("doc_id", "lang", "n_units", "perplexity"), "kn-scores")
-    limits = thresholds(with_ids(numbers, ids), quantile, margin, least)
-    rows = sorted((r.lang or "", r.band, r.threshold) for r in limits.collect())  # some tens for each language
+    numbers = written(score(docs.select("doc_id", "lang", "text"), model, heads=True).select("doc_id", "lang", "perplexity", "heads"), "kn-scores")
     limit = F.lit(None).cast("double")
-    for lang, at, value in rows:  # longer bands later, so that they decide
-        limit = F.when((F.coalesce("lang", F.lit("")) == lang) & (band(F.col("n_units")) >= at), F.lit(value)).otherwise(limit)
+    each: dict[str | None, dict[int, float]] = {}
+    for lang, at, value in thresholds(with_ids(numbers, ids), quantile, margin, least):  # some tens for each language
+        each.setdefault(lang, {})[at] = value
+    for lang, by_band in each.items():  # None comes first and holds for all others
+        own = F.create_map(*[F.lit(x) for pair in by_band.items() for x in pair])[F.least(band(F.col("n_units")), F.lit(max(by_band)))]
+        limit = own if lang is None else F.when(F.coalesce("lang", F.lit("")) == lang, own).otherwise(limit)
     return scored.withColumn("threshold", limit).withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -70,3 +70,26 @@ def test_judge_keeps_clean_and_rejects_junk(spark, docs_of):
     assert not any(i >= 1000 and i < 1100 for i in kept) and {2000, 2001, 2002} <= kept and sum(i < 400 for i in kept) >= 395 and len(got) == 424
     none = quality.judge(docs_of((1, "a")), labels.limit(0)).first()
     assert none.keep and none.threshold is None
+
+
+def test_every_language_and_length_has_a_threshold(spark, docs_of):
+    words = "the quick brown fox jumps over a lazy dog and runs home again".split()
+    r = np.random.default_rng(0)
+    prose = lambda n: " ".join(r.choice(words, n))
+    en = docs_of(*[(i, prose(40)) for i in range(150)], (200, prose(3)), (201, "Q!$ ZZ#|"), (202, prose(4000)), (203, "#Q|$ " * 4000), (204, "y"), (205, None))
+    es = docs_of(*[(300 + i, prose(40)) for i in range(5)], (310, prose(40)), (311, "Q!$ ZZ#|" * 20), lang="es")
+    other = docs_of((400, prose(40)), (401, "Q!$ ZZ#|" * 20), lang="xx")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(150), *range(300, 305)]], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality.judge(en.unionByName(es).unionByName(other), labels).collect()}
+    assert {i for i, x in got.items() if x.threshold is None} == {204, 205}
+    assert {i for i, x in got.items() if not x.keep} >= {201, 203, 311, 401} and all(got[i].keep for i in (200, 202, 204, 205, 310, 400))
+
+
+def test_heads_are_scores_of_beginnings(spark, docs_of):
+    model = quality.Model.of(quality.model_table(docs_of((1, "abc abd. Abc"), (2, "bca!! abab")), 3), 3)
+    texts = ["abca. zz", "", "b", "abab abc A", "ab"]
+    got = quality.score(docs_of(*enumerate(texts)), model, heads=True).orderBy("doc_id").collect()
+    for t, row in zip(texts, got):
+        sizes = [k for k in (2, 4, 8) if k <= len(t)]
+        want = [10 ** (-model.scores(*text_buffers(pa.array([t[:k]])))[0] / k) for k in sizes]
+        assert np.allclose(row.heads, want) and len(row.heads) == len(want)
