@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.bagminhash import bands, overlaps, shingles, signatures, similar, weighted
-from telemill.llm.store import dropped, release, written
+from telemill.llm.store import bucketed, dropped, written
 from telemill.llm.text import slices, text_buffers, words_of
 
 SIMILARITY = 0.8
 BLOCK = 256  # texts of a bucket that are compared at once
+SALTS = 32  # tasks over which the texts that are held against one central text are dealt
 _SLICE = 1 << 20
 
 
@@ -37,29 +38,37 @@ def _node():
     return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node")
 
 
-def _bucket_rows(docs: DataFrame) -> DataFrame:
-    """(bucket, node): the band keys of every text, each text once a task; texts without words have none."""
+def _once(docs: DataFrame) -> DataFrame:
+    """(node, text): each text once a task, so that copies are few before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            names = batch.column("node").to_pylist()
             new = []
-            for k, x in enumerate(names):
+            for k, x in enumerate(batch.column("node").to_pylist()):
                 if x not in seen:
                     seen.add(x)
                     new.append(k)
-            few = batch.take(pa.array(new, pa.int64()))
-            data, offsets = text_buffers(few.column("text"))
+            yield batch.take(pa.array(new, pa.int64()))
+
+    return docs.select(_node(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "node binary, text string")
+
+
+def _bucket_rows(texts: DataFrame) -> DataFrame:
+    """(bucket, node): the band keys of every text; texts without words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
             for i, j in slices(offsets, _SLICE):
                 hashes, bounds = shingles(words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 keys = bands(signatures(*weighted(hashes, bounds), j - i))
                 some = np.flatnonzero(np.diff(bounds) > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some].reshape(-1)), few.column("node").slice(i, j - i).take(pa.array(np.repeat(some, keys.shape[1])))], names=["bucket", "node"]
+                    [pa.array(keys[some].reshape(-1)), batch.column("node").slice(i, j - i).take(pa.array(np.repeat(some, keys.shape[1])))], names=["bucket", "node"]
                 )
 
-    return docs.select(_node(), "text").mapInArrow(run, "bucket long, node binary")
+    return texts.mapInArrow(run, "bucket long, node binary")
 
 
 def _overlap(pairs: DataFrame) -> DataFrame:
@@ -97,7 +106,9 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(cur)
         cur = new
         if mark == state:
-            return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = written(cur.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(cur.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
+            dropped(cur)
+            return out
         state = mark
 
 
@@ -107,14 +118,18 @@ def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _star(rows: DataFrame, texts: DataFrame, tried: DataFrame | None, least: float) -> DataFrame:
+def _star(rows: DataFrame, texts: DataFrame, tried: DataFrame | None) -> DataFrame:
     """(a, b, similarity) of each text with the most central text of its buckets that is of another component."""
     top = rows.groupBy("bucket").agg(F.max(F.struct("degree", "node", "root")).alias("top"))
     pairs = rows.join(top, "bucket").where(F.col("root") != F.col("top.root")).groupBy("node").agg(F.max("top").alias("top")).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
     if tried is not None:
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return _overlap(left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
+    pairs = written(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS))), "star-asked")
+    # a central text may be that of a third of all rows: each salt gets a copy of it and its share of the others
+    central = pairs.select("b", "salt").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    out = written(_overlap(pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(central, ["b", "salt"])), "star-pairs")
+    dropped(pairs)
+    return out
 
 
 def _blocks(rows: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
@@ -164,35 +179,30 @@ def classes(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> D
     texts of fewer than five words are one shingle; texts without words have no
     link.  Texts that nothing is near are left out: each is a class of its own.
     """
-    spark = docs.sparkSession
-    every = written(_bucket_rows(docs), "buckets")
+    every = written(_bucket_rows(_once(docs)), "buckets")
     shared = every.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.approx_count_distinct("node", 0.2).alias("size")).where(F.col("least") != F.col("most"))
     rows = every.join(shared.select("bucket", "size"), "bucket").distinct()
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     rows = written(rows.select("bucket", "node").join(degree, "node"), "shared-buckets")
     dropped(every)
-    release(spark)
-    nodes = rows.select("node").distinct()
-    named = docs.select(_node(), F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(named.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-    release(spark)
-    roots, tried, links = None, None, None
+    texts = bucketed(_once(docs).join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near_texts", "node")
+    roots, tried = None, []
     for _ in range(2):
         live = written(_open(_labelled(rows, roots)), "open-buckets")
-        got = written(_star(live, texts, tried, least), "star-pairs")
-        tried = got if tried is None else tried.unionByName(got)
-        links = tried.where(F.col("similarity") >= least).select("a", "b")
+        tried.append(_star(live, texts, tried[0] if tried else None))
+        seen = tried[0] if len(tried) == 1 else tried[0].unionByName(tried[1])
+        links = seen.where(F.col("similarity") >= least).select("a", "b")
+        dropped(live, *([roots] if roots is not None else []))
         roots = components(links)
-        release(spark)
     live = written(_open(_labelled(rows, roots)), "open-buckets")
     # buckets that hold the same texts are compared once, and buckets of two texts that were held against each other not again
     sets = live.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
     sets = sets.groupBy("sum", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    known = tried.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(2).cast("long").alias("n"))
+    known = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(2).cast("long").alias("n"))
     todo = sets.join(known, ["x", "y", "n"], "left_anti").select("bucket")
     more = written(_blocks(live.join(todo, "bucket", "left_semi").select("bucket", "node", "root"), texts, least, block), "block-links")
-    out = written(components(links.unionByName(more)), "classes")
-    release(spark)
+    out = components(links.unionByName(more))
+    dropped(rows, texts, live, more, *tried)
     return out
 
 
@@ -215,15 +225,20 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one of the least doc_id (of rows equal in that, the least text)."""
+    """``docs`` with one document of each class: the one of the least doc_id (of rows equal in that, the least text).
+
+    Of rows that are equal in doc_id and text, but not in other columns, the
+    one whose digest is least stays.  Columns of any name stay as they are.
+    """
     found = classes(docs, least)
-    rows = written(docs.select("doc_id", _node()).join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root")), "class-rows")
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of"), F.count("*").alias("n")).select("of.doc_id", "of.node")
-    kept = written(kept, "kept")
-    # a row that is repeated whole would stay more than once
-    again = rows.groupBy("doc_id", "node").agg(F.count("*").alias("n")).where(F.col("n") > 1).join(kept.withColumnRenamed("doc_id", "kept_id"), "node", "left_semi").select("node").distinct()
+    rows = docs.select("doc_id", _node()).join(found, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
+    # of each text and id one row, with how often it is there
+    each = rows.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n"))
+    kept = written(each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("of")).select("of.*"), "kept")
+    dropped(found)
     columns = docs.columns
-    mark = docs.withColumn("__node", _node()).alias("d").join(kept.alias("k"), (F.col("d.__node") == F.col("k.node")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    single = mark.join(again.withColumnRenamed("node", "__node"), "__node", "left_anti").select(*columns)
-    double = mark.join(again.withColumnRenamed("node", "__node"), "__node", "left_semi").dropDuplicates(["__node"]).select(*columns)
-    return single.unionByName(double)
+    mark = docs.select(F.struct(*[docs[c] for c in columns]).alias("of"), _node(), docs["doc_id"].alias("id")).join(
+        kept.select("node", F.col("doc_id").alias("kept_id"), "n").alias("k"), ["node"]
+    ).where(F.col("id").eqNullSafe(F.col("kept_id")))
+    again = mark.where(F.col("n") > 1).groupBy("node").agg(F.min_by("of", F.sha2(F.to_json("of"), 256)).alias("of"))
+    return mark.where(F.col("n") == 1).select("of.*").unionByName(again.select("of.*"))

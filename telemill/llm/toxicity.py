@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,6 @@ FILTERS = 8  # of each width
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 5)
 SAMPLE_ROWS = 2500  # labelled rows of each class to fit on
-SAMPLE_BYTES = 32_768  # longer texts are left out of the fit, never of the scoring
 FOLDS = 4  # of the sample: each is scored by a net fitted on the others
 THRESHOLD = 0.3
 BINS = 64  # of a score's log odds to one unit, for counts over all labelled rows
@@ -62,6 +61,13 @@ class Net:
     thresholds: dict[str, float] = field(default_factory=dict)  # by language
     common: float | None = None  # threshold over all languages, for those without one
 
+    def __getstate__(self) -> dict:
+        """Tables travel in half precision, to which :func:`fit` has rounded them."""
+        return vars(self) | {"tables": self.tables.astype(np.float16)}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state | {"tables": state["tables"].astype(np.float32)})
+
     def _responses(self, x: np.ndarray, k: int) -> np.ndarray:
         """Responses of the k-th width's filters at every place; past the end there are zeros."""
         f = self.filters[k]
@@ -187,36 +193,38 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 6, bat
             net.bias -= rate * v / bias_square**0.5
     seen, share = float(labels.mean()), float(np.clip(share, 1e-6, 1 - 1e-6))
     net.bias += float(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
+    net.tables = net.tables.astype(np.float16).astype(np.float32)
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, folds: int = FOLDS, thresholds: bool = True) -> Net:
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, folds: int = FOLDS, thresholds: bool = True) -> Net:
     """Fit on at most ``rows`` labelled documents of each class, and calibrate thresholds on all labelled documents.
 
     docs: doc_id, text, lang; labels: doc_id, toxic (null: unlabelled).  The
-    sample is the rows of least hash.  For the thresholds every labelled row
-    counts once, so that classes have their true shares: rows of the sample with
-    the score by a net fitted on the other folds, all others with the net's own.
-    Without labels of both classes all scores are the label's share.
+    sample is the rows of least hash, with texts of any length.  For the
+    thresholds every labelled row counts once, so that classes have their true
+    shares: rows of the sample with the score by a net fitted on the other
+    folds, all others with the net's own.  Without labels of both classes all
+    scores are the label's share.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    # a first cut by the hash keeps the ranking small, and is widened until it holds enough
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for label, count in n.items():
-        keep |= (F.col("toxic") == label) & (F.col("h") < F.lit(min(1.0, 2.0 * rows / count + 50 / count)))
+    share = sum(k * x for k, x in n.items()) / max(1, sum(n.values()))
     h = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = written(known.withColumn("h", h).where(keep).withColumn("k", rank).where(F.col("k") <= rows).select("doc_id", "toxic"), "toxicity-sample")
-    short = F.coalesce(F.octet_length("text") <= most_bytes, F.lit(False))
-    found = docs.where(short).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
+    # a first cut by the hash keeps the ranking small: twice the rows that are wanted, and some
+    few = [known.where((F.col("toxic") == label) & (h < min(1.0, 2.0 * rows / count + 50 / count))).orderBy(h, "doc_id").limit(rows) for label, count in sorted(n.items())]
+    chosen = known.limit(0) if not few else few[0]
+    for x in few[1:]:
+        chosen = chosen.unionByName(x)
+    chosen = written(chosen, "toxicity-sample")
+    found = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "toxic")
 
     def fitted(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The bounded sample in one task, which leaves the driver free: the net, then each row's score by a net that has not seen it."""
         every = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "lang": [], "toxic": []}), *pages]).sort_values(["doc_id", "text"], ignore_index=True)
         y, texts = every["toxic"].to_numpy(dtype=np.float32), every["text"].tolist()
-        used = np.arange(len(every)) < 4 * rows
+        # ids that stand for several documents each could make the sample larger than it may be
+        used = np.argsort(np.argsort(pd.util.hash_array(every["text"].fillna("").to_numpy(dtype=object)), kind="stable")) < 4 * rows
         pick = lambda mask: [texts[i] for i in np.flatnonzero(mask)]
         net = fit(pick(used), y[used], share)
         yield pd.DataFrame({"net": [pickle.dumps(net)], "lang": [None], "toxic": [None], "score": [None]})
@@ -233,9 +241,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     first = made.where(F.col("net").isNotNull()).select("net").first()
     net = pickle.loads(first.net) if first else fit([], np.zeros(0), share)
     if thresholds and len(n) > 1:
-        scored = score(docs.select("doc_id", "lang", short.alias("short"), "text"), net, ["doc_id", "lang", "short"])
+        scored = score(docs.select("doc_id", "lang", "text"), net, ["doc_id", "lang"])
         seen = F.broadcast(chosen.distinct().withColumn("chosen", F.lit(True)))
-        outside = scored.join(known, "doc_id").join(seen, ["doc_id", "toxic"], "left").where(~(F.col("short") & F.coalesce("chosen", F.lit(False))))
+        outside = scored.join(known, "doc_id").join(seen, ["doc_id", "toxic"], "left").where(F.col("chosen").isNull())
         counts = made.where(F.col("net").isNull()).select("lang", "toxic", "score").unionByName(outside.select("lang", "toxic", "score"))
         cells = counts.groupBy("lang", odds_bin(F.col("score")).alias("bin")).agg(F.count_if(F.col("toxic") == 0).alias("no"), F.count_if(F.col("toxic") != 0).alias("yes")).toPandas()
         net.thresholds, net.common = thresholds_of(cells)
@@ -270,31 +278,13 @@ def thresholds_of(cells: pd.DataFrame, least: int = 20) -> tuple[dict[str, float
     return {lang: t for lang, t in each.items() if t is not None}, best(cells, 1)
 
 
-def calibrated(langs: list[str | None], scores: np.ndarray, labels: np.ndarray, least: int = 20) -> dict[str, float]:
-    """For each language the threshold with the fewest errors; of equal ones the middle of the widest gap."""
-    out = {}
-    for lang in {x for x in langs if x is not None}:
-        own = np.array([x == lang for x in langs])
-        s, y = scores[own], labels[own]
-        if min((y == 0).sum(), (y == 1).sum()) < least:
-            continue
-        order = np.argsort(s, kind="stable")
-        s, y = s[order], y[order]
-        wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
-        edges = np.concatenate([[0], s, [1]])
-        gap = np.where(wrong == wrong.min(), np.diff(edges), -1)
-        k = int(gap.argmax())
-        out[lang] = float((edges[k] + edges[k + 1]) / 2)
-    return out
-
-
-def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1).  Null and empty texts have a text's score without words.
-
-    Every row is scored by its text alone; columns of any name and type stay
-    (or those of ``keep``), but one named score is replaced.
+def score(docs: DataFrame, net: Net, keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """``docs`` with a column ``into``, its score (0 to 1).  Null and empty texts have a text's score without words.
+
+    Every row is scored by its text alone, of any length; columns of any name
+    and type stay (or those of ``keep``), but one named ``into`` is replaced.
     """
-    docs = docs.drop("score")
+    docs = docs.drop(into)
     fields = [f for f in docs.schema.fields if keep is None or f.name in keep]
     kept = [docs.columns.index(f.name) for f in fields]
     shared = docs.sparkSession.sparkContext.broadcast(net)
@@ -304,14 +294,14 @@ def score(docs: DataFrame, net: Net, keep: list[str] | None = None) -> DataFrame
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             got = [shared.value.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, _SLICE)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*(f.name for f in fields), "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(got) if got else np.zeros(0))], names=[*(f.name for f in fields), into])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.DoubleType())]))
 
 
-def rejected(net: Net, default: float = THRESHOLD):
+def rejected(net: Net, default: float = THRESHOLD, scores: str = "score"):
     """Whether a scored row goes: its score reaches its language's threshold, or else that over all languages."""
     limit = F.lit(default if net.common is None else net.common)
     for lang, t in sorted(net.thresholds.items()):
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    return F.col("score") >= limit
+    return F.col(scores) >= limit

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,10 +45,48 @@ def test_without_labels(spark, docs_of):
     assert toxicity.score(docs.limit(0), net).count() == 0
 
 
-def test_thresholds_by_language():
-    langs, scores, labels = ["de"] * 60 + ["fr"] * 10, np.concatenate([np.linspace(0, 0.2, 30), np.linspace(0.7, 1, 30), np.zeros(10)]), np.array([0] * 30 + [1] * 30 + [0] * 10)
-    out = toxicity.calibrated(langs, scores, labels)
-    assert set(out) == {"de"} and 0.2 < out["de"] < 0.7
+def brute_score(net, text):
+    """One text, word by word, filter by filter."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.encode().lower() if text.isascii() else text.encode())
+    rows = [toxicity.features(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]))[0][0] for w in words]
+    x = [sum(net.tables[k][row[k]].astype(float) for k in range(len(row))) for row in rows]
+    total, m = net.bias, 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(x)):
+                y = float(net.shift[k][f])
+                for d in range(width):
+                    if i + d < len(x):
+                        y += float((x[i + d] * net.filters[k][d][:, f]).sum())
+                best = max(best, y)
+            total += best * float(net.weight[m])
+            m += 1
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_equal_brute_force():
+    rows = sample(120)
+    net = toxicity.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], dtype=np.float32), 0.5, epochs=2)
+    texts = [*(t for _, t, _ in rows[:12]), "", "word1", "Nasty! word2", "vileone viletwo", "été ñandú word3 nasty"]
+    got = net.scores(*text_buffers(pa.array(texts)))
+    assert np.allclose(got, [brute_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_long_texts_reach_the_fit(spark, docs_of):
+    rows = [(i, "word1 " * 9000 + ("vileone " if y else "calm "), y) for i, y in enumerate([0, 1] * 6)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    net = toxicity.train(docs_of(*[(i, t) for i, t, _ in rows]), labels, thresholds=False)
+    a, b = (r.score for r in toxicity.score(docs_of((1, "vileone"), (2, "calm")), net).orderBy("doc_id").collect())
+    assert a > b
+
+
+def test_clashing_columns_stay(spark, docs_of):
+    rows = sample(60)
+    docs = docs_of(*[(i, t) for i, t, _ in rows]).selectExpr("*", "'mine' AS score", "doc_id AS toxic")
+    net = toxicity.train(docs.drop("toxic"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = toxicity.score(docs, net, into="__t")
+    assert got.columns == [*docs.columns, "__t"] and all(r.score == "mine" for r in got.collect())
 
 
 def test_thresholds_are_set_on_every_labelled_row(spark, docs_of, monkeypatch):
