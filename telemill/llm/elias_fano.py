@@ -1,9 +1,8 @@
-"""An n-gram trie whose levels are Elias-Fano coded and read through a memory map."""
+"""An n-gram trie of Elias-Fano coded levels that are searched as they are coded."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import mmap
 
 import numpy as np
 
@@ -17,103 +16,155 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.clip(code, 1, 65535), 0).astype(np.uint16)
 
 
+_RESTORED = np.concatenate([[0.0], 10.0 ** (-np.arange(65535) / STEP)])
+
+
 def restored(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** (-(code.astype(np.float64) - 1) / STEP), 0.0)
+    return _RESTORED[code]
+
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits of each value, one after the other from the least bit on, and room for a read past the end."""
+    out = np.zeros((-(-len(values) // 8), width), dtype=np.uint8)
+    eight = np.zeros(8 * len(out), dtype=np.uint64)
+    eight[: len(values)] = values
+    eight = eight.reshape(-1, 8)
+    for k in range(8 if width else 0):
+        first, shift = divmod(k * width, 8)
+        x = eight[:, k] << np.uint64(shift)
+        for b in range((shift + width + 7) // 8):
+            out[:, first + b] |= (x >> np.uint64(8 * b)).astype(np.uint8)
+    return np.concatenate([out.reshape(-1), np.zeros(8, dtype=np.uint8)])
 
-def encode(values: np.ndarray) -> bytes:
-    """A sequence that never falls: low bits in whole bytes, high parts in unary."""
+
+def encode(values: np.ndarray) -> np.ndarray:
+    """A sequence of non-negative numbers that never falls, as bytes: its size, low bits packed, high parts in unary."""
     n = len(values)
     top = int(values[-1]) if n else 0
-    low = 0
-    while n and low < 32 and top >> low > n:
-        low += 8
+    low = max(0, (top // n).bit_length() - 1) if n else 0
     high = (values >> low).astype(np.int64)
-    ones = np.zeros(n + (int(high[-1]) if n else 0) + 1, dtype=np.uint8)
+    size = n + (int(high[-1]) if n else 0) + 1
+    ones = np.zeros(-(-size // 64) * 64, dtype=np.uint8)
     ones[high + np.arange(n)] = 1
-    lows = b"".join((values >> s & 255).astype(np.uint8).tobytes() for s in range(0, low, 8))
-    bits = np.packbits(ones).tobytes()
-    return np.array([n, low, len(ones), len(bits)], dtype=np.int64).tobytes() + lows + bits
+    lows = _packed(values & ((1 << low) - 1), low)
+    lows = np.concatenate([lows, np.zeros(-len(lows) % 8, dtype=np.uint8)])
+    head = np.array([n, low, len(lows), len(ones) // 8], dtype=np.int64)
+    return np.concatenate([head.view(np.uint8), lows, np.packbits(ones, bitorder="little")])
+
+
+def _select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one (from 0) in each word."""
+    words, k, at = words.copy(), k.astype(np.int64), np.zeros(len(words), dtype=np.int64)
+    for half in (32, 16, 8, 4, 2, 1):
+        here = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.int64)
+        up = k >= here
+        k -= np.where(up, here, 0)
+        at += np.where(up, half, 0)
+        words >>= np.where(up, half, 0).astype(np.uint64)
+    return at
 
 
 class Sequence:
-    """A coded sequence in a memory map, decoded once by whoever searches it."""
+    """A coded sequence; beside the code it keeps one number for each 64 bits of the unary part."""
 
     def __init__(self, raw: np.ndarray):
-        self.n, low, size, packed = (int(x) for x in np.frombuffer(raw[:32].tobytes(), dtype=np.int64))
-        at = 32 + self.n * (low // 8)
-        self.end = at + packed
-        self.values = (np.flatnonzero(np.unpackbits(raw[at : self.end], count=size)) - np.arange(self.n)) << low
-        for k in range(low // 8):
-            self.values |= raw[32 + k * self.n : 32 + (k + 1) * self.n].astype(np.int64) << (8 * k)
+        self.n, self.low, lows, bits = (int(x) for x in raw[:32].view(np.int64))
+        self.end = 32 + lows + bits
+        # a word at every byte, so that the low bits of any element are inside one
+        self._lows = np.ndarray((lows - 7,), dtype="<u8", buffer=raw.data, offset=32, strides=(1,))
+        self._words = raw[32 + lows : self.end].view("<u8")
+        self._ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self._words), dtype=np.int64)])
+        self._zeros = 64 * np.arange(len(self._ones), dtype=np.int64) - self._ones
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i * self.low
+        return (self._lows[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.low) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        return self.values[i]
-
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Where the first element of at least x stands (n: nowhere)."""
-        return np.searchsorted(self.values, x)
+        word = np.searchsorted(self._ones, i, side="right") - 1
+        place = 64 * word + _select(self._words[word], i - self._ones[word])
+        return (place - i) << self.low | self._low(i)
+
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the first element of at least x stands, n: nowhere; whether it is x)."""
+        high, low = x >> self.low, x & ((1 << self.low) - 1)
+        out, same = np.full(len(x), self.n, dtype=np.int64), np.zeros(len(x), dtype=bool)
+        open_ = np.flatnonzero(high < self._zeros[-1])
+        h = high[open_]
+        # the elements of a high part stand behind the zero that ends the one before
+        place, some = np.zeros(len(h), dtype=np.int64), np.flatnonzero(h > 0)
+        zero = h[some] - 1
+        word = np.searchsorted(self._zeros, zero, side="right") - 1
+        place[some] = 64 * word + _select(~self._words[word], zero - self._zeros[word]) + 1
+        at = place - h
+        while len(open_):
+            inside = (self._words[np.minimum(place >> 6, len(self._words) - 1)] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            own = np.where(inside, self._low(np.minimum(at, max(self.n - 1, 0))), 0) if self.n else np.zeros(len(at), dtype=np.int64)
+            less = inside & (own < low[open_])
+            done = ~less
+            out[open_[done]] = at[done]
+            same[open_[done]] = inside[done] & (own[done] == low[open_[done]])
+            open_, place, at = open_[less], place[less] + 1, at[less] + 1
+        return out, same
 
 
 class Trie:
     """Levels of word ids; each node's children follow each other and are searched relative to it.
 
-    A level's sequence holds, for every child, its word id plus its parent's
-    base, which is one more than the last element of the parent before.
+    A level has two sequences: for every node of the level above where its
+    children begin, and for every child its word id plus its parent's base,
+    which is one more than the last element of the parent before.  The levels
+    stand in a memory map without a file; nothing of them is decoded whole.
     """
 
-    def __init__(self, path: str, depth: int):
-        raw = np.memmap(path, dtype=np.uint8, mode="r")
-        self.ids, self.pointers = [], []
-        at = 0
-        for _ in range(depth):
-            for out in (self.pointers, self.ids):
-                out.append(Sequence(raw[at:]))
-                at += out[-1].end
-        n = self.ids[-1].n
-        self.codes = raw[at : at + 2 * n].view(np.uint16) if n else np.zeros(0, dtype=np.uint16)
-
-    @staticmethod
-    def write(path: str, keys: np.ndarray, codes: np.ndarray) -> None:
-        """keys: (n, depth) word ids, sorted and distinct; codes: a quantised probability for each."""
+    def __init__(self, keys: np.ndarray):
+        """keys: (n, depth) word ids, sorted and distinct."""
         n, depth = keys.shape
-        with open(path, "wb") as f:
-            parent = np.zeros(n, dtype=np.int64)  # of each row, its node one level up
-            parents = 1
-            for j in range(depth):
-                new = np.ones(n, dtype=bool)
-                new[1:] = (parent[1:] != parent[:-1]) | (keys[1:, j] != keys[:-1, j])
-                first = np.flatnonzero(new)
-                ids, up = keys[first, j].astype(np.int64), parent[first]
-                starts = np.searchsorted(up, np.arange(parents + 1))
-                last = np.zeros(parents, dtype=np.int64)
-                full = starts[1:] > starts[:-1]
-                last[full] = ids[starts[1:][full] - 1] + 1
-                base = np.concatenate([[0], np.cumsum(last)[:-1]])
-                f.write(encode(starts))
-                f.write(encode(ids + base[up]))
-                parent, parents = np.cumsum(new) - 1, len(first)
-            f.write(codes.astype(np.uint16).tobytes())
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Node of each row of word ids on the last level, -1 for none."""
-        node = np.zeros(len(keys), dtype=np.int64)
-        for j in range(keys.shape[1]):
-            ids, pointers = self.ids[j], self.pointers[j]
+        parts: list[np.ndarray] = []
+        parent, parents = np.zeros(n, dtype=np.int64), 1  # of each row, its node one level up
+        for j in range(depth):
+            new = np.ones(n, dtype=bool)
+            new[1:] = (parent[1:] != parent[:-1]) | (keys[1:, j] != keys[:-1, j])
+            first = np.flatnonzero(new)
+            ids, up = keys[first, j].astype(np.int64), parent[first]
+            starts = np.searchsorted(up, np.arange(parents + 1))
+            last = np.zeros(parents, dtype=np.int64)
+            full = starts[1:] > starts[:-1]
+            last[full] = ids[starts[1:][full] - 1] + 1
+            base = np.concatenate([[0], np.cumsum(last)[:-1]])
+            parts += [encode(starts), encode(ids + base[up])]
+            parent, parents = np.cumsum(new) - 1, len(first)
+        self._map = mmap.mmap(-1, sum(map(len, parts)))
+        raw, at = np.frombuffer(self._map, dtype=np.uint8), 0
+        self.ids, self.pointers = [], []
+        for k, part in enumerate(parts):
+            raw[at : at + len(part)] = part
+            (self.pointers, self.ids)[k % 2].append(Sequence(raw[at : at + len(part)]))
+            at += len(part)
+
+    def base(self, level: int, node: np.ndarray) -> np.ndarray:
+        """What a node of the level above adds to the ids of its children."""
+        ids = self.ids[level]
+        begin = self.pointers[level].access(node)
+        return np.where(begin > 0, ids.access(np.maximum(begin - 1, 0)) + 1, 0) if ids.n else np.zeros(len(node), dtype=np.int64)
+
+    def child(self, level: int, base: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The child with this word of the node whose base is given, -1 for none.
+
+        An id beyond the node's last one may be found with a later node: see :meth:`find`.
+        """
+        at, same = self.ids[level].successor(base + word)
+        return np.where(same, at, -1)
+
+    def find(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of word ids the (base, begin, end) of its children; a context that is not there has none."""
+        node = np.zeros(len(contexts), dtype=np.int64)
+        for j in range(contexts.shape[1] + 1):
             known = np.flatnonzero(node >= 0)
-            begin, end = pointers.access(node[known]), pointers.access(node[known] + 1)
-            base = np.where(begin > 0, ids.access(np.maximum(begin - 1, 0)) + 1, 0) if ids.n else np.zeros(len(known), dtype=np.int64)
-            want = keys[known, j].astype(np.int64) + base
-            at = ids.successor(want)
-            inside = at < end
-            inside[inside] = ids.access(at[inside]) == want[inside]
-            node[known] = np.where(inside, at, -1)
-        return node
-
-
-def with_trie(keys: np.ndarray, codes: np.ndarray, use):
-    """``use(trie)`` on a trie that is written to a temporary file of the task and mapped from there."""
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "trie")
-        Trie.write(path, keys, codes)
-        return use(Trie(path, keys.shape[1]))
+            base, begin, end = (np.zeros(len(node), dtype=np.int64) for _ in range(3))
+            base[known], begin[known], end[known] = self.base(j, node[known]), self.pointers[j].access(node[known]), self.pointers[j].access(node[known] + 1)
+            if j == contexts.shape[1]:
+                return base, begin, end
+            at = self.child(j, base[known], contexts[known, j].astype(np.int64))
+            node[known] = np.where((at >= begin[known]) & (at < end[known]), at, -1)
+        raise AssertionError

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.elias_fano import quantise, restored, with_trie
-from telemill.llm.store import dropped, release, written
+from telemill.llm.elias_fano import Trie, quantise, restored
+from telemill.llm.store import dropped, written
 from telemill.llm.text import NONSPACE, mix, text_buffers, words_of
 
 ORDER = 3
@@ -197,21 +197,33 @@ class _Request:
         trained = np.bincount(gram_of[tokens.train[seen]], minlength=len(grams))
         parts = np.where(alone, 1, -(-cc // HOT))
         head_start = np.concatenate([[0], np.cumsum(parts)])
-        head_ctx = np.repeat(np.arange(len(cc)), parts)
-        head_part = np.arange(len(head_ctx)) - head_start[head_ctx]
+        split = bool((parts > 1).any())
+        head_ctx = np.repeat(np.arange(len(cc)), parts) if split else np.arange(len(cc))
         h = np.zeros(len(cc), dtype=np.uint64)
         for j in range(contexts.shape[1]):
             h = mix(h * np.uint64(31) + contexts[:, j].astype(np.uint64) + np.uint64(1))
-        head_shard = (mix(h[head_ctx] + head_part.astype(np.uint64)) % np.uint64(shards)).astype(np.int32)
+        head_part = (np.arange(len(head_ctx)) - head_start[head_ctx]).astype(np.uint64) if split else np.uint64(0)
+        # the upper half of a hash, scaled to the number of shards
+        head_shard = ((mix(h[head_ctx] + head_part) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
         head_shard[alone[head_ctx]] = shards
-        gram_head = head_start[gram_ctx] + (mix(gram_w.astype(np.uint64)) % parts[gram_ctx].astype(np.uint64)).astype(np.int64)
-        self.heads = np.argsort(head_shard, kind="stable")
-        rank = np.empty(len(self.heads), dtype=np.int32)
-        rank[self.heads] = np.arange(len(self.heads))
-        self.grams = np.argsort(rank[gram_head], kind="stable")
+        gram_head = gram_ctx.astype(np.int64)
+        if split:
+            gram_head = head_start[gram_ctx]
+            some = np.flatnonzero(parts[gram_ctx] > 1)
+            gram_head[some] += (mix(gram_w[some].astype(np.uint64)) % parts[gram_ctx[some]].astype(np.uint64)).astype(np.int64)
+        self.heads = np.argsort(head_shard.astype(np.uint16) if shards < 1 << 16 else head_shard, kind="stable")
+        children = np.bincount(gram_head, minlength=len(self.heads))
+        self.children = children[self.heads]
+        ends = np.cumsum(self.children)
+        if split:
+            rank = np.empty(len(self.heads), dtype=np.int32)
+            rank[self.heads] = np.arange(len(self.heads))
+            self.grams = np.argsort(rank[gram_head], kind="stable")
+        else:  # a head's n-grams follow each other, as they are sorted by context
+            first = np.concatenate([[0], np.cumsum(children)])[self.heads]
+            self.grams = np.arange(len(grams)) + np.repeat(first - (ends - self.children), self.children)
         self.head_cut = np.searchsorted(head_shard[self.heads], np.arange(shards + 2))
-        self.children = np.bincount(rank[gram_head], minlength=len(self.heads))
-        self.gram_cut = np.concatenate([[0], np.cumsum(self.children)])[self.head_cut]
+        self.gram_cut = np.concatenate([[0], ends])[self.head_cut]
         self.seen, self.gram_of, self.ctx, self.head_ctx, self.n_ctx = seen, gram_of, ctx, head_ctx, len(cc)
         self.contexts, self.cc = contexts[head_ctx[self.heads]], cc[head_ctx[self.heads]]
         self.w, self.counts = gram_w[self.grams], trained[self.grams]
@@ -233,10 +245,15 @@ class _Request:
         for name in [x for x in vars(self) if x not in ("full", "columns")]:
             delattr(self, name)
 
-    def own_answer(self, order: int, discount: float) -> tuple[bytes, bytes, bytes] | None:
-        """The answer to what no shard was asked."""
-        s = len(self.head_cut) - 2
-        return _answer([self._message(s)], order, discount)[0] if self.head_cut[s + 1] > self.head_cut[s] else None
+    def own_answer(self, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(alpha, counts, gamma) of what no shard was asked: these contexts are of this block alone."""
+        a, x = self.head_cut[-2], self.gram_cut[-2]
+        cc, children, counts = self.cc[a:], self.children[a:], self.counts[x:]
+        head = np.repeat(np.arange(len(cc)), children)
+        known = counts > 0
+        alpha = np.zeros(len(counts), dtype=np.uint16)
+        alpha[known] = quantise((counts[known] - discount) / cc[head[known]])
+        return alpha, _marked(counts, np.ones(len(counts), dtype=bool)), quantise(discount * np.bincount(head[known], minlength=len(cc)) / cc)
 
     def spread(self, alpha: np.ndarray, counts: np.ndarray, gamma: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(alpha, gamma, count of the n-gram, whether only this block has it) of each of n tokens, from the answers in a row."""
@@ -286,7 +303,7 @@ def _parts(raw: bytes) -> list[bytes]:
 
 
 def _answer(messages: list[bytes], order: int, discount: float) -> list[tuple[bytes, bytes, bytes]]:
-    """A shard's answers (alpha, counts, gamma): the trie of all training n-grams of its contexts, searched for each block's n-grams."""
+    """A shard's answers (alpha, counts, gamma): a trie of all training n-grams of its contexts is built, then searched for each block's n-grams."""
     heads, given, kids, words, trained = [], [], [], [], []
     for raw in messages:
         parts = [unpack(x) for x in _parts(raw)]
@@ -298,36 +315,37 @@ def _answer(messages: list[bytes], order: int, discount: float) -> list[tuple[by
         words.append(_from_gaps(gaps, kids[-1]))
         trained.append(counts)
     contexts, total, children = np.concatenate(heads), np.concatenate(given).astype(np.int64), np.concatenate(kids)
+    sizes = [len(h) for h in heads]
+    del heads
     key = contexts[:, 0].astype(np.uint64)
     for j in range(1, contexts.shape[1]):
         _, key = np.unique(key, return_inverse=True)
         key = key.astype(np.uint64) << np.uint64(32) | contexts[:, j].astype(np.uint64)
     _, first, ctx = np.unique(key, return_index=True, return_inverse=True)
-    gram_ctx, w = np.repeat(ctx, children), np.concatenate(words)
-    grams, where = np.unique(gram_ctx.astype(np.uint64) << np.uint64(32) | w.astype(np.uint64), return_inverse=True)
-    counts = np.bincount(where, np.concatenate(trained), len(grams)).astype(np.int64)
-    asked_by = np.bincount(where, minlength=len(grams))  # blocks, as each sends an n-gram once
-    marked = _marked(counts, asked_by == 1)
+    contexts, total = contexts[first], total[first]
+    grams = np.repeat(ctx, children).astype(np.uint64) << np.uint64(32) | np.concatenate(words).astype(np.uint64)
+    by = np.argsort(grams)
+    grams = grams[by]
+    new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, dtype=np.int64)
+    grams, counts = grams[new], np.add.reduceat(np.concatenate(trained)[by].astype(np.int64), new) if len(new) else np.zeros(0, dtype=np.int64)
+    marked = _marked(counts, np.diff(np.append(new, len(by))) == 1)[counts > 0]  # each block sends an n-gram once
     grams, counts = grams[counts > 0], counts[counts > 0]
     at = (grams >> np.uint64(32)).astype(np.int64)
-    keys = np.concatenate([contexts[first][at], (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)[:, None]], axis=1)
-    cc = total[first]
-    gamma = quantise(discount * np.bincount(at, minlength=len(first)) / cc)
-
-    def use(trie) -> list[tuple[bytes, bytes, bytes]]:
-        out = []
-        asked = np.concatenate([np.repeat(contexts, children, axis=0), w[:, None]], axis=1)
-        node = np.concatenate([trie.find(asked[i : i + 500_000]) for i in range(0, len(asked), 500_000)]) if len(asked) else np.zeros(0, dtype=np.int64)
-        alpha = np.where(node >= 0, trie.codes[np.maximum(node, 0)] if len(grams) else 0, 0).astype(np.uint16)
-        known = marked[where]
-        a = b = 0
-        for h, k in zip(heads, kids):
-            x, y = len(h), int(k.sum())
-            out.append((pack(alpha[b : b + y]), pack(known[b : b + y]), pack(gamma[ctx[a : a + x]])))
-            a, b = a + x, b + y
-        return out
-
-    return with_trie(keys, quantise((counts - discount) / cc[at]), use)
+    trie = Trie(np.concatenate([contexts[at], (grams & np.uint64(0xFFFFFFFF)).astype(np.int64)[:, None]], axis=1))
+    alpha, gamma = quantise((counts - discount) / total[at]), quantise(discount * np.bincount(at, minlength=len(first)) / total)
+    del grams, counts, at, by, new
+    base, _, end = trie.find(contexts)
+    out, level, a = [], trie.ids[-1], 0
+    for n, k, w in zip(sizes, kids, words):
+        own = ctx[a : a + n]
+        node, same = level.successor(np.repeat(base[own], k) + w)
+        same &= node < np.repeat(end[own], k)
+        node = node[same]
+        codes, known = np.zeros(len(w), dtype=np.uint16), np.zeros(len(w), dtype=np.uint64)
+        codes[same], known[same] = alpha[node], marked[node]
+        out.append((pack(codes), pack(known), pack(gamma[own])))
+        a += n
+    return out
 
 
 def _gram_exchange(requests: DataFrame, order: int, discount: float) -> DataFrame:
@@ -379,7 +397,6 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
     shards = max(4, -(-n_tokens // shard_ngrams))
     words = written(_word_exchange(table, shards), "lm-words")
     v = (words.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]) + (n_docs > 0)
-    release(spark)
     state_row = _rows(" ".join(x.split()[0] for x in _STATE.split(", ")), [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4])
     d1 = discounts[1]
 
@@ -404,10 +421,9 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
         for k in range(2, upto + 1):
             request = _Request(t, k, request, count, only, shards)
             parts = [(x.get("alpha"), x["counts"], x.get("gamma")) for x in sorted(r[f"answers{k}"] or [], key=lambda x: x["shard"])]
-            own = request.own_answer(k, discount_of(k))
-            parts += [own] if own else []
-            del own
             alpha, known, gamma = ([unpack(x[i]) if x[i] is not None else None for x in parts] for i in (0, 1, 2))
+            for got, own in zip((alpha, known, gamma), request.own_answer(discount_of(k))):
+                got.append(own)
             n_grams, n_heads = len(request.grams), len(request.heads)
             if any(x is None for x in alpha):  # only counts were asked for
                 alpha, gamma = [np.zeros(n_grams, np.uint16)], [np.zeros(n_heads, np.uint16)]
@@ -449,14 +465,12 @@ def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, f
     state = written(_joined(kept, words, "words", "counts", "ids").mapInArrow(first_state, _STATE), "lm-state")
     dropped(table)
     dropped(words)
-    release(spark)
     answers: dict[int, DataFrame] = {}
     for k in range(2, order + 1):
         seen = state
         for j, rows in answers.items():
             seen = _joined(seen, rows, f"answers{j}", "counts")
         answers[k] = written(_gram_exchange(seen.mapInArrow(asker(k), "shard int, block long, message binary"), k, discount_of(k)), "lm-answers")
-        release(spark)
     full = state
     for j, rows in answers.items():
         full = _joined(full, rows, f"answers{j}", "alpha", "counts", "gamma")
