@@ -17,12 +17,12 @@ from telemill.llm.store import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below their language's threshold."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).where(~toxicity.rejected(net)).select(*docs.columns)
+    return toxicity.score(docs, net, into="__toxicity").where(~toxicity.rejected(net, scores="__toxicity")).drop("__toxicity")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text stays below their language's threshold."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    return quality.verdicts(docs, table(spark, sf_dir, "labels"), "__verdict").where("__verdict.keep").drop("__verdict")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
