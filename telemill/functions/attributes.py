@@ -40,11 +40,13 @@ def variant_bool(v: Column, name: str) -> Column:
 
 
 def string_like(v: Column, name: str) -> Column:
-    """Text of a string, number or boolean attribute; numbers without an exponent."""
-    text = F.try_variant_get(v, f"$['{name}']", "string")
-    number = text.try_cast("decimal(38,10)")
-    plain = F.regexp_replace(number.cast("string"), r"\.?0+$", "")
-    return F.when(text.rlike(r"^-?[0-9.]+[eE][-+]?[0-9]+$"), F.coalesce(F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(plain), text)).otherwise(text)
+    """Text of a string, number or boolean attribute; numbers without an exponent and without closing zeros."""
+    path = f"$['{name}']"
+    text = F.try_variant_get(v, path, "string")
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    plain = F.when(text.rlike("[eE]"), F.coalesce(text.try_cast("decimal(38,10)").cast("string"), text)).otherwise(text)
+    short = F.when(plain.rlike(r"^-?[0-9]+\.[0-9]*$"), F.regexp_replace(plain, r"\.?0*$", "")).otherwise(plain)
+    return F.when(kind.isin("STRING", "BOOLEAN"), text).otherwise(short)
 
 
 def clean_text(c: Column) -> Column:

@@ -8,17 +8,19 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.percentiles import order_statistics, percentiles, rounded
 from telemill.operators import filters
 from telemill.operators.rollups import bucket_list
 from telemill.schemas import MONEY
 
-#: Metrics of a series, as sums of rollup columns.
+#: Metrics of a series, as sums of rollup columns.
 METRICS = {
     "cost": ["cost_reported_usd", "cost_estimated_usd"],
     "tokens": ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"],
     "loc": ["loc_added", "loc_removed"],
     **{m: [m] for m in ("sessions_started", "turns", "api_requests", "api_errors", "tool_calls", "tool_rejects", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "active_seconds", "commits", "pull_requests")},
 }
+#: What a model filter may apply to, and sums that belong to no model or to one.
 MODEL_METRICS = ("cost", "tokens", "api_requests", "api_errors")
 NOT_ATTRIBUTABLE = ["sessions_started", "turns", "tool_calls", "tool_rejects", "loc_added", "loc_removed", "active_seconds"]
 ATTRIBUTABLE = ["api_requests", "api_errors", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cost_reported_usd", "cost_estimated_usd"]
@@ -169,11 +171,13 @@ def decision_matrix(tool_calls: DataFrame, sessions: DataFrame, q: Query) -> Dat
     """Decisions of each tool; exact_share is 1 where nothing is decided, percentiles of the wait are null without one."""
     decided = F.col("decision").isin("accept", "reject")
     exact = decided & (F.col("correlation") == "exact")
-    wait = lambda p: F.round(F.percentile("wait_ms", p)).cast("long")
-    return _calls(tool_calls, sessions, q).groupBy("tool_name").agg(
+    calls = _calls(tool_calls, sessions, q)
+    counts = calls.groupBy("tool_name").agg(
         F.count_if(F.col("decision") == "accept").alias("accept"), F.count_if(F.col("decision") == "reject").alias("reject"), F.count_if(decided).alias("decided"),
-        F.when(F.count_if(decided) > 0, F.count_if(exact) / F.count_if(decided)).otherwise(1.0).alias("exact_share"), wait(0.5).alias("wait_p50_ms"), wait(0.95).alias("wait_p95_ms"),
+        F.when(F.count_if(decided) > 0, F.count_if(exact) / F.count_if(decided)).otherwise(1.0).alias("exact_share"),
     )
+    waits = percentiles(calls, ["tool_name"], "wait_ms", {"p50": 0.5, "p95": 0.95})
+    return counts.join(waits, "tool_name", "left").select("tool_name", "accept", "reject", "decided", "exact_share", rounded("p50").alias("wait_p50_ms"), rounded("p95").alias("wait_p95_ms"))
 
 
 def decisions_by_source(tool_calls: DataFrame, sessions: DataFrame, q: Query) -> DataFrame:
@@ -212,7 +216,7 @@ def cost_bands(sessions: DataFrame) -> DataFrame:
     """(session_id, cost, band): from p90 on critical, from p75 on warn; none where all costs are equal."""
     cost = F.col("cost_usd").cast("double") + F.col("cost_estimated_usd").cast("double")
     base = sessions.select("session_id", cost.alias("cost"))
-    edges = base.agg(F.percentile("cost", 0.75).alias("p75"), F.percentile("cost", 0.9).alias("p90"), F.min("cost").alias("lo"), F.max("cost").alias("hi"))
+    edges = order_statistics(base, "cost", {"p75": 0.75, "p90": 0.9})
     out = base.join(F.broadcast(edges), F.lit(True))  # one row
     return out.select("session_id", "cost", F.when(F.col("lo") == F.col("hi"), "none").when(F.col("cost") >= F.col("p90"), "critical").when(F.col("cost") >= F.col("p75"), "warn").otherwise("none").alias("band"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.attributes import attr
+from telemill.functions.percentiles import percentiles, rounded
 from telemill.operators import filters
 from telemill.operators.analytics import estimated_share
 
@@ -75,14 +76,11 @@ def mode_history(events: DataFrame) -> DataFrame:
     return events.where(F.col("kind") == "permission.mode_changed").select("session_id", "ts", "seq", attr("attrs", "from_mode").alias("from_mode"), attr("attrs", "to_mode").alias("to_mode"), attr("attrs", "trigger").alias("trigger"))
 
 
-def _percentile(column: str, p: float) -> Column:
-    """Interpolated, then rounded half away from zero; null without values."""
-    return F.round(F.percentile(column, p)).cast("long")
-
-
 def top_tools(tool_calls: DataFrame, limit: int = 10) -> DataFrame:
     """Each session's most called tools: calls, rejects, median duration."""
-    each = tool_calls.groupBy("session_id", "tool_name").agg(F.count("*").alias("calls"), F.count_if(F.col("decision") == "reject").alias("rejects"), _percentile("duration_ms", 0.5).alias("p50_ms"))
+    keys = ["session_id", "tool_name"]
+    each = tool_calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.count_if(F.col("decision") == "reject").alias("rejects"))
+    each = each.join(percentiles(tool_calls, keys, "duration_ms", {"p50": 0.5}), keys, "left").select(*keys, "calls", "rejects", rounded("p50").alias("p50_ms"))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("calls"), "tool_name"))
     return each.withColumn("place", place).where(F.col("place") <= limit)
 
@@ -107,9 +105,11 @@ def sources_seen(events: DataFrame) -> DataFrame:
 def session_hook_latency(events: DataFrame) -> DataFrame:
     """Each session's hook runs: number, p50, p95, and medians by hook event without the events that have none."""
     runs = events.where(F.col("kind") == "hook.execution_end").withColumn("hook_event", F.coalesce(attr("attrs", "hook_event"), F.lit("")))
-    total = runs.groupBy("session_id").agg(F.count("*").alias("executions"), _percentile("duration_ms", 0.5).alias("p50_ms"), _percentile("duration_ms", 0.95).alias("p95_ms"))
-    by = runs.groupBy("session_id", "hook_event").agg(_percentile("duration_ms", 0.5).alias("p50")).where(F.col("p50").isNotNull())
-    return total.join(by.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("hook_event", "p50")))).alias("p50_by_hook_event")), "session_id", "left")
+    total = runs.groupBy("session_id").agg(F.count("*").alias("executions"))
+    each = percentiles(runs, ["session_id"], "duration_ms", {"p50": 0.5, "p95": 0.95})
+    by = percentiles(runs, ["session_id", "hook_event"], "duration_ms", {"p50": 0.5}).select("session_id", F.struct("hook_event", rounded("p50").alias("p50")).alias("e"))
+    medians = by.groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("p50_by_hook_event"))  # one for each hook event
+    return total.join(each, "session_id", "left").join(medians, "session_id", "left").select("session_id", "executions", rounded("p50").alias("p50_ms"), rounded("p95").alias("p95_ms"), "p50_by_hook_event")
 
 
 def raw_expired(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -166,6 +166,14 @@ def events_since(events: DataFrame, start, position: tuple | None = None, limit:
     return out.orderBy("ts", "seq").limit(limit)
 
 
+def event_scan(events: DataFrame, position: tuple | None = None, sessions: DataFrame | None = None) -> DataFrame:
+    """All events after (ts, seq), of the given sessions or of all: what a rebuild folds.  Folds order inside their groups, so rows come in no order."""
+    out = events
+    if position is not None:
+        out = out.where((F.col("ts") > F.lit(position[0])) | (F.col("ts") == F.lit(position[0])) & (F.col("seq") > F.lit(position[1])))
+    return out if sessions is None else out.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+
+
 def tool_call_list(tool_calls: DataFrame, sessions: DataFrame, f: filters.ToolCallFilter, position: tuple | None = None, limit: int | None = None) -> DataFrame:
     """Tool calls, the latest first."""
     out = filters.tool_calls(tool_calls, sessions, f)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions.percentiles import order_statistics
 
-def first_of_key(rows: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """One row for each key: the earliest."""
+def first_of_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key (dedup_key unless others are named): the earliest."""
     names = rows.columns
-    return rows.groupBy(key).agg(F.min_by(F.struct(*names), F.struct("ts", *[c for c in ("seq", "event_name", "session_id", "name") if c in names])).alias("r")).select("r.*")
+    return rows.groupBy(*(keys or ("dedup_key",))).agg(F.min_by(F.struct(*names), F.struct("ts", *[c for c in ("seq", "event_name", "session_id", "name") if c in names])).alias("r")).select("r.*")
 
 
 def months_between(spark, oldest, now, ahead: int = 2) -> DataFrame:
@@ -73,7 +74,9 @@ def ingest_lag(events: DataFrame, edges: tuple[float, ...] = (1, 5, 30, 60, 300,
     """One row: percentiles of the seconds from event to receipt, and how many are within each edge."""
     lag = (F.unix_micros("ingested_at") - F.unix_micros("ts")) / 1_000_000
     base = events.select(lag.alias("lag"))
-    return base.agg(*[F.round(F.percentile("lag", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)], *[F.count_if(F.col("lag") <= e).alias(f"le_{e}") for e in edges], F.count("*").alias("n"))
+    edges_of = order_statistics(base, "lag", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    counts = base.agg(*[F.count_if(F.col("lag") <= e).alias(f"le_{e}") for e in edges], F.count("*").alias("n"))
+    return edges_of.select(*[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")]).join(counts, F.lit(True))  # one row each
 
 
 def by_source(events: DataFrame) -> DataFrame:

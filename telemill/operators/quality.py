@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.attributes import attr
+from telemill.functions.percentiles import percentiles, rounded
 from telemill.schemas import KIND_GROUPS
 
 
@@ -46,11 +47,11 @@ def unknown_kinds(events: DataFrame, since=None, limit: int = 500) -> DataFrame:
 
 def hook_latency(events: DataFrame) -> DataFrame:
     """Hook runs by hook event: number, percentiles (0 without a duration), errors, cancelled runs."""
-    p = lambda q: F.coalesce(F.round(F.percentile("duration_ms", q)).cast("long"), F.lit(0))
     cancelled = attr("attrs", "num_cancelled").try_cast("long") > 0
-    return events.where(F.col("kind") == "hook.execution_end").groupBy(F.coalesce(attr("attrs", "hook_event"), F.lit("")).alias("hook_event")).agg(
-        F.count("*").alias("executions"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"), F.count_if(~F.col("success")).alias("errors"), F.count_if(cancelled).alias("cancelled")
-    )
+    runs = events.where(F.col("kind") == "hook.execution_end").withColumn("hook_event", F.coalesce(attr("attrs", "hook_event"), F.lit("")))
+    counts = runs.groupBy("hook_event").agg(F.count("*").alias("executions"), F.count_if(~F.col("success")).alias("errors"), F.count_if(cancelled).alias("cancelled"))
+    each = percentiles(runs, ["hook_event"], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return counts.join(each, "hook_event", "left").select("hook_event", "executions", *[F.coalesce(rounded(c), F.lit(0)).alias(c) for c in ("p50_ms", "p95_ms", "p99_ms")], "errors", "cancelled")
 
 
 def unknown_total(unknown: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.attributes import attr
+from telemill.functions.percentiles import rounded
 from telemill.operators.pricing import resolve_prices, token_cost
 from telemill.schemas import COSTS, EVENT_COUNTERS, MEASURES, METRIC_COUNTERS, MONEY, ROLLUP_KEY
 
@@ -16,10 +17,15 @@ def hour(c: str) -> Column:
     return F.date_trunc("hour", F.col(c))
 
 
+def with_home(rows: DataFrame, sessions: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with columns of their session, null where the session is not known."""
+    return rows.join(sessions.select("session_id", *columns), "session_id", "left")
+
+
 def event_rollup(events: DataFrame, sessions: DataFrame) -> DataFrame:
     """Counters of each hour, project, vendor and model, with the tokens of requests that came without a cost."""
     request = F.col("kind") == "llm.request"
-    rows = events.join(sessions.select("session_id", "project"), "session_id", "left")
+    rows = with_home(events, sessions, "project")
     count = lambda kind: F.count_if(F.col("kind") == kind)
     total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
     return rows.groupBy(hour("ts").alias("bucket"), F.coalesce("project", F.lit("")).alias("project"), "vendor", F.coalesce("model", F.lit("")).alias("model")).agg(
@@ -32,7 +38,7 @@ def event_rollup(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def tool_rollup(tool_calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """Calls and rejects of each hour of their start, project and vendor."""
-    rows = tool_calls.join(sessions.select("session_id", "project", "vendor"), "session_id", "left")
+    rows = with_home(tool_calls, sessions, "project", "vendor")
     return rows.groupBy(hour("started_at").alias("bucket"), F.coalesce("project", F.lit("")).alias("project"), F.coalesce("vendor", F.lit("unknown")).alias("vendor")).agg(
         F.count("*").alias("tool_calls"), F.count_if(F.col("decision") == "reject").alias("tool_rejects")
     )
@@ -58,8 +64,12 @@ def with_estimates(rows: DataFrame, prices: DataFrame) -> DataFrame:
 
 def hourly_events(events: DataFrame, tool_calls: DataFrame, sessions: DataFrame, prices: DataFrame) -> DataFrame:
     """The hourly rollup of source ``event``."""
-    out = with_estimates(merged_rollup(event_rollup(events, sessions), tool_rollup(tool_calls, sessions)), prices)
-    return _complete(out, "event")
+    return hourly_of(merged_rollup(event_rollup(events, sessions), tool_rollup(tool_calls, sessions)), prices)
+
+
+def hourly_of(merged: DataFrame, prices: DataFrame) -> DataFrame:
+    """The hourly rollup from the merged counters, which are read more than once: store them first."""
+    return _complete(with_estimates(merged, prices), "event")
 
 
 def _complete(rows: DataFrame, source: str) -> DataFrame:
@@ -113,9 +123,9 @@ WITH_MODEL = ["claude_code.cost.usage", "claude_code.token.usage"]
 
 def hourly_metrics(samples: DataFrame, sessions: DataFrame) -> DataFrame:
     """The hourly rollup of source ``metric``; counts are rounded sample by sample, cost is not."""
-    rows = sample_deltas(samples).where(F.col("name").isin(*{m[0] for m in METRICS})).join(sessions.select("session_id", "project"), "session_id", "left")
+    rows = with_home(sample_deltas(samples).where(F.col("name").isin(*{m[0] for m in METRICS})), sessions, "project")
     model = F.when(F.col("name").isin(*WITH_MODEL), F.coalesce(attr("attrs", "model"), F.lit(""))).otherwise("")
-    whole = F.when(F.col("delta") >= 0, F.floor(F.col("delta") + 0.5)).otherwise(F.ceil(F.col("delta") - 0.5)).cast("long")
+    whole = rounded("delta")
     sums = []
     for name, key, value, column in METRICS:
         hit = F.col("name") == name

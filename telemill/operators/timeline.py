@@ -25,13 +25,21 @@ def groups_of_moments(events: DataFrame, merge_ms: int = MERGE_MS) -> DataFrame:
     events with a skewed clock stay alone.  A group is anchored at its first
     member, so a chain of close events does not grow without end.
     """
-    rows = events.withColumn("__key", correlation_key())
-    alone = rows.where(F.col("clock_skewed")).withColumn("moment", F.col("seq")).drop("__key")
-    rest = rows.where(~F.col("clock_skewed"))
-    slim = rest.select("session_id", "kind", "__key", F.unix_micros("ts").alias("at"), "vendor_seq", "seq")
+    alone = events.where(F.col("clock_skewed")).withColumn("moment", F.col("seq"))
+    own = Window.partitionBy("session_id", "kind", "__key")
+    order = own.orderBy("__at", F.col("vendor_seq").isNull(), "vendor_seq", "seq")
+    rest = events.where(~F.col("clock_skewed")).withColumns({"__key": correlation_key(), "__at": F.unix_micros("ts")})
+    # a gap above the limit starts an island; only islands that are longer than the limit have to be walked
+    gap = F.col("__at") - F.lag("__at").over(order) > merge_ms * 1000
+    rest = rest.withColumn("__gap", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("__island", F.sum("__gap").over(order))
+    island = Window.partitionBy("session_id", "kind", "__key", "__island")
+    first = F.first("seq").over(island.orderBy("__at", F.col("vendor_seq").isNull(), "vendor_seq", "seq"))
+    rest = rest.withColumns({"__first": first, "__long": F.max("__at").over(island) - F.min("__at").over(island) > merge_ms * 1000})
+    columns = events.columns
+    short = rest.where(~F.col("__long")).select(*columns, F.col("__first").alias("moment"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Events of one session, kind and key."""
+        """One island."""
         pdf = pdf.assign(last=pdf["vendor_seq"].isna()).sort_values(["at", "last", "vendor_seq", "seq"])
         out, anchor, first = [], None, None
         for at, seq in zip(pdf["at"].tolist(), pdf["seq"].tolist()):
@@ -40,8 +48,10 @@ def groups_of_moments(events: DataFrame, merge_ms: int = MERGE_MS) -> DataFrame:
             out.append((seq, first))
         return pd.DataFrame(out, columns=["seq", "moment"])
 
-    found = slim.groupBy("session_id", "kind", "__key").applyInPandas(walk, "seq long, moment long")
-    return rest.join(found, "seq").drop("__key").select(*events.columns, "moment").unionByName(alone.select(*events.columns, "moment"))
+    long = rest.where(F.col("__long"))
+    found = long.select("session_id", "kind", "__key", "__island", F.col("__at").alias("at"), "vendor_seq", "seq").groupBy("session_id", "kind", "__key", "__island").applyInPandas(walk, "seq long, moment long")
+    walked = long.join(found, "seq").select(*columns, "moment")
+    return short.unionByName(walked).unionByName(alone.select(*columns, "moment"))
 
 
 def collapse(events: DataFrame, merge_ms: int = MERGE_MS) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
+import bisect
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.attributes import attr
@@ -63,30 +64,71 @@ def assign_keyless(rows: DataFrame, window_seconds: int = WINDOW_SECONDS, open_a
     )
     if not open_at_the_time:
         calls = calls.where(F.col("ended_at").isNull())
-    needed = loose.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys]).distinct()
-    calls = calls.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], "call_id", F.unix_micros("started_at").alias("at"), F.unix_micros("ended_at").alias("until"), "logged").join(needed, keys, "left_semi")
-    asks = loose.select(*[F.coalesce(k, F.lit("")).alias(k) for k in keys], "dedup_key", F.unix_micros("ts").alias("at"), "vendor_seq")
-
-    def match(own: pd.DataFrame, open_: pd.DataFrame) -> pd.DataFrame:
-        """One session, prompt and tool: a few calls and contributions."""
-        pool = [[r.call_id, r.at, r.until, bool(r.logged)] for r in open_.sort_values(["at", "call_id"]).itertuples()]
-        out, ordinal = [], 0
-        space = uuid.UUID(NAMESPACE)
-        own = own.assign(last=own["vendor_seq"].isna()).sort_values(["at", "last", "vendor_seq", "dedup_key"])
-        for r in own.itertuples():
-            near = [(abs(r.at - p[1]), i) for i, p in enumerate(pool) if abs(r.at - p[1]) <= window_seconds * 1_000_000 and (pd.isna(p[2]) or p[2] > r.at)]
-            if near:
-                call = pool.pop(min(near)[1])
-                out.append((r.dedup_key, call[0], call[3]))
+    place = [F.coalesce(k, F.lit("")).alias(k) for k in keys]
+    none = F.lit(None)
+    asks = loose.select(*place, F.unix_micros("ts").alias("at"), "vendor_seq", "dedup_key", "seq", none.cast("string").alias("call_id"), none.cast("long").alias("until"), F.lit(0).alias("logged"))
+    open_ = calls.select(*place, F.unix_micros("started_at").alias("at"), none.cast("long").alias("vendor_seq"), none.cast("string").alias("dedup_key"), none.cast("long").alias("seq"), "call_id", F.unix_micros("ended_at").alias("until"), "logged")
+    points = asks.unionByName(open_.join(asks.select(*keys).distinct(), keys, "left_semi"))
+    # nothing reaches over a gap longer than the window, so the stretches between gaps are walked apart
+    own = Window.partitionBy(*keys).orderBy("at")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(own) > window_seconds * 1_000_000, F.lit(True))
+    points = points.withColumn("gap", gap.cast("int")).withColumn("island", F.sum("gap").over(own)).drop("gap")
+    order = [F.col("at"), F.col("vendor_seq").isNull(), F.col("vendor_seq"), F.col("dedup_key")]
+    dealt = points.repartition(*keys, "island").sortWithinPartitions(*keys, "island", *order, "call_id")
+    found = dealt.mapInPandas(_walker(window_seconds * 1_000_000), "session_id string, prompt_id string, tool_name string, island long, dedup_key string, seq long, call_id string, opened int, place int, heuristic boolean")
+    # calls that contributions open are numbered through their session, prompt and tool
+    before = F.coalesce(F.sum("opened").over(Window.partitionBy(*keys).orderBy("island").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = (F.col("before") + F.col("place")).cast("string")
+    found = found.withColumn("before", before).select("dedup_key", "seq", F.coalesce("call_id", uuid5(F.concat_ws("|", *keys, number))).alias("call_id"), "heuristic")
+    return keyed.unionByName(loose.join(found, ["dedup_key", "seq"]).select(*keyed.columns))
+
+
+def _walker(window: int):
+    """Over rows sorted by session, prompt, tool, island and order: contributions claim calls, island by island."""
+
+    def walk(rows: list) -> list[tuple]:
+        pool = sorted((r.at, i, r.call_id, r.until, bool(r.logged), -1) for i, r in enumerate(r for r in rows if r.dedup_key is None))
+        out, opened = [], 0
+        for r in rows:
+            if r.dedup_key is None:
+                continue
+            best, start = None, bisect.bisect_left(pool, (r.at,))
+            for step, stop in ((-1, -1), (1, len(pool))):
+                k = start - 1 if step < 0 else start
+                while k != stop:
+                    p = pool[k]
+                    far = abs(r.at - p[0])
+                    if far > window or (best is not None and far > best[0]):
+                        break
+                    if (pd.isna(p[3]) or p[3] > r.at) and (best is None or (far, p[1]) < best[:2]):
+                        best = (far, p[1], k)
+                    k += step
+            if best is not None:
+                p = pool.pop(best[2])
+                out.append((*r[:3], r.island, r.dedup_key, r.seq, p[2], 0, p[5], p[4]))
             else:
-                name = str(uuid.uuid5(space, f"{r.session_id}|{r.prompt_id}|{r.tool_name}|{ordinal}"))
-                ordinal += 1
-                pool.append([name, r.at, None, False])
-                out.append((r.dedup_key, name, False))
-        return pd.DataFrame(out, columns=["dedup_key", "call_id", "heuristic"])
-
-    found = asks.groupBy(*keys).cogroup(calls.groupBy(*keys)).applyInPandas(match, "dedup_key string, call_id string, heuristic boolean")
-    return keyed.unionByName(loose.join(found, "dedup_key"))
+                bisect.insort(pool, (r.at, len(rows) + opened, None, None, False, opened))
+                out.append((*r[:3], r.island, r.dedup_key, r.seq, None, 1, opened, False))
+                opened += 1
+        return out
+
+    def run(pages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["session_id", "prompt_id", "tool_name", "island", "dedup_key", "seq", "call_id", "opened", "place", "heuristic"]
+        waiting, key = [], None
+        for page in pages:
+            done = []
+            for r in page.itertuples(index=False):
+                own = (r.session_id, r.prompt_id, r.tool_name, r.island)
+                if own != key:
+                    done += walk(waiting)
+                    waiting, key = [], own
+                waiting.append(r)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+        if waiting:
+            yield pd.DataFrame(walk(waiting), columns=names)
+
+    return run
 
 
 def fold_tool_calls(events: DataFrame, keyless: bool = True, open_at_the_time: bool = False) -> DataFrame:

@@ -28,6 +28,8 @@ from telemill.operators import tool_calls as tc
 from telemill.plans import canonical
 from telemill.plans import oracle_base as ob
 from telemill.schemas import EVENT_COUNTERS, MEASURES
+from telemill.session import configure
+from telemill.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,13 +49,19 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return canonical.table(self.spark, self.dir, name)
 
+    def stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is derived from the events of the input, as the store keeps it."""
+        return tables.stored(self.spark, name, f"{self.dir}/events.parquet", make)
+
     @cached_property
     def events(self) -> DataFrame:
-        return canonical.events(self.spark, self.dir)
+        configure(self.spark)
+        return self.stored("events", lambda: canonical.events(self.spark, self.dir))
 
     @cached_property
     def keyless_events(self) -> DataFrame:
-        return canonical.events(self.spark, self.dir, keyless=True)
+        configure(self.spark)
+        return self.stored("keyless-events", lambda: canonical.events(self.spark, self.dir, keyless=True))
 
     @cached_property
     def tool_calls(self) -> DataFrame:
@@ -83,13 +91,20 @@ class Tables:
     def samples(self) -> DataFrame:
         return canonical.metric_samples(self.spark, self.dir)
 
+    def fresh_hourly(self) -> DataFrame:
+        """The hourly rollup of events, computed from them."""
+        homes = tables.staged(self.sessions.select("session_id", "project", "vendor"), "session-homes")
+        merged = ro.merged_rollup(ro.event_rollup(self.events, homes), ro.tool_rollup(self.tool_calls, homes))
+        return ro.hourly_of(tables.staged(merged, "merged-rollup"), self.prices)
+
     @cached_property
     def hourly(self) -> DataFrame:
-        return ro.hourly_events(self.events, self.tool_calls, self.sessions, self.prices)
+        """The stored rollup, from which analytics read."""
+        return self.stored("hourly", self.fresh_hourly)
 
     @cached_property
     def hourly_metrics(self) -> DataFrame:
-        return ro.hourly_metrics(self.samples, self.sessions)
+        return self.stored("hourly-metrics", lambda: ro.hourly_metrics(self.samples, self.sessions))
 
     @cached_property
     def both(self) -> DataFrame:
@@ -97,7 +112,7 @@ class Tables:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return ro.daily(self.both)
+        return self.stored("daily", lambda: ro.daily(self.both))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -351,7 +366,7 @@ def _(t):
 
 @query("E4_estimates", with_(f"SELECT {_RALL} FROM rh", EV, TC, SE, RH))
 def _(t):
-    return t.hourly
+    return t.fresh_hourly()
 
 
 @query("E5_price_resolve", with_("SELECT model, pm.pm AS price_model, DATE_TRUNC('day', bucket)::DATE::VARCHAR AS day, (SELECT max(d)::VARCHAR FROM prices WHERE prices.pm = pm.pm AND d <= rb.bucket::DATE) AS price_date FROM rb JOIN pm USING (model) GROUP BY ALL", EV, TC, SE, RH))
@@ -390,7 +405,7 @@ def _(t):
 
 @query("E11_metric_pivot", with_(f"SELECT {_RALL} FROM rm", EV, SE, MS, RM))
 def _(t):
-    return t.hourly_metrics
+    return ro.hourly_metrics(t.samples, t.sessions)
 
 
 @query("E12_both_sources", with_("SELECT source, count(*) AS n, sum(api_requests)::BIGINT AS api_requests, sum(active_seconds)::BIGINT AS active_seconds FROM rl GROUP BY source", BOTH))
@@ -400,7 +415,7 @@ def _(t):
 
 @query("E13_daily", with_(f"SELECT {_RALL} FROM rd", BOTH))
 def _(t):
-    return t.daily
+    return ro.daily(t.both)
 
 
 @query("E14_bucket_replace", with_("SELECT source, epoch_us(bucket) AS bucket, sum(api_requests)::BIGINT AS api_requests, sum(turns)::BIGINT AS turns FROM rl GROUP BY ALL", BOTH))
@@ -496,7 +511,15 @@ def _(t):
     return ex.mode_history(t.events)
 
 
-_ROUND = lambda c, p: f"CASE WHEN quantile_cont({c}, {p}) >= 0 THEN floor(quantile_cont({c}, {p}) + 0.5) ELSE ceil(quantile_cont({c}, {p}) - 0.5) END::BIGINT"
+def _pct(c: str, p: float) -> str:
+    """Of n sorted values the one at q = p * (n - 1), between two values interpolated."""
+    x, q = f"list_sort(list({c}::DOUBLE) FILTER (WHERE {c} IS NOT NULL))", f"({p}::DOUBLE * (count({c}) - 1))"
+    lo, hi = f"{x}[floor({q})::BIGINT + 1]", f"{x}[ceil({q})::BIGINT + 1]"
+    return f"({lo} + ({q} - floor({q})) * ({hi} - {lo}))"
+
+
+def _ROUND(c: str, p: float) -> str:
+    return f"CASE WHEN {_pct(c, p)} >= 0 THEN floor({_pct(c, p)} + 0.5) ELSE ceil({_pct(c, p)} - 0.5) END::BIGINT"
 
 
 @query("F7_top_tools", with_(f"SELECT session_id, tool_name, count(*) AS calls, count(*) FILTER (WHERE decision = 'reject') AS rejects, {_ROUND('duration_ms', 0.5)} AS p50_ms, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, tool_name) AS place FROM tc GROUP BY session_id, tool_name QUALIFY place <= 10", EV, TC))
@@ -519,9 +542,10 @@ def _(t):
     return ex.sources_seen(t.events)
 
 
-@query("F11_session_hook_latency", with_(f"SELECT session_id, count(*) AS executions, {_ROUND('duration_ms', 0.5)} AS p50_ms, {_ROUND('duration_ms', 0.95)} AS p95_ms FROM ev WHERE kind = 'hook.execution_end' GROUP BY session_id", EV))
+@query("F11_session_hook_latency", with_(f"SELECT r.*, m.p50_by_hook_event FROM (SELECT session_id, count(*) AS executions, {_ROUND('duration_ms', 0.5)} AS p50_ms, {_ROUND('duration_ms', 0.95)} AS p95_ms FROM ev WHERE kind = 'hook.execution_end' GROUP BY session_id) r LEFT JOIN (SELECT session_id, string_agg(h || '=' || p, ';' ORDER BY h) AS p50_by_hook_event FROM (SELECT session_id, a_hook AS h, {_ROUND('duration_ms', 0.5)} AS p FROM ev WHERE kind = 'hook.execution_end' AND duration_ms IS NOT NULL GROUP BY ALL) GROUP BY session_id) m USING (session_id)", EV))
 def _(t):
-    return ex.session_hook_latency(t.events).drop("p50_by_hook_event")
+    got = ex.session_hook_latency(t.events)
+    return got.withColumn("p50_by_hook_event", F.array_join(F.transform(F.map_entries("p50_by_hook_event"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";"))
 
 
 @query("F12_raw_expired", with_("SELECT session_id, first_seen_at < (SELECT date_trunc('month', min(ts)) FROM ev) AS raw_events_expired FROM se", EV, SE))
@@ -752,7 +776,7 @@ def _(t):
     return an.sparkline(an.timeseries(t.both, t.daily, "api_requests", ALL_TIME, "project", top=2))
 
 
-@query("G21_cost_bands", with_("SELECT session_id, cost_usd::DOUBLE AS cost, CASE WHEN (SELECT min(cost_usd) = max(cost_usd) FROM se) THEN 'none' WHEN cost_usd::DOUBLE >= (SELECT quantile_cont(cost_usd::DOUBLE, 0.9) FROM se) THEN 'critical' WHEN cost_usd::DOUBLE >= (SELECT quantile_cont(cost_usd::DOUBLE, 0.75) FROM se) THEN 'warn' ELSE 'none' END AS band FROM se", EV, SE))
+@query("G21_cost_bands", with_("SELECT session_id, cost_usd::DOUBLE AS cost, CASE WHEN (SELECT min(cost_usd) = max(cost_usd) FROM se) THEN 'none' WHEN cost_usd::DOUBLE >= (SELECT " + _pct("cost_usd", 0.9) + " FROM se) THEN 'critical' WHEN cost_usd::DOUBLE >= (SELECT " + _pct("cost_usd", 0.75) + " FROM se) THEN 'warn' ELSE 'none' END AS band FROM se", EV, SE))
 def _(t):
     return an.cost_bands(t.sessions)
 
@@ -835,7 +859,7 @@ def _(t):
     return ing.with_sequence(t.events.drop("seq")).select("dedup_key", "seq")
 
 
-@query("I8_ingest_lag", with_("SELECT round(quantile_cont(l, 0.5), 6) AS p50, round(quantile_cont(l, 0.95), 6) AS p95, round(quantile_cont(l, 0.99), 6) AS p99, " + ", ".join(f"count(*) FILTER (WHERE l <= {e}) AS le_{e}" for e in (1, 5, 30, 60, 300, 1800)) + ", count(*) AS n FROM (SELECT (epoch_us(ingested_at) - epoch_us(ts)) / 1000000 AS l FROM ev)", EV))
+@query("I8_ingest_lag", with_("SELECT " + ", ".join(f"round({_pct('l', p)}, 6) AS p{int(100 * p)}" for p in (0.5, 0.95, 0.99)) + ", " + ", ".join(f"count(*) FILTER (WHERE l <= {e}) AS le_{e}" for e in (1, 5, 30, 60, 300, 1800)) + ", count(*) AS n FROM (SELECT (epoch_us(ingested_at) - epoch_us(ts)) / 1000000 AS l FROM ev)", EV))
 def _(t):
     return ing.ingest_lag(t.events)
 

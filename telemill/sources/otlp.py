@@ -7,14 +7,19 @@ the number of points lost.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemill import schemas
 from telemill.functions import mapping as mp
 from telemill.functions.attributes import clean_json, variant_number, variant_string
 
-DEPTH = 2  # of lists within attribute values that are unwrapped; deeper ones keep their wrappers
+DEPTH = 2  # of lists within attribute values that expressions unwrap; requests that may hold deeper ones go through Arrow batches
+_DEEP = "(?s)" + ".*".join(['"(?:kvlist|array)Value"'] * (DEPTH + 1))
 _KV = "array<struct<key string, value variant>>"
 LOGS = f"resourceLogs array<struct<resource struct<attributes {_KV}>, scopeLogs array<struct<scope struct<attributes {_KV}>, logRecords array<struct<timeUnixNano string, observedTimeUnixNano string, eventName string, body variant, attributes {_KV}>>>>>>"
 _NUMBER = f"array<struct<timeUnixNano string, asDouble double, asInt string, attributes {_KV}>>"
@@ -52,6 +57,35 @@ def attribute_map(pairs: Column, depth: int = DEPTH) -> Column:
     return F.map_from_entries(entries)
 
 
+def _plain(value):
+    """A JSON attribute value without its wrappers, at any depth."""
+    if not isinstance(value, dict):
+        return value
+    if "kvlistValue" in value:
+        return {e.get("key"): _plain(e.get("value")) for e in (value["kvlistValue"] or {}).get("values") or []}
+    if "arrayValue" in value:
+        return [_plain(x) for x in (value["arrayValue"] or {}).get("values") or []]
+    if "intValue" in value:
+        return int(value["intValue"])
+    return next((value[k] for k in ("stringValue", "boolValue", "doubleValue", "bytesValue") if k in value), None)
+
+
+@F.pandas_udf(T.StringType())
+def _plain_pairs(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda x: None if x is None else json.dumps({e.get("key"): _plain(e.get("value")) for e in json.loads(x)}, ensure_ascii=False))
+
+
+def deep_attribute_map(pairs: Column) -> Column:
+    """:func:`attribute_map` for lists of any depth."""
+    return F.coalesce(F.from_json(_plain_pairs(F.to_json(pairs)), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def _by_depth(bodies: DataFrame, read) -> DataFrame:
+    """``read`` over requests with flat attribute values, and in its way for nested ones over the others."""
+    deep = F.coalesce(F.col("body").rlike(_DEEP), F.lit(False))
+    return read(bodies.where(~deep), attribute_map).unionByName(read(bodies.where(deep), deep_attribute_map))
+
+
 def sorted_json(m: Column) -> Column:
     """JSON of a map of variants, names in order."""
     keys = F.array_sort(F.map_keys(m))
@@ -60,6 +94,10 @@ def sorted_json(m: Column) -> Column:
 
 def log_records(bodies: DataFrame) -> DataFrame:
     """One row per log record: service, merged attributes (JSON), resource attributes, record fields."""
+    return _by_depth(bodies, _log_records)
+
+
+def _log_records(bodies: DataFrame, attribute_map) -> DataFrame:
     j = bodies.select(F.from_json("body", LOGS).alias("j")).select(F.explode("j.resourceLogs").alias("r"))
     j = j.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s"))
     j = j.select("ra", F.col("s.scope.attributes").alias("sa"), F.explode("s.logRecords").alias("x"))
@@ -99,6 +137,27 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
     A histogram point gives a sum, if it has one, and a count.  Summaries,
     exponential histograms and points without a value are rejected.
     """
+    points, rejects = _by_depth(bodies, _metric_points), _unsupported(bodies)
+    rejects = rejects.unionByName(points.where(F.col("value").isNull()).select(F.lit("point without a value").alias("reason"), F.col("name").alias("record"), F.lit(1).cast("long").alias("points")))
+    rows = points.where(F.col("value").isNotNull()).withColumn("now", now).withColumn("attrs", sorted_json(F.col("map")))
+    text = lambda m, k: F.nullif(F.try_variant_get(F.col(m)[k], "$", "string"), F.lit(""))
+    ts, _ = mp.clamped(mp.timestamp_of(F.col("nanos"), F.lit(None).cast("string"))[0], F.col("now"), retention_days)
+    out = rows.withColumn("ts", ts).select(
+        "ts", F.col("now").alias("ingested_at"), "name", mp.vendor_of(text("ra", "service.name")).alias("vendor"), F.coalesce(text("map", "session.id"), text("ra", "session.id")).alias("session_id"), "value", "temporality",
+        mp.series_key(F.col("name"), F.col("attrs")).alias("series_hash"), "attrs", mp.metric_key(F.col("name"), F.col("ts"), F.col("attrs")).alias("dedup_key"),
+    )
+    return out, rejects
+
+
+def _unsupported(bodies: DataFrame) -> DataFrame:
+    j = bodies.select(F.from_json("body", METRICS).alias("j")).select(F.explode("j.resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
+    lost = F.coalesce(F.size("m.summary.dataPoints"), F.lit(0)) + F.coalesce(F.size("m.exponentialHistogram.dataPoints"), F.lit(0))
+    unsupported = F.col("m.summary").isNotNull() | F.col("m.exponentialHistogram").isNotNull()
+    return j.where(unsupported).select(F.lit("unsupported aggregation").alias("reason"), F.col("m.name").alias("record"), lost.cast("long").alias("points"))
+
+
+def _metric_points(bodies: DataFrame, attribute_map) -> DataFrame:
+    """(ra, name, nanos, value, map, temporality) of every data point."""
     j = bodies.select(F.from_json("body", METRICS).alias("j")).select(F.explode("j.resourceMetrics").alias("r"))
     j = j.select(attribute_map(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeMetrics").alias("s")).select("ra", F.explode("s.metrics").alias("m"))
     point = lambda name, p, value, kind: F.struct(name.alias("name"), p["timeUnixNano"].alias("nanos"), value.alias("value"), p["attributes"].alias("attributes"), kind.alias("temporality"))
@@ -111,19 +170,8 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
     totals = F.transform(F.filter("m.histogram.dataPoints", lambda p: p["sum"].isNotNull()), lambda p: point(F.concat(name, F.lit("_sum")), p, p["sum"], of))
     counts = F.transform("m.histogram.dataPoints", lambda p: point(F.concat(name, F.lit("_count")), p, p["count"].try_cast("double"), of))
     points = F.concat(*[F.coalesce(x, kind) for x in (sums, gauges, totals, counts)])
-    rows = j.select("ra", F.explode(points).alias("p")).select("ra", "p.*").withColumn("now", now)
-    lost = F.coalesce(F.size("m.summary.dataPoints"), F.lit(0)) + F.coalesce(F.size("m.exponentialHistogram.dataPoints"), F.lit(0))
-    unsupported = F.col("m.summary").isNotNull() | F.col("m.exponentialHistogram").isNotNull()
-    rejects = j.where(unsupported).select(F.lit("unsupported aggregation").alias("reason"), name.alias("record"), lost.cast("long").alias("points"))
-    rejects = rejects.unionByName(rows.where(F.col("value").isNull()).select(F.lit("point without a value").alias("reason"), F.col("name").alias("record"), F.lit(1).cast("long").alias("points")))
-    rows = rows.where(F.col("value").isNotNull()).withColumn("map", attribute_map(F.col("attributes"))).withColumn("attrs", sorted_json(F.col("map")))
-    text = lambda m, k: F.nullif(F.try_variant_get(F.col(m)[k], "$", "string"), F.lit(""))
-    ts, _ = mp.clamped(mp.timestamp_of(F.col("nanos"), F.lit(None).cast("string"))[0], F.col("now"), retention_days)
-    out = rows.withColumn("ts", ts).select(
-        "ts", F.col("now").alias("ingested_at"), "name", mp.vendor_of(text("ra", "service.name")).alias("vendor"), F.coalesce(text("map", "session.id"), text("ra", "session.id")).alias("session_id"), "value", "temporality",
-        mp.series_key(F.col("name"), F.col("attrs")).alias("series_hash"), "attrs", mp.metric_key(F.col("name"), F.col("ts"), F.col("attrs")).alias("dedup_key"),
-    )
-    return out, rejects
+    rows = j.select("ra", F.explode(points).alias("p")).select("ra", "p.*")
+    return rows.select("ra", "name", "nanos", "value", attribute_map(F.col("attributes")).alias("map"), "temporality")
 
 
 def rejection_summary(rejects: DataFrame) -> DataFrame:

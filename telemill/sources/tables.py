@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,37 @@ from telemill import schemas
 BUCKETS = 64
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only on a single machine where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="telemill-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for results that a plan needs more than once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files at ``source``: made and written once a session, and again when the files change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, name, source, changed)
+    if key not in _STORED:
+        _STORED[key] = staged(make(), name)
+    return _STORED[key]
+
+
 def month(ts: str = "ts") -> Column:
     return F.date_format(ts, "yyyy-MM")
 

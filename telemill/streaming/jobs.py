@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from telemill.operators import ingest, rollups
+from telemill.operators import explorer, filters, ingest, rollups, tool_calls
 from telemill.sources import tables
 
 DEDUP_WINDOW = "7 days"
@@ -109,25 +109,34 @@ def counter_deltas(samples: DataFrame) -> DataFrame:
     return rows.groupBy("series_hash").transformWithStateInPandas(Counters(), "series_hash string, ts timestamp, value double, delta double", "append", "none")
 
 
-def store_batch(path: str, spark: SparkSession) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that stores each micro-batch's new events once: by key within the batch and against what is stored.
+def store_batch(path: str, spark: SparkSession, window_days: int = 7) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that stores each micro-batch's new events once: by key within the batch and against the ledger.
 
-    A batch has a folder of its own, which a retry replaces; so a batch that is
-    repeated after a failure leaves the same table.
+    The ledger holds the keys of stored events by day of their receipt; only the
+    days from ``window_days`` before the batch's first receipt are read, so its
+    cost does not grow with history.  A batch has folders of its own, which a
+    retry replaces; so a batch that is repeated after a failure leaves the same
+    tables.
     """
+    ledger = f"{path.rstrip('/')}-ledger"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest.first_of_key(batch)
-        known = _stored(spark, path, batch_id)
-        if known is not None:
-            rows = rows.join(known.select("dedup_key"), "dedup_key", "left_anti").select(*batch.columns)
-        tables.append_events(rows, path, batch_id)
+        rows = ingest.first_of_key(batch).persist()
+        first = rows.agg(F.min(F.to_date("ingested_at"))).first()[0]
+        known = _stored(spark, ledger, batch_id)
+        new = rows
+        if known is not None and first is not None:
+            recent = known.where(F.col("day") >= F.date_sub(F.lit(first), window_days))
+            new = rows.join(recent.select("dedup_key"), "dedup_key", "left_anti").select(*batch.columns)
+        tables.append_events(new, path, batch_id)
+        new.select("dedup_key", F.to_date("ingested_at").alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/batch={batch_id}")
+        rows.unpersist()
 
     return write
 
 
 def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Stored events, of the batches before ``before``; none at the start."""
+    """A table of batches, those before ``before``; none at the start."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
@@ -135,6 +144,22 @@ def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     return out if before is None else out.where(F.col("batch") < before)
 
 
+def match_calls(spark: SparkSession, events_path: str, calls_path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that folds the tool calls of every session that a batch touches anew, from all that is stored of it.
+
+    So a contribution without a use id finds its call whichever of the two
+    arrives first.  Of the projection only the session buckets that are touched
+    are written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        buckets = batch.select(tables.session_bucket().alias("__bucket")).distinct()
+        whole = tables.read_events(spark, events_path).withColumn("__bucket", tables.session_bucket()).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")  # at most some tens of buckets
+        tables.write_projection(tool_calls.fold_tool_calls(whole), calls_path)
+
+    return write
+
+
 def heal(spark: SparkSession, events_path: str, fold: Callable[[DataFrame], DataFrame], rollup_path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that recomputes, in full, every hour that a batch touches, and replaces it.
 
@@ -154,9 +179,18 @@ def heal(spark: SparkSession, events_path: str, fold: Callable[[DataFrame], Data
 
 
 def live_feed(events: DataFrame, path: str, checkpoint: str, projects: DataFrame | None = None) -> StreamingQuery:
-    """Persisted events as files of JSON lines for readers to follow; the checkpoint is where a restart resumes."""
+    """Persisted events, of all sessions or of those in ``projects``, by day for readers to follow; the checkpoint is where a restart resumes."""
     rows = events if projects is None else events.join(F.broadcast(projects), "session_id", "left_semi")
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.withColumn("day", F.to_date("ts")).writeStream.format("parquet").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay(spark: SparkSession, path: str, position: tuple | None = None, session_id: str | None = None, limit: int = 2000) -> DataFrame:
+    """The next events of a feed after (ts, seq), in that order, of one session or of all; the last row is the position to resume from."""
+    rows = spark.read.parquet(path)
+    if position is not None:
+        rows = rows.where(F.col("day") >= F.to_date(F.lit(position[0])))
+    rows = explorer.event_scan(rows.drop("day"), position)
+    return filters.apply(rows, filters.equals("session_id", session_id)).orderBy("ts", "seq").limit(limit)
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from telemill.plans.queries import ORACLES, QUERIES
+from telemill.plans.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: One of each family here; all of them are compared by the driver.
+#: Quick ones of each family; the slow rest is compared by the driver.
 SOME = ["D1_sessions", "D8_turns", "D15_tool_calls", "D22_subagents", "E4_estimates", "E11_metric_pivot", "F14_event_list", "F5_dominant_source", "G7_hourly_cost_by_project", "G16_decisions_by_source", "H4_turn_runs", "I5_accounts", "J9_as_of_prices", "Q9_hook_latency", "A6_hook_payloads", "A2_metric_points"]
 
 
