@@ -1,9 +1,11 @@
+import time
+
 import pytest
 
 from telemill.llm import url_filters
 from telemill.llm.queries import URL_RULES
 
-URLS = [None, "", "no scheme", "http://a.example.net/en/x", "http://EXAMPLE.NET/en/", "https://example.net/en", "http://net", "http://net/", "http://a.b.net?x=/en/", "http://example.com/de/1#x", "http://aexample.com/de/", "https://w.org/fr/", "https://w.org/en/", "x://y://z.net/", "http://example.net/en/?q", "http:///path"]
+URLS = [None, "", "no scheme", "http://a.example.net/en/x", "http://EXAMPLE.NET/en/", "https://example.net/en", "http://net", "http://net/", "http://a.b.net?x=/en/", "http://example.com/de/1#x", "http://aexample.com/de/", "https://w.org/fr/", "https://w.org/en/", "x://y://z.net/", "http://example.net/en/?q", "http:///path", "http://a.net\x00b/x", "http://b.net/\x00/", "http://é.net/é/"]
 
 
 def brute(url, rules, default="allow"):
@@ -29,3 +31,19 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert url_filters.judge(pages.limit(0), rules).count() == 0
     assert url_filters.judge(pages, rules.limit(0), default="block").first().verdict == "block"
+
+
+def test_long_urls_and_many_labels(spark):
+    long = ["http://a.net/" + "x/" * 500_000, "http://" + "a." * 300_000 + "net/y", "x" * 1_000_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(long)], "page_id long, url string")
+    rules = spark.createDataFrame([*URL_RULES, ("a.net", "/x/x/", "allow")], "host string, path string, verdict string")
+    url_filters.judge(pages.limit(1), rules).collect()
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, rules).collect()}
+    assert got == {0: ("a.net/x/x/", "allow"), 1: ("net/", "block"), 2: (None, "allow")} and time.perf_counter() - began < 30
+
+
+def test_rule_host_longer_than_the_urls(spark):
+    pages = spark.createDataFrame([(1, "http://net/"), (2, "http://xnet/"), (3, "http://a.b.c.net/fr")], "page_id long, url string")
+    rules = spark.createDataFrame([("b.c.net", "/", "block"), ("c.net", "/f", "allow"), (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.rule for r in url_filters.judge(pages, rules).collect()} == {1: None, 2: None, 3: "b.c.net/"}
