@@ -38,10 +38,10 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 
 
 def _canonical(url: str) -> str:
-    rest = rf"regexp_replace(regexp_replace({url}, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    rest = rf"regexp_replace(regexp_replace({url}, '#.*$', '', 's'), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
     host = rf"regexp_replace(regexp_replace(lower(regexp_extract({rest}, '^([^/?]*)', 1)), ':(80|443)$', ''), '^www[0-9]*\.', '')"
     path = rf"regexp_replace(regexp_extract({rest}, '^[^/?]*([^?]*)', 1), '/+$', '')"
-    fields = rf"list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')))"
+    fields = rf"list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?]*\?(.*)$', 1, 's'), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')))"
     return f"{host} || {path} || CASE WHEN len({fields}) > 0 THEN '?' || array_to_string({fields}, '&') ELSE '' END"
 
 

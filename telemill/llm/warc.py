@@ -21,10 +21,10 @@ KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-ran
 
 def canonical_url(url: Column) -> Column:
     """Host in lower case without ``www.`` and default port, path without a closing slash, query without ``utm_`` fields; no scheme, no fragment."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    rest = F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, r"^([^/?]*)", 1)), r":(80|443)$", ""), r"^www[0-9]*\.", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
-    query = F.regexp_extract(rest, r"^[^?]*\?(.*)$", 1)
+    query = F.regexp_extract(rest, r"(?s)^[^?]*\?(.*)$", 1)
     fields = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.startswith(x, F.lit("utm_"))))
     return F.concat(host, path, F.when(F.size(fields) > 0, F.concat(F.lit("?"), F.array_join(fields, "&"))).otherwise(""))
 
