@@ -80,6 +80,12 @@ class Header:
         return (17 if self.channels == 1 else 32) if self.version == 1 else (9 if self.channels == 1 else 17)
 
 
+    def allocation(self, mode: int) -> int:
+        """Bytes of bit allocation of a Layer I frame; joint stereo shares it above a bound that the mode tells."""
+        bound = 4 * (mode >> 4 & 3) + 4 if mode >> 6 == 1 else 32
+        return 16 if self.channels == 1 else (bound * 8 + (32 - bound) * 4) // 8
+
+
 _HEAD = bytes([0xFF, 0xFA, 0xC4, 0xC4])  # version 1, layer III, protected, 224 kbit/s, 48 kHz, mono
 _FRAME = Header.of(_HEAD).size
 _AT = 4 + 2 + Header.of(_HEAD).side()  # where the payload starts in a frame
@@ -119,20 +125,36 @@ def to_mpeg(payload: bytes) -> bytes:
     return b"ID3\x03\x00\x00" + _synchsafe(len(tag)) + tag + frames.tobytes()
 
 
+def _synced(raw: bytes) -> int:
+    """Seven bits of each byte."""
+    n = 0
+    for x in raw:
+        n = n << 7 | x & 0x7F
+    return n
+
+
+def _text(raw: bytes) -> str:
+    """A text field: its first byte names the encoding."""
+    kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(raw[0] if raw else 0, "latin-1")
+    return raw[1:].decode(kind, "replace").removesuffix("\x00")
+
+
 def _tags(raw: bytes) -> tuple[int, int, dict[str, str]]:
-    """(start of the audio, its end, text tags)."""
+    """(start of the audio, its end, text tags) from ID3v2.2, 2.3 and 2.4 tags at the start and an ID3v1 tag at the end."""
     at, end, tags = 0, len(raw), {}
     while raw[at : at + 3] == b"ID3" and at + 10 <= end:
-        size = int.from_bytes(bytes(4), "big")
-        for x in raw[at + 6 : at + 10]:
-            size = size << 7 | x & 0x7F
-        stop, k = min(end, at + 10 + size), at + 10
-        while k + 10 <= stop and raw[k : k + 1].isalnum():
-            n = int.from_bytes(raw[k + 4 : k + 8], "big")
+        version, flags = raw[at + 3], raw[at + 5]
+        stop, k = min(end, at + 10 + _synced(raw[at + 6 : at + 10])), at + 10
+        if flags & 0x40 and version > 2:  # an extended header, whose size counts itself from 2.4 on
+            k += _synced(raw[k : k + 4]) if version > 3 else 4 + int.from_bytes(raw[k : k + 4], "big")
+        name, head = (3, 6) if version == 2 else (4, 10)
+        while k + head <= stop and raw[k : k + 1].isalnum():
+            size = raw[k + name : k + 2 * name]
+            n = _synced(size) if version > 3 else int.from_bytes(size, "big")
             if raw[k : k + 1] == b"T" and n:
-                tags[raw[k : k + 4].decode("latin-1")] = raw[k + 11 : k + 10 + n].decode("latin-1")
-            k += 10 + n
-        at = stop
+                tags[raw[k : k + name].decode("latin-1")] = _text(raw[k + head : min(stop, k + head + n)])
+            k += head + n
+        at = stop + (10 if flags & 0x10 and version > 3 else 0)
     if end - at >= 128 and raw[end - 128 : end - 125] == b"TAG":
         end -= 128
         tags["TAG"] = raw[end + 3 : end + 33].rstrip(b"\x00 ").decode("latin-1")
@@ -183,8 +205,8 @@ def read_mpeg(raw: bytes) -> dict:
     checked = bad = 0
     for k, h in enumerate(headers):
         at = where[what == k]
-        if h.protected and h.layer == 3:
-            side = h.side()
+        if h.protected and h.layer != 2 and len(at):
+            side = h.side() if h.layer == 3 else h.allocation(int(data[at[0] + 3]))
             rows = data[at[:, None] + np.concatenate([[2, 3], np.arange(6, 6 + side)])]
             stored = data[at + 4].astype(np.uint32) << 8 | data[at + 5]
             checked += len(at)
@@ -202,13 +224,20 @@ def read_mpeg(raw: bytes) -> dict:
             if flags & 4:
                 table["seek"] = raw[k : k + 100]
             where, what = where[1:], what[1:]
+        elif raw[at + 36 : at + 40] == b"VBRI":
+            table = {"kind": "VBRI", "bytes": int.from_bytes(raw[at + 46 : at + 50], "big"), "frames": int.from_bytes(raw[at + 50 : at + 54], "big")}
+            where, what = where[1:], what[1:]
     seconds = sum((Fraction(int((what == k).sum()) * h.samples, h.hz) for k, h in enumerate(headers)), Fraction(0))
     rows = [data[where[what == k][:, None] + np.arange(_AT, _AT + UNIT)] for k, h in enumerate(headers) if h.size >= _AT + UNIT]
+    first = where[0] - headers[what[0]].size if table and len(where) else 0
+    stated = not table or all(table.get(k, v) == v for k, v in (("frames", len(where)), ("bytes", int(where[-1] + headers[what[-1]].size - first) if len(where) else 0)))
     return {
         "payload": rows[0].tobytes() if len(rows) == 1 else b"".join(data[a + _AT : a + _AT + UNIT].tobytes() for a, k in zip(where.tolist(), what.tolist()) if headers[k].size >= _AT + UNIT),
         "frames": len(where),
         "seconds": seconds,
         "offsets": where,
+        "runs": runs_of(where, np.array([h.size for h in headers], dtype=np.int64)[what] if len(where) else where),
+        "stated": stated,
         "kbit": sorted({headers[k].kbit for k in np.unique(what).tolist()}),
         "checked": checked,
         "bad": bad,
@@ -218,10 +247,19 @@ def read_mpeg(raw: bytes) -> dict:
     }
 
 
+def runs_of(offsets: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """Seek offsets of all frames as runs (first offset, frame size, number of frames) of frames of one size that follow each other."""
+    if not len(offsets):
+        return []
+    new = np.concatenate([[True], (np.diff(offsets) != sizes[:-1]) | (sizes[1:] != sizes[:-1])])
+    at = np.flatnonzero(new)
+    return list(zip(offsets[at].tolist(), sizes[at].tolist(), np.diff(np.append(at, len(offsets))).tolist()))
+
+
 _MEDIA = "doc_id long, n_bytes long, media binary"
 _READ = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "frames long, duration_num long, duration_den long, bad_checksums long, skipped_bytes long, seek_offsets array<long>"
+    "frames long, duration_num long, duration_den long, bad_checksums long, skipped_bytes long, seek_runs array<struct<start:long,size:long,frames:long>>"
 )
 
 
@@ -248,9 +286,12 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Digests, exact duration (a fraction of seconds), checks and a seek offset for every 100th frame of each ``media``.
+    """Digests, exact duration (a fraction of seconds), checks and the seek offsets of all frames, as runs of equal frames, of each ``media``.
 
-    media: doc_id, n_bytes, media.  A null file counts as an empty one; bytes that are no frames are skipped.
+    media: doc_id, n_bytes, media.  A null file counts as an empty one; bytes
+    that are no frames are skipped.  Files of any length are read whole, one at
+    a time.  Layer II checksums cover a part whose size the frame's content
+    tells and are not verified.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +302,12 @@ def read_media(media: DataFrame) -> DataFrame:
                 x = read_mpeg(raw)
                 payload, table = x["payload"], x["table"] or {}
                 tail = zlib.crc32(payload[-32:])
-                told = table.get("frames") == x["frames"] and table.get("bytes") == _FRAME * (x["frames"] + 1)
-                feature = f"frames={x['frames']};seconds={x['seconds']};kbit={','.join(map(str, x['kbit']))};table={table.get('kind', '-')}:{'ok' if told else 'no'};checked={x['checked']};bad={x['bad']};skipped={x['skipped']}"
+                feature = f"frames={x['frames']};seconds={x['seconds']};kbit={','.join(map(str, x['kbit']))};table={table.get('kind', '-')}:{'ok' if table and x['stated'] else 'no'};checked={x['checked']};bad={x['bad']};skipped={x['skipped']}"
                 rows.append(
                     (doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), tail, len(raw), hashlib.sha256(raw).hexdigest(), feature)
-                    + (x["frames"], x["seconds"].numerator, x["seconds"].denominator, x["bad"], x["skipped"], x["offsets"][::100].tolist())
+                    + (x["frames"], x["seconds"].numerator, x["seconds"].denominator, x["bad"], x["skipped"], [{"start": a, "size": z, "frames": m} for a, z, m in x["runs"]])
                 )
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64()] * 5 + [pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64()] * 5 + [pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64()), ("frames", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=[x.split()[0] for x in _READ.split(", ")])
 
     return media.mapInArrow(run, _READ)

@@ -54,7 +54,7 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.encode_media(table(spark, sf_dir, "documents"))).drop("seek_offsets")
+    return media.read_media(media.encode_media(table(spark, sf_dir, "documents")))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
