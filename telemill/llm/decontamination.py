@@ -1,9 +1,10 @@
 """Benchmark decontamination by word windows.
 
-The windows of the benchmark items form a hash set that every task holds; its
-size is checked, and items beyond the bound are taken in several blocks, each
-held against all documents.  A task scans its documents' rolling window hashes,
-looks hits up, and compares the words themselves before it believes a hit.
+The windows of the benchmark items form a hash set that every task holds: sorted
+arrays over the items' text, some thirty bytes a window.  The text is bounded,
+and items beyond the bound are taken in several blocks, which the documents pass
+one after the other.  A task scans its documents' rolling window hashes, looks
+hits up, and compares the words themselves before it believes a hit.
 """
 
 from __future__ import annotations
@@ -17,21 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telemill.llm.store import written
 from telemill.llm.text import FOLD, Words, slices, text_buffers, window_hashes, words_of
 
-ITEM_BYTES = 16 << 20  # of item text that one block may hold
+ITEM_BYTES = 4 << 20  # of item text that one block may hold: at most some 2 million windows
 _SLICE = 4 << 20
 
 
 @dataclass
 class _Table:
-    """Windows of one length."""
+    """Windows of one length, those of equal words together."""
 
-    keys: np.ndarray  # sorted, distinct
+    size: int  # words of a window
+    keys: np.ndarray  # sorted, distinct hashes
     filter: np.ndarray  # by the top bits of a hash, whether a key has them
     shift: np.uint64
-    words: list[list[tuple[bytes, list[int]]]]  # for each key: (the words, items)
+    groups: np.ndarray  # where each key's groups begin; nearly always a key has one
+    word: np.ndarray  # of each group, the item word where an example begins
+    begin: np.ndarray  # of each group, where its items begin
+    items: np.ndarray  # numbers of items, without repeats in a group
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where, which key) of the hashes that are keys."""
@@ -42,49 +46,70 @@ class _Table:
         return maybe[hit], at[hit]
 
 
+@dataclass
+class _Block:
+    """Items and their windows by length."""
+
+    ids: list[int]
+    data: np.ndarray
+    words: Words
+    tables: list[_Table]
+
+
 def _joined(data: np.ndarray, words: Words, i: int, n: int) -> bytes:
     """Words i to i + n, folded, with a blank between them."""
     return b" ".join(FOLD[data[a:b]].tobytes() for a, b in zip(words.starts[i : i + n].tolist(), words.ends[i : i + n].tolist()))
 
 
-def _tables(items: list[tuple[int, str | None]], length: int) -> dict[int, _Table]:
+def _block(items: list[tuple[int, str | None]], length: int) -> _Block:
     data, offsets = text_buffers(pa.array([t for _, t in items], pa.string()))
     words = words_of(data, offsets)
-    found: dict[int, dict[int, dict[bytes, set[int]]]] = {}
-    hashes = {}
-    for k, n in enumerate(words.counts().tolist()):
-        size = min(n, length)
-        if not size:
-            continue
-        if size not in hashes:
-            hashes[size] = window_hashes(words.hashes, size)
-        for i in range(int(words.bounds[k]), int(words.bounds[k + 1]) - size + 1):
-            by = found.setdefault(size, {}).setdefault(int(hashes[size][i]), {})
-            by.setdefault(_joined(data, words, i, size), set()).add(k)
-    out = {}
-    for size, by in found.items():
-        keys = np.array(sorted(by), dtype=np.uint64)
+    sizes = np.minimum(words.counts(), length)
+    tables = []
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        n = words.counts()[own] - size + 1
+        item = np.repeat(own, n)
+        start = np.repeat(words.bounds[own], n) + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        hashes = window_hashes(words.hashes, size)[start]
+        order = np.lexsort((item, hashes))
+        item, start, hashes = item[order], start[order], hashes[order]
+        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        group = np.cumsum(new) - 1
+        # windows of one hash but other words, of which there should be none, get groups of their own
+        head = np.flatnonzero(new)[group]
+        again = np.flatnonzero(~new)
+        other = [i for i in again.tolist() if _joined(data, words, int(start[i]), size) != _joined(data, words, int(start[head[i]]), size)]
+        if other:
+            texts = [_joined(data, words, int(i), size) for i in start.tolist()]
+            order = np.array(sorted(range(len(texts)), key=lambda i: (hashes[i], texts[i], item[i])))
+            item, start, hashes, texts = item[order], start[order], hashes[order], [texts[i] for i in order]
+            group = np.cumsum(np.array([True, *((hashes[i], texts[i]) != (hashes[i - 1], texts[i - 1]) for i in range(1, len(texts)))])) - 1
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        keys, groups = np.unique(hashes[first], return_index=True)
+        once = np.concatenate([[True], (group[1:] != group[:-1]) | (item[1:] != item[:-1])])
         bits = min(26, max(16, int(len(keys) * 16).bit_length()))
         shift = np.uint64(64 - bits)
-        filter_ = np.zeros(1 << bits, dtype=bool)
-        filter_[keys >> shift] = True
-        out[size] = _Table(keys, filter_, shift, [[(w, sorted(s)) for w, s in by[int(x)].items()] for x in keys])
-    return out
+        seen = np.zeros(1 << bits, dtype=bool)
+        seen[keys >> shift] = True
+        tables.append(_Table(size, keys, seen, shift, np.append(groups, len(first)), start[first], np.searchsorted(group[once], np.arange(len(first) + 1)), item[once]))
+    return _Block([i for i, _ in items], data, words, tables)
 
 
-def _hits(data: np.ndarray, words: Words, tables: dict[int, _Table], n_texts: int) -> tuple[list[tuple[int, int, int]], list[set[int]]]:
+def _hits(data: np.ndarray, words: Words, block: _Block, n_texts: int) -> tuple[list[tuple[int, int, int]], list[set[int]]]:
     """(first word, number of words, text) of every window of an item in a text, and each text's items."""
     runs, items = [], [set() for _ in range(n_texts)]
-    for size, table in tables.items():
+    for table in block.tables:
+        size = table.size
         where, which = table.find(window_hashes(words.hashes, size))
         text = np.searchsorted(words.bounds, where, side="right") - 1
         inside = where + size <= words.bounds[text + 1]
         for i, k, t in zip(where[inside].tolist(), which[inside].tolist(), text[inside].tolist()):
             seen = _joined(data, words, i, size)
-            for want, of in table.words[k]:
-                if want == seen:
+            for g in range(int(table.groups[k]), int(table.groups[k + 1])):
+                if _joined(block.data, block.words, int(table.word[g]), size) == seen:
                     runs.append((i, size, t))
-                    items[t].update(of)
+                    items[t].update(table.items[table.begin[g] : table.begin[g + 1]].tolist())
     return runs, items
 
 
@@ -109,8 +134,8 @@ def _ranges(words: Words, hit: np.ndarray, n_texts: int) -> list[list[tuple[int,
     return out
 
 
-def _blocks(items: DataFrame, length: int, item_bytes: int) -> list[tuple[list[int], dict[int, _Table]]]:
-    """(item ids, tables) of each block of items, as broadcasts."""
+def _blocks(items: DataFrame, length: int, item_bytes: int) -> list:
+    """Each block of items, as a broadcast."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // item_bytes))
@@ -118,7 +143,7 @@ def _blocks(items: DataFrame, length: int, item_bytes: int) -> list[tuple[list[i
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = [(r.item_id, r.text) for r in part.collect()]  # at most item_bytes or so
-        out.append(items.sparkSession.sparkContext.broadcast(([i for i, _ in rows], _tables(rows, length))))
+        out.append(items.sparkSession.sparkContext.broadcast(_block(rows, length)))
     return out
 
 
@@ -139,8 +164,6 @@ def scan(docs: DataFrame, items: DataFrame, length: int = 10, item_bytes: int =
     schema = T.StructType([*cur.schema.fields, T.StructField("n_words", T.LongType()), *T.StructType.fromDDL(_FOUND).fields])
     for k, shared in enumerate(blocks):
         last = k == len(blocks) - 1
-        if k:
-            cur = written(cur, "scan")
         cur = cur.mapInArrow(_scanner(shared, keep_text=not last), schema)
     return cur.select(
         "doc_id",
@@ -165,16 +188,16 @@ def _scanner(shared, keep_text: bool):
     kinds = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tables = shared.value
+        block = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             before = batch.num_columns > 2
             for i, j in slices(offsets, _SLICE):
                 own = data[offsets[i] : offsets[j]]
                 words = words_of(own, offsets[i : j + 1] - offsets[i])
-                runs, items = _hits(own, words, tables, j - i)
+                runs, items = _hits(own, words, block, j - i)
                 ranges = _ranges(words, _covered(words, runs), j - i)
-                named = [[ids[k] for k in sorted(x)] for x in items]
+                named = [[block.ids[k] for k in sorted(x)] for x in items]
                 few = batch.slice(i, j - i)
                 if before:
                     named = [(a or []) + b for a, b in zip(few.column("item_hits").to_pylist(), named)]
@@ -193,7 +216,7 @@ def _scanner(shared, keep_text: bool):
     return run
 
 
-def _clean_text(text: str, tables: dict[int, _Table]) -> tuple[str, int, int]:
+def _clean_text(text: str, block: _Block) -> tuple[str, int, int]:
     """(the text without its hit spans, words taken out, words there were); scans again until nothing hits."""
     taken = total = 0
     first = True
@@ -201,7 +224,7 @@ def _clean_text(text: str, tables: dict[int, _Table]) -> tuple[str, int, int]:
         raw = text.encode()
         data, offsets = np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])
         words = words_of(data, offsets)
-        runs, _ = _hits(data, words, tables, 1)
+        runs, _ = _hits(data, words, block, 1)
         if first:
             total, first = len(words.hashes), False
         if not runs:
@@ -222,9 +245,7 @@ def clean(docs: DataFrame, items: DataFrame, length: int = 10, most: float = 0.5
     the new text.
     """
     cur = docs
-    for k, shared in enumerate(_blocks(items, length, item_bytes)):
-        if k:
-            cur = written(cur, "clean")
+    for shared in _blocks(items, length, item_bytes):
         cur = _cleaned(cur, shared, most)
     return cur
 
@@ -233,19 +254,19 @@ def _cleaned(docs: DataFrame, shared, most: float) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tables = shared.value
+        block = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column(names.index("text")))
             for i, j in slices(offsets, _SLICE):
                 own = data[offsets[i] : offsets[j]]
                 words = words_of(own, offsets[i : j + 1] - offsets[i])
-                runs, _ = _hits(own, words, tables, j - i)
+                runs, _ = _hits(own, words, block, j - i)
                 few = batch.slice(i, j - i)
                 if runs:
                     texts, keep = few.column(names.index("text")).to_pylist(), np.ones(j - i, dtype=bool)
                     changed = {}
                     for t in {t for _, _, t in runs}:
-                        texts[t], taken, total = _clean_text(texts[t], tables)
+                        texts[t], taken, total = _clean_text(texts[t], block)
                         keep[t] = taken <= most * total
                         changed[t] = len(texts[t])
                     columns = list(few.columns)

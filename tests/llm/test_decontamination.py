@@ -2,8 +2,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from telemill.llm import decontamination
 from telemill.llm.queries import op2_decontamination
+from telemill.llm.text import text_buffers, words_of
 from tests.llm.conftest import SMALL
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -64,3 +68,18 @@ def test_empty_tables(spark, docs_of):
 def test_query_digest(spark):
     row = op2_decontamination(spark, SMALL).where("NOT contaminated").first()
     assert row.items_sha256 == hashlib.sha256(b"").hexdigest() and row.n_hit == row.n_items == 0
+
+
+def test_windows_of_one_hash_are_told_apart(spark, docs_of, monkeypatch):
+    """With a hash of four values nearly all windows collide; words decide."""
+    own = decontamination.window_hashes
+    monkeypatch.setattr(decontamination, "window_hashes", lambda h, n: own(h, n) >> np.uint64(62) << np.uint64(62))
+    r = random.Random(5)
+    items = [(i, " ".join(r.choice("abcd") for _ in range(r.choice([2, 12, 20])))) for i in range(8)]
+    docs = [(i, " ".join(r.choice("abcd") for _ in range(60))) for i in range(20)]
+    block = decontamination._block(items, 3)
+    for i, t in docs:
+        data, offsets = text_buffers(pa.array([t]))
+        runs, found = decontamination._hits(data, words_of(data, offsets), block, 1)
+        hit = {x for a, n, _ in runs for x in range(a, a + n)}
+        assert (i, len(words(t)), len(hit), tuple(sorted(block.ids[k] for k in found[0]))) == brute([(i, t)], items, 3)[0]
