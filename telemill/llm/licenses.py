@@ -26,13 +26,45 @@ SENTENCES: list[tuple[str, str]] = [
     ("MitGrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("MitNotice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("MitAsIs", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("MitLiable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("IscGrant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("IscGrant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("IscAsIs", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("BsdGrant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BsdSource", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("BsdEndorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdAsIs", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("GplRef2", "this work is licensed under the gnu general public license version 2"),
     ("GplRef3", "this work is licensed under the gnu general public license version 3"),
     ("GplFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("GplFree2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GplSee", "see the gnu general public license for more details"),
+    ("GplCopy", "you should have received a copy of the gnu general public license along with this program"),
+    ("LgplFree21", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("LgplFree3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("LgplNoWarranty", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("AgplFree3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("MplForm", "this source code form is subject to the terms of the mozilla public license v"),
+    ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("MplCopy", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("BoostRef", "distributed under the boost software license version 1 0"),
+    ("BoostGrant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("ZlibAsIs", "this software is provided as is without any express or implied warranty"),
+    ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("UnlicenseFree", "this is free and unencumbered software released into the public domain"),
+    ("UnlicenseGrant", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("CcZeroRef", "licensed under cc0 1 0"),
+    ("SpdxApache2", "spdx license identifier apache 2 0"),
+    ("SpdxMit", "spdx license identifier mit"),
+    ("SpdxBsd2", "spdx license identifier bsd 2 clause"),
+    ("SpdxBsd3", "spdx license identifier bsd 3 clause"),
+    ("SpdxIsc", "spdx license identifier isc"),
+    ("SpdxMpl2", "spdx license identifier mpl 2 0"),
+    ("SpdxGpl2", "spdx license identifier gpl 2 0 only"),
+    ("SpdxGpl2Later", "spdx license identifier gpl 2 0 or later"),
+    ("SpdxGpl3", "spdx license identifier gpl 3 0 only"),
+    ("SpdxGpl3Later", "spdx license identifier gpl 3 0 or later"),
     ("GplNoWarranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("CcByNcRef4", "licensed under cc by nc 4 0"),
     ("CcByRef4", "licensed under cc by 4 0"),
@@ -44,10 +76,28 @@ SENTENCES: list[tuple[str, str]] = [
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["ApacheRef2", "ApacheComply", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheRef2", "ApacheComply", "ApacheCopy"]),
+    ("MIT", ["MitGrant", "MitNotice", "MitAsIs", "MitLiable"]),
     ("MIT", ["MitGrant", "MitNotice", "MitAsIs"]),
+    ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "BsdAsIs"]),
     ("BSD-3-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse"]),
+    ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary", "BsdAsIs"]),
     ("BSD-2-Clause", ["BsdGrant", "BsdSource", "BsdBinary"]),
+    ("ISC", ["IscGrant", "IscAsIs"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("Unlicense", ["UnlicenseFree", "UnlicenseGrant"]),
+    ("GPL-3.0-or-later", ["GplFree", "GplNoWarranty", "GplSee", "GplCopy"]),
+    ("GPL-3.0-or-later", ["GplFree", "GplNoWarranty", "GplSee"]),
     ("GPL-3.0-or-later", ["GplFree", "GplNoWarranty"]),
+    ("GPL-2.0-or-later", ["GplFree2", "GplNoWarranty", "GplSee", "GplCopy"]),
+    ("GPL-2.0-or-later", ["GplFree2", "GplNoWarranty", "GplSee"]),
+    ("GPL-2.0-or-later", ["GplFree2", "GplNoWarranty"]),
+    ("AGPL-3.0-or-later", ["AgplFree3", "GplNoWarranty"]),
+    ("LGPL-2.1-or-later", ["LgplFree21", "LgplNoWarranty"]),
+    ("LGPL-3.0-or-later", ["LgplFree3", "LgplNoWarranty"]),
+    ("MPL-2.0", ["MplForm", "MplCopy"]),
+    ("BSL-1.0", ["BoostGrant"]),
+    ("BSL-1.0", ["BoostRef"]),
+    ("Unlicense", ["UnlicenseFree"]),
     ("Apache-2.0", ["ApacheRef2"]),
     ("MIT", ["MitRef"]),
     ("GPL-3.0", ["GplRef3"]),
@@ -55,6 +105,17 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-4.0", ["CcByNcRef4"]),
     ("CC-BY-SA-4.0", ["CcBySaRef4"]),
     ("CC-BY-4.0", ["CcByRef4"]),
+    ("CC0-1.0", ["CcZeroRef"]),
+    ("Apache-2.0", ["SpdxApache2"]),
+    ("MIT", ["SpdxMit"]),
+    ("BSD-2-Clause", ["SpdxBsd2"]),
+    ("BSD-3-Clause", ["SpdxBsd3"]),
+    ("ISC", ["SpdxIsc"]),
+    ("MPL-2.0", ["SpdxMpl2"]),
+    ("GPL-2.0-only", ["SpdxGpl2"]),
+    ("GPL-2.0-or-later", ["SpdxGpl2Later"]),
+    ("GPL-3.0-only", ["SpdxGpl3"]),
+    ("GPL-3.0-or-later", ["SpdxGpl3Later"]),
 ]
 
 #: No known sentence goes on over one of . ! ? before white space or the end, or over a blank line.
@@ -105,15 +166,14 @@ def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules:
     out = docs.select(F.col("doc_id"), found.alias("sentence_ids"))
     out = out.withColumn("left", F.when(F.size("sentence_ids") > 0, F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))).otherwise(""))
     # each rule takes its runs out of what is left, and names its license if it took any
-    names = []
-    for k, (license_, run) in enumerate(rules):
-        run_text = "".join(f"|{x}|" for x in run)
-        out = out.withColumn(f"hit{k}", F.when(F.contains(F.col("left"), F.lit(run_text)), F.lit(license_)))
-        out = out.withColumn("left", F.replace(F.col("left"), F.lit(run_text), F.lit("/")))
-        names.append(F.col(f"hit{k}"))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{x}|" for x in run)).alias("run")) for name, run in rules])
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("names"))
+    took = lambda acc, r: F.struct(F.replace(acc["left"], r["run"], F.lit("/")).alias("left"), F.when(F.contains(acc["left"], r["run"]), F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
+    taken = F.when(F.col("left") == "", start).otherwise(F.aggregate(table, start, took))
+    out = out.select("doc_id", "sentence_ids", taken.alias("taken"))
     return out.select(
         "doc_id",
         "sentence_ids",
-        F.array_distinct(F.array_compact(F.array(*names))).alias("licenses"),
-        F.filter(F.split("left", r"[|/]+"), lambda x: x != "").alias("unmatched"),
+        F.array_distinct("taken.names").alias("licenses"),
+        F.filter(F.split("taken.left", r"[|/]+"), lambda x: x != "").alias("unmatched"),
     )

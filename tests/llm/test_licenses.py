@@ -72,3 +72,21 @@ def test_runs_inside_longer_sentences(spark, docs_of):
     ]
     got = {r.doc_id: r.sentence_ids for r in licenses.recognise(docs_of(*rows)).collect()}
     assert got == {1: ["MitRef"], 2: [], 3: [], 4: [], 5: ["AllRights"], 6: ["CcBySaRef4", "CcByRef4"], 7: []}
+
+
+def test_further_licenses(spark, docs_of):
+    rows = [
+        ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+        ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS."),
+        ("Unlicense", "# This is free and unencumbered software released into the public domain.\n# Anything else"),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nint main() {}"),
+        ("GPL-2.0-or-later", GPL.replace("version 3", "version 2") + "\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+        ("LGPL-2.1-or-later", GPL.replace("This program", "This library").replace("GNU General Public", "GNU Lesser General Public").replace("version 3", "version 2.1")),
+        ("Zlib", "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. x"),
+    ]
+    got = {r.doc_id: r for r in licenses.recognise(docs_of(*[(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert [got[i].licenses for i in range(len(rows))] == [[name] for name, _ in rows]
+
+
+def test_every_rule_names_known_sentences():
+    assert {x for _, run in licenses.RULES for x in run} <= {i for i, _ in licenses.SENTENCES}
