@@ -74,8 +74,14 @@ class Sequence:
         self._lows = np.ndarray((lows - 7,), dtype="<u8", buffer=raw.data, offset=32, strides=(1,))
         self._words = raw[32 + lows : self.end].view("<u8")
         self._ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self._words), dtype=np.int64)])
+        self.top = int(self._ones[-1] and self._last() - self.n + 1)  # the greatest high part
         self._zeros = 64 * np.arange(len(self._ones), dtype=np.int64) - self._ones
 
+    def _last(self) -> int:
+        """Place of the last one of the unary part."""
+        word = int(np.flatnonzero(self._words)[-1])
+        return 64 * word + int(self._words[word]).bit_length() - 1
+
     def _low(self, i: np.ndarray) -> np.ndarray:
         at = i * self.low
         return (self._lows[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << self.low) - 1)
@@ -85,27 +91,34 @@ class Sequence:
         place = 64 * word + _select(self._words[word], i - self._ones[word])
         return (place - i) << self.low | self._low(i)
 
+    def _bucket_end(self, high: np.ndarray) -> np.ndarray:
+        """How many elements have at most this high part: the ones before the zero that ends it."""
+        word = np.searchsorted(self._zeros, high, side="right") - 1
+        return 64 * word + _select(~self._words[word], high - self._zeros[word]) - high
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(where the first element of at least x stands, n: nowhere; whether it is x)."""
         high, low = x >> self.low, x & ((1 << self.low) - 1)
-        out, same = np.full(len(x), self.n, dtype=np.int64), np.zeros(len(x), dtype=bool)
-        open_ = np.flatnonzero(high < self._zeros[-1])
-        h = high[open_]
-        # the elements of a high part stand behind the zero that ends the one before
-        place, some = np.zeros(len(h), dtype=np.int64), np.flatnonzero(h > 0)
-        zero = h[some] - 1
-        word = np.searchsorted(self._zeros, zero, side="right") - 1
-        place[some] = 64 * word + _select(~self._words[word], zero - self._zeros[word]) + 1
-        at = place - h
+        at, same = np.full(len(x), self.n, dtype=np.int64), np.zeros(len(x), dtype=bool)
+        if not self.n:
+            return at, same
+        known = np.flatnonzero(high <= self.top)
+        h = high[known]
+        stop = self._bucket_end(h)
+        first = np.zeros(len(h), dtype=np.int64)
+        first[h > 0] = self._bucket_end(h[h > 0] - 1)
+        # among the elements of the high part, by halves over their low bits
+        a, b, open_, want = first, stop.copy(), np.flatnonzero(first < stop), low[known]
         while len(open_):
-            inside = (self._words[np.minimum(place >> 6, len(self._words) - 1)] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            own = np.where(inside, self._low(np.minimum(at, max(self.n - 1, 0))), 0) if self.n else np.zeros(len(at), dtype=np.int64)
-            less = inside & (own < low[open_])
-            done = ~less
-            out[open_[done]] = at[done]
-            same[open_[done]] = inside[done] & (own[done] == low[open_[done]])
-            open_, place, at = open_[less], place[less] + 1, at[less] + 1
-        return out, same
+            middle = (a[open_] + b[open_]) >> 1
+            less = self._low(middle) < want[open_]
+            a[open_[less]] = middle[less] + 1
+            b[open_[~less]] = middle[~less]
+            open_ = open_[a[open_] < b[open_]]
+        at[known] = a
+        inside = np.flatnonzero(a < stop)
+        same[known[inside]] = self._low(a[inside]) == want[inside]
+        return at, same
 
 
 class Trie:
