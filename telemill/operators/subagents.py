@@ -27,7 +27,7 @@ def fold_subagents(events: DataFrame, tool_calls: DataFrame | None = None) -> Da
     one = one.withColumn("status", status).drop("ok")
     found = infer_parents(one.where(F.col("stated_parent").isNull()), events)
     one = one.join(found, ["session_id", "agent_id"], "left").withColumn("parent_agent_id", F.coalesce("stated_parent", "found_parent")).drop("stated_parent", "found_parent")
-    levels = tree_rows(one).select("session_id", "agent_id", "depth")
+    levels = depths(one)
     one = one.join(levels, ["session_id", "agent_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(1)))
     return one if tool_calls is None else count_calls(one, tool_calls)
 
@@ -50,6 +50,23 @@ def tree_rows(agents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     cycle or under an agent that was never seen are reached from nowhere and
     left out, and so is what lies deeper than the limit.
     """
+    found = _lines(agents, max_depth).where((F.col("up") == "") & (F.size("path") <= max_depth))
+    found = found.select("session_id", "agent_id", F.size("path").alias("depth"), F.array_join("path", "/").alias("path"))
+    return agents.select("session_id", "agent_id", "parent_agent_id").join(found, ["session_id", "agent_id"])
+
+
+def depths(agents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(session_id, agent_id, depth) of the agents that hang on one without a parent; what lies deeper than the limit has its depth.
+
+    Agents on a cycle, or under one that was never seen, have none.
+    """
+    lines = _lines(agents, max_depth)
+    endless = (F.coalesce("up", F.lit("")) != "") & (F.size(F.array_distinct("path")) < F.size("path"))
+    return lines.where(F.col("up").isNotNull() & ~endless).select("session_id", "agent_id", F.least(F.size("path"), F.lit(max_depth)).alias("depth"))
+
+
+def _lines(agents: DataFrame, max_depth: int) -> DataFrame:
+    """(session_id, agent_id, path, up): each agent's line of ancestors, of at most ``max_depth`` steps up, and what is above it: '' for nothing, null for an agent that was never seen."""
     up = F.map_from_entries(F.collect_list(F.struct("agent_id", F.coalesce("parent_agent_id", F.lit("")))))
     maps = agents.groupBy("session_id").agg(up.alias("up"))
 
@@ -61,9 +78,8 @@ def tree_rows(agents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         start = F.struct(F.array(agent).alias("path"), F.try_element_at(F.col("up"), agent).alias("up"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), start, climb)
 
-    lines = maps.select("session_id", F.explode(F.transform(F.map_keys("up"), line)).alias("l")).where((F.col("l.up") == "") & (F.size("l.path") <= max_depth))
-    found = lines.select("session_id", F.element_at("l.path", -1).alias("agent_id"), F.size("l.path").alias("depth"), F.array_join("l.path", "/").alias("path"))
-    return agents.select("session_id", "agent_id", "parent_agent_id").join(found, ["session_id", "agent_id"])
+    lines = maps.select("session_id", F.explode(F.transform(F.map_keys("up"), line)).alias("l"))
+    return lines.select("session_id", F.element_at("l.path", -1).alias("agent_id"), "l.path", "l.up")
 
 
 def count_calls(agents: DataFrame, tool_calls: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ from telemill import schemas
 from telemill.functions import mapping as mp
 from telemill.functions.attributes import clean_json, variant_number, variant_string
 
-DEPTH = 2  # of lists within attribute values that expressions unwrap; requests that may hold deeper ones go through Arrow batches
-_DEEP = "(?s)" + ".*".join(['"(?:kvlist|array)Value"'] * (DEPTH + 1))
+_NESTED = '"(?:kvlist|array)Value"'  # requests that may hold lists or maps as values go through Arrow batches
 _KV = "array<struct<key string, value variant>>"
 LOGS = f"resourceLogs array<struct<resource struct<attributes {_KV}>, scopeLogs array<struct<scope struct<attributes {_KV}>, logRecords array<struct<timeUnixNano string, observedTimeUnixNano string, eventName string, body variant, attributes {_KV}>>>>>>"
 _NUMBER = f"array<struct<timeUnixNano string, asDouble double, asInt string, attributes {_KV}>>"
@@ -40,20 +39,15 @@ def stream_bodies(spark: SparkSession, path: str, files_per_trigger: int = 100)
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(clean_json(F.col("value")).alias("body"))
 
 
-def value_of(v: Column, depth: int = DEPTH) -> Column:
-    """A typed attribute value without its wrapper; arrays and lists of pairs keep their structure down to ``depth``."""
+def value_of(v: Column) -> Column:
+    """A flat attribute value without its wrapper."""
     get = lambda name, kind="variant": F.try_variant_get(v, f"$.{name}", kind)
-    flat = [get("stringValue"), get("boolValue"), F.try_parse_json(get("intValue", "string")), get("doubleValue"), get("bytesValue")]
-    if depth:
-        pairs = F.try_variant_get(v, "$.kvlistValue.values", _KV)
-        items = F.try_variant_get(v, "$.arrayValue.values", "array<variant>")
-        flat += [F.when(pairs.isNotNull(), F.to_variant_object(attribute_map(pairs, depth - 1))), F.to_variant_object(F.transform(items, lambda x: value_of(x, depth - 1)))]
-    return F.coalesce(*flat)
+    return F.coalesce(get("stringValue"), get("boolValue"), F.try_parse_json(get("intValue", "string")), get("doubleValue"), get("bytesValue"))
 
 
-def attribute_map(pairs: Column, depth: int = DEPTH) -> Column:
-    """Map of an attribute list, names in order; of equal names the last counts."""
-    entries = F.transform(F.coalesce(pairs, F.array().cast(_KV)), lambda e: F.struct(e["key"].alias("key"), value_of(e["value"], depth).alias("value")))
+def attribute_map(pairs: Column) -> Column:
+    """Map of an attribute list of flat values, names in order; of equal names the last counts."""
+    entries = F.transform(F.coalesce(pairs, F.array().cast(_KV)), lambda e: F.struct(e["key"].alias("key"), value_of(e["value"]).alias("value")))
     return F.map_from_entries(entries)
 
 
@@ -75,15 +69,15 @@ def _plain_pairs(lists: pd.Series) -> pd.Series:
     return lists.map(lambda x: None if x is None else json.dumps({e.get("key"): _plain(e.get("value")) for e in json.loads(x)}, ensure_ascii=False))
 
 
-def deep_attribute_map(pairs: Column) -> Column:
-    """:func:`attribute_map` for lists of any depth."""
+def nested_attribute_map(pairs: Column) -> Column:
+    """:func:`attribute_map` for lists and maps as values, of any depth."""
     return F.coalesce(F.from_json(_plain_pairs(F.to_json(pairs)), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
 def _by_depth(bodies: DataFrame, read) -> DataFrame:
     """``read`` over requests with flat attribute values, and in its way for nested ones over the others."""
-    deep = F.coalesce(F.col("body").rlike(_DEEP), F.lit(False))
-    return read(bodies.where(~deep), attribute_map).unionByName(read(bodies.where(deep), deep_attribute_map))
+    nested = F.coalesce(F.col("body").rlike(_NESTED), F.lit(False))
+    return read(bodies.where(~nested), attribute_map).unionByName(read(bodies.where(nested), nested_attribute_map))
 
 
 def sorted_json(m: Column) -> Column:

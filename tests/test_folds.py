@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from telemill import schemas
+from telemill.functions.percentiles import order_statistics, percentiles, rounded
 from telemill.operators import quality, sessions, subagents, timeline, tool_calls
 
 T0 = datetime(2024, 3, 1, 10)
@@ -136,3 +137,22 @@ def test_empty_input(spark):
     e = events(spark, {}).limit(0)
     for fold in (sessions.fold_sessions, sessions.fold_turns, tool_calls.fold_tool_calls, subagents.fold_subagents):
         assert fold(e).count() == 0
+
+
+def test_depths_are_clamped(spark):
+    chain = [("s", f"a{i}", f"a{i - 1}" if i else None) for i in range(20)]
+    rest = [("s", "x", "y"), ("s", "y", "x"), ("s", "o", "never seen"), ("s", "under", "x"), ("t", "a1", None)]
+    agents = spark.createDataFrame(chain + rest, "session_id string, agent_id string, parent_agent_id string")
+    got = {(r.session_id, r.agent_id): r.depth for r in subagents.depths(agents).collect()}
+    assert got == {("s", f"a{i}"): min(i + 1, 16) for i in range(20)} | {("t", "a1"): 1}
+    assert {r.agent_id for r in subagents.tree_rows(agents).where("session_id = 's'").collect()} == {f"a{i}" for i in range(16)}
+
+
+def test_percentile_at_a_tie(spark):
+    rows = spark.createDataFrame([("s", 71), ("s", 241), ("s", 1406), ("t", None), ("u", 5)], "k string, v long")
+    got = {r.k: r for r in percentiles(rows, ["k"], "v", {"p50": 0.5, "p95": 0.95}).select("k", "p50", rounded("p95").alias("p95")).collect()}
+    assert (got["s"].p50, got["s"].p95, got["u"].p95) == (241.0, 1290, 5) and "t" not in got
+    whole = order_statistics(rows, "v", {"p50": 0.5, "p95": 0.95}, 3).first()
+    assert (whole.lo, whole.hi, whole.p50) == (5.0, 1406.0, 156.0) and abs(whole.p95 - (241 + 0.85 * 1165)) < 1e-9
+    assert order_statistics(rows.limit(0), "v", {"p50": 0.5}).first().p50 is None
+    assert [r[0] for r in spark.createDataFrame([(2.5,), (-2.5,), (-0.4,)], "x double").select(rounded("x")).collect()] == [3, -3, 0]
