@@ -29,6 +29,7 @@ from telemill.llm.text import slices, text_buffers, words_of
 
 SIMILARITY = 0.8
 BLOCK = 256  # texts of a bucket that are compared at once
+BLOCK_BYTES = 8 << 20  # of text in a block (a longer text stands alone)
 SALTS = 32  # tasks over which the texts that are held against one central text are dealt
 _SLICE = 1 << 20
 
@@ -38,37 +39,48 @@ def _node():
     return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node")
 
 
+def _unseen(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
+    """Rows of texts that the task has not met, so that copies are few before any shuffle."""
+    new = []
+    for k, x in enumerate(batch.column("node").to_pylist()):
+        if x not in seen:
+            seen.add(x)
+            new.append(k)
+    return batch.take(pa.array(new, pa.int64()))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(_node(), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _once(docs: DataFrame) -> DataFrame:
-    """(node, text): each text once a task, so that copies are few before any shuffle."""
+    """(node, text): each text once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            new = []
-            for k, x in enumerate(batch.column("node").to_pylist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(k)
-            yield batch.take(pa.array(new, pa.int64()))
+            yield _unseen(batch, seen)
 
-    return docs.select(_node(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "node binary, text string")
+    return _named(docs).mapInArrow(run, "node binary, text string")
 
 
-def _bucket_rows(texts: DataFrame) -> DataFrame:
-    """(bucket, node): the band keys of every text; texts without words have none."""
+def _bucket_rows(docs: DataFrame) -> DataFrame:
+    """(bucket, node): the band keys of every text, each text once a task; texts without words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
+            few = _unseen(batch, seen)
+            data, offsets = text_buffers(few.column("text"))
             for i, j in slices(offsets, _SLICE):
                 hashes, bounds = shingles(words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 keys = bands(signatures(*weighted(hashes, bounds), j - i))
                 some = np.flatnonzero(np.diff(bounds) > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[some].reshape(-1)), batch.column("node").slice(i, j - i).take(pa.array(np.repeat(some, keys.shape[1])))], names=["bucket", "node"]
+                    [pa.array(keys[some].reshape(-1)), few.column("node").slice(i, j - i).take(pa.array(np.repeat(some, keys.shape[1])))], names=["bucket", "node"]
                 )
 
-    return texts.mapInArrow(run, "bucket long, node binary")
+    return _named(docs).mapInArrow(run, "bucket long, node binary")
 
 
 def _overlap(pairs: DataFrame) -> DataFrame:
@@ -134,10 +146,12 @@ def _star(rows: DataFrame, texts: DataFrame, tried: DataFrame | None) -> DataFra
 
 def _blocks(rows: DataFrame, texts: DataFrame, least: float, block: int) -> DataFrame:
     """(a, b) links between texts of one bucket and of different components: a spanning forest for each pair of blocks."""
-    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main"))
+    rows = rows.join(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "node")
+    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main"))
     # the largest component of a bucket needs no comparison inside itself; its texts and the others get blocks of their own
-    rows = rows.join(sizes, "bucket").withColumn("is_main", F.col("root") == F.col("main.root"))
-    k_main, k_rest = F.ceil(F.col("main.n") / block), F.ceil((F.col("n") - F.col("main.n")) / block)
+    rows = rows.drop("bytes").join(sizes, "bucket").withColumn("is_main", F.col("root") == F.col("main.root"))
+    count = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES))
+    k_main, k_rest = count(F.col("main.n"), F.col("main.bytes")), count(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
     spot = F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), k_main).otherwise(k_rest))
     rows = rows.withColumn("at", F.when(F.col("is_main"), -1 - spot).otherwise(spot))
     rest = F.sequence(F.lit(0).cast("long"), k_rest - 1)
@@ -179,7 +193,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> D
     texts of fewer than five words are one shingle; texts without words have no
     link.  Texts that nothing is near are left out: each is a class of its own.
     """
-    every = written(_bucket_rows(_once(docs)), "buckets")
+    every = written(_bucket_rows(docs), "buckets")
     shared = every.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.approx_count_distinct("node", 0.2).alias("size")).where(F.col("least") != F.col("most"))
     rows = every.join(shared.select("bucket", "size"), "bucket").distinct()
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))

@@ -41,7 +41,7 @@ MODEL_ROWS = 4_000_000  # n-grams of all orders up to which each task holds the
 BLOCK_BYTES = 16 << 20  # of text in a block
 START = 0xFFFF  # stands before a text's first character; no character
 STEP = 4096  # codes per power of ten of a stored probability
-_SLICE = 1 << 20
+_SLICE = 1 << 18  # bytes of text that are counted or scored at once
 
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

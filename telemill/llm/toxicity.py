@@ -33,6 +33,7 @@ PREFIXES = (4, 5)
 SAMPLE_ROWS = 2500  # labelled rows of each class to fit on
 FOLDS = 4  # of the sample: each is scored by a net fitted on the others
 THRESHOLD = 0.3
+NO_EVIDENCE = -3.0  # log odds that a fit starts from for a text without words
 BINS = 64  # of a score's log odds to one unit, for counts over all labelled rows
 MOST_ODDS = 40  # log odds beyond this share the last bin
 _SLICE = 1 << 20
@@ -139,17 +140,26 @@ def _fresh(seed: int) -> Net:
         [r.normal(0, 0.4, (w, WIDTH, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS],
         np.abs(r.normal(0, 0.3, len(WIDTHS) * FILTERS)).astype(np.float32) * np.tile([1, -1], len(WIDTHS) * FILTERS // 2).astype(np.float32),
-        0.0,
+        NO_EVIDENCE,
     )
 
 
 def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 6, batch: int = 32, rate: float = 0.05, seed: int = 1) -> Net:
-    """A net from labelled texts; ``share`` is the label's share among all rows, to which the scores are set."""
-    net, n = _fresh(seed), len(texts)
+    """A net from labelled texts; ``share`` is the label's share among all rows, to which the scores are set.
+
+    Beginnings of a few words, or none, of texts without the label go with them:
+    labelled texts are hardly ever that short, and a text without evidence must
+    not get the score of an average one.
+    """
+    net, n, seen = _fresh(seed), len(texts), float(labels.mean()) if len(texts) else 0.0
     if n == 0 or labels.min() == labels.max():
         net.weight[:] = 0
         net.bias = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6))))
         return net
+    clean = np.flatnonzero(labels == 0)
+    starts = np.random.default_rng(seed + 1).choice(clean, max(1, len(clean) // 6), replace=False)
+    texts = [*texts, *(" ".join((texts[t] or "").split(None, k % 4)[: k % 4]) for k, t in enumerate(starts.tolist()))]
+    labels, n = np.concatenate([labels, np.zeros(len(starts), dtype=labels.dtype)]), len(texts)
     rows, bounds = features(*text_buffers(pa.array(texts, pa.string())))
     squares = [np.full_like(p, 1e-6) for p in [net.tables, *net.filters, *net.shift, net.weight]]
     bias_square, order = 1e-6, np.random.default_rng(seed)
@@ -191,7 +201,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, epochs: int = 6, bat
             v = float(error.sum())
             bias_square += v * v
             net.bias -= rate * v / bias_square**0.5
-    seen, share = float(labels.mean()), float(np.clip(share, 1e-6, 1 - 1e-6))
+    share = float(np.clip(share, 1e-6, 1 - 1e-6))
     net.bias += float(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))
     net.tables = net.tables.astype(np.float16).astype(np.float32)
     return net
