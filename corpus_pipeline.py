@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.  All but the last return
-the columns of documents.
+the columns of documents, with any further columns that docs have, unchanged.
+
+Null and empty texts pass all filtering stages (all of them count as copies of
+each other in near-dedup) and are the end id alone in packing.  Texts of any
+length are taken whole.  Repeated rows are judged each and count as copies.
+Empty tables of labels or benchmark items take nothing out; empty documents
+give no rows.
 """
 
 from __future__ import annotations
@@ -15,23 +21,23 @@ from telemill.llm.store import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity stays below their language's threshold."""
+    """Documents whose toxicity stays below their language's threshold (a null or rare language's: that over all rows; without labels of both classes: 0.3)."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, net, into="__toxicity").where(~toxicity.rejected(net, scores="__toxicity")).drop("__toxicity")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under the model of trusted text stays below their language's threshold."""
+    """Documents whose perplexity under the model of trusted text stays at or below the threshold of their language and length."""
     return quality.verdicts(docs, table(spark, sf_dir, "labels"), "__verdict").where("__verdict.keep").drop("__verdict")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, the one of the least doc_id."""
     return near_dedup.deduplicate(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the spans that they share with benchmark items; those that are mostly such spans go."""
+    """Documents without the spans that they share with benchmark items; those that are mostly such spans go.  n_chars counts the new text."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
