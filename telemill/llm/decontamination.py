@@ -156,8 +156,9 @@ def scan(docs: DataFrame, items: DataFrame, length: int = 10, item_bytes: int =
     A window is ``length`` consecutive words of an item, or a shorter item's all
     words; a document word inside any occurrence of a window is hit.  Null and
     empty texts have no words and no hits; an item without words has no window.
-    Rows with the same doc_id are documents of their own.  No documents: no
-    rows; no items: no hits.  Other columns are ignored.
+    Rows with the same doc_id are documents of their own; doc_id and item_id
+    are numbers.  Texts are scanned whole.  No documents: no rows; no items: no
+    hits.  Other columns are ignored.
     """
     cur = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = _blocks(items, length, item_bytes)

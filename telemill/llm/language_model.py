@@ -382,7 +382,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score(docs: DataFrame, held: str, order: int = ORDER, discounts: dict[int, float] = DISCOUNTS, block_bytes: int = BLOCK_BYTES, shard_ngrams: int = SHARD_NGRAMS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    docs: doc_id, text and a boolean column named by ``held`` (null: false);
+    docs: doc_id (a number), text and a boolean column named by ``held`` (null: false);
     documents where it is true are scored but not learned from.  Words are runs
     of other bytes than white space, A-Z lower-cased; an end closes every text
     and counts as a token, so a null or empty text has one.  base_score sums

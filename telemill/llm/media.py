@@ -266,7 +266,7 @@ _READ = (
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8, padded, in an MPEG audio file.
 
-    Rows with the same doc_id are files of their own; other columns are ignored.
+    Rows with the same doc_id (a number) are files of their own; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

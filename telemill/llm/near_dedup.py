@@ -230,7 +230,8 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id and class_id, the least doc_id of its class (a null one only if all are null).
 
     Equal texts share a class, null and empty ones together.  Rows with the
-    same doc_id are documents of their own.  No rows: no rows.
+    same doc_id are documents of their own; doc_id is a number.  A very long
+    text is hashed in one task and compared whole.  No rows: no rows.
     """
     found = classes(docs, least)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _node()).join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))

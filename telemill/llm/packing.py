@@ -54,7 +54,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFr
 def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int = 0) -> DataFrame:
     """Pieces of all documents in windows of ``length`` tokens; only the last window has room left.
 
-    docs: doc_id, text; other columns are ignored.  A null or empty text is the
+    docs: doc_id (a number), text; other columns are ignored.  A null or empty text is the
     end id alone.  Rows with the same doc_id are documents of their own.  An
     empty table gives no pieces.  ``ids`` holds the piece's ids, each little-endian
     unsigned 32 bits; ``boundary`` marks a piece whose document goes on in the next window.
