@@ -1,7 +1,6 @@
 """Registered queries and the pipeline's stages against plain Python, on a small folder of tables with planted rows."""
 
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -210,4 +209,6 @@ def test_pipeline_run(spark, planted):
     for p in corpus_pipeline.run(spark, where).collect():
         got.setdefault(p.doc_id, {})[p.start] = bytes(p.ids)
     assert {i: b"".join(x for _, x in sorted(parts.items())) for i, parts in got.items()} == {i: np.array(x, dtype="<u4").tobytes() for i, x in want.items()}
-    assert not set(want) & (kinds["toxic"] | kinds["junk"] | kinds["copy"]) and math.isclose(len(want), len(kinds["clean"]) + len(kinds["leak"]), abs_tol=6)
+    assert not set(want) & (kinds["toxic"] | kinds["junk"] | kinds["copy"])
+    prose = set(range(180)) | {i for i in kinds["clean"] if len(docs[i][1] or "") > 100}
+    assert len(prose - set(want)) <= 3
