@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,11 +39,18 @@ def _writing(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts its lineage.
+
+    What the driver kept for the write (plans, task results, copies of
+    broadcasts) is only found by its collector, which a small driver that runs
+    many writes in a row would not start before its heap is full.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _writing(spark):
         df.write.option("compression", compression).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
