@@ -49,8 +49,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _writing(spark):
         df.write.option("compression", compression).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):  # there the driver is the executor and has its memory
+        gc.collect()
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
