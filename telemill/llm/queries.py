@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, toxicity, url_filters, warc
+from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, repeats, toxicity, url_filters, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -105,6 +105,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.array_join("unmatched", ",").alias("unmatched"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -116,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_repeats": op11_repeats,
 }
