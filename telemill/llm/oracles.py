@@ -77,9 +77,50 @@ SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sen
   array_to_string(list_filter(names, lambda q, k: list_position(names, q) = k), ',') AS licenses, array_to_string(rest, ',') AS unmatched FROM f"""
 
 
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    step = f"""SELECT r, p.part, min({{'d': list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))::BIGINT, 'e': entry}}) AS best
+  FROM p JOIN {{}} c ON p.part = c.part GROUP BY r, p.part"""
+    ctes = []
+    for k in range(rounds):
+        ctes.append(f"a{k} AS MATERIALIZED ({step.format(f'c{k}')})")
+        ctes.append(f"""u{k} AS MATERIALIZED (SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p.part, best.e AS e, unnest(range(1, len(q) + 1)) AS i, unnest(q) AS x FROM a{k} JOIN p USING (r, part)) GROUP BY ALL)""")
+        ctes.append(f"""m{k} AS MATERIALIZED (SELECT part, e AS entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM u{k} GROUP BY part, e)""")
+        ctes.append(f"""c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (part, entry))""")
+    chain = ",\n".join(ctes)
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, list_transform(v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}], lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM e, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, q FROM p WHERE r <= {entries}),
+{chain},
+last AS MATERIALIZED ({step.format(f'c{rounds}')}),
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(range(len(q))) AS i, unnest(q) AS x FROM c{rounds})),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM last GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN e USING (r), books"""
+
+
+def source_audit_sql(least: int = 10, top: int = 10) -> str:
+    p = lambda n, total: f"1 + (1000000000 * ({n} + 2)::HUGEINT) // ({total} + 2 * terms)"
+    f = lambda p, q: f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^ -@[-`{-]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {least}),
+n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS total FROM n GROUP BY ALL) USING (lang, source) LEFT JOIN (SELECT lang, count(*) AS terms, sum(n_lang)::BIGINT AS lang_total FROM kept GROUP BY lang) USING (lang)),
+t AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS c, {p("coalesce(n.n, 0)", "total")} AS p, {p("n_lang", "lang_total")} AS q FROM g JOIN kept USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum({f("a.p", "b.p")})::BIGINT AS value FROM t a JOIN t b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ({f("p", "q")})::BIGINT AS value FROM t WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= {top}"""
+
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontamination_sql(),
     "op5_url_filters": url_filters_sql(),
     "op8_warc_revisits": warc_sql(),
     "op10_licenses": licenses_sql(),
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_source_audit": source_audit_sql(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, repeats, toxicity, url_filters, warc
+from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, repeats, source_audit, toxicity, url_filters, vector_codes, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -110,6 +110,15 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -122,4 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
     "op11_repeats": op11_repeats,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_audit": op13_source_audit,
 }
