@@ -77,12 +77,26 @@ SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sen
   array_to_string(list_filter(names, lambda q, k: list_position(names, q) = k), ',') AS licenses, array_to_string(rest, ',') AS unmatched FROM f"""
 
 
+def repeats_sql(length: int = 200) -> str:
+    """Texts as hex digits, two a byte; strings of ``length`` bytes are told apart by their MD5."""
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(substr(x, 2 * i + 1, {2 * length})) AS k FROM (SELECT r, x, unnest(range(len(x) // 2 - {length - 1})) AS i FROM d WHERE len(x) >= {2 * length})),
+m AS (SELECT r, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+s AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {length}, true) AS new FROM m),
+g AS (SELECT r, i, sum(new::INTEGER) OVER (PARTITION BY r ORDER BY i) AS n FROM s),
+spans AS (SELECT r, n, min(i) AS low, max(i) + {length} AS high FROM g GROUP BY r, n),
+pieces AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM spans),
+cut AS (SELECT r, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(x), 2 * max(high) + 1) AS kept FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
+
 def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
-    step = f"""SELECT r, p.part, min({{'d': list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))::BIGINT, 'e': entry}}) AS best
-  FROM p JOIN {{}} c ON p.part = c.part GROUP BY r, p.part"""
+    distance = "list_sum(list_transform(range(1, len(p.q) + 1), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))::BIGINT"
+    step = lambda books: f"SELECT r, p.part, min({{'d': {distance}, 'e': entry}}) AS best FROM p JOIN {books} c ON p.part = c.part GROUP BY r, p.part"
     ctes = []
     for k in range(rounds):
-        ctes.append(f"a{k} AS MATERIALIZED ({step.format(f'c{k}')})")
+        ctes.append(f"a{k} AS MATERIALIZED ({step(f'c{k}')})")
         ctes.append(f"""u{k} AS MATERIALIZED (SELECT part, e, i, sum(x) AS s, count(*) AS n FROM (SELECT p.part, best.e AS e, unnest(range(1, len(q) + 1)) AS i, unnest(q) AS x FROM a{k} JOIN p USING (r, part)) GROUP BY ALL)""")
         ctes.append(f"""m{k} AS MATERIALIZED (SELECT part, e AS entry, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS q FROM u{k} GROUP BY part, e)""")
         ctes.append(f"""c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.q, c.q) AS q FROM c{k} c LEFT JOIN m{k} m USING (part, entry))""")
@@ -92,7 +106,7 @@ WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id,
 p AS MATERIALIZED (SELECT r, part, list_transform(v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}], lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM e, (SELECT unnest(range({parts})) AS part)),
 c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, q FROM p WHERE r <= {entries}),
 {chain},
-last AS MATERIALIZED ({step.format(f'c{rounds}')}),
+last AS MATERIALIZED ({step(f'c{rounds}')}),
 books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(range(len(q))) AS i, unnest(q) AS x FROM c{rounds})),
 coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM last GROUP BY r)
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN e USING (r), books"""
@@ -103,7 +117,7 @@ def source_audit_sql(least: int = 10, top: int = 10) -> str:
     f = lambda p, q: f"(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
-w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^ -@[-`{-]+')) AS term FROM d),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
 kept AS MATERIALIZED (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {least}),
 n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
 g AS MATERIALIZED (SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms, coalesce(lang_total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d)
@@ -121,6 +135,7 @@ ORACLES: dict[str, str] = {
     "op5_url_filters": url_filters_sql(),
     "op8_warc_revisits": warc_sql(),
     "op10_licenses": licenses_sql(),
+    "op11_repeats": repeats_sql(),
     "op12_vector_codes": vector_codes_sql(),
     "op13_source_audit": source_audit_sql(),
 }
