@@ -314,9 +314,10 @@ def _of_size(kept: DataFrame, large: bool) -> DataFrame:
 def _spans(texts: DataFrame, length: int, core: int, group: int) -> DataFrame:
     """(node, span) of all strings of distinct texts that repeat."""
     rows = written(_anchor_rows(texts, length, core), "repeats-anchors")
-    shared = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > group).alias("large"))
+    # written apart, so that the join has a shuffle of its own, of which Spark can split a core's large part
+    shared = written(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > group).alias("large")), "repeats-shared")
     kept = written(rows.join(shared, "core").groupBy("node").agg(F.collect_list(F.struct("core", "large", "at")).alias("anchors")), "repeats-kept")
-    dropped(rows)
+    dropped(rows, shared)
     counted, tables = _counted_spans(_contexts(_of_size(kept, True), texts, length), length)
     found = written(_sorted_spans(_contexts(_of_size(kept, False), texts, length), length).unionByName(counted), "repeats-spans")
     dropped(kept, *tables)
