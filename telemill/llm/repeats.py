@@ -28,10 +28,11 @@ columns are not read, so their names do not matter.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ from telemill.llm.text import slices, text_buffers, window_hashes
 LENGTH = 200
 CORE = 64
 GROUP = 4096  # anchors of one core that are sorted in one place
+KINDS = 1 << 16  # ranges of large groups' contexts that every task gets, some 4 MB; more of them are joined
 _SLICE = 1 << 20
 _SORTED = 4 << 20  # bytes of contexts that are sorted at once
 _AT = np.uint64((1 << 24) - 1)
@@ -238,8 +240,8 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, span long")
 
 
-def _counted_spans(contexts: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, span) of the large groups, and the tables that it reads."""
+def _counted_spans(contexts: DataFrame, length: int) -> tuple[DataFrame, Callable[[], None]]:
+    """(node, span) of the large groups, and what frees that which it reads."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,10 +263,36 @@ def _counted_spans(contexts: DataFrame, length: int) -> tuple[DataFrame, list[Da
     kinds = members.groupBy("kind").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
     rows = written(kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary"), "repeats-strings")
     twice = rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
-    ranges = rows.join(twice, "name").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high"))
-    begin = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
-    spans = members.select("kind", "node", "at").join(ranges, "kind").select("node", F.shiftleft(begin + F.col("low"), 10).bitwiseOR(F.col("high") - F.col("low")).alias("span"))
-    return spans, [members, rows]
+    ranges = written(rows.join(twice, "name").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
+    # one kind may have a large part of all members, so a short list of ranges goes to them rather than they to it
+    few = ranges.count() <= KINDS
+    table = contexts.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
+    members_of = members.select("kind", "node", "at")
+    spans = _looked_up(members_of, table) if few else members_of.join(ranges, "kind").select("node", F.shiftleft(_begin() + F.col("low"), 10).bitwiseOR(F.col("high") - F.col("low")).alias("span"))
+
+    def free() -> None:
+        table.destroy()
+        dropped(members, rows, ranges)
+
+    return spans, free
+
+
+def _begin():
+    return F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
+
+
+def _looked_up(members: DataFrame, table: Broadcast) -> DataFrame:
+    """(node, span) of the members whose kind is in ``table``, which has at most ``KINDS`` ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = table.value
+        for batch in batches:
+            found = [own.get(k, (-1, -1)) for k in batch.column("kind").to_pylist()]
+            low, high = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            some = np.flatnonzero(low >= 0)
+            yield _span_rows(batch.column("node"), batch.column("at").to_numpy(), some, low[some], high[some])
+
+    return members.mapInArrow(run, "node binary, span long")
 
 
 def merged(span: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -318,9 +346,10 @@ def _spans(texts: DataFrame, length: int, core: int, group: int) -> DataFrame:
     shared = written(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > group).alias("large")), "repeats-shared")
     kept = written(rows.join(shared, "core").groupBy("node").agg(F.collect_list(F.struct("core", "large", "at")).alias("anchors")), "repeats-kept")
     dropped(rows, shared)
-    counted, tables = _counted_spans(_contexts(_of_size(kept, True), texts, length), length)
+    counted, free = _counted_spans(_contexts(_of_size(kept, True), texts, length), length)
     found = written(_sorted_spans(_contexts(_of_size(kept, False), texts, length), length).unionByName(counted), "repeats-spans")
-    dropped(kept, *tables)
+    dropped(kept)
+    free()
     return found
 
 
