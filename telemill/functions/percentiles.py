@@ -41,27 +41,31 @@ def rounded(c: Column | str) -> Column:
 def order_statistics(rows: DataFrame, value: str, wanted: dict[str, float], ranges: int = 1024) -> DataFrame:
     """One row: percentiles over all rows by the same formula, and lo and hi, the least and greatest value.
 
-    Counts by range of value, of which there are ``ranges``, tell in which range
-    a rank lies; only the distinct values of those ranges are ranked, so no task
-    sorts all values.
+    A mergeable quantile sketch (``approx_percentile``) gives, for each wanted
+    share, two values that hold it between them and at most some 2 / ``ranges`` of
+    the rows, however the values are spread; the next scan counts what lies
+    outside and ranks the distinct values inside.  Two scans, and no task ranks
+    more than one such range.  Of few rows all values are ranked.
     """
     x = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__x"))
-    ends = x.agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("__x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ranges)).otherwise(0)
-    counts = x.join(F.broadcast(ends), F.lit(True)).groupBy(place.alias("__range"), "__x", "lo", "hi").agg(F.count("*").alias("__n"))
-    sizes = counts.groupBy("__range").agg(F.sum("__n").alias("__m"))
-    one = Window.partitionBy(F.lit(0))  # a row for each range
-    starts = sizes.withColumns({"__before": F.sum("__m").over(one.orderBy("__range")) - F.col("__m"), "__all": F.sum("__m").over(one)})
-    needed = F.lit(False)
-    for p in wanted.values():
-        q = F.lit(p) * (F.col("__all") - 1)
-        for k in (F.floor(q), F.ceil(q)):
-            needed |= (k >= F.col("__before")) & (k < F.col("__before") + F.col("__m"))
-    some = counts.join(F.broadcast(starts.where(needed)), "__range")
-    ranked = some.withColumn("__end", F.col("__before") + F.sum("__n").over(Window.partitionBy("__range").orderBy("__x")))
+    shares = [s for p in wanted.values() for s in (max(p - 1 / ranges, 0.0), min(p + 1 / ranges, 1.0))]
+    ends = x.agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count("*").alias("__all"), F.approx_percentile("__x", shares, 8 * ranges).alias("__s"))
+    few = F.col("__all") < 8 * ranges  # the sketch may be a rank off, which its margin covers from here on
+    bounds = [F.when(few, F.col("lo" if k % 2 == 0 else "hi")).otherwise(F.col("__s")[k]) for k in range(len(shares))]
+    met = x.join(F.broadcast(ends.select("lo", "hi", "__all", *[b.alias(f"__b{k}") for k, b in enumerate(bounds)])), F.lit(True))  # one row
+    # zones between the bounds: each lies wholly inside the ranges that are ranked, or outside
+    passed = [(F.col("__x") >= F.col(f"__b{k}")) if k % 2 == 0 else (F.col("__x") > F.col(f"__b{k}")) for k in range(len(shares))]
+    zone = sum((c.cast("int") for c in passed[1:]), passed[0].cast("int"))
+    inside = F.lit(False)
+    for a, b in zip(passed[::2], passed[1::2]):
+        inside |= a & ~b
+    counts = met.groupBy(zone.alias("__zone"), F.when(inside, F.col("__x")).alias("__v"), "lo", "hi", "__all").agg(F.count("*").alias("__n"))
+    sizes = counts.groupBy("__zone").agg(F.sum("__n").alias("__m"))
+    starts = sizes.withColumn("__before", F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__zone")) - F.col("__m"))  # a row for each zone
+    ranked = counts.join(F.broadcast(starts.drop("__m")), "__zone").withColumn("__end", F.col("__before") + F.sum("__n").over(Window.partitionBy("__zone").orderBy("__v")))
     out = []
     for name, p in wanted.items():
         q = F.lit(p) * (F.col("__all") - 1)
-        lo, hi = (F.min(F.when(F.col("__end") > k, F.col("__x"))) for k in (F.floor(q), F.ceil(q)))
+        lo, hi = (F.min(F.when(F.col("__end") > k, F.col("__v"))) for k in (F.floor(q), F.ceil(q)))
         out.append((lo + F.max(q - F.floor(q)) * (hi - lo)).alias(name))
     return ranked.agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), *out)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.percentiles import order_statistics
+from telemill.sources.tables import staged
+
 
 def first_of_key(rows: DataFrame, *keys: str) -> DataFrame:
     """One row for each key (dedup_key unless others are named): the earliest."""
@@ -60,14 +62,19 @@ def accounts(outcomes: DataFrame, rejects: DataFrame | None = None) -> DataFrame
 def with_sequence(rows: DataFrame, offset: int = 0) -> DataFrame:
     """``rows`` with ``seq``: their place by (ts, dedup_key) in the batch, after ``offset``.
 
-    Rows are numbered inside ranges of time; the ranges' sizes, a number each,
-    give the offsets, so no single task sees all rows.
+    A sample sort: Spark samples (ts, dedup_key) for ranges of equal size, each
+    task sorts one, and one number a range gives the offsets.  A busy hour is dealt
+    over as many ranges as it needs.  The sorted rows are written once, so that
+    places and offsets come from the same ranges.
     """
-    ranged = rows.withColumn("__range", F.floor(F.unix_seconds("ts") / 3600))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id()
+    ranged = rows.repartitionByRange(n, "ts", "dedup_key").sortWithinPartitions("ts", "dedup_key")
+    ranged = staged(ranged.withColumns({"__range": F.shiftright(place, 33), "__k": place.bitwiseAND((1 << 33) - 1)}), "sequence")
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__range", (F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))  # a row for each hour
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy("ts", "dedup_key"))
-    return ranged.withColumn("__k", inside).join(starts, "__range").withColumn("seq", F.lit(offset) + F.coalesce("__before", F.lit(0)) + F.col("__k")).drop("__range", "__k", "__before")
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range")) - F.col("__n")  # a row for each range
+    starts = F.broadcast(sizes.select("__range", before.alias("__before")))
+    return ranged.join(starts, "__range").withColumn("seq", F.lit(offset + 1) + F.col("__before") + F.col("__k")).drop("__range", "__k", "__before")
 
 
 def ingest_lag(events: DataFrame, edges: tuple[float, ...] = (1, 5, 30, 60, 300, 1800)) -> DataFrame:

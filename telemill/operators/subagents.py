@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from telemill.functions.attributes import attr
 from telemill.operators.sessions import latest, source_rank, text
+from telemill.sources.tables import staged
 
 MAX_DEPTH = 16
+CROWD = 10_000  # agents of a session whose parents stand in one row
 
 
 def fold_subagents(events: DataFrame, tool_calls: DataFrame | None = None) -> DataFrame:
@@ -42,15 +44,13 @@ def infer_parents(agents: DataFrame, events: DataFrame) -> DataFrame:
     return met.groupBy("session_id", "agent_id").agg(F.max_by("caller", last).alias("found_parent"), F.max_by("tool_use_id", last).alias("spawn_tool_use_id"))
 
 
-def tree_rows(agents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tree_rows(agents: DataFrame, max_depth: int = MAX_DEPTH, crowd: int = CROWD) -> DataFrame:
     """``agents`` that are reached from one without a parent (depth 1), with depth and path.
 
-    A session's parents become one map (a session starts agents by the tens, not
-    by the million), in which every agent looks its ancestors up.  Agents on a
-    cycle or under an agent that was never seen are reached from nowhere and
-    left out, and so is what lies deeper than the limit.
+    Agents on a cycle or under an agent that was never seen are reached from
+    nowhere and left out, and so is what lies deeper than the limit.
     """
-    found = _lines(agents, max_depth).where((F.col("up") == "") & (F.size("path") <= max_depth))
+    found = _lines(agents, max_depth, crowd).where((F.col("up") == "") & (F.size("path") <= max_depth))
     found = found.select("session_id", "agent_id", F.size("path").alias("depth"), F.array_join("path", "/").alias("path"))
     return agents.select("session_id", "agent_id", "parent_agent_id").join(found, ["session_id", "agent_id"])
 
@@ -65,10 +65,23 @@ def depths(agents: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return lines.where(F.col("up").isNotNull() & ~endless).select("session_id", "agent_id", F.least(F.size("path"), F.lit(max_depth)).alias("depth"))
 
 
-def _lines(agents: DataFrame, max_depth: int) -> DataFrame:
-    """(session_id, agent_id, path, up): each agent's line of ancestors, of at most ``max_depth`` steps up, and what is above it: '' for nothing, null for an agent that was never seen."""
-    up = F.map_from_entries(F.collect_list(F.struct("agent_id", F.coalesce("parent_agent_id", F.lit("")))))
-    maps = agents.groupBy("session_id").agg(up.alias("up"))
+def _lines(agents: DataFrame, max_depth: int, crowd: int = CROWD) -> DataFrame:
+    """(session_id, agent_id, path, up): each agent's line of ancestors, of at most ``max_depth`` steps up, and what is above it: '' for nothing, null for an agent that was never seen.
+
+    A session's parents become one map, in which its agents look their ancestors
+    up; where a session has more than ``crowd`` agents, lines double instead
+    (:func:`_doubled_lines`).  Both give the same lines.
+    """
+    links = staged(agents.select("session_id", "agent_id", F.coalesce("parent_agent_id", F.lit("")).alias("up")), "agent-links")
+    crowded = links.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("session_id")
+    if crowded.isEmpty():
+        return _mapped_lines(links, max_depth)
+    rest = links.join(crowded, "session_id", "left_anti")
+    return _mapped_lines(rest, max_depth).unionByName(_doubled_lines(links.join(crowded, "session_id", "left_semi"), max_depth))
+
+
+def _mapped_lines(links: DataFrame, max_depth: int) -> DataFrame:
+    maps = links.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("agent_id", "up"))).alias("up"))
 
     def climb(acc: Column, _: Column) -> Column:
         top = F.coalesce(acc["up"], F.lit("")) == ""
@@ -82,6 +95,29 @@ def _lines(agents: DataFrame, max_depth: int) -> DataFrame:
     return lines.select("session_id", F.element_at("l.path", -1).alias("agent_id"), "l.path", "l.up")
 
 
+def _doubled_lines(links: DataFrame, max_depth: int) -> DataFrame:
+    """The same by pointer doubling: a line is joined with that of the agent above it, so that some five joins climb 16 steps and no session is one row."""
+    one = links.select("session_id", "agent_id", F.array("agent_id").alias("path"), "up")
+
+    def joined(low: DataFrame, high: DataFrame) -> DataFrame:
+        """Lines of ``low`` that go on in the line of ``high`` above them; one that ends at an agent never seen takes its name in."""
+        open_ = F.coalesce("up", F.lit("")) != ""
+        above = high.select("session_id", F.col("agent_id").alias("__up"), F.col("path").alias("__path"), F.col("up").alias("__next"))
+        met = low.where(open_).join(above, (low["session_id"] == above["session_id"]) & (low["up"] == above["__up"]), "left").drop(above["session_id"])
+        grown = met.select("session_id", "agent_id", F.concat(F.coalesce("__path", F.array("up")), "path").alias("path"), F.col("__next").alias("up"))
+        return staged(low.where(~open_).unionByName(grown), "agent-lines")
+
+    # a line of n agents is made of lines whose sizes are the powers of two in n
+    power, out, wanted = one, None, max_depth + 1
+    while wanted:
+        if wanted & 1:
+            out = power if out is None else joined(out, power)
+        wanted >>= 1
+        if wanted:
+            power = joined(power, power)
+    return out
+
+
 def count_calls(agents: DataFrame, tool_calls: DataFrame) -> DataFrame:
     """Agents with their number of calls, null in sessions that hooks do not cover."""
     covered = tool_calls.where(F.col("correlation") != "otel_only").select("session_id", F.lit(True).alias("covered")).distinct()

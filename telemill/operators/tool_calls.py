@@ -18,12 +18,12 @@ WINDOW_SECONDS = 60
 KINDS = ["tool.pre", "tool.decision", "tool.permission_request", "tool.result"]
 
 
-def contributions(events: DataFrame) -> DataFrame:
-    """Tool events with the sizes that their attributes give."""
+def contributions(events: DataFrame, *more: str) -> DataFrame:
+    """Tool events with the sizes that their attributes give; ``more`` names further columns to keep."""
     size = lambda name: attr("attrs", name).try_cast("int")
     return events.where(F.col("kind").isin(*KINDS) & text(F.col("tool_name")).isNotNull()).select(
         "session_id", "prompt_id", "tool_name", text(F.col("tool_use_id")).alias("tool_use_id"), "kind", "source", "ts", "seq", "vendor_seq", "dedup_key", "decision", "decision_source", "tool_source",
-        "permission_mode", "agent_id", "file_path", "error_type", "success", "duration_ms", size("tool_input_size_bytes").alias("input_size_bytes"), size("tool_result_size_bytes").alias("result_size_bytes"),
+        "permission_mode", "agent_id", "file_path", "error_type", "success", "duration_ms", size("tool_input_size_bytes").alias("input_size_bytes"), size("tool_result_size_bytes").alias("result_size_bytes"), *more,
     )
 
 
@@ -60,7 +60,7 @@ def assign_keyless(rows: DataFrame, window_seconds: int = WINDOW_SECONDS, open_a
     calls = keyed.groupBy("session_id", "call_id").agg(
         F.max_by("prompt_id", F.struct(F.col("prompt_id").isNotNull(), -F.unix_micros("ts"))).alias("prompt_id"), F.min("tool_name").alias("tool_name"),
         F.coalesce(F.min(F.when(F.col("kind").isin("tool.pre", "tool.decision"), F.col("ts"))), F.min("ts")).alias("started_at"),
-        F.max(F.when(F.col("kind") == "tool.result", F.col("ts"))).alias("ended_at"), F.max(F.when(F.col("source") == "otel_log", 1).otherwise(0)).alias("logged"),
+        F.min(F.when(F.col("kind") == "tool.result", F.col("ts"))).alias("ended_at"), F.max(F.when(F.col("source") == "otel_log", 1).otherwise(0)).alias("logged"),
     )
     if not open_at_the_time:
         calls = calls.where(F.col("ended_at").isNull())
@@ -142,6 +142,11 @@ def fold_tool_calls(events: DataFrame, keyless: bool = True, open_at_the_time: b
         rows = assign_keyless(rows, open_at_the_time=open_at_the_time)
     else:
         rows = rows.where(F.col("tool_use_id").isNotNull()).withColumn("call_id", keyed_id()).withColumn("heuristic", F.lit(False))
+    return fold_placed(rows)
+
+
+def fold_placed(rows: DataFrame) -> DataFrame:
+    """One row per tool call, from contributions with their ``call_id`` and ``heuristic``."""
     kind, rank, decided = F.col("kind"), source_rank(), decision_rank()
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "seq")))
     strict = F.min(F.when(kind.isin("tool.pre", "tool.decision"), F.col("ts")))

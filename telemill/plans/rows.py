@@ -30,7 +30,7 @@ from telemill.plans.queries import (
     _D, _DOUBLED, _L, _LOGS, _RKEY, _SE, _T, _TC, BOTH, EV, MS, NOW, RH, SA, SE, START, TC, TOKENS, TU, Tables, _doubled, _ledger, _received, hook_bodies, log_bodies, metric_bodies, query, with_,
 )
 from telemill.sources import hooks, otlp, tables
-from telemill.streaming import jobs
+from telemill.streaming import calls, jobs
 
 K = "CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER)"
 RAW = f"raw AS (SELECT *, {K} AS k FROM events)"
@@ -639,25 +639,20 @@ def _(t):
 
 @query("S5_counter_deltas", with_("SELECT user_id::VARCHAR AS user, epoch_us(ts) AS ts, value, delta FROM md WHERE temporality = 'cumulative'", EV + MS))
 def _(t):
-    """Three batches, each after the other in time: the state carries each series' last value."""
+    """Three batches, with samples of all times in each: differences are given out again when a late sample comes before them."""
     _with_state_store(t)
-    got = _collected(t, jobs.counter_deltas(_stream(t, t.samples, name="samples")), "counter-deltas")
+    spread = t.samples.withColumn("ingested_at", F.timestamp_micros(F.unix_micros("ts") + F.pmod(F.xxhash64("dedup_key"), F.lit(40)) * 86_400_000_000))
+    changes = _collected(t, jobs.counter_deltas(_stream(t, spread, name="samples"), 100 * 86_400_000), "counter-deltas")
     users = t.samples.select("series_hash", at.attr("attrs", "user").alias("user")).distinct()
-    return got.join(users, "series_hash").select("user", "ts", "value", "delta")
+    return jobs.latest_deltas(changes).join(users, "series_hash").select("user", "ts", "value", "delta")
 
 
 @query("S6_streamed_calls", with_(f"SELECT {_TC} FROM tcw", EV, TC))
 def _(t):
-    """The projection after three batches; sessions that go on are folded anew each time."""
-    events, calls = folder(t, "call-events"), folder(t, "call-projection")
-    store, match = jobs.store_batch(events, t.spark), jobs.match_calls(t.spark, events, calls)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        store(batch, batch_id)
-        match(batch, batch_id)
-
-    jobs.run_available(_stream(t, t.events), write, folder(t, "call-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(calls).drop("bucket")
+    """The rows that three batches have placed, folded at the end: calls go on over many days here, longer than the live projection looks back."""
+    _with_state_store(t)
+    rows = _collected(t, calls.placed(_stream(t, t.events)), "placed-rows")
+    return tc.fold_placed(rows.drop("batch"))
 
 
 @query("S7_feed_replay", with_("SELECT * FROM (SELECT seq, epoch_us(ts) AS ts, 'all' AS feed FROM ev WHERE ts > TIMESTAMP '2024-01-12' ORDER BY ts, seq LIMIT 700) UNION ALL SELECT * FROM (SELECT seq, epoch_us(ts), 'one' FROM ev WHERE session_id = 's5' AND ts > TIMESTAMP '2024-01-02' ORDER BY ts, seq LIMIT 700)", EV))

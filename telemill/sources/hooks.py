@@ -15,12 +15,12 @@ VENDOR = "claude_code"
 def payloads(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payloads as VARIANT ``v`` with their canonical JSON ``attrs``, rejects).
 
-    A body that is no JSON, or an array with an element that is no object or has
-    no session, is one reject and gives no payload.
+    A body that is no JSON, or an array with an element that is no object or whose
+    session is no text or an empty one, is one reject and gives no payload.
     """
     parsed = bodies.select("body", F.try_parse_json("body").alias("j"))
     shaped = parsed.withColumn("items", F.when(F.schema_of_variant("j").startswith("ARRAY"), F.try_variant_get("j", "$", "array<variant>")).when(F.schema_of_variant("j").startswith("OBJECT"), F.array("j")))
-    good = lambda x: F.schema_of_variant(x).startswith("OBJECT") & (F.coalesce(F.try_variant_get(x, "$.session_id", "string"), F.lit("")) != "")
+    good = lambda x: F.schema_of_variant(x).startswith("OBJECT") & (F.coalesce(variant_string(x, "session_id"), F.lit("")) != "")
     fine = F.coalesce(F.col("items").isNotNull() & F.forall("items", good), F.lit(False))
     rejects = shaped.where(~fine).select(F.lit("invalid hook body").alias("reason"), F.col("body").alias("record"), F.greatest(F.lit(1), F.coalesce(F.size("items"), F.lit(1))).cast("long").alias("points"))
     rows = shaped.where(fine).select(F.explode("items").alias("v"))

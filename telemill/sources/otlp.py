@@ -1,8 +1,10 @@
 """OTLP/JSON exports: files of export requests to canonical events and metric samples.
 
 Attribute lists become JSON objects with sorted names; of equal names the last
-counts.  Records that cannot be placed come out as rejects, with a reason and
-the number of points lost.
+counts, and a pair without a name has the empty one.  Records that cannot be
+placed come out as rejects, with a reason and the number of points lost.  A body
+that is no JSON object of the request's shape, or is nested deeper than the
+parser goes (1000 levels of JSON), is one reject as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from telemill.functions.attributes import clean_json, variant_number, variant_st
 
 _NESTED = '"(?:kvlist|array)Value"'  # requests that may hold lists or maps as values go through Arrow batches
 _KV = "array<struct<key string, value variant>>"
+_CORRUPT = "_corrupt_record"  # set by the parser on what it cannot read whole
 LOGS = f"resourceLogs array<struct<resource struct<attributes {_KV}>, scopeLogs array<struct<scope struct<attributes {_KV}>, logRecords array<struct<timeUnixNano string, observedTimeUnixNano string, eventName string, body variant, attributes {_KV}>>>>>>"
 _NUMBER = f"array<struct<timeUnixNano string, asDouble double, asInt string, attributes {_KV}>>"
 _HISTOGRAM = f"array<struct<timeUnixNano string, count string, sum double, attributes {_KV}>>"
@@ -31,12 +34,33 @@ METRICS = (
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """One export request per line of the files at ``path``."""
-    return spark.read.text(path).select(clean_json(F.col("value")).alias("body"))
+    return _lines(spark.read.text(path))
 
 
 def stream_bodies(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """The same as a stream of files."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path).select(clean_json(F.col("value")).alias("body"))
+    return _lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """Bodies of the lines of files; blank lines are none."""
+    return files.where(F.trim("value") != "").select(clean_json(F.col("value")).alias("body"))
+
+
+def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
+    """(body, j, readable): requests by the permissive parser, and whether it could read them whole."""
+    j = F.from_json("body", f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    parsed = bodies.select("body", j.alias("j"))
+    return parsed.select("body", "j", F.coalesce(F.col("j").isNotNull() & F.col(f"j.{_CORRUPT}").isNull() & F.ltrim("body").startswith("{"), F.lit(False)).alias("readable"))
+
+
+def unreadable(bodies: DataFrame, schema: str) -> DataFrame:
+    """A reject for each body that cannot be read; how many records it held is not known, so it counts as one."""
+    return _parsed(bodies, schema).where(~F.col("readable")).select(F.lit("unreadable body").alias("reason"), F.col("body").alias("record"), F.lit(1).cast("long").alias("points"))
+
+
+def _requests(bodies: DataFrame, schema: str) -> DataFrame:
+    return _parsed(bodies, schema).where("readable").select("j")
 
 
 def value_of(v: Column) -> Column:
@@ -47,7 +71,7 @@ def value_of(v: Column) -> Column:
 
 def attribute_map(pairs: Column) -> Column:
     """Map of an attribute list of flat values, names in order; of equal names the last counts."""
-    entries = F.transform(F.coalesce(pairs, F.array().cast(_KV)), lambda e: F.struct(e["key"].alias("key"), value_of(e["value"]).alias("value")))
+    entries = F.transform(F.coalesce(pairs, F.array().cast(_KV)), lambda e: F.struct(F.coalesce(e["key"], F.lit("")).alias("key"), value_of(e["value"]).alias("value")))
     return F.map_from_entries(entries)
 
 
@@ -56,17 +80,24 @@ def _plain(value):
     if not isinstance(value, dict):
         return value
     if "kvlistValue" in value:
-        return {e.get("key"): _plain(e.get("value")) for e in (value["kvlistValue"] or {}).get("values") or []}
+        return _pairs((value["kvlistValue"] or {}).get("values"))
     if "arrayValue" in value:
         return [_plain(x) for x in (value["arrayValue"] or {}).get("values") or []]
     if "intValue" in value:
-        return int(value["intValue"])
+        try:
+            return int(value["intValue"])
+        except (TypeError, ValueError):
+            return None  # as in a flat attribute
     return next((value[k] for k in ("stringValue", "boolValue", "doubleValue", "bytesValue") if k in value), None)
 
 
+def _pairs(values) -> dict:
+    return {e.get("key") or "": _plain(e.get("value")) for e in values or [] if isinstance(e, dict)}
+
+
 @F.pandas_udf(T.StringType())
 def _plain_pairs(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda x: None if x is None else json.dumps({e.get("key"): _plain(e.get("value")) for e in json.loads(x)}, ensure_ascii=False))
+    return lists.map(lambda x: None if x is None else json.dumps(_pairs(json.loads(x)), ensure_ascii=False))
 
 
 def nested_attribute_map(pairs: Column) -> Column:
@@ -92,7 +123,7 @@ def log_records(bodies: DataFrame) -> DataFrame:
 
 
 def _log_records(bodies: DataFrame, attribute_map) -> DataFrame:
-    j = bodies.select(F.from_json("body", LOGS).alias("j")).select(F.explode("j.resourceLogs").alias("r"))
+    j = _requests(bodies, LOGS).select(F.explode("j.resourceLogs").alias("r"))
     j = j.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s"))
     j = j.select("ra", F.col("s.scope.attributes").alias("sa"), F.explode("s.logRecords").alias("x"))
     j = j.select(attribute_map(F.col("ra")).alias("ra"), attribute_map(F.col("sa")).alias("sa"), attribute_map(F.col("x.attributes")).alias("xa"), F.try_variant_get("x.body", "$.stringValue", "string").alias("body_text"), "x")
@@ -110,6 +141,7 @@ def logs(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[Data
     rows = rows.withColumn("session_id", F.coalesce(F.nullif(variant_string(v, "session.id"), F.lit("")), F.nullif(variant_string(v, "resource.session.id"), F.lit(""))))
     rows = rows.withColumn("event_name", mp.event_name(F.col("record_name"), v, F.col("body_text")))
     rejects = rows.where(F.col("session_id").isNull()).select(F.lit("missing session.id").alias("reason"), F.col("attrs").alias("record"), F.lit(1).cast("long").alias("points"))
+    rejects = rejects.unionByName(unreadable(bodies, LOGS))
     raw, apart = mp.timestamp_of(F.col("nanos"), variant_string(v, "event.timestamp"))
     ts, odd = mp.clamped(raw, F.col("now"), retention_days)
     number = variant_number(v, "event.sequence", "long")
@@ -129,9 +161,10 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
     """(metric samples, rejects) of metric exports received at ``now``.
 
     A histogram point gives a sum, if it has one, and a count.  Summaries,
-    exponential histograms and points without a value are rejected.
+    exponential histograms, points without a value and unreadable bodies are
+    rejected.
     """
-    points, rejects = _by_depth(bodies, _metric_points), _unsupported(bodies)
+    points, rejects = _by_depth(bodies, _metric_points), _unsupported(bodies).unionByName(unreadable(bodies, METRICS))
     rejects = rejects.unionByName(points.where(F.col("value").isNull()).select(F.lit("point without a value").alias("reason"), F.col("name").alias("record"), F.lit(1).cast("long").alias("points")))
     rows = points.where(F.col("value").isNotNull()).withColumn("now", now).withColumn("attrs", sorted_json(F.col("map")))
     text = lambda m, k: F.nullif(F.try_variant_get(F.col(m)[k], "$", "string"), F.lit(""))
@@ -144,7 +177,7 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
 
 
 def _unsupported(bodies: DataFrame) -> DataFrame:
-    j = bodies.select(F.from_json("body", METRICS).alias("j")).select(F.explode("j.resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
+    j = _requests(bodies, METRICS).select(F.explode("j.resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
     lost = F.coalesce(F.size("m.summary.dataPoints"), F.lit(0)) + F.coalesce(F.size("m.exponentialHistogram.dataPoints"), F.lit(0))
     unsupported = F.col("m.summary").isNotNull() | F.col("m.exponentialHistogram").isNotNull()
     return j.where(unsupported).select(F.lit("unsupported aggregation").alias("reason"), F.col("m.name").alias("record"), lost.cast("long").alias("points"))
@@ -152,7 +185,7 @@ def _unsupported(bodies: DataFrame) -> DataFrame:
 
 def _metric_points(bodies: DataFrame, attribute_map) -> DataFrame:
     """(ra, name, nanos, value, map, temporality) of every data point."""
-    j = bodies.select(F.from_json("body", METRICS).alias("j")).select(F.explode("j.resourceMetrics").alias("r"))
+    j = _requests(bodies, METRICS).select(F.explode("j.resourceMetrics").alias("r"))
     j = j.select(attribute_map(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeMetrics").alias("s")).select("ra", F.explode("s.metrics").alias("m"))
     point = lambda name, p, value, kind: F.struct(name.alias("name"), p["timeUnixNano"].alias("nanos"), value.alias("value"), p["attributes"].alias("attributes"), kind.alias("temporality"))
     number = lambda p: F.coalesce(p["asDouble"], p["asInt"].try_cast("double"))

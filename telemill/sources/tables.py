@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,22 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill import schemas
+from telemill.sources import days, folders
+from telemill.sources.folders import shared_dir
 
 BUCKETS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only on a single machine where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="telemill-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-_STORED: dict[tuple, DataFrame] = {}
+_STORED: dict[tuple, tuple] = {}
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -36,34 +26,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table derived from the files at ``source``: made and written once a session, and again when the files change."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, name, source, changed)
-    if key not in _STORED:
-        _STORED[key] = staged(make(), name)
-    return _STORED[key]
-
-
-def month(ts: str = "ts") -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """A table derived from the files at ``source``: made and written once a session, and again when one of the files changes."""
+    key = (spark.sparkContext.applicationId, name, source)
+    files = folders.modified(spark, source)
+    if key not in _STORED or _STORED[key][0] != files:
+        _STORED[key] = (files, staged(make(), name))
+    return _STORED[key][1]
 
 
 def append_events(events: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append to a table of month partitions.  With a batch id the rows go to a folder of the batch, which a retry replaces whole."""
-    rows = events.withColumn("event_month", month())
-    if batch_id is None:
-        rows.write.mode("append").partitionBy("event_month").parquet(path)
-    else:
-        rows.write.mode("overwrite").partitionBy("event_month").parquet(f"{path}/batch={batch_id}")
+    """Add to a table of months and days.  With a batch id the rows go to folders of the batch, which a retry replaces."""
+    days.write(events, path, batch_id)
 
 
 def append_samples(samples: DataFrame, path: str, batch_id: int | None = None) -> None:
-    rows = samples.withColumn("sample_month", month())
-    if batch_id is None:
-        rows.write.mode("append").partitionBy("sample_month").parquet(path)
-    else:
-        rows.write.mode("overwrite").partitionBy("sample_month").parquet(f"{path}/batch={batch_id}")
+    days.write(samples, path, batch_id, "sample_month")
 
 
 def read_events(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
@@ -73,7 +50,7 @@ def read_events(spark: SparkSession, path: str, start=None, end=None) -> DataFra
         out = out.where((F.col("event_month") >= F.date_format(F.lit(start), "yyyy-MM")) & (F.col("ts") >= F.lit(start)))
     if end is not None:
         out = out.where((F.col("event_month") <= F.date_format(F.lit(end), "yyyy-MM")) & (F.col("ts") < F.lit(end)))
-    return out.drop("event_month", "batch")
+    return out.drop("event_month", "day", "batch")
 
 
 def session_bucket(column: str = "session_id", buckets: int = BUCKETS) -> Column:
@@ -86,10 +63,16 @@ def write_projection(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def write_rollup(rows: DataFrame, path: str) -> None:
-    """Replace the days and sources that ``rows`` belong to."""
-    out = rows.withColumn("day", F.date_format("bucket", "yyyy-MM-dd"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "day").parquet(path)
+def replace_buckets(rows: DataFrame, path: str, buckets: list[int]) -> None:
+    """Make ``rows`` all that the projection has of ``buckets``, those without a row included."""
+    spark = rows.sparkSession
+    aside = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(aside)
+    for b in buckets:
+        folders.delete(spark, f"{path}/bucket={b}")
+        if folders.exists(spark, f"{aside}/bucket={b}"):
+            folders.rename(spark, f"{aside}/bucket={b}", f"{path}/bucket={b}")
+    folders.delete(spark, aside)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
@@ -99,8 +82,3 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
     kinds = dict(x.split() for x in schemas.PRICES.split(", "))
     filled = rows.fillna({"currency": "USD", "source": "repo", "cache_read_per_mtok": 0.0, "cache_write_per_mtok": 0.0})
     return filled.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()])
-
-
-def drop_months(spark: SparkSession, path: str, keep: DataFrame, column: str = "event_month") -> DataFrame:
-    """Rows of the table at ``path`` in the months that ``keep`` names: what a rewrite without expired months holds."""
-    return spark.read.parquet(path).join(F.broadcast(keep.select(F.date_format("month", "yyyy-MM").alias(column))), column, "left_semi")

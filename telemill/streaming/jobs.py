@@ -7,6 +7,8 @@ touched sessions and hours in ``foreachBatch``.
 
 from __future__ import annotations
 
+import bisect
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from telemill.operators import explorer, filters, ingest, rollups, tool_calls
-from telemill.sources import tables
+from telemill.operators import explorer, filters, ingest
+from telemill.sources import days
 
 DEDUP_WINDOW = "7 days"
 IDLE = "15 minutes"
+HOUR = 3_600_000_000
+LEDGER_MONTH, ROLLUP_MONTH = "seen_month", "bucket_month"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -80,100 +84,137 @@ def lifecycle(events: DataFrame, idle_ms: int = 15 * 60 * 1000, late: str = "1 h
 
 
 class Counters(StatefulProcessor):
-    """Differences of a cumulative series to its last value; a fall counts whole."""
+    """Differences of a cumulative series to the value before, in order of time; a fall counts whole.
+
+    The samples of ``horizon_ms`` before the newest one are kept, hour by hour.  A
+    late one is put in its place, and the difference of the one after it is given
+    out again with what it was before and a higher revision.  Of older samples the
+    last stays; one that is older still has no difference (revision -1).
+    """
+
+    def __init__(self, horizon_ms: int = 7 * 24 * 3_600_000):
+        self.horizon = horizon_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "value double, at long")
+        self.index = handle.getValueState("index", "hours string, floor long")
+        self.samples = handle.getMapState("samples", "hour long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get() if self.state.exists() else None
-        every = pd.concat(list(rows)).sort_values(["ts", "dedup_key"])
-        out = []
-        for r in every.itertuples():
-            at = int(pd.Timestamp(r.ts).value)
-            if last is not None and at < last[1]:
-                continue  # out of order: the hour is recomputed from the table
-            out.append((key[0], r.ts, r.value, r.value if last is None or r.value < last[0] else r.value - last[0]))
-            last = (float(r.value), at)
-        if last is not None:
-            self.state.update(last)
-        yield pd.DataFrame(out, columns=["series_hash", "ts", "value", "delta"])
+        text, floor = self.index.get() if self.index.exists() else ("[]", None)
+        hours: list[int] = json.loads(text)
+        held: dict[int, list[list]] = {}
+
+        def of(hour: int) -> list[list]:
+            """[time, key, value, difference, revision] of the samples of an hour, in order."""
+            if hour not in held:
+                held[hour] = json.loads(self.samples.getValue((hour,))[0]) if hour in known else []
+            return held[hour]
+
+        known, out, touched = set(hours), [], set()
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                at = int(r.at)
+                hour, place = at // HOUR, [at, r.dedup_key]
+                if floor is not None and at <= floor:
+                    out.append((*place, float(r.value), None, None, -1))
+                    continue
+                own = of(hour)
+                k = bisect.bisect_left(own, place, key=lambda x: x[:2])
+                if k < len(own) and own[k][:2] == place:
+                    continue  # the same sample again
+                own.insert(k, [*place, float(r.value), None, -1])
+                touched.add(hour)
+                if hour not in known:
+                    bisect.insort(hours, hour)
+                    known.add(hour)
+        later = {hours[k + 1] for k in map(hours.index, touched) if k + 1 < len(hours)}
+        for hour in sorted(touched | later):
+            k = hours.index(hour)
+            some = of(hour) if hour in touched else of(hour)[:1]
+            last = of(hours[k - 1])[-1][2] if k else None
+            if not k and floor is not None:  # what was before the first one is forgotten, so its difference stands
+                last, some = some[0][2], some[1:]
+            for x in some:
+                delta = x[2] if last is None or x[2] < last else x[2] - last
+                if x[4] < 0 or delta != x[3]:
+                    out.append((x[0], x[1], x[2], delta, x[3], x[4] + 1))
+                    x[3], x[4] = delta, x[4] + 1
+                last = x[2]
+        oldest = (hours[-1] * HOUR - self.horizon) // HOUR if hours else 0
+        while len(hours) > 1 and hours[1] <= oldest:  # the hour after it is old as well, so nothing before that is needed
+            gone = hours.pop(0)
+            held.pop(gone, None)
+            self.samples.removeKey((gone,))
+            floor = of(hours[0])[0][0]
+        for hour in (touched | later) & set(hours):
+            self.samples.updateValue((hour,), (json.dumps(of(hour)),))
+        self.index.update((json.dumps(hours), floor))
+        if out:
+            yield pd.DataFrame([(key[0], pd.Timestamp(x[0], unit="us"), *x[1:]) for x in out], columns=["series_hash", "ts", "dedup_key", "value", "delta", "retracts", "revision"])
 
     def close(self) -> None:
         pass
 
 
-def counter_deltas(samples: DataFrame) -> DataFrame:
-    """Deltas of the cumulative series of a stream, in order of arrival; needs the RocksDB state store."""
-    rows = samples.where(F.col("temporality") == "cumulative").select("series_hash", "ts", "value", "dedup_key")
-    return rows.groupBy("series_hash").transformWithStateInPandas(Counters(), "series_hash string, ts timestamp, value double, delta double", "append", "none")
+def counter_deltas(samples: DataFrame, horizon_ms: int = 7 * 24 * 3_600_000) -> DataFrame:
+    """Differences of the cumulative series of a stream, whatever the order of arrival; needs the RocksDB state store.
+
+    A row says that a sample's difference is ``delta`` and no longer ``retracts``:
+    sums over all rows of delta - retracts are right at any time, and the highest
+    revision of a sample is its difference (:func:`latest_deltas`).
+    """
+    rows = samples.where(F.col("temporality") == "cumulative").select("series_hash", F.unix_micros("ts").alias("at"), "value", "dedup_key")
+    return rows.groupBy("series_hash").transformWithStateInPandas(Counters(horizon_ms), "series_hash string, ts timestamp, dedup_key string, value double, delta double, retracts double, revision int", "append", "none")
+
+
+def latest_deltas(changes: DataFrame) -> DataFrame:
+    """One row per sample of :func:`counter_deltas`, as it stands now."""
+    return changes.groupBy("series_hash", "ts", "dedup_key").agg(F.max_by("value", "revision").alias("value"), F.max_by("delta", "revision").alias("delta"))
 
 
 def store_batch(path: str, spark: SparkSession, window_days: int = 7) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that stores each micro-batch's new events once: by key within the batch and against the ledger.
 
     The ledger holds the keys of stored events by day of their receipt; only the
-    days from ``window_days`` before the batch's first receipt are read, so its
-    cost does not grow with history.  A batch has folders of its own, which a
+    days from ``window_days`` before the batch's receipts are listed and read, so
+    its cost does not grow with history.  A batch has folders of its own, which a
     retry replaces; so a batch that is repeated after a failure leaves the same
     tables.
     """
-    ledger = f"{path.rstrip('/')}-ledger"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = ingest.first_of_key(batch).persist()
-        first = rows.agg(F.min(F.to_date("ingested_at"))).first()[0]
-        known = _stored(spark, ledger, batch_id)
+        received = days.of(rows, "ingested_at")
+        known = days.read(spark, ledger_of(path), days.with_neighbours(received, window_days, 0), LEDGER_MONTH)
         new = rows
-        if known is not None and first is not None:
-            recent = known.where(F.col("day") >= F.date_sub(F.lit(first), window_days))
-            new = rows.join(recent.select("dedup_key"), "dedup_key", "left_anti").select(*batch.columns)
-        tables.append_events(new, path, batch_id)
-        new.select("dedup_key", F.to_date("ingested_at").alias("day")).write.mode("overwrite").partitionBy("day").parquet(f"{ledger}/batch={batch_id}")
+        if known is not None:
+            new = rows.join(known.where(F.col("batch") < batch_id).select("dedup_key"), "dedup_key", "left_anti").select(*batch.columns)
+        days.write(new, path, batch_id)
+        days.write(new.select("dedup_key", F.col("ingested_at").alias("first_seen_at")), ledger_of(path), batch_id, LEDGER_MONTH, "first_seen_at")
         rows.unpersist()
 
     return write
 
 
-def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """A table of batches, those before ``before``; none at the start."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return None
-    out = spark.read.parquet(path)
-    return out if before is None else out.where(F.col("batch") < before)
-
-
-def match_calls(spark: SparkSession, events_path: str, calls_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds the tool calls of every session that a batch touches anew, from all that is stored of it.
-
-    So a contribution without a use id finds its call whichever of the two
-    arrives first.  Of the projection only the session buckets that are touched
-    are written.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        buckets = batch.select(tables.session_bucket().alias("__bucket")).distinct()
-        whole = tables.read_events(spark, events_path).withColumn("__bucket", tables.session_bucket()).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")  # at most some tens of buckets
-        tables.write_projection(tool_calls.fold_tool_calls(whole), calls_path)
-
-    return write
+def ledger_of(path: str) -> str:
+    """Where :func:`store_batch` keeps the keys of the events that it stores at ``path``."""
+    return f"{path.rstrip('/')}-ledger"
 
 
 def heal(spark: SparkSession, events_path: str, fold: Callable[[DataFrame], DataFrame], rollup_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that recomputes, in full, every hour that a batch touches, and replaces it.
+    """A ``foreachBatch`` function that recomputes, in full, every day that a batch touches, and replaces it.
 
     fold: events of whole hours to rollup rows.  Late rows change old hours as
-    well as new ones: nothing is dropped for its age.
+    well as new ones: nothing is dropped for its age.  Only the folders of the
+    touched days are read.  For a capped, shared backlog see
+    :mod:`telemill.streaming.rollup_queue`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        dirty = rollups.dirty_buckets(batch).persist()
-        days = dirty.select(F.date_trunc("day", F.col("bucket")).alias("bucket")).distinct()
-        stored = tables.read_events(spark, events_path)
-        whole = stored.join(F.broadcast(days), F.date_trunc("day", F.col("ts")) == F.col("bucket"), "left_semi")
-        tables.write_rollup(fold(whole), rollup_path)
-        dirty.unpersist()
+        touched = days.of(batch)
+        stored = days.read(spark, events_path, touched)
+        if stored is not None:
+            days.replace(fold(stored.drop("batch")), rollup_path, touched, ROLLUP_MONTH, "bucket")
 
     return write
 
