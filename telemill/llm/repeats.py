@@ -118,27 +118,35 @@ def _anchor_rows(texts: DataFrame, length: int, core: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "core long, node binary, at long")
 
 
+def _bodies(batch: pa.RecordBatch, length: int) -> Iterator[tuple[pa.StructArray, np.ndarray, pa.Array]]:
+    """(anchors, their texts' rows, bytes that their strings cover), some at a time, of rows of a text and its anchors."""
+    data, offsets = text_buffers(batch.column("text"))
+    lists = batch.column("anchors")
+    fields = lists.flatten()
+    text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    at = fields.field("at").to_numpy(zero_copy_only=False)
+    place, before, after = offsets[text] + (at >> 20), (at >> 10) & 1023, at & 1023
+    low, high = place - before, place - after + length
+    for i, j in slices(np.concatenate([[0], np.cumsum(high - low)]), 8 << 20):
+        size = high[i:j] - low[i:j]
+        ends = np.cumsum(size)
+        flat = data[np.arange(int(ends[-1])) + np.repeat(low[i:j] - (ends - size), size)]
+        yield fields.slice(i, j - i), text[i:j], pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def _with_texts(kept: DataFrame, texts: DataFrame) -> DataFrame:
+    return texts.select("node", "text").join(kept.hint("shuffle_hash"), "node").select("node", "text", "anchors")
+
+
 def _contexts(kept: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(core, large, node, at, bytes): the bytes that each anchor's strings cover."""
+    """(core, node, at, bytes): the bytes that each anchor's strings cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
-            lists = batch.column("anchors")
-            fields = lists.flatten()
-            text = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            at = fields.field("at").to_numpy(zero_copy_only=False)
-            place, before, after = offsets[text] + (at >> 20), (at >> 10) & 1023, at & 1023
-            low, high = place - before, place - after + length
-            for i, j in slices(np.concatenate([[0], np.cumsum(high - low)]), 8 << 20):
-                size = high[i:j] - low[i:j]
-                ends = np.cumsum(size)
-                flat = data[np.arange(int(ends[-1])) + np.repeat(low[i:j] - (ends - size), size)]
-                body = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(flat)])
-                few = fields.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([few.field("core"), few.field("large"), batch.column("node").take(pa.array(text[i:j])), few.field("at"), body], names=["core", "large", "node", "at", "bytes"])
-
-    return texts.select("node", "text").join(kept.hint("shuffle_hash"), "node").select("node", "text", "anchors").mapInArrow(run, "core long, large boolean, node binary, at long, bytes binary")
+            for fields, text, body in _bodies(batch, length):
+                yield pa.RecordBatch.from_arrays([fields.field("core"), batch.column("node").take(pa.array(text)), fields.field("at"), body], names=["core", "node", "at", "bytes"])
+
+    return _with_texts(kept, texts).mapInArrow(run, "core long, node binary, at long, bytes binary")
 
 
 def _equal_rows(text: Buffer, start: np.ndarray, size: np.ndarray, place: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,22 +211,22 @@ def repeated(data: np.ndarray, offsets: np.ndarray, before: np.ndarray, group: n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _span_rows(node: pa.Array, at: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """(node, span): start in the text and size of each range as one number."""
-    begin = (at >> 20) - ((at >> 10) & 1023)
-    return pa.RecordBatch.from_arrays([node.take(pa.array(context)), pa.array(((begin[context] + low) << 10) | (high - low))], names=["node", "span"])
+def _begin(at: np.ndarray) -> np.ndarray:
+    """Where an anchor's first string starts in its text."""
+    return (at >> 20) - ((at >> 10) & 1023)
 
 
 def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(node, span) of all groups that are sorted in one place."""
+    """(node, low, high) of all groups that are sorted in one place."""
 
     def judge(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         body = table.column("bytes").combine_chunks() if table.column("bytes").num_chunks != 1 else table.column("bytes").chunk(0)
         data, offsets = text_buffers(body.cast(pa.large_binary()).view(pa.large_string()))
         at, core = table.column("at").to_numpy(), table.column("core").to_numpy()
-        found = repeated(data, offsets, (at >> 10) & 1023, np.cumsum(np.append(True, core[1:] != core[:-1])), length)
-        return _span_rows(table.column("node").combine_chunks(), at, *found)
+        some, low, high = repeated(data, offsets, (at >> 10) & 1023, np.cumsum(np.append(True, core[1:] != core[:-1])), length)
+        node = table.column("node").combine_chunks().take(pa.array(some))
+        return pa.RecordBatch.from_arrays([node, pa.array(_begin(at)[some] + low), pa.array(_begin(at)[some] + high)], names=["node", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -236,76 +244,79 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield judge(pa.Table.from_batches(held))
 
-    dealt = contexts.where(~F.col("large")).select("core", "node", "at", "bytes").repartition("core").sortWithinPartitions("core")
-    return dealt.mapInArrow(run, "node binary, span long")
+    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(run, "node binary, low long, high long")
+
 
+def _name(bodies: pa.Array) -> list[bytes]:
+    return [hashlib.sha256(x).digest()[:16] for x in bodies.to_pylist()]
 
-def _counted_spans(contexts: DataFrame, length: int) -> tuple[DataFrame, Callable[[], None]]:
-    """(node, span) of the large groups, and what frees that which it reads."""
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[DataFrame, Callable[[], None]]:
+    """(node, low, high) of the large groups, and what frees that which it reads.
+
+    Equal contexts are one kind.  A short list of the kinds' ranges goes to the
+    texts, as one kind may have a large part of all anchors; a long one is joined.
+    """
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [hashlib.sha256(x).digest()[:16] for x in batch.column("bytes").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), batch.column("node"), batch.column("at"), batch.column("bytes")], names=["kind", "node", "at", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(_name(batch.column("bytes")), pa.binary()), *(batch.column(c) for c in ("node", "at", "bytes"))], names=["kind", "node", "at", "bytes"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, starts, names = [], [], []
+            kinds, starts, names = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
             for k, x in enumerate(batch.column("bytes").to_pylist()):
                 n = len(x) - length + 1
                 kinds.append(np.full(n, k))
                 starts.append(np.arange(n))
                 names.extend(hashlib.sha256(x[i : i + length]).digest()[:16] for i in range(n))
-            take = pa.array(np.concatenate(kinds) if kinds else np.zeros(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("kind").take(take), batch.column("copies").take(take), pa.array(np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)), pa.array(names, pa.binary())], names=["kind", "copies", "start", "name"])
+            take = pa.array(np.concatenate(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column("kind").take(take), batch.column("copies").take(take), pa.array(np.concatenate(starts)), pa.array(names, pa.binary())], names=["kind", "copies", "start", "name"])
 
-    members = written(contexts.where("large").select("node", "at", "bytes").mapInArrow(name, "kind binary, node binary, at long, bytes binary"), "repeats-large")
+    members = _contexts(kept, texts, length).select("node", "at", "bytes").mapInArrow(named, "kind binary, node binary, at long, bytes binary")
     kinds = members.groupBy("kind").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
     rows = written(kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary"), "repeats-strings")
     twice = rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
     ranges = written(rows.join(twice, "name").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
-    # one kind may have a large part of all members, so a short list of ranges goes to them rather than they to it
     few = ranges.count() <= KINDS
-    table = contexts.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
-    members_of = members.select("kind", "node", "at")
-    spans = _looked_up(members_of, table) if few else members_of.join(ranges, "kind").select("node", F.shiftleft(_begin() + F.col("low"), 10).bitwiseOR(F.col("high") - F.col("low")).alias("span"))
+    table = kept.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
+    begin = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
+    spans = _looked_up(kept, texts, table, length) if few else members.select("kind", "node", "at").join(ranges, "kind").select("node", (begin + F.col("low")).alias("low"), (begin + F.col("high")).alias("high"))
 
     def free() -> None:
         table.destroy()
-        dropped(members, rows, ranges)
+        dropped(rows, ranges)
 
     return spans, free
 
 
-def _begin():
-    return F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
-
-
-def _looked_up(members: DataFrame, table: Broadcast) -> DataFrame:
-    """(node, span) of the members whose kind is in ``table``, which has at most ``KINDS`` ranges."""
+def _looked_up(kept: DataFrame, texts: DataFrame, table: Broadcast, length: int) -> DataFrame:
+    """(node, low, high): of each text the merged ranges of those of its anchors whose kind is in ``table``, which has at most ``KINDS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table.value
         for batch in batches:
-            found = [own.get(k, (-1, -1)) for k in batch.column("kind").to_pylist()]
-            low, high = np.array(found, dtype=np.int64).reshape(-1, 2).T
-            some = np.flatnonzero(low >= 0)
-            yield _span_rows(batch.column("node"), batch.column("at").to_numpy(), some, low[some], high[some])
+            found = [np.zeros((0, 3), dtype=np.int64)]
+            for fields, text, body in _bodies(batch, length):
+                ranges = np.array([own.get(k, (-1, -1)) for k in _name(body)], dtype=np.int64)
+                begin, some = _begin(fields.field("at").to_numpy(zero_copy_only=False)), ranges[:, 0] >= 0
+                found.append(np.column_stack([text, begin + ranges[:, 0], begin + ranges[:, 1]])[some])
+            text, low, high = merged(*np.concatenate(found).T)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(text)), pa.array(low), pa.array(high)], names=["node", "low", "high"])
 
-    return members.mapInArrow(run, "node binary, span long")
+    return _with_texts(kept, texts).mapInArrow(run, "node binary, low long, high long")
 
 
-def merged(span: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, low, high): maximal ranges of each text's spans ``bounds[i]:bounds[i + 1]``; ranges that touch are one."""
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    low = span >> 10
+def merged(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, low, high): maximal ranges of each text, in order; ranges that touch are one."""
     order = np.lexsort((low, text))
-    text, low, high = text[order], low[order], (low + (span & 1023))[order]
-    shift = text * (int(high.max(initial=0)) + 2)  # texts stand apart, so one running maximum serves all
+    text, low, high = text[order], low[order], high[order]
+    if not len(text):
+        return text, low, high
+    shift = text * (int(high.max()) + 2)  # texts stand apart, so one running maximum serves all
     reach = np.maximum.accumulate(high + shift)
-    begins = np.append(True, low[1:] + shift[1:] > reach[:-1]) if len(low) else np.zeros(0, dtype=bool)
-    last = np.append(begins[1:], True) if len(low) else begins
-    return text[begins], low[begins], (reach - shift)[last]
+    begins = np.append(True, low[1:] + shift[1:] > reach[:-1])
+    return text[begins], low[begins], (reach - shift)[np.append(begins[1:], True)]
 
 
 def _cut_rows(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -315,8 +326,8 @@ def _cut_rows(texts: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             lists = batch.column("spans")
-            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            text, low, high = merged(lists.flatten().to_numpy(zero_copy_only=False), bounds)
+            own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            text, low, high = merged(own, *(lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("low", "high")))
             first = np.searchsorted(text, np.arange(batch.num_rows + 1))
             kept = []
             for k in range(batch.num_rows):
@@ -329,7 +340,7 @@ def _cut_rows(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 names=["node", "n_removed", "n_spans", "kept", "kept_sha256"],
             )
 
-    wanted = spans.groupBy("node").agg(F.collect_list("span").alias("spans"))
+    wanted = spans.groupBy("node").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     return texts.where("copies = 1").select("node", "text").join(wanted.hint("shuffle_hash"), "node").mapInArrow(run, "node binary, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
@@ -340,13 +351,13 @@ def _of_size(kept: DataFrame, large: bool) -> DataFrame:
 
 
 def _spans(texts: DataFrame, length: int, core: int, group: int) -> DataFrame:
-    """(node, span) of all strings of distinct texts that repeat."""
+    """(node, low, high): ranges of distinct texts that strings which repeat cover."""
     rows = written(_anchor_rows(texts, length, core), "repeats-anchors")
     # written apart, so that the join has a shuffle of its own, of which Spark can split a core's large part
     shared = written(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > group).alias("large")), "repeats-shared")
     kept = written(rows.join(shared, "core").groupBy("node").agg(F.collect_list(F.struct("core", "large", "at")).alias("anchors")), "repeats-kept")
     dropped(rows, shared)
-    counted, free = _counted_spans(_contexts(_of_size(kept, True), texts, length), length)
+    counted, free = _counted_spans(_of_size(kept, True), texts, length)
     found = written(_sorted_spans(_contexts(_of_size(kept, False), texts, length), length).unionByName(counted), "repeats-spans")
     dropped(kept)
     free()
