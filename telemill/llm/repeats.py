@@ -44,6 +44,7 @@ LENGTH = 200
 CORE = 64
 GROUP = 4096  # anchors of one core that are sorted in one place
 KINDS = 1 << 16  # ranges of large groups' contexts that every task gets, some 4 MB; more of them are joined
+HELD = 1 << 15  # kinds that a task counts before it gives them out, some 10 MB
 _SLICE = 1 << 20
 _SORTED = 4 << 20  # bytes of contexts that are sorted at once
 _AT = np.uint64((1 << 24) - 1)
@@ -258,9 +259,29 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
     texts, as one kind may have a large part of all anchors; a long one is joined.
     """
 
+    def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([x[0] for x in held.values()], pa.binary()), pa.array([x[1] for x in held.values()], pa.int64())], names=["kind", "bytes", "copies"])
+
+        for batch in batches:
+            for _, _, body in _bodies(batch, length):
+                for name, own in zip(_name(body), body):
+                    if name in held:
+                        held[name][1] += 1
+                    else:
+                        held[name] = [own.as_py(), 1]
+                if len(held) >= HELD:
+                    yield out()
+                    held.clear()
+        yield out()
+
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_name(batch.column("bytes")), pa.binary()), *(batch.column(c) for c in ("node", "at", "bytes"))], names=["kind", "node", "at", "bytes"])
+            for fields, text, body in _bodies(batch, length):
+                begin = _begin(fields.field("at").to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([pa.array(_name(body), pa.binary()), batch.column("node").take(pa.array(text)), pa.array(begin)], names=["kind", "node", "begin"])
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +294,17 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
             take = pa.array(np.concatenate(kinds))
             yield pa.RecordBatch.from_arrays([batch.column("kind").take(take), batch.column("copies").take(take), pa.array(np.concatenate(starts)), pa.array(names, pa.binary())], names=["kind", "copies", "start", "name"])
 
-    members = _contexts(kept, texts, length).select("node", "at", "bytes").mapInArrow(named, "kind binary, node binary, at long, bytes binary")
-    kinds = members.groupBy("kind").agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
+    own = _with_texts(kept, texts)
+    kinds = own.mapInArrow(kinds_of, "kind binary, bytes binary, copies long").groupBy("kind").agg(F.first("bytes").alias("bytes"), F.sum("copies").alias("copies"))
     rows = written(kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary"), "repeats-strings")
     twice = rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
     ranges = written(rows.join(twice, "name").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
     few = ranges.count() <= KINDS
     table = kept.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
-    begin = F.shiftright("at", 20) - F.shiftright("at", 10).bitwiseAND(1023)
-    spans = _looked_up(kept, texts, table, length) if few else members.select("kind", "node", "at").join(ranges, "kind").select("node", (begin + F.col("low")).alias("low"), (begin + F.col("high")).alias("high"))
+    if few:
+        spans = _looked_up(own, table, length)
+    else:
+        spans = own.mapInArrow(named, "kind binary, node binary, begin long").join(ranges, "kind").select("node", (F.col("begin") + F.col("low")).alias("low"), (F.col("begin") + F.col("high")).alias("high"))
 
     def free() -> None:
         table.destroy()
@@ -290,8 +313,8 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
     return spans, free
 
 
-def _looked_up(kept: DataFrame, texts: DataFrame, table: Broadcast, length: int) -> DataFrame:
-    """(node, low, high): of each text the merged ranges of those of its anchors whose kind is in ``table``, which has at most ``KINDS``."""
+def _looked_up(texts: DataFrame, table: Broadcast, length: int) -> DataFrame:
+    """(node, low, high): of each of ``texts`` (with their anchors) the merged ranges of those of its anchors whose kind is in ``table``, which has at most ``KINDS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = table.value
@@ -304,7 +327,7 @@ def _looked_up(kept: DataFrame, texts: DataFrame, table: Broadcast, length: int)
             text, low, high = merged(*np.concatenate(found).T)
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(text)), pa.array(low), pa.array(high)], names=["node", "low", "high"])
 
-    return _with_texts(kept, texts).mapInArrow(run, "node binary, low long, high long")
+    return texts.mapInArrow(run, "node binary, low long, high long")
 
 
 def merged(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

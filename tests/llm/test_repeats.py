@@ -103,6 +103,7 @@ def cases() -> list[tuple[int, str | None]]:
 def test_rows_against_brute_force(spark, monkeypatch, group, kinds):
     """Also where groups of over 3 anchors, or all of them, are counted instead of sorted, and their ranges joined instead of looked up."""
     monkeypatch.setattr(repeats, "KINDS", kinds)
+    monkeypatch.setattr(repeats, "HELD", 1 + kinds % 7)
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit(1), "row": F.lit("x"), "copies": F.lit(None).cast("int")})
     got = sorted(((r.doc_id, *r.repeats) for r in repeats.cut(docs.repartition(3), group=group).collect()), key=str)
