@@ -16,9 +16,9 @@ from telemill.operators import rollups as ro
 from telemill.operators import subagents as sa
 from telemill.operators import tool_calls as tc
 from telemill.plans import oracle_base as ob
-from telemill.plans.queries import EV, SA, SE, TC, TU, Tables, query, with_
+from telemill.plans.queries import EV, SA, SE, TC, TU, Tables, _received, query, with_
 from telemill.plans.rows import _stream, _with_state_store, folder
-from telemill.sources import days, expiry, tables
+from telemill.sources import days, expiry, hooks, otlp, tables
 from telemill.streaming import calls, jobs, rollup_queue
 
 # --- keyless calls: a month of tool events in a quarter of an hour, so that many calls are near each other ---
@@ -102,6 +102,51 @@ def _(t):
     return t.spark.read.parquet(projection).where("session_id <> '~'").select("session_id", "id", "tool_use_id", "correlation", "event_count", "started_at")
 
 
+# --- bodies that cannot be read ---
+
+_DEEP = 600  # levels of maps in maps, which is more JSON than the parser takes
+
+
+def _bad_bodies(t: Tables) -> DataFrame:
+    """A log request for each event of the driver's: cut off, no JSON object, too deep, without a session, with a bad number in a list and a pair without a name, or good."""
+    i = F.col("event_id").cast("string")
+    good = lambda pairs: F.concat(F.lit('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"eventName":"claude_code.x","attributes":[{"key":"session.id","value":{"stringValue":"s'), i, F.lit('"}},{"key":"id","value":{"intValue":"'), i, F.lit('"}}' + pairs + "]}]}]}]}"))
+    deep = '{"kvlistValue":{"values":[{"key":"a","value":' * _DEEP + '{"stringValue":"x"}' + "}]}}" * _DEEP
+    odd = ',{"key":"list","value":{"arrayValue":{"values":[{"intValue":"abc"},{"intValue":"7"}]}}},{"value":{"stringValue":"nameless"}}'
+    kind = F.col("event_id") % 8
+    body = (
+        F.when(kind == 0, F.substring(good(""), 1, 40)).when(kind == 1, F.lit("[1, 2]")).when(kind == 2, F.concat(F.lit('{"resourceLogs":"'), i, F.lit('"}'))).when(kind == 3, good(',{"key":"deep","value":' + deep + "}"))
+        .when(kind == 4, F.regexp_replace(good(""), '"s[0-9]+"', '""')).when(kind == 5, good(odd)).otherwise(good(""))
+    )
+    return t.raw("events").select(body.alias("body"))
+
+
+@query("A11_unreadable_bodies", "SELECT CASE WHEN k < 4 THEN 'unreadable body' ELSE 'missing session.id' END AS outcome, count(*) AS n, NULL::VARCHAR AS session_id, NULL::VARCHAR AS list, NULL::VARCHAR AS nameless FROM (SELECT event_id % 8 AS k FROM events) WHERE k < 5 GROUP BY outcome UNION ALL SELECT 'event', 1, 's' || event_id, CASE WHEN event_id % 8 = 5 THEN '[null,7]' END, CASE WHEN event_id % 8 = 5 THEN 'nameless' END FROM events WHERE event_id % 8 >= 5")
+def _(t):
+    """Every body is an event or a reject."""
+    events, rejects = otlp.logs(_bad_bodies(t), _received())
+    none = F.lit(None).cast("string")
+    told = otlp.rejection_summary(rejects).select(F.col("reason").alias("outcome"), F.col("points").alias("n"), none.alias("session_id"), none.alias("list"), none.alias("nameless"))
+    kept = events.select(F.lit("event").alias("outcome"), F.lit(1).cast("long").alias("n"), "session_id", F.get_json_object("attrs", "$.list").alias("list"), F.from_json("attrs", "map<string,string>")[""].alias("nameless"))
+    return told.unionByName(kept)
+
+
+@query("I5_balance", "SELECT 'event' AS outcome, count(*) AS n FROM events WHERE event_id % 8 >= 5 UNION ALL SELECT 'rejected', count(*) FROM events WHERE event_id % 8 < 5")
+def _(t):
+    """Accounts of the same bodies: written and rejected add up to all that came."""
+    events, rejects = otlp.logs(_bad_bodies(t), _received())
+    return ing.accounts(events.select(F.lit("event").alias("outcome")), rejects)
+
+
+@query("A6_typed_sessions", "SELECT CASE WHEN event_id % 4 = 0 THEN 's' || event_id END AS session_id, CASE WHEN event_id % 4 = 0 THEN 'event' ELSE 'invalid hook body' END AS outcome FROM events")
+def _(t):
+    """A session that is a number, null or missing is none."""
+    i = F.col("event_id").cast("string")
+    session = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"session_id":"s'), i, F.lit('",'))).when(F.col("event_id") % 4 == 1, F.concat(F.lit('"session_id":'), i, F.lit(","))).when(F.col("event_id") % 4 == 2, F.lit('"session_id":null,')).otherwise("")
+    events, rejects = hooks.hooks(t.raw("events").select(F.concat(F.lit("{"), session, F.lit('"hook_event_name":"Stop"}')).alias("body")), _received())
+    return events.select("session_id", F.lit("event").alias("outcome")).unionByName(rejects.select(F.lit(None).cast("string").alias("session_id"), F.col("reason").alias("outcome")))
+
+
 # --- the queue of dirty hours ---
 
 _PASSES = 3

@@ -29,7 +29,8 @@ def day(ts: str = "ts"):
 
 def write(rows: DataFrame, path: str, batch_id: int | None = None, month: str = MONTH, ts: str = "ts") -> None:
     """Add rows by the day of ``ts``: as the folders of a batch, or without one to the folders of the days."""
-    out = rows.withColumn(month, F.date_format(ts, "yyyy-MM")).withColumn("day", day(ts))
+    # tasks of like sizes that hold few days each: small days are few files, large days are many
+    out = rows.withColumn(month, F.date_format(ts, "yyyy-MM")).withColumn("day", day(ts)).hint("rebalance", F.col("day"))
     if batch_id is None:
         out.write.mode("append").partitionBy(month, "day").parquet(path)
     else:
@@ -66,7 +67,7 @@ def replace(rows: DataFrame, path: str, days: Iterable[str], month: str = MONTH,
     spark, days = rows.sparkSession, sorted(days)
     aside = f"{shared_dir(spark)}/days-{uuid.uuid4().hex}"
     kept = rows.withColumn(month, F.date_format(ts, "yyyy-MM")).withColumn("day", day(ts)).where(F.col("day").isin(days))
-    kept.write.partitionBy(month, "day", *(["batch"] if "batch" in rows.columns else [])).parquet(aside)
+    kept.hint("rebalance", F.col("day")).write.partitionBy(month, "day", *(["batch"] if "batch" in rows.columns else [])).parquet(aside)
     for d in days:
         target, fresh = f"{path}/{month}={d[:7]}/day={d}", f"{aside}/{month}={d[:7]}/day={d}"
         delete(spark, target)
