@@ -102,8 +102,8 @@ def _doubled_lines(links: DataFrame, max_depth: int) -> DataFrame:
     def joined(low: DataFrame, high: DataFrame) -> DataFrame:
         """Lines of ``low`` that go on in the line of ``high`` above them; one that ends at an agent never seen takes its name in."""
         open_ = F.coalesce("up", F.lit("")) != ""
-        above = high.select("session_id", F.col("agent_id").alias("__up"), F.col("path").alias("__path"), F.col("up").alias("__next"))
-        met = low.where(open_).join(above, (low["session_id"] == above["session_id"]) & (low["up"] == above["__up"]), "left").drop(above["session_id"])
+        above = high.select(F.col("session_id").alias("__session"), F.col("agent_id").alias("__up"), F.col("path").alias("__path"), F.col("up").alias("__next"))
+        met = low.where(open_).join(above, (F.col("session_id") == F.col("__session")) & (F.col("up") == F.col("__up")), "left")
         grown = met.select("session_id", "agent_id", F.concat(F.coalesce("__path", F.array("up")), "path").alias("path"), F.col("__next").alias("up"))
         return staged(low.where(~open_).unionByName(grown), "agent-lines")
 

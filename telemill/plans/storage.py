@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from telemill.operators import explorer as ex
 from telemill.operators import ingest as ing
+from telemill.operators import quality as qu
 from telemill.operators import rollups as ro
+from telemill.operators import sessions as ss
 from telemill.operators import subagents as sa
 from telemill.operators import tool_calls as tc
 from telemill.plans import oracle_base as ob
-from telemill.plans.queries import EV, SA, SE, TC, TU, Tables, _received, query, with_
+from telemill.plans.queries import _SA, _TC, EV, SA, SE, START, TC, TU, Tables, _received, query, with_
 from telemill.plans.rows import _stream, _with_state_store, folder
 from telemill.sources import days, expiry, hooks, otlp, tables
 from telemill.streaming import calls, jobs, rollup_queue
@@ -315,3 +317,51 @@ def _(t):
     up = F.when((i == 1) | (i % 997 == 0), None).when(i % 499 == 0, i * 2).when(i % 503 == 0, 1_000_000_000).otherwise(F.floor(i / 2))
     agents = t.raw("events").select(F.lit("s").alias("session_id"), F.concat(F.lit("a"), i).alias("agent_id"), F.concat(F.lit("a"), up).alias("parent_agent_id"))
     return sa.tree_rows(agents, crowd=100).select("agent_id", "depth", "path")
+
+
+# --- rebuilds of all projections, sessions over many batches ---
+
+
+def _folds() -> dict:
+    return {"sessions": ss.fold_sessions, "turns": ss.fold_turns, "tool_calls": lambda e: tc.fold_tool_calls(e, keyless=False), "subagents": sa.fold_subagents}
+
+
+def _rebuilt(t: Tables, name: str) -> DataFrame:
+    """A projection of every third event, with the touched sessions, which are all, folded anew."""
+    fold = _folds()[name]
+    return ss.rebuild(fold(t.events.where(F.col("seq") % 3 == 0)), t.events, ss.touched(t.events, START), fold)
+
+
+@query("D29_rebuilt_calls", with_(f"SELECT {_TC} FROM tcw", EV, TC))
+def _(t):
+    return _rebuilt(t, "tool_calls")
+
+
+@query("D29_rebuilt_agents", with_(f"SELECT {_SA}, coalesce(depth, 1)::BIGINT AS depth FROM sa LEFT JOIN tree USING (session_id, agent_id)", EV, SA))
+def _(t):
+    return _rebuilt(t, "subagents")
+
+
+@query("Q12_equal_checksums", with_("SELECT 'sessions' AS projection, count(*) AS rows, true AS same FROM se UNION ALL SELECT 'turns', count(*), true FROM tu UNION ALL SELECT 'tool_calls', count(*), true FROM tc UNION ALL SELECT 'subagents', count(*), true FROM sa", EV, TC, SE, TU, SA))
+def _(t):
+    """Checksums of the four projections before a rebuild and after one from a stale part of the events."""
+    out = None
+    for name, fold in _folds().items():
+        before, after = qu.checksum(fold(t.events)), qu.checksum(_rebuilt(t, name))
+        one = before.join(after.select(F.col("rows").alias("rows2"), F.col("hash").alias("hash2")), F.lit(True)).select(F.lit(name).alias("projection"), "rows", ((F.col("rows") == F.col("rows2")) & (F.col("hash") == F.col("hash2"))).alias("same"))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("S4_lifecycle_over_batches", with_("SELECT session_id, CASE WHEN bool_or(kind = 'session.end') THEN 'ended' WHEN max(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR THEN 'abandoned' WHEN bool_or(kind = 'session.start') THEN 'active' ELSE 'unknown' END AS status, epoch_us(date_trunc('millisecond', max(ts))) AS last_event_at FROM ev GROUP BY session_id", EV))
+def _(t):
+    """Five batches: sessions are given up between them by their timers, come back, and end late."""
+    _with_state_store(t)
+    path = folder(t, "lifecycle")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    jobs.lifecycle(_stream(t, t.events, 5)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", folder(t, "lifecycle-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    rank = F.struct("last_event_at", "batch", F.col("status") == "abandoned")
+    return t.spark.read.parquet(path).groupBy("session_id").agg(F.max_by("status", rank).alias("status"), F.max("last_event_at").alias("last_event_at"))

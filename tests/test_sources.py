@@ -158,3 +158,31 @@ def test_projection_buckets_are_replaced_alone(spark, tmp_path):
     back = spark.read.parquet(path)
     assert back.count() == 200 and back.where("v = 2").count() == some.count() > 0
     assert quality.checksum(rows).first()["rows"] == 200
+
+
+def test_unreadable_bodies_are_rejects(spark):
+    """No body is lost, and none stops the others."""
+    good = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record(0, "a")]}]}]})
+    deep = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record(0, "b") | {"attributes": kv(session__id="s") + [{"key": "t", "value": {"stringValue": "x"}}]}]}]}]})
+    for _ in range(400):
+        deep = deep.replace('{"stringValue": "x"}', '{"kvlistValue": {"values": [{"key": "k", "value": {"stringValue": "x"}}]}}', 1)
+    bad = ["{x", "", "[1]", "5", "null", '{"resourceLogs": 7}', good[:-3], deep, None]
+    bodies = spark.createDataFrame([(b,) for b in [good, *bad, "{}"]], "body string")
+    for read, name in ((otlp.logs, "resourceLogs"), (otlp.metrics, "resourceMetrics")):
+        rows, rejects = read(spark.createDataFrame([(r.body and r.body.replace("resourceLogs", name),) for r in bodies.collect()], "body string"), F.lit(NOW))
+        assert rows.count() == (1 if name == "resourceLogs" else 0)
+        assert {(r.reason, r.points, r.n) for r in rejects.groupBy("reason", "points").agg(F.count("*").alias("n")).collect()} == {("unreadable body", 1, len(bad))}
+
+
+def test_odd_values_and_names_stay(spark):
+    odd = [{"key": "l", "value": {"arrayValue": {"values": [{"intValue": "x"}, {"intValue": 4}, {}]}}}, {"value": {"stringValue": "n"}}, {"key": "m", "value": {"kvlistValue": {"values": [{"value": {"intValue": "5"}}, {"key": "e"}]}}}]
+    (r,), rejects = logs(spark, record(0, "a") | {"attributes": kv(session__id="s") + odd})
+    assert json.loads(r.attrs) == {"": "n", "l": [None, 4, None], "m": {"": 5, "e": None}, "resource.service.name": "claude-code", "session.id": "s"} and not rejects
+    (r,), rejects = logs(spark, record(0, "a") | {"attributes": kv(session__id="s") + odd[1:2]})
+    assert json.loads(r.attrs) == {"": "n", "resource.service.name": "claude-code", "session.id": "s"} and not rejects
+
+
+def test_sessions_are_texts(spark):
+    bodies = ['{"session_id": 5, "hook_event_name": "Stop"}', '{"session_id": null, "hook_event_name": "Stop"}', '[{"session_id": "s", "hook_event_name": "Stop"}, {"session_id": {"a": "s"}}]', '{"session_id": "s", "hook_event_name": "Stop"}']
+    rows, rejects = hooks.hooks(spark.createDataFrame([(b,) for b in bodies], "body string"), F.lit(NOW))
+    assert [r.session_id for r in rows.collect()] == ["s"] and sorted(r.points for r in rejects.collect()) == [1, 1, 2]

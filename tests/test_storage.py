@@ -384,3 +384,82 @@ def test_samples_before_the_horizon(spark, tmp_path):
     got = {x.dedup_key: (x.delta, x.revision) for x in spark.read.parquet(out).orderBy("revision").collect()}
     assert got["k0"] == (1.0, 0) and got["k1"] == (3.0, 0) and got["k2"] == (2.0, 0)
     assert got["k10"] == (5.0, 2) and got["k9"] == (9.0, 0) and got["k0.5"] == (None, -1)
+
+
+# --- pages, percentiles, order numbers and trees under skew ---
+
+
+def scanned(df):
+    """(files, row groups' rows) that the plan's scans read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text, rows, files = plan.toString(), 0, 0
+    leaves = plan.finalPhysicalPlan().collectLeaves() if "AdaptiveSparkPlan" in text else plan.collectLeaves()
+    for k in range(leaves.size()):
+        m = leaves.apply(k).metrics()
+        files += m.get("numFiles").get().value() if m.contains("numFiles") else 0
+        rows += m.get("numOutputRows").get().value() if m.contains("numOutputRows") else 0
+    return files, rows
+
+
+def test_a_page_reads_few_files_and_row_groups(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.conf.set("spark.sql.parquet.filterPushdown", "true")
+    rows = spark.range(40_000).select(F.col("id").alias("seq"), F.timestamp_micros(F.lit(1_709_280_000_000_000) + F.col("id") * 10_000_000).alias("ts"), F.lit(None).cast("long").alias("vendor_seq"))
+    days.write(rows.orderBy(F.rand(1)), path, 0)
+    days.compact(spark, path, days.days(spark, path, "2024-03"), 1, order=("ts", "seq"), files=4)
+    start = datetime(2024, 3, 3, 20)
+    page = days.page(spark, path, [F.col("ts"), F.col("seq")], 100, start)
+    first = page.orderBy("ts").first()
+    assert page.count() == 100 and first.ts == start
+    files, read = scanned(page)
+    assert files <= 4 * 4 and read < 4 * 8640  # four of five days' files are listed, and less than their rows are read
+    back = days.page(spark, path, [F.col("ts").desc(), F.col("seq").desc()], 5, start, descending=True)
+    assert [r.ts for r in back.collect()] == [start - timedelta(seconds=10 * k) for k in range(5)]
+    assert days.page(spark, path, [F.col("ts")], 5, datetime(2025, 1, 1)) is None
+    far = days.page(spark, path, [F.col("ts")], 5, where=F.col("seq") > 39_000, step=1)
+    assert [r.seq for r in far.collect()] == [39_001, 39_002, 39_003, 39_004, 39_005]
+
+
+@pytest.mark.parametrize("n", [3, 500, 30_000])
+def test_percentiles_of_a_heavy_tail(spark, n):
+    """One value that is far out does not put all others into one range."""
+    from telemill.functions.percentiles import order_statistics
+
+    r = random.Random(n)
+    values = [r.paretovariate(0.3) for _ in range(n - 1)] + [1e300]
+    values += values[: n // 3]
+    values.sort()
+
+    def exact(p):
+        q = p * (len(values) - 1)
+        lo, hi = values[int(q)], values[min(int(q) + (q > int(q)), len(values) - 1)]
+        return lo + (q - int(q)) * (hi - lo)
+
+    got = order_statistics(spark.createDataFrame([(v,) for v in values], "v double").repartition(4), "v", {"a": 0.0, "b": 0.5, "c": 0.95, "d": 0.99, "e": 1.0}).first()
+    assert (got.lo, got.hi) == (values[0], values[-1])
+    for name, p in zip("abcde", (0.0, 0.5, 0.95, 0.99, 1.0)):
+        assert got[name] == pytest.approx(exact(p), rel=1e-12)
+
+
+def test_order_numbers_of_a_busy_hour(spark):
+    from telemill.operators import ingest
+
+    rows = spark.range(20_000).select(F.format_string("k%05d", F.pmod(F.col("id") * 7919, F.lit(20_000))).alias("dedup_key"), F.when(F.col("id") % 10 > 0, F.lit(T0)).otherwise(F.timestamp_micros(F.unix_micros(F.lit(T0)) + (F.col("id") - 9_000) * 10**9)).alias("ts"))
+    got = ingest.with_sequence(rows, 5)
+    want = {r.dedup_key: k + 6 for k, r in enumerate(sorted(rows.collect(), key=lambda r: (r.ts, r.dedup_key)))}
+    assert {r.dedup_key: r.seq for r in got.collect()} == want
+    sizes = [r["count"] for r in spark.read.parquet(got.inputFiles()[0].rsplit("/", 1)[0]).groupBy("__range").count().collect()]
+    assert max(sizes) < 2 * 20_000 / len(sizes)
+
+
+def test_lines_by_map_and_by_doubling(spark):
+    from telemill.operators import subagents
+
+    r = random.Random(6)
+    agents = [("chain", f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("ring", f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("ring", "tail", "r0"), ("ring", "own", "own")] + [(s, x, y) for s, y in (("one", None), ("two", "up"), ("three", "gone")) for x, y in (("up", None), ("agent", y))]
+    agents += [("wild", f"w{i}", r.choice([None, "unseen", *(f"w{k}" for k in range(60))])) for i in range(60)]
+    links = spark.createDataFrame(agents, "session_id string, agent_id string, parent_agent_id string").select("session_id", "agent_id", F.coalesce("parent_agent_id", F.lit("")).alias("up"))
+    for most in (1, 5, 16):
+        a, b = (sorted(map(str, f(links, most).select("session_id", "agent_id", "path", "up").collect())) for f in (subagents._mapped_lines, subagents._doubled_lines))
+        assert a == b
