@@ -33,12 +33,18 @@ SENTENCES: list[tuple[str, str]] = [
     ("BsdGrant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BsdSource", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
     ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("BsdEndorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BsdEndorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BsdAsIs", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("GplRef2", "this work is licensed under the gnu general public license version 2"),
     ("GplRef3", "this work is licensed under the gnu general public license version 3"),
     ("GplFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("GplFree2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("GplOnly2", "gnu general public license version 2 as published by the free software foundation"),
+    ("GplOnly2", "gnu general public license version 2 as published"),
+    ("GplOnly2", "gnu general public license as published by the free software foundation version 2 of the license"),
+    ("GplOnly3", "gnu general public license version 3 as published by the free software foundation"),
+    ("GplOnly3", "gnu general public license version 3 as published"),
+    ("GplOnly3", "gnu general public license as published by the free software foundation version 3 of the license"),
     ("GplSee", "see the gnu general public license for more details"),
     ("GplCopy", "you should have received a copy of the gnu general public license along with this program"),
     ("LgplFree21", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
@@ -54,6 +60,11 @@ SENTENCES: list[tuple[str, str]] = [
     ("ZlibGrant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("UnlicenseFree", "this is free and unencumbered software released into the public domain"),
     ("UnlicenseGrant", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("EplRef2", "made available under the terms of the eclipse public license 2 0"),
+    ("EplRef2", "made available under the terms of the eclipse public license v2 0"),
+    ("EplRef2", "made available under the terms of the eclipse public license 2 0 which is available at http www eclipse org legal epl 2 0"),
+    ("EplRef2", "made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("EplRef2", "made available under the terms of the eclipse public license v2 0 which accompanies this distribution"),
     ("CcZeroRef", "licensed under cc0 1 0"),
     ("SpdxApache2", "spdx license identifier apache 2 0"),
     ("SpdxMit", "spdx license identifier mit"),
@@ -94,6 +105,14 @@ RULES: list[tuple[str, list[str]]] = [
     ("AGPL-3.0-or-later", ["AgplFree3", "GplNoWarranty"]),
     ("LGPL-2.1-or-later", ["LgplFree21", "LgplNoWarranty"]),
     ("LGPL-3.0-or-later", ["LgplFree3", "LgplNoWarranty"]),
+    ("GPL-3.0-or-later", ["GplFree"]),
+    ("GPL-2.0-or-later", ["GplFree2"]),
+    ("AGPL-3.0-or-later", ["AgplFree3"]),
+    ("LGPL-2.1-or-later", ["LgplFree21"]),
+    ("LGPL-3.0-or-later", ["LgplFree3"]),
+    ("GPL-2.0-only", ["GplOnly2"]),
+    ("GPL-3.0-only", ["GplOnly3"]),
+    ("EPL-2.0", ["EplRef2"]),
     ("MPL-2.0", ["MplForm", "MplCopy"]),
     ("BSL-1.0", ["BoostGrant"]),
     ("BSL-1.0", ["BoostRef"]),
@@ -118,10 +137,18 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0-or-later", ["SpdxGpl3Later"]),
 ]
 
+#: Identifiers of the SPDX list that an expression may name.
+SPDX = [
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only",
+    "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+#: A line's expression of identifiers, AND, OR, WITH and brackets.
+SPDX_LINE = r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()\t -]+)"
+
 #: No known sentence goes on over one of . ! ? before white space or the end, or over a blank line.
 HARD_END = r"[.!?]+(?=\s|$)|\n{2,}"
-#: A known sentence may end at, or go on over, one of ; : before white space or the end, or a single line break.
-SOFT_END = r"[;:]+(?=\s|$)|\n"
+#: A known sentence may end at, or go on over, one of , ; : before white space or the end, or a single line break.
+SOFT_END = r"[,;:]+(?=\s|$)|\n"
 #: After a line break: indents and the marks of comments and quotes.
 LINE_START = r"\n[ \t\x0B\f#*/;%>|!-]+"
 _HARD, _SOFT = "\x01", "\x02"
@@ -144,12 +171,20 @@ def runs(known: list[tuple[str, str]]) -> str:
     return f"(?<![a-z0-9])(?=[{first}])(?:{'|'.join(s.replace(' ', between) for s in every)})(?= ?(?:[{_HARD}{_SOFT}]|$))"
 
 
+def spdx(text: Column) -> Column:
+    """Licenses that the text's SPDX expressions of several terms name, in order; a line of one identifier is a known sentence already."""
+    every = F.filter(F.regexp_extract_all(text, F.lit(SPDX_LINE), F.lit(1)), lambda x: x.rlike(r"(?i)\s(?:and|or)\s"))
+    terms = F.flatten(F.transform(every, lambda x: F.split(F.regexp_replace(x, r"(?i)\swith\s+\S+|[()]", " "), r"(?i)\s+(?:and|or)\s+")))
+    names = F.create_map(*[F.lit(y) for x in SPDX for y in (x.lower(), x)])
+    return F.filter(F.transform(terms, lambda x: names[F.lower(F.trim(x))]), lambda x: x.isNotNull())
+
+
 def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """One row per document: doc_id, its known sentences' identifiers in order, the licenses, and the identifiers no rule took.
 
     docs: doc_id, text; other columns are ignored.  Null and empty texts have
     no sentences.  A license found several times is named once, at its first
-    rule; rows with the same doc_id are read one by one.  No rows: no rows.
+    rule; those that an SPDX expression names come last; rows with the same doc_id are read one by one.  No rows: no rows.
     """
     ids: dict[str, list[str]] = {}
     for name, sentence in known:
@@ -163,17 +198,17 @@ def recognise(docs: DataFrame, known: list[tuple[str, str]] = SENTENCES, rules:
 
     matches = F.regexp_extract_all(normalised(F.coalesce("text", F.lit(""))), F.lit(runs(known)), F.lit(0))
     found = F.transform(matches, lambda s: name_of(F.regexp_replace(s, f"[ {_SOFT}]+", " ")))
-    out = docs.select(F.col("doc_id"), found.alias("sentence_ids"))
+    out = docs.select(F.col("doc_id"), found.alias("sentence_ids"), spdx(F.coalesce("text", F.lit(""))).alias("spdx"))
     out = out.withColumn("left", F.when(F.size("sentence_ids") > 0, F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))).otherwise(""))
     # each rule takes its runs out of what is left, and names its license if it took any
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f"|{x}|" for x in run)).alias("run")) for name, run in rules])
     start = F.struct(F.col("left").alias("left"), F.array().cast("array<string>").alias("names"))
     took = lambda acc, r: F.struct(F.replace(acc["left"], r["run"], F.lit("/")).alias("left"), F.when(F.contains(acc["left"], r["run"]), F.concat(acc["names"], F.array(r["name"]))).otherwise(acc["names"]).alias("names"))
     taken = F.when(F.col("left") == "", start).otherwise(F.aggregate(table, start, took))
-    out = out.select("doc_id", "sentence_ids", taken.alias("taken"))
+    out = out.select("doc_id", "sentence_ids", "spdx", taken.alias("taken"))
     return out.select(
         "doc_id",
         "sentence_ids",
-        F.array_distinct("taken.names").alias("licenses"),
+        F.array_distinct(F.concat("taken.names", "spdx")).alias("licenses"),
         F.filter(F.split("taken.left", r"[|/]+"), lambda x: x != "").alias("unmatched"),
     )

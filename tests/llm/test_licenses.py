@@ -90,3 +90,23 @@ def test_further_licenses(spark, docs_of):
 
 def test_every_rule_names_known_sentences():
     assert {x for _, run in licenses.RULES for x in run} <= {i for i, _ in licenses.SENTENCES}
+
+
+def test_names_references_and_expressions(spark, docs_of):
+    """Holders' names in BSD texts, notices without the warranty, references that go on, and SPDX expressions."""
+    free = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    rows = [
+        (["BSD-3-Clause"], BSD + "\n\n3. Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without\nspecific prior written permission."),
+        (["GPL-2.0-or-later"], free.format("General Public", 2)),
+        (["AGPL-3.0-or-later"], free.format("Affero General Public", 3)),
+        (["GPL-2.0-only"], "You may use it under the terms of the GNU General Public License version 2 as published by the\nFree Software Foundation."),
+        (["GPL-2.0-only"], "under the GNU General Public License version 2 as published, no other"),
+        (["MIT"], "This tool is released under the MIT License, see LICENSE."),
+        (["EPL-2.0"], " * This program and the accompanying materials are made available under the\n * terms of the Eclipse Public License 2.0 which is available at\n * https://www.eclipse.org/legal/epl-2.0/\n */"),
+        (["MIT", "Apache-2.0"], "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}"),
+        (["GPL-2.0-only", "BSD-3-Clause"], "# spdx-license-identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause"),
+        (["MIT"], "/* SPDX-License-Identifier: MIT */"),
+        ([], "SPDX-License-Identifier: Unknown-1.0 OR Other"),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.recognise(docs_of(*[(i, t) for i, (_, t) in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for want, _ in rows]
