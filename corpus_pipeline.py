@@ -14,21 +14,32 @@ give no rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from telemill.llm import decontamination, near_dedup, packing, quality, toxicity
 from telemill.llm.queries import table, tokenizer_path
 from telemill.llm.store import written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below their language's threshold (a null or rare language's: that over all rows; without labels of both classes: 0.3)."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net, into="__toxicity").where(~toxicity.rejected(net, scores="__toxicity")).drop("__toxicity")
+    own = _free(docs, "__toxicity")
+    return toxicity.score(docs, net, into=own).where(~toxicity.rejected(net, scores=own)).drop(own)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under the model of trusted text stays at or below the threshold of their language and length."""
-    return quality.verdicts(docs, table(spark, sf_dir, "labels"), "__verdict").where("__verdict.keep").drop("__verdict")
+    own = _free(docs, "__verdict")
+    return quality.verdicts(docs, table(spark, sf_dir, "labels"), own).where(F.col(f"{own}.keep")).drop(own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
