@@ -30,10 +30,13 @@ def resolve_prices(rows: DataFrame, prices: DataFrame, at: Column) -> DataFrame:
     """
     names = ["input_per_mtok", "output_per_mtok", "cache_read_per_mtok", "cache_write_per_mtok"]
     keyed = rows.withColumn("__at", F.to_date(at))
-    chosen = price_models(rows, prices)
+    # one pass over the rows for their distinct models and days; every prefix of a model is an equi-join key
+    cuts = F.explode(F.transform(F.sequence(F.lit(1), F.length("model")), lambda i: F.substring(F.col("model"), F.lit(1), i)))
+    wanted = keyed.where(F.col("model") != "").select("model", "__at").distinct().select("model", "__at", cuts.alias("price_model"))
     dated = prices.select(F.col("model").alias("price_model"), "effective_from", *names)
-    wanted = keyed.select("model", "__at").distinct().join(chosen, "model").join(_small(dated), "price_model").where(F.col("effective_from") <= F.col("__at"))
-    best = wanted.groupBy("model", "__at").agg(F.max_by(F.struct("price_model", "effective_from", *names), "effective_from").alias("__price"))
+    there = F.coalesce(F.col("effective_from") <= F.col("__at"), F.lit(False))
+    found = wanted.join(_small(dated), "price_model").groupBy("model", "__at").agg(F.max_by(F.struct("price_model", "effective_from", *names, there.alias("there")), F.struct(F.length("price_model"), there, "effective_from")).alias("__price"))
+    best = found.where("__price.there")
     out = keyed.join(best, ["model", "__at"], "left")
     return out.select(*rows.columns, F.col("__price.price_model").alias("price_model"), F.col("__price.effective_from").alias("price_date"), *[F.col(f"__price.{n}").cast("double").alias(n) for n in names])
 

@@ -124,13 +124,16 @@ WITH_MODEL = ["claude_code.cost.usage", "claude_code.token.usage"]
 def hourly_metrics(samples: DataFrame, sessions: DataFrame) -> DataFrame:
     """The hourly rollup of source ``metric``; counts are rounded sample by sample, cost is not."""
     rows = with_home(sample_deltas(samples).where(F.col("name").isin(*{m[0] for m in METRICS})), sessions, "project")
-    model = F.when(F.col("name").isin(*WITH_MODEL), F.coalesce(attr("attrs", "model"), F.lit(""))).otherwise("")
+    # each attribute is read once a row
+    keys = sorted({m[1] for m in METRICS if m[1]} | {"model"})
+    rows = rows.withColumns({f"__{k}": attr("attrs", k) for k in keys})
+    model = F.when(F.col("name").isin(*WITH_MODEL), F.coalesce("__model", F.lit(""))).otherwise("")
     whole = rounded("delta")
     sums = []
     for name, key, value, column in METRICS:
         hit = F.col("name") == name
         if key:
-            hit &= attr("attrs", key) == value
+            hit &= F.col(f"__{key}") == value
         sums.append(F.coalesce(F.sum(F.when(hit, F.col("delta") if column in COSTS else whole)), F.lit(0)).cast(MONEY if column in COSTS else "long").alias(column))
     out = rows.groupBy(hour("ts").alias("bucket"), F.coalesce("project", F.lit("")).alias("project"), "vendor", model.alias("model")).agg(*sums)
     return _complete(out, "metric")

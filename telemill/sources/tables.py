@@ -34,6 +34,12 @@ def stored(spark: SparkSession, name: str, source: str, make: Callable[[], DataF
     return _STORED[key][1]
 
 
+def forget(name: str) -> None:
+    """Let the next reader of the stored table ``name`` make it again."""
+    for key in [k for k in _STORED if k[1] == name]:
+        del _STORED[key]
+
+
 def append_events(events: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Add to a table of months and days.  With a batch id the rows go to folders of the batch, which a retry replaces."""
     days.write(events, path, batch_id)
