@@ -16,17 +16,15 @@ def facet(df: DataFrame, column: str) -> DataFrame:
 
 
 def facets(sessions: DataFrame, tool_calls: DataFrame) -> DataFrame:
-    """(facet, value) of every facet of the read side."""
-    parts = {
-        "projects": facet(sessions, "project"), "vendors": facet(sessions, "vendor"), "models": facet(sessions.select(F.explode("models").alias("m")), "m"), "tools": facet(tool_calls, "tool_name"),
-        "decision_sources": tool_calls.where(F.col("decision_source").isNotNull()).select(F.col("decision_source").alias("value")).distinct(),
-        "query_sources": sessions.select(F.explode(F.map_keys("cost_by_query_source")).alias("value")).distinct(),
-    }
-    out = None
-    for name, df in parts.items():
-        one = df.select(F.lit(name).alias("facet"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """(facet, value) of every facet of the read side, each table read once; no empty projects, vendors, models and tools."""
+    one = lambda name, value: F.struct(F.lit(name).alias("facet"), value.alias("value"))
+    of_session = F.concat(
+        F.array(one("projects", F.col("project")), one("vendors", F.col("vendor"))), F.transform(F.coalesce("models", F.array().cast("array<string>")), lambda m: one("models", m)),
+        F.transform(F.map_keys(F.coalesce("cost_by_query_source", F.create_map().cast("map<string,decimal(16,8)>"))), lambda k: one("query_sources", k)),
+    )
+    of_call = F.array(one("tools", F.col("tool_name")), one("decision_sources", F.col("decision_source")))
+    every = sessions.select(F.explode(of_session).alias("x")).unionByName(tool_calls.select(F.explode(of_call).alias("x"))).select("x.*")
+    return every.where(F.col("value").isNotNull() & ((F.col("value") != "") | F.col("facet").isin("decision_sources", "query_sources"))).distinct()
 
 
 def coverage(events: DataFrame, samples: DataFrame, tool_calls: DataFrame) -> DataFrame:
