@@ -54,7 +54,10 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def _u32(x) -> np.ndarray:
-    return np.asarray(x).astype(np.uint32)
+    x = np.asarray(x)
+    if x.size and int(x.max()) > 0xFFFFFFFF:
+        raise OverflowError("word ids and counts have 32 bits here; the corpus has more distinct words or n-grams than that")
+    return x.astype(np.uint32)
 
 
 def blocks(docs: DataFrame, held: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
