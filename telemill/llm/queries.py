@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm import decontamination, language_model, licenses, media, near_dedup, packing, quality, repeats, source_audit, toxicity, url_filters, vector_codes, warc
+from telemill.llm.store import written
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -54,7 +55,8 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.encode_media(table(spark, sf_dir, "documents")))
+    stored = written(media.encode_media(table(spark, sf_dir, "documents")), "media")
+    return media.read_media(stored)
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -103,3 +103,19 @@ def test_other_tables_and_layers():
     good = media.read_mpeg(bytes(body) * 2)
     body[9] ^= 1
     assert (good["checked"], good["bad"]) == (2, 0) and media.read_mpeg(bytes(body) * 2)["bad"] == 2
+
+
+def test_query_reads_stored_files(spark, monkeypatch):
+    """The query's features come from a table that was written, whose files are those of the texts."""
+    from telemill.llm import queries
+    from telemill.llm.store import written
+
+    tables = []
+    monkeypatch.setattr(queries, "written", lambda df, name: tables.append(written(df, name)) or tables[-1])
+    got = {r.doc_id: r for r in queries.op7_mpeg_audio(spark, "/root/testdata/sf0.001").collect()}
+    stored = {r.doc_id: bytes(r.media) for r in tables[0].collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    assert set(stored) == set(texts) == set(got)
+    for i, text in texts.items():
+        padded = text + b"\xff" * (-len(text) % 576 or (576 if not text else 0))
+        assert got[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[i].media_sha256 == hashlib.sha256(stored[i]).hexdigest() and got[i].payload_bytes == len(padded)
