@@ -27,7 +27,7 @@ from telemill.operators import subagents as sa
 from telemill.operators import timeline as tl
 from telemill.operators import tool_calls as tc
 from telemill.plans.queries import (
-    _D, _DOUBLED, _L, _LOGS, _RKEY, _SE, _T, _TC, BOTH, EV, MS, NOW, RH, SA, SE, START, TC, TOKENS, TU, Tables, _doubled, _ledger, _received, hook_bodies, log_bodies, metric_bodies, query, with_,
+    _D, _DOUBLED, _LOGS, _RKEY, _SE, _TC, BOTH, EV, MS, NOW, RH, SA, SE, START, TC, TOKENS, TU, Tables, _doubled, _ledger, _received, hook_bodies, log_bodies, metric_bodies, query, with_,
 )
 from telemill.sources import hooks, otlp, tables
 from telemill.streaming import calls, jobs

@@ -18,8 +18,9 @@ from telemill.operators import sessions as ss
 from telemill.operators import subagents as sa
 from telemill.operators import tool_calls as tc
 from telemill.plans import oracle_base as ob
-from telemill.plans.queries import _SA, _TC, EV, SA, SE, START, TC, TU, Tables, _received, query, with_
+from telemill.plans.queries import _RALL, _SA, _TC, BOTH, EV, RH, SA, SE, START, TC, TU, Tables, _received, query, with_
 from telemill.plans.rows import _stream, _with_state_store, folder
+from telemill.schemas import MEASURES
 from telemill.sources import days, expiry, hooks, otlp, tables
 from telemill.streaming import calls, jobs, rollup_queue
 
@@ -193,6 +194,45 @@ def _(t):
     return rollup_queue.read_rollup(t.spark, rollup).select("bucket", "kind", "n")
 
 
+def _worked_off(t: Tables) -> tuple[str, str]:
+    """(hourly, daily) rollups of events that passes over a queue have made: three batches, each with marks of its events' hours and of the starts of the calls that it touches."""
+    events, rollup, daily = folder(t, "rolled-events"), folder(t, "rolled-hours"), folder(t, "rolled-days")
+    queue, store = rollup_queue.Queue(t.spark, folder(t, "queue")), jobs.store_batch(events, t.spark)
+    homes = tables.staged(t.sessions.select("session_id", "project", "vendor"), "session-homes")
+    started = tables.staged(t.tool_calls.select("session_id", "id", "started_at", "decision"), "started-calls")
+
+    def fold(e: DataFrame) -> DataFrame:
+        hours = e.select(ro.hour("ts").alias("__b")).distinct()
+        near = started.join(F.broadcast(hours), ro.hour("started_at") == F.col("__b"), "left_semi")  # a pass has some hundreds of hours
+        return ro.hourly_of(tables.staged(ro.merged_rollup(ro.event_rollup(e, homes), ro.tool_rollup(near, homes)), "merged-rollup"), t.prices)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch, batch_id)
+        touched = started.join(batch.select("session_id").distinct(), "session_id", "left_semi")
+        queue.mark(ro.dirty_buckets(batch, tool_calls=touched), batch_id)
+        work()
+
+    def work() -> int:
+        return rollup_queue.work(queue, {"event": (events, days.MONTH, fold)}, rollup, datetime(2025, 1, 1), 400, daily_path=daily).claimed
+
+    jobs.run_available(_stream(t, t.events), write, folder(t, "queue-checkpoint")).awaitTermination()
+    while work():
+        pass
+    return rollup, daily
+
+
+@query("E12_queued_hours", with_(f"SELECT {_RALL} FROM rh", EV, TC, SE, RH))
+def _(t):
+    rows = t.spark.read.parquet(_worked_off(t)[0])
+    return rows.select(*ro.ROLLUP_KEY, "source", *MEASURES)
+
+
+@query("E13_queued_days", with_(f"SELECT {_RALL} FROM rd WHERE source = 'event'", BOTH))
+def _(t):
+    rows = t.spark.read.parquet(_worked_off(t)[1])
+    return rows.select(*ro.ROLLUP_KEY, "source", *MEASURES)
+
+
 # --- retention ---
 
 

@@ -1,8 +1,8 @@
 """Continuous jobs: files of exports arrive, events are stored once, and what they touch is recomputed.
 
-A watermark would drop late rows, so only the live view and the exact dedup
-window use one; tables that have to be right come from recomputation of the
-touched sessions and hours in ``foreachBatch``.
+A watermark would drop late rows, so only the live view, the exact dedup window
+and session lifecycles use one; tables that have to be right come from
+recomputation of the touched days in ``foreachBatch``, from their folders alone.
 """
 
 from __future__ import annotations

@@ -140,6 +140,8 @@ def work(
     now: datetime,
     most: int = MOST,
     seconds: float = LEASE_SECONDS,
+    daily_path: str | None = None,
+    daily: Callable[[DataFrame], DataFrame] = rollups.daily,
 ) -> Pass:
     """One pass: claim the oldest dirty hours and the current and previous one, recompute them, replace them, clear them.
 
@@ -147,7 +149,8 @@ def work(
     month column, and a function of the rows of whole hours to rollup rows with
     ``bucket``.  ``now`` is in the session's time zone.  Hours whose month the
     table does not have any more are left as they are: their raw rows have
-    expired, and the rollup is all that is left.
+    expired, and the rollup is all that is left.  With ``daily_path`` the days of
+    the recomputed hours are derived again from their stored hours, by ``daily``.
     """
     spark = queue.spark
     token = queue.lease(seconds)
@@ -163,6 +166,8 @@ def work(
             own = [b for b in own if b[:7] in there]
             if own:
                 recompute(spark, source, own, path, month, fold, rollup_path)
+                if daily_path is not None:
+                    derive_days(spark, source, sorted({b[:10] for b in own}), rollup_path, daily_path, daily)
                 recomputed += len(own)
         queue.clear(claimed, token)
         queue.settle()
@@ -190,5 +195,15 @@ def recompute(spark: SparkSession, source: str, hours: list[str], path: str, mon
     days.replace(fresh, target, some, "bucket_month", "bucket")
 
 
+def derive_days(spark: SparkSession, source: str, some: list[str], rollup_path: str, daily_path: str, daily: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace ``some`` days of one source by what their hours add up to; days without an hour go."""
+    hours = days.read(spark, f"{rollup_path}/source={source}", some, "bucket_month")
+    if hours is not None:
+        days.replace(daily(hours.withColumn("source", F.lit(source))).drop("source"), f"{daily_path}/source={source}", some, "bucket_month", "bucket")
+        return
+    for d in some:
+        folders.delete(spark, f"{daily_path}/source={source}/bucket_month={d[:7]}/day={d}")
+
+
 def read_rollup(spark: SparkSession, rollup_path: str) -> DataFrame:
     return spark.read.parquet(rollup_path).drop("bucket_month", "day")

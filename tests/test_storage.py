@@ -223,6 +223,21 @@ def test_emptied_hours_and_the_current_one(spark, queued):
     assert hours(spark, rollup) == {"01 11": 1}
 
 
+def test_days_follow_their_hours(spark, tmp_path, queued):
+    queue, add, _, rollup, events = queued
+    daily = str(tmp_path / "daily")
+    by_day = lambda h: h.groupBy(F.date_trunc("day", F.col("bucket")).alias("bucket"), "source").agg(F.sum("n").alias("n"))
+    work = lambda: rollup_queue.work(queue, {"event": (events, days.MONTH, hourly)}, rollup, datetime(2030, 1, 1), daily_path=daily, daily=by_day)
+    add(0, T0, T0 + timedelta(hours=1), T0 + timedelta(days=1))
+    work()
+    assert hours(spark, daily) == {"01 00": 2, "02 00": 1}
+    add(1, T0 + timedelta(hours=1))
+    days.replace(days.read(spark, events, ["2024-03-02"]).limit(0), events, ["2024-03-02"])
+    queue.mark(spark.createDataFrame([(T0 + timedelta(days=1),), (T0 + timedelta(hours=1),)], "bucket timestamp").withColumn("source", F.lit("event")), 2)
+    work()
+    assert hours(spark, daily) == {"01 00": 3}
+
+
 def test_many_marks_are_put_together(spark, queued, monkeypatch):
     monkeypatch.setattr(rollup_queue, "FOLDERS", 3)
     queue, add, work, rollup, _ = queued
