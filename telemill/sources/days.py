@@ -90,7 +90,7 @@ def compact(spark: SparkSession, path: str, some: Iterable[str], below: int, mon
 
     With ``order`` the rows are dealt over the files by ranges of these columns
     and sorted, so that readers of a range skip files and row groups by their
-    statistics.
+    statistics; a folder that is sorted so already, and alone, stays.
 
     The merged rows are written beside the table and a note names what they
     replace.  A call that was broken off is finished by the next one, from the
@@ -102,12 +102,14 @@ def compact(spark: SparkSession, path: str, some: Iterable[str], below: int, mon
         ready = text_of(spark, f"{note}/ready")
         if ready is None:
             old = [b for b in sorted(int(x.partition("=")[2]) for x in children(spark, folder) if x.startswith("batch=")) if b < below]
-            if len(old) < 2 and not (order and old):
+            if not old or len(old) == 1 and (not order or text_of(spark, f"{folder}/batch={old[0]}/_sorted") == ",".join(order)):
                 continue
             delete(spark, note)
             rows = spark.read.option("basePath", folder).parquet(*[f"{folder}/batch={b}" for b in old]).drop("batch")
             rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order) if order else rows.coalesce(files)
             rows.write.parquet(f"{note}/batch={old[-1]}")
+            if order:
+                create(spark, f"{note}/batch={old[-1]}/_sorted", ",".join(order))
             ready = ",".join(map(str, old))
             create(spark, f"{note}/ready", ready)
         names = ready.split(",")

@@ -423,6 +423,9 @@ def test_a_page_reads_few_files_and_row_groups(spark, tmp_path):
     rows = spark.range(40_000).select(F.col("id").alias("seq"), F.timestamp_micros(F.lit(1_709_280_000_000_000) + F.col("id") * 10_000_000).alias("ts"), F.lit(None).cast("long").alias("vendor_seq"))
     days.write(rows.orderBy(F.rand(1)), path, 0)
     days.compact(spark, path, days.days(spark, path, "2024-03"), 1, order=("ts", "seq"), files=4)
+    before = files_of(path)
+    days.compact(spark, path, days.days(spark, path, "2024-03"), 1, order=("ts", "seq"), files=4)
+    assert files_of(path) == before  # sorted already
     start = datetime(2024, 3, 3, 20)
     page = days.page(spark, path, [F.col("ts"), F.col("seq")], 100, start)
     first = page.orderBy("ts").first()
