@@ -10,6 +10,7 @@ parser goes (1000 levels of JSON), is one reject as a whole.
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,11 @@ from telemill.functions.attributes import clean_json, variant_number, variant_st
 
 _NESTED = '"(?:kvlist|array)Value"'  # requests that may hold lists or maps as values go through Arrow batches
 _KV = "array<struct<key string, value variant>>"
+#: The format's field names, which may also be written with underscores.
+_FIELDS = [
+    "resourceLogs", "scopeLogs", "logRecords", "resourceMetrics", "scopeMetrics", "timeUnixNano", "observedTimeUnixNano", "eventName", "stringValue", "boolValue", "intValue", "doubleValue", "bytesValue", "arrayValue",
+    "kvlistValue", "dataPoints", "asDouble", "asInt", "aggregationTemporality", "isMonotonic", "exponentialHistogram",
+]
 _CORRUPT = "_corrupt_record"  # set by the parser on what it cannot read whole
 LOGS = f"resourceLogs array<struct<resource struct<attributes {_KV}>, scopeLogs array<struct<scope struct<attributes {_KV}>, logRecords array<struct<timeUnixNano string, observedTimeUnixNano string, eventName string, body variant, attributes {_KV}>>>>>>"
 _NUMBER = f"array<struct<timeUnixNano string, asDouble double, asInt string, attributes {_KV}>>"
@@ -47,6 +53,16 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.where(F.trim("value") != "").select(clean_json(F.col("value")).alias("body"))
 
 
+def _named(bodies: DataFrame) -> DataFrame:
+    """Bodies with the field names that the schemas have; names with underscores are looked for where a request's own is one."""
+    body = F.col("body")
+    plain = body
+    for name in _FIELDS:
+        snake = re.sub("[A-Z]", lambda m: f"_{m[0].lower()}", name)
+        plain = F.regexp_replace(plain, rf'(?<!\\)"{snake}"(\s*:)', f'"{name}"$1')
+    return bodies.select(F.when(body.rlike(r'(?<!\\)"(?:resource|scope)_(?:logs|metrics)"\s*:'), plain).otherwise(body).alias("body"))
+
+
 def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
     """(body, j, readable): requests by the permissive parser, and whether it could read them whole."""
     j = F.from_json("body", f"{schema}, {_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
@@ -136,6 +152,7 @@ def _log_records(bodies: DataFrame, attribute_map) -> DataFrame:
 
 def logs(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[DataFrame, DataFrame]:
     """(canonical events without seq, rejects) of log exports received at ``now``."""
+    bodies = _named(bodies)
     rows = log_records(bodies).withColumn("v", F.parse_json("attrs")).withColumn("now", now)
     v = F.col("v")
     rows = rows.withColumn("session_id", F.coalesce(F.nullif(variant_string(v, "session.id"), F.lit("")), F.nullif(variant_string(v, "resource.session.id"), F.lit(""))))
@@ -164,6 +181,7 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
     exponential histograms, points without a value and unreadable bodies are
     rejected.
     """
+    bodies = _named(bodies)
     points, rejects = _by_depth(bodies, _metric_points), _unsupported(bodies).unionByName(unreadable(bodies, METRICS))
     rejects = rejects.unionByName(points.where(F.col("value").isNull()).select(F.lit("point without a value").alias("reason"), F.col("name").alias("record"), F.lit(1).cast("long").alias("points")))
     rows = points.where(F.col("value").isNotNull()).withColumn("now", now).withColumn("attrs", sorted_json(F.col("map")))

@@ -186,3 +186,18 @@ def test_sessions_are_texts(spark):
     bodies = ['{"session_id": 5, "hook_event_name": "Stop"}', '{"session_id": null, "hook_event_name": "Stop"}', '[{"session_id": "s", "hook_event_name": "Stop"}, {"session_id": {"a": "s"}}]', '{"session_id": "s", "hook_event_name": "Stop"}']
     rows, rejects = hooks.hooks(spark.createDataFrame([(b,) for b in bodies], "body string"), F.lit(NOW))
     assert [r.session_id for r in rows.collect()] == ["s"] and sorted(r.points for r in rejects.collect()) == [1, 1, 2]
+
+
+def test_field_names_with_underscores(spark):
+    """Either spelling is read; texts that look like fields stay."""
+    import re
+
+    text = 'say \\"scope_logs\\": or "time_unix_nano": it'
+    one = json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record(0, "a", note=text, prompt__id="p", size=3)]}]}]})
+    snake = re.sub(r'(?<!\\)"([a-z]+(?:[A-Z][a-z]+)+)"(?=:)', lambda m: '"' + re.sub("[A-Z]", lambda x: f"_{x[0].lower()}", m[1]) + '"', one)
+    assert "resource_logs" in snake and "string_value" in snake and "time_unix_nano" in snake
+    a, b = (otlp.logs(spark.createDataFrame([(x,)], "body string"), F.lit(NOW))[0].collect() for x in (one, snake))
+    assert a == b and json.loads(a[0].attrs)["note"] == text and json.loads(a[0].attrs)["size"] == 3
+    point = {"resource_metrics": [{"scope_metrics": [{"metrics": [{"name": "m", "sum": {"aggregation_temporality": 2, "data_points": [{"time_unix_nano": nanos(0), "as_int": "7", "attributes": [{"key": "k", "value": {"string_value": "v"}}]}]}}]}]}]}
+    (m,) = otlp.metrics(spark.createDataFrame([(json.dumps(point),)], "body string"), F.lit(NOW))[0].collect()
+    assert (m.name, m.value, m.temporality, json.loads(m.attrs)) == ("m", 7.0, "cumulative", {"k": "v"})
