@@ -38,58 +38,55 @@ OUTPUT = "session_id string, call_id string, heuristic boolean, row string"
 
 
 class Matcher(StatefulProcessor):
-    """Places the contributions of a session; times are microseconds."""
+    """Places the contributions of a session; times are microseconds.
+
+    Open calls and waiting contributions are one value, read and written once a
+    batch: both are few, as calls that nothing can claim any more are forgotten.
+    Only the numbers of opened calls stay for good, a value for each prompt and tool.
+    """
 
     def __init__(self, window: int = tool_calls.WINDOW_SECONDS * 1_000_000, grace: int = GRACE, keep: int = KEEP):
         self.window, self.grace, self.keep = window, grace, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # calls that rows with a use id name, and calls that contributions opened (place then is their tool, opened their number)
-        self.calls = handle.getMapState("calls", "call_id string", "place string, prompt_at long, strict_at long, first_at long, result_at long, opened long, claimed boolean")
-        self.asks = handle.getListState("asks", "at long, vendor_seq long, dedup_key string, place string, row string")
+        self.open = handle.getValueState("open", "held string")
         self.numbers = handle.getMapState("numbers", "place string", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self._held()
         out = []
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 if pd.isna(r.call_id):
-                    self.asks.appendValue((int(r.at), None if pd.isna(r.vendor_seq) else int(r.vendor_seq), r.dedup_key, json.dumps(["" if pd.isna(r.prompt_id) else r.prompt_id, r.tool_name]), r.row))
+                    held["asks"].append([int(r.at), None if pd.isna(r.vendor_seq) else int(r.vendor_seq), r.dedup_key, json.dumps(["" if pd.isna(r.prompt_id) else r.prompt_id, r.tool_name]), r.row])
                 else:
-                    self._known(r)
+                    _known(held["calls"], r)
                     out.append((key[0], r.call_id, False, r.row))
-        out += self._placed(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "call_id", "heuristic", "row"])
+        yield from self._given(out + self._placed(key[0], held, timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._placed(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "call_id", "heuristic", "row"])
+        held = self._held()
+        held["timer"] = None
+        yield from self._given(self._placed(key[0], held, timerValues))
 
     def close(self) -> None:
         pass
 
-    def _known(self, r) -> None:
-        """Add a row with a use id to what is known of its call: the earliest prompt, the least tool, start and result."""
-        at = int(r.at)
-        place, prompt_at, strict_at, first_at, result_at, _, claimed = self.calls.getValue((r.call_id,)) if self.calls.containsKey((r.call_id,)) else (None, None, None, at, None, None, False)
-        prompt, tool = json.loads(place) if place else ("", r.tool_name)
-        if not pd.isna(r.prompt_id) and (prompt_at is None or at < prompt_at):
-            prompt, prompt_at = r.prompt_id, at
-        if r.kind in ("tool.pre", "tool.decision"):
-            strict_at = at if strict_at is None else min(strict_at, at)
-        if r.kind == "tool.result":
-            result_at = at if result_at is None else min(result_at, at)
-        self.calls.updateValue((r.call_id,), (json.dumps([prompt, min(tool, r.tool_name)]), prompt_at, strict_at, min(first_at, at), result_at, None, claimed))
-
-    def _placed(self, session: str, now: int) -> list[tuple]:
+    def _held(self) -> dict:
+        """calls: by id [place, time of the prompt, of the start, of the first row, of the result, number if a contribution opened it, claimed]; asks: contributions that wait; timer: when the next is due."""
+        return json.loads(self.open.get()[0]) if self.open.exists() else {"calls": {}, "asks": [], "timer": None}
+
+    @staticmethod
+    def _given(out: list[tuple]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "call_id", "heuristic", "row"])
+
+    def _placed(self, session: str, held: dict, timerValues) -> list[tuple]:
         """Place what is due, in order of time; set the timer of what is not; forget calls that nothing can claim any more."""
-        waiting = list(self.asks.get()) if self.asks.exists() else []
-        due = sorted((a for a in waiting if a[0] + self.window + self.grace <= now), key=lambda a: (a[0], a[1] is None, a[1] or 0, a[2]))
-        later = [a for a in waiting if a[0] + self.window + self.grace > now]
-        calls = {k[0]: list(v) for k, v in self.calls.iterator()}
+        now, calls = timerValues.getCurrentWatermarkInMs() * 1000, held["calls"]
+        due = sorted((a for a in held["asks"] if a[0] + self.window + self.grace <= now), key=lambda a: (a[0], a[1] is None, a[1] or 0, a[2]))
+        held["asks"] = [a for a in held["asks"] if a[0] + self.window + self.grace > now]
         out = []
         for at, _, _, place, row in due:
             best = None
@@ -103,31 +100,45 @@ class Matcher(StatefulProcessor):
             if best is not None:
                 call = calls[best[-1]]
                 call[6] = True
-                self.calls.updateValue((best[-1],), tuple(call))
                 out.append((session, best[-1], call[5] is None, row))
             else:
                 n = self.numbers.getValue((place,))[0] if self.numbers.containsKey((place,)) else 0
                 self.numbers.updateValue((place,), (n + 1,))
                 call_id = str(uuid.uuid5(uuid.UUID(tool_calls.NAMESPACE), "|".join([session, *json.loads(place), str(n)])))
                 calls[call_id] = [place, None, None, at, None, n, False]
-                self.calls.updateValue((call_id,), tuple(calls[call_id]))
                 out.append((session, call_id, False, row))
-        if due:
-            if later:
-                self.asks.put(later)
-            else:
-                self.asks.clear()
-        for call_id, (_, _, strict_at, first_at, result_at, opened, _) in calls.items():
-            start = first_at if strict_at is None else strict_at
-            over = start if opened is not None else result_at if result_at is not None else start + self.keep
-            if max(start, over) + 2 * self.window + self.grace < now:
-                self.calls.removeKey((call_id,))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if later:
-            self.handle.registerTimer((min(a[0] for a in later) + self.window + self.grace) // 1000 + 1)
+        held["calls"] = {k: c for k, c in calls.items() if self._last(c) + 2 * self.window + self.grace >= now}
+        timer = min((a[0] for a in held["asks"]), default=None)
+        timer = None if timer is None else (timer + self.window + self.grace) // 1000 + 1
+        if timer != held["timer"]:
+            if held["timer"] is not None:
+                self.handle.deleteTimer(held["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            held["timer"] = timer
+        self.open.update((json.dumps(held),))
         return out
 
+    def _last(self, call: list) -> int:
+        """The last time that counts for how long a call is kept."""
+        _, _, strict_at, first_at, result_at, opened, _ = call
+        start = first_at if strict_at is None else strict_at
+        return max(start, start if opened is not None else start + self.keep if result_at is None else result_at)
+
+
+def _known(calls: dict[str, list], r) -> None:
+    """Add a row with a use id to what is known of its call: the earliest prompt, the least tool, start and result."""
+    at = int(r.at)
+    place, prompt_at, strict_at, first_at, result_at, _, claimed = calls.get(r.call_id, [None, None, None, at, None, None, False])
+    prompt, tool = json.loads(place) if place else ("", r.tool_name)
+    if not pd.isna(r.prompt_id) and (prompt_at is None or at < prompt_at):
+        prompt, prompt_at = r.prompt_id, at
+    if r.kind in ("tool.pre", "tool.decision"):
+        strict_at = at if strict_at is None else min(strict_at, at)
+    if r.kind == "tool.result":
+        result_at = at if result_at is None else min(result_at, at)
+    calls[r.call_id] = [json.dumps([prompt, min(tool, r.tool_name)]), prompt_at, strict_at, min(first_at, at), result_at, None, claimed]
+
 
 def placed(events: DataFrame, window_seconds: int = tool_calls.WINDOW_SECONDS, grace: int = GRACE, keep: int = KEEP, delay: str = "0 seconds") -> DataFrame:
     """Contributions of a stream of events, each with ``call_id`` and ``heuristic``, given out once.
