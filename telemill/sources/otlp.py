@@ -72,11 +72,21 @@ def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
 
 def unreadable(bodies: DataFrame, schema: str) -> DataFrame:
     """A reject for each body that cannot be read; how many records it held is not known, so it counts as one."""
-    return _parsed(bodies, schema).where(~F.col("readable")).select(F.lit("unreadable body").alias("reason"), F.col("body").alias("record"), F.lit(1).cast("long").alias("points"))
+    bad = _parsed(bodies, schema).select(F.explode(F.when(~F.col("readable"), F.array("body"))).alias("record"))
+    return bad.select(F.lit("unreadable body").alias("reason"), "record", F.lit(1).cast("long").alias("points"))
 
 
-def _requests(bodies: DataFrame, schema: str) -> DataFrame:
-    return _parsed(bodies, schema).where("readable").select("j")
+def _resources(bodies: DataFrame, schema: str, name: str) -> DataFrame:
+    """(r): the resources of the requests that can be read."""
+    return _parsed(bodies, schema).select(F.explode(F.when(F.col("readable"), F.col(f"j.{name}"))).alias("r"))
+
+
+def _only(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet a condition on computed columns.
+
+    A filter would move beneath their computation and repeat it, once for each time that the condition names them.
+    """
+    return rows.select(F.explode(F.when(condition, F.array(F.struct(*rows.columns)))).alias("__r")).select("__r.*")
 
 
 def value_of(v: Column) -> Column:
@@ -139,13 +149,13 @@ def log_records(bodies: DataFrame) -> DataFrame:
 
 
 def _log_records(bodies: DataFrame, attribute_map) -> DataFrame:
-    j = _requests(bodies, LOGS).select(F.explode("j.resourceLogs").alias("r"))
-    j = j.select(F.col("r.resource.attributes").alias("ra"), F.explode("r.scopeLogs").alias("s"))
-    j = j.select("ra", F.col("s.scope.attributes").alias("sa"), F.explode("s.logRecords").alias("x"))
-    j = j.select(attribute_map(F.col("ra")).alias("ra"), attribute_map(F.col("sa")).alias("sa"), attribute_map(F.col("x.attributes")).alias("xa"), F.try_variant_get("x.body", "$.stringValue", "string").alias("body_text"), "x")
-    merged = F.map_concat(F.transform_keys("ra", lambda k, _: F.concat(F.lit("resource."), k)), "sa", "xa")
+    # what a row keeps beside an exploded list is selected before, or each record would carry the list that it is of
+    j = _resources(bodies, LOGS, "resourceLogs").select(attribute_map(F.col("r.resource.attributes")).alias("ra"), F.col("r.scopeLogs").alias("scopes"))
+    j = j.select("ra", F.explode("scopes").alias("s")).select("ra", attribute_map(F.col("s.scope.attributes")).alias("sa"), F.col("s.logRecords").alias("records"))
+    j = j.select("ra", "sa", F.explode("records").alias("x")).select("ra", "sa", attribute_map(F.col("x.attributes")).alias("xa"), F.try_variant_get("x.body", "$.stringValue", "string").alias("body_text"), F.col("x.eventName").alias("record_name"), F.col("x.timeUnixNano").alias("nanos"))
+    j = j.withColumn("merged", F.map_concat(F.transform_keys("ra", lambda k, _: F.concat(F.lit("resource."), k)), "sa", "xa"))
     body = F.when(F.col("body_text").isNotNull(), F.to_json(F.create_map(F.lit("body"), "body_text")))
-    out = j.select(F.try_variant_get(F.col("ra")["service.name"], "$", "string").alias("service"), sorted_json(merged).alias("attrs"), "body_text", body.alias("__body"), F.col("x.eventName").alias("record_name"), F.col("x.timeUnixNano").alias("nanos"))
+    out = j.select(F.try_variant_get(F.col("ra")["service.name"], "$", "string").alias("service"), sorted_json(F.col("merged")).alias("attrs"), "body_text", body.alias("__body"), "record_name", "nanos")
     joined = F.when(F.col("__body").isNull(), F.col("attrs")).when(F.col("attrs") == "{}", F.col("__body")).otherwise(F.concat(F.regexp_replace("__body", r"\}$", ","), F.substring("attrs", 2, 1 << 30)))
     return out.withColumn("attrs", joined).drop("__body")
 
@@ -157,7 +167,7 @@ def logs(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[Data
     v = F.col("v")
     rows = rows.withColumn("session_id", F.coalesce(F.nullif(variant_string(v, "session.id"), F.lit("")), F.nullif(variant_string(v, "resource.session.id"), F.lit(""))))
     rows = rows.withColumn("event_name", mp.event_name(F.col("record_name"), v, F.col("body_text")))
-    rejects = rows.where(F.col("session_id").isNull()).select(F.lit("missing session.id").alias("reason"), F.col("attrs").alias("record"), F.lit(1).cast("long").alias("points"))
+    rejects = _only(rows.select("attrs", "session_id"), F.col("session_id").isNull()).select(F.lit("missing session.id").alias("reason"), F.col("attrs").alias("record"), F.lit(1).cast("long").alias("points"))
     rejects = rejects.unionByName(unreadable(bodies, LOGS))
     raw, apart = mp.timestamp_of(F.col("nanos"), variant_string(v, "event.timestamp"))
     ts, odd = mp.clamped(raw, F.col("now"), retention_days)
@@ -166,7 +176,7 @@ def logs(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[Data
         "ts": ts, "ingested_at": F.col("now"), "session_id": F.col("session_id"), "prompt_id": variant_string(v, "prompt.id"), "vendor": mp.vendor_of(F.col("service")), "source": F.lit("otel_log"),
         "event_name": F.col("event_name"), "vendor_seq": number, "clock_skewed": odd | apart, "dedup_key": mp.log_key(F.col("session_id"), number, F.col("event_name"), F.col("attrs")), "attrs": F.col("attrs"),
     }
-    return _events(rows.where(F.col("session_id").isNotNull()), columns), rejects
+    return _events(_only(rows, F.col("session_id").isNotNull()), columns), rejects
 
 
 def _events(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -195,7 +205,7 @@ def metrics(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[D
 
 
 def _unsupported(bodies: DataFrame) -> DataFrame:
-    j = _requests(bodies, METRICS).select(F.explode("j.resourceMetrics").alias("r")).select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
+    j = _resources(bodies, METRICS, "resourceMetrics").select(F.explode("r.scopeMetrics").alias("s")).select(F.explode("s.metrics").alias("m"))
     lost = F.coalesce(F.size("m.summary.dataPoints"), F.lit(0)) + F.coalesce(F.size("m.exponentialHistogram.dataPoints"), F.lit(0))
     unsupported = F.col("m.summary").isNotNull() | F.col("m.exponentialHistogram").isNotNull()
     return j.where(unsupported).select(F.lit("unsupported aggregation").alias("reason"), F.col("m.name").alias("record"), lost.cast("long").alias("points"))
@@ -203,8 +213,8 @@ def _unsupported(bodies: DataFrame) -> DataFrame:
 
 def _metric_points(bodies: DataFrame, attribute_map) -> DataFrame:
     """(ra, name, nanos, value, map, temporality) of every data point."""
-    j = _requests(bodies, METRICS).select(F.explode("j.resourceMetrics").alias("r"))
-    j = j.select(attribute_map(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeMetrics").alias("s")).select("ra", F.explode("s.metrics").alias("m"))
+    j = _resources(bodies, METRICS, "resourceMetrics").select(attribute_map(F.col("r.resource.attributes")).alias("ra"), F.col("r.scopeMetrics").alias("scopes"))
+    j = j.select("ra", F.explode("scopes").alias("s")).select("ra", F.explode("s.metrics").alias("m"))
     point = lambda name, p, value, kind: F.struct(name.alias("name"), p["timeUnixNano"].alias("nanos"), value.alias("value"), p["attributes"].alias("attributes"), kind.alias("temporality"))
     number = lambda p: F.coalesce(p["asDouble"], p["asInt"].try_cast("double"))
     name = F.col("m.name")

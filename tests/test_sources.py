@@ -201,3 +201,20 @@ def test_field_names_with_underscores(spark):
     point = {"resource_metrics": [{"scope_metrics": [{"metrics": [{"name": "m", "sum": {"aggregation_temporality": 2, "data_points": [{"time_unix_nano": nanos(0), "as_int": "7", "attributes": [{"key": "k", "value": {"string_value": "v"}}]}]}}]}]}]}
     (m,) = otlp.metrics(spark.createDataFrame([(json.dumps(point),)], "body string"), F.lit(NOW))[0].collect()
     assert (m.name, m.value, m.temporality, json.loads(m.attrs)) == ("m", 7.0, "cumulative", {"k": "v"})
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+
+
+def test_filters_do_not_repeat_the_reading_of_requests(spark):
+    """A filter on computed columns moves beneath their computation, which it repeated for each time that it named them."""
+    bodies = log_bodies(spark, record())
+    for df in (*otlp.logs(bodies, F.lit(NOW)), *otlp.metrics(bodies, F.lit(NOW))):
+        assert not [x for x in _plan(df) if x.lstrip(" :+-").startswith("Filter") and ("from_json" in x or "variant_get" in x)]
+
+
+def test_records_do_not_carry_their_list(spark):
+    """Beside an exploded record stood the whole scope that it is of, so that a request cost the square of its records."""
+    lists = [x for x in _plan(otlp.log_records(log_bodies(spark, record()))) if "Generate explode" in x and "ecords" in x]
+    assert lists and not [x for x in lists if ".logRecords" in x]
