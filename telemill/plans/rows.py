@@ -574,14 +574,22 @@ def _(t):
 # --- streams: files of events arrive, jobs run until all is taken ---
 
 
+#: Rows of a file of a stream, about.
+FILE_ROWS = 200_000
+
+
 def _stream(t: Tables, rows: DataFrame, files: int = 3, name: str = "arriving") -> DataFrame:
-    """A stream of ``rows``, some files a batch, in the order of their receipt."""
+    """A stream of ``rows`` in the order of their receipt, an arrival a batch; large arrivals are some files each, of which a task takes one or few."""
     path, at = folder(t, name), F.unix_micros("ingested_at")
     ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    place = F.lit(0) if ends.lo is None or ends.lo == ends.hi else F.least(F.floor((at - ends.lo) / (ends.hi - ends.lo) * files), F.lit(files - 1))
+    sizes = {r[0]: r[1] for r in rows.groupBy(place.alias("place")).count().collect()}  # a number for each arrival
+    # all arrivals have as many files, so that a batch is an arrival: few rows are dealt over no more files than surely get some
+    parts = max(1, min(-(-max(sizes.values(), default=0) // FILE_ROWS), min(sizes.get(k, 0) for k in range(files)) // 100))
     for k in range(files):  # one after the other, so that the files' times follow the rows'
-        place = F.lit(0) if ends.lo is None or ends.lo == ends.hi else F.least(F.floor((at - ends.lo) / (ends.hi - ends.lo) * files), F.lit(files - 1))
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        arrival = rows.where(place == k)
+        (arrival.coalesce(1) if parts == 1 else arrival.repartition(parts)).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 def _with_state_store(t: Tables) -> None:

@@ -1,6 +1,7 @@
 """Streams over files equal the batch operators, late files included."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -90,3 +91,18 @@ def test_counter_state(spark, tmp_path):
     stream = spark.readStream.schema(rows((0, 0)).schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = _memory(spark, jobs.counter_deltas(stream), "counters", tmp_path)
     assert [r.delta for r in got.orderBy("ts").collect()] == [5.0, 3.0, 3.0, 1.0]
+
+
+def test_large_arrivals_are_several_files_and_one_batch(spark, tmp_path, monkeypatch):
+    """An arrival was one file, which one task wrote and read, however large it was."""
+    from telemill.plans import rows
+
+    monkeypatch.setattr(rows, "FILE_ROWS", 400)
+    monkeypatch.setattr(rows, "folder", lambda t, name: str(tmp_path / name))
+    given = spark.range(3000).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ingested_at"))
+    stream = rows._stream(SimpleNamespace(spark=spark), given)
+    got = []
+    jobs.run_available(stream, lambda b, k: got.append((k, [r.id for r in b.select("id").collect()])), str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(list((tmp_path / "arriving").glob("*.parquet"))) == 9 and len(got) == 3
+    ends = [(min(ids), max(ids), len(ids)) for _, ids in sorted(got)]
+    assert ends[0][0] == 0 and ends[2][1] == 2999 and all(a[1] + 1 == b[0] for a, b in zip(ends, ends[1:])) and sum(e[2] for e in ends) == 3000
