@@ -79,16 +79,23 @@ def _complete(rows: DataFrame, source: str) -> DataFrame:
     return rows.select(*ROLLUP_KEY, F.lit(source).alias("source"), *MEASURES)
 
 
-def sample_deltas(samples: DataFrame) -> DataFrame:
+def sample_deltas(samples: DataFrame, parts: int = 1) -> DataFrame:
     """``samples`` with ``delta``, what each contributes.
 
     cumulative: the difference to the sample before it in its series; the first
     one, and one that is less than its predecessor, counts whole.  delta: the
     value.  gauge and anything else: the last sample of a series and hour counts
     whole, the others nothing.
+
+    One order of each series serves all: the last sample of an hour is the one
+    before the next hour's.  parts: tasks that sort, where there should be more
+    than the shuffled bytes, which equal names make few, would give.
     """
+    if parts > 1:
+        samples = samples.repartition(parts, "series_hash")
     series = Window.partitionBy("series_hash").orderBy("ts", "dedup_key")
-    last = F.row_number().over(Window.partitionBy("series_hash", F.date_trunc("hour", F.col("ts"))).orderBy(F.desc("ts"), F.desc("dedup_key"))) == 1
+    following = F.lead(F.struct(hour("ts").alias("hour"))).over(series)
+    last = following.isNull() | ~following["hour"].eqNullSafe(hour("ts"))
     before = F.lag("value").over(series)
     step = F.when(before.isNull() | (F.col("value") < before), F.col("value")).otherwise(F.col("value") - before)
     return samples.withColumn("delta", F.when(F.col("temporality") == "cumulative", step).when(F.col("temporality") == "delta", F.col("value")).otherwise(F.when(last, F.col("value")).otherwise(0.0)))
@@ -121,9 +128,9 @@ METRICS = [
 WITH_MODEL = ["claude_code.cost.usage", "claude_code.token.usage"]
 
 
-def hourly_metrics(samples: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The hourly rollup of source ``metric``; counts are rounded sample by sample, cost is not."""
-    rows = with_home(sample_deltas(samples).where(F.col("name").isin(*{m[0] for m in METRICS})), sessions, "project")
+def hourly_metrics(samples: DataFrame, sessions: DataFrame, parts: int = 1) -> DataFrame:
+    """The hourly rollup of source ``metric``; counts are rounded sample by sample, cost is not.  parts: see :func:`sample_deltas`."""
+    rows = with_home(sample_deltas(samples, parts).where(F.col("name").isin(*{m[0] for m in METRICS})), sessions, "project")
     # each attribute is read once a row
     keys = sorted({m[1] for m in METRICS if m[1]} | {"model"})
     rows = rows.withColumns({f"__{k}": attr("attrs", k) for k in keys})

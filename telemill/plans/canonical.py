@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, about.
+TASK_ROWS = 100_000
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt over tasks by ``keys``, as many as their number asks for, however their files are cut or compressed."""
+    parts = -(-rows.count() // TASK_ROWS)
+    return rows.repartition(parts, *keys) if parts > 1 else rows
+
+
 def _case(*pairs: str, other: str = "NULL") -> str:
     return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in zip(pairs[::2], pairs[1::2])) + f" ELSE {other} END"
 
@@ -30,7 +40,7 @@ def events(spark: SparkSession, sf_dir: str, keyless: bool = False) -> DataFrame
     without ids do.
     """
     configure(spark)
-    raw = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("f", F.floor("value").cast("long"))
+    raw = spread(table(spark, sf_dir, "events"), "event_id").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("f", F.floor("value").cast("long"))
     kind = _case(
         "event_type = 'purchase'", "'llm.request'",
         "event_type = 'error'", "element_at(array('llm.error', 'hook.execution_end', 'unknown'), k % 3 + 1)",
@@ -111,10 +121,12 @@ def prices(spark: SparkSession) -> DataFrame:
 def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric series of every user: a cumulative token counter that restarts, a delta series and a gauge."""
     configure(spark)
-    raw = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    raw = spread(table(spark, sf_dir, "events"), "user_id").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     own = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    raw = raw.withColumn("run", F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).over(own))
-    raw = raw.withColumn("total", F.sum("cents").over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id")))
+    # one order serves both: the counter is the sum so far without that up to its last restart
+    own = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    raw = raw.withColumn("all", F.sum("cents").over(own))
+    raw = raw.withColumn("total", F.col("all") - F.coalesce(F.last(F.when(F.col("k") == 0, F.col("all") - F.col("cents")), ignorenulls=True).over(own), F.lit(0)))
     kinds = F.explode(
         F.expr(
             """array(

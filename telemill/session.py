@@ -6,9 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """UTC buckets, and the last of equal map keys wins."""
+    """UTC buckets, and the last of equal map keys wins; projections too long for the JVM's compiler are generated in parts."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

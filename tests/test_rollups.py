@@ -65,3 +65,21 @@ def test_time_zone_is_checked(spark):
             require_utc(spark)
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def sorts(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("Window [")
+
+
+def test_series_are_ordered_once_and_dealt_by_rows(spark, monkeypatch):
+    """A gauge's hours had an order of their own beside its series', the made counter had two, and a small file was one task however many rows it held."""
+    from telemill.plans import canonical
+
+    s = samples(spark, ("g", "gauge", 0, 1), ("g", "gauge", 31, 7), ("g", "gauge", 40, 2), ("c", "cumulative", 0, 5))
+    assert sorts(rollups.sample_deltas(s)) == 1
+    assert rollups.sample_deltas(s, 7).rdd.getNumPartitions() == 7
+    assert [r.delta for r in rollups.sample_deltas(s, 7).orderBy("dedup_key").collect()] == [1, 0, 2, 5]
+    monkeypatch.setattr(canonical, "TASK_ROWS", 300)
+    small = "/root/testdata/sf0.001"
+    rows = canonical.table(spark, small, "events").count()
+    assert canonical.events(spark, small).rdd.getNumPartitions() == canonical.metric_samples(spark, small).rdd.getNumPartitions() == -(-rows // 300) > 1
