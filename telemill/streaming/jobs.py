@@ -8,6 +8,7 @@ recomputation of the touched days in ``foreachBatch``, from their folders alone.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,7 @@ from telemill.sources import days
 DEDUP_WINDOW = "7 days"
 IDLE = "15 minutes"
 HOUR = 3_600_000_000
+BLOCK = 512  # samples of a series that are one value of state, about
 LEDGER_MONTH, ROLLUP_MONTH = "seen_month", "bucket_month"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -86,52 +88,70 @@ def lifecycle(events: DataFrame, idle_ms: int = 15 * 60 * 1000, late: str = "1 h
 class Counters(StatefulProcessor):
     """Differences of a cumulative series to the value before, in order of time; a fall counts whole.
 
-    The samples of ``horizon_ms`` before the newest one are kept, hour by hour.  A
-    late one is put in its place, and the difference of the one after it is given
-    out again with what it was before and a higher revision.  Of older samples the
-    last stays; one that is older still has no difference (revision -1).
+    The samples of ``horizon_ms`` before the newest one are kept, in blocks of
+    some hours of up to ``BLOCK`` samples, so that a batch reads and writes a value
+    for many samples and only those blocks that it touches.  A late one is put in
+    its place, and the difference of the one after it is given out again with what
+    it was before and a higher revision.  Of older samples the last stays; one
+    that is older still has no difference (revision -1).
     """
 
     def __init__(self, horizon_ms: int = 7 * 24 * 3_600_000):
         self.horizon = horizon_ms * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.index = handle.getValueState("index", "hours string, floor long")
-        self.samples = handle.getMapState("samples", "hour long", "rows string")
+        self.index = handle.getValueState("index", "blocks string, floor long")
+        self.samples = handle.getMapState("samples", "block long", "rows string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        text, floor = self.index.get() if self.index.exists() else ("[]", None)
-        hours: list[int] = json.loads(text)
-        held: dict[int, list[list]] = {}
+        text, floor = self.index.get() if self.index.exists() else ("[[], 0]", None)
+        blocks, fresh = json.loads(text)  # [number, its hours] of each block in order, and the next number
+        stored, held = {n for n, _ in blocks}, {}
 
-        def of(hour: int) -> list[list]:
-            """[time, key, value, difference, revision] of the samples of an hour, in order."""
-            if hour not in held:
-                held[hour] = json.loads(self.samples.getValue((hour,))[0]) if hour in known else []
-            return held[hour]
+        def of(n: int) -> list[list]:
+            """[time, key, value, difference, revision] of the samples of a block, in order."""
+            if n not in held:
+                held[n] = json.loads(self.samples.getValue((n,))[0]) if n in stored else []
+            return held[n]
 
-        known, out, touched = set(hours), [], set()
+        out, new = [], []
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                at = int(r.at)
-                hour, place = at // HOUR, [at, r.dedup_key]
+            for at, value, dedup_key in zip(pdf["at"].tolist(), pdf["value"].tolist(), pdf["dedup_key"].tolist()):
                 if floor is not None and at <= floor:
-                    out.append((*place, float(r.value), None, None, -1))
-                    continue
-                own = of(hour)
-                k = bisect.bisect_left(own, place, key=lambda x: x[:2])
-                if k < len(own) and own[k][:2] == place:
-                    continue  # the same sample again
-                own.insert(k, [*place, float(r.value), None, -1])
-                touched.add(hour)
-                if hour not in known:
-                    bisect.insort(hours, hour)
-                    known.add(hour)
-        later = {hours[k + 1] for k in map(hours.index, touched) if k + 1 < len(hours)}
-        for hour in sorted(touched | later):
-            k = hours.index(hour)
-            some = of(hour) if hour in touched else of(hour)[:1]
-            last = of(hours[k - 1])[-1][2] if k else None
+                    out.append((at, dedup_key, value, None, None, -1))
+                else:
+                    new.append([at, dedup_key, value, None, -1])
+        if new and not blocks:
+            blocks, fresh = [[fresh, []]], fresh + 1
+        starts, coming = [hours[0] for _, hours in blocks[1:]], {}
+        for x in new:
+            coming.setdefault(bisect.bisect_right(starts, x[0] // HOUR), []).append(x)
+        changed = set()
+        for k in sorted(coming, reverse=True):  # from the last one, as a block that is cut moves those after it
+            n, hours = blocks[k]
+            own = of(n)
+            there = {(x[0], x[1]) for x in own}
+            for x in coming[k]:
+                if (x[0], x[1]) not in there:  # else the same sample again
+                    there.add((x[0], x[1]))
+                    own.append(x)
+            own.sort(key=lambda x: x[:2])
+            pieces = [[]]
+            for _, some in itertools.groupby(own, key=lambda x: x[0] // HOUR):
+                if len(own) > BLOCK and len(pieces[-1]) >= BLOCK // 2:
+                    pieces.append([])
+                pieces[-1].extend(some)
+            numbers = [n, *range(fresh, fresh + len(pieces) - 1)]
+            fresh += len(pieces) - 1
+            blocks[k : k + 1] = [[m, sorted({x[0] // HOUR for x in piece})] for m, piece in zip(numbers, pieces)]
+            held.update(zip(numbers, pieces))
+            changed |= set(numbers)
+        touched = set(changed)
+        for k, (n, _) in enumerate(blocks):
+            if n not in touched and not (k and blocks[k - 1][0] in touched):
+                continue
+            some = of(n) if n in touched else of(n)[:1]
+            last = of(blocks[k - 1][0])[-1][2] if k else None
             if not k and floor is not None:  # what was before the first one is forgotten, so its difference stands
                 last, some = some[0][2], some[1:]
             for x in some:
@@ -139,18 +159,32 @@ class Counters(StatefulProcessor):
                 if x[4] < 0 or delta != x[3]:
                     out.append((x[0], x[1], x[2], delta, x[3], x[4] + 1))
                     x[3], x[4] = delta, x[4] + 1
+                    changed.add(n)
                 last = x[2]
-        oldest = (hours[-1] * HOUR - self.horizon) // HOUR if hours else 0
-        while len(hours) > 1 and hours[1] <= oldest:  # the hour after it is old as well, so nothing before that is needed
-            gone = hours.pop(0)
-            held.pop(gone, None)
-            self.samples.removeKey((gone,))
-            floor = of(hours[0])[0][0]
-        for hour in (touched | later) & set(hours):
-            self.samples.updateValue((hour,), (json.dumps(of(hour)),))
-        self.index.update((json.dumps(hours), floor))
+        every = [h for _, hours in blocks for h in hours]
+        oldest, gone = (every[-1] * HOUR - self.horizon) // HOUR if every else 0, 0
+        while gone + 1 < len(every) and every[gone + 1] <= oldest:  # the hour after it is old as well, so nothing before that is needed
+            gone += 1
+        if gone:
+            first = every[gone]
+            while blocks[0][1][-1] < first:
+                n, _ = blocks.pop(0)
+                changed.discard(n)
+                if n in stored:
+                    self.samples.removeKey((n,))
+            n, hours = blocks[0]
+            if hours[0] < first:
+                blocks[0][1], held[n] = [h for h in hours if h >= first], [x for x in of(n) if x[0] // HOUR >= first]
+                changed.add(n)
+            floor = of(n)[0][0]
+        for n in changed:
+            self.samples.updateValue((n,), (json.dumps(held[n]),))
+        self.index.update((json.dumps([blocks, fresh]), floor))
         if out:
-            yield pd.DataFrame([(key[0], pd.Timestamp(x[0], unit="us"), *x[1:]) for x in out], columns=["series_hash", "ts", "dedup_key", "value", "delta", "retracts", "revision"])
+            given = pd.DataFrame(out, columns=["ts", "dedup_key", "value", "delta", "retracts", "revision"])
+            given["ts"] = pd.to_datetime(given["ts"], unit="us")
+            given.insert(0, "series_hash", key[0])
+            yield given
 
     def close(self) -> None:
         pass

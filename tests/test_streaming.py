@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from telemill import schemas
@@ -106,3 +107,61 @@ def test_large_arrivals_are_several_files_and_one_batch(spark, tmp_path, monkeyp
     assert len(list((tmp_path / "arriving").glob("*.parquet"))) == 9 and len(got) == 3
     ends = [(min(ids), max(ids), len(ids)) for _, ids in sorted(got)]
     assert ends[0][0] == 0 and ends[2][1] == 2999 and all(a[1] + 1 == b[0] for a, b in zip(ends, ends[1:])) and sum(e[2] for e in ends) == 3000
+
+
+class FakeState:
+    """State values and maps without a store, and how often they are asked."""
+
+    def __init__(self):
+        self.data, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return FakeState()
+
+    def getMapState(self, name, *_):
+        self.map = FakeState()
+        return self.map
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+    def exists(self):
+        return bool(self.data)
+
+    def get(self):
+        return self.data["value"]
+
+    def update(self, value):
+        self.data["value"] = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.data
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.data[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.data[key] = value
+
+    def removeKey(self, key):
+        del self.data[key]
+
+
+def test_counters_keep_many_hours_in_a_value(monkeypatch):
+    """Each hour was a value of its own, read and written in every batch that touched it."""
+    rows = [(k * 3_600_000_000, f"k{k}", float(k * 7 % 50)) for k in range(600)]
+    want = {k: v if i == 0 or v < rows[i - 1][2] else v - rows[i - 1][2] for i, (_, k, v) in enumerate(rows)}
+    for block in (jobs.BLOCK, 5):
+        monkeypatch.setattr(jobs, "BLOCK", block)
+        handle, counters, got = FakeState(), jobs.Counters(1000 * 86_400_000), {}
+        counters.init(handle)
+        for some in (rows[::2], rows[1::3], rows):  # late ones, and the same again
+            for out in counters.handleInputRows(("h",), iter([pd.DataFrame(some, columns=["at", "dedup_key", "value"])]), None):
+                got |= {r.dedup_key: r.delta for r in out.sort_values("revision").itertuples()}
+        assert got == want
+        assert (len(handle.map.data) > 100) if block == 5 else (handle.map.calls < 20)
