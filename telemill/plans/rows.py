@@ -29,7 +29,7 @@ from telemill.operators import tool_calls as tc
 from telemill.plans.queries import (
     _D, _DOUBLED, _LOGS, _RKEY, _SE, _TC, BOTH, EV, MS, NOW, RH, SA, SE, START, TC, TOKENS, TU, Tables, _doubled, _ledger, _received, hook_bodies, log_bodies, metric_bodies, query, with_,
 )
-from telemill.sources import hooks, otlp, tables
+from telemill.sources import folders, hooks, otlp, tables
 from telemill.streaming import calls, jobs
 
 K = "CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER)"
@@ -584,11 +584,22 @@ def _stream(t: Tables, rows: DataFrame, files: int = 3, name: str = "arriving")
     ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     place = F.lit(0) if ends.lo is None or ends.lo == ends.hi else F.least(F.floor((at - ends.lo) / (ends.hi - ends.lo) * files), F.lit(files - 1))
     sizes = {r[0]: r[1] for r in rows.groupBy(place.alias("place")).count().collect()}  # a number for each arrival
-    # all arrivals have as many files, so that a batch is an arrival: few rows are dealt over no more files than surely get some
-    parts = max(1, min(-(-max(sizes.values(), default=0) // FILE_ROWS), min(sizes.get(k, 0) for k in range(files)) // 100))
+    # all arrivals have as many files, so that a batch is an arrival: a small one has empty files beside its own
+    parts = max(1, -(-max(sizes.values(), default=0) // FILE_ROWS))
+    empty = None
+    count = lambda: sum(x.endswith(".parquet") for x in folders.children(t.spark, path))
     for k in range(files):  # one after the other, so that the files' times follow the rows'
         arrival = rows.where(place == k)
-        (arrival.coalesce(1) if parts == 1 else arrival.repartition(parts)).write.mode("append").parquet(path)
+        own = min(parts, sizes.get(k, 0) // 100)  # files that surely get rows
+        (arrival.coalesce(1) if own <= 1 else arrival.repartition(own)).write.mode("append").parquet(path)
+        lacking = (k + 1) * parts - count()
+        if lacking:
+            if empty is None:
+                aside = folder(t, "empty")
+                t.spark.createDataFrame([], rows.schema).coalesce(1).write.parquet(aside)
+                empty = next(f"{aside}/{x}" for x in folders.children(t.spark, aside) if x.endswith(".parquet"))
+            for i in range(lacking):
+                folders.copy(t.spark, empty, f"{path}/empty-{k}-{i}.parquet")
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 

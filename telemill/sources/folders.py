@@ -48,6 +48,13 @@ def rename(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not become {to}")
 
 
+def copy(spark: SparkSession, path: str, to: str) -> None:
+    """Copy a small file."""
+    fs, p = _at(spark, path)
+    target_fs, target = _at(spark, to)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, target_fs, target, False, spark._jsc.hadoopConfiguration())
+
+
 def create(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file unless it is there; false if it is.  Of several at once, one wins."""
     fs, p = _at(spark, path)

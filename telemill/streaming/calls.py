@@ -19,6 +19,7 @@ a batch reads does not grow with history; a call lasts a day at most.
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,26 +88,31 @@ class Matcher(StatefulProcessor):
         now, calls = timerValues.getCurrentWatermarkInMs() * 1000, held["calls"]
         due = sorted((a for a in held["asks"] if a[0] + self.window + self.grace <= now), key=lambda a: (a[0], a[1] is None, a[1] or 0, a[2]))
         held["asks"] = [a for a in held["asks"] if a[0] + self.window + self.grace > now]
+        wanted, numbers = {a[3] for a in due}, {}
+        pools: dict[str, list[tuple]] = {place: [] for place in wanted}
+        for call_id, c in calls.items():
+            if c[0] in wanted and not c[6]:
+                pools[c[0]].append((_start(c), call_id))
+        for pool in pools.values():
+            pool.sort()
         out = []
         for at, _, _, place, row in due:
-            best = None
-            for call_id, (own, _, strict_at, first_at, result_at, opened, claimed) in calls.items():
-                start = first_at if strict_at is None else strict_at
-                if claimed or own != place or abs(at - start) > self.window or (result_at is not None and result_at <= at):
-                    continue
-                rank = (abs(at - start), opened is not None, opened or 0, start, call_id)
-                if best is None or rank < best:
-                    best = rank
-            if best is not None:
-                call = calls[best[-1]]
+            found = _claimed(pools[place], calls, at, self.window)
+            if found is not None:
+                call = calls[found]
                 call[6] = True
-                out.append((session, best[-1], call[5] is None, row))
+                out.append((session, found, call[5] is None, row))
             else:
-                n = self.numbers.getValue((place,))[0] if self.numbers.containsKey((place,)) else 0
-                self.numbers.updateValue((place,), (n + 1,))
+                if place not in numbers:
+                    numbers[place] = self.numbers.getValue((place,))[0] if self.numbers.containsKey((place,)) else 0
+                n = numbers[place]
+                numbers[place] = n + 1
                 call_id = str(uuid.uuid5(uuid.UUID(tool_calls.NAMESPACE), "|".join([session, *json.loads(place), str(n)])))
                 calls[call_id] = [place, None, None, at, None, n, False]
+                bisect.insort(pools[place], (at, call_id))
                 out.append((session, call_id, False, row))
+        for place, n in numbers.items():
+            self.numbers.updateValue((place,), (n,))
         held["calls"] = {k: c for k, c in calls.items() if self._last(c) + 2 * self.window + self.grace >= now}
         timer = min((a[0] for a in held["asks"]), default=None)
         timer = None if timer is None else (timer + self.window + self.grace) // 1000 + 1
@@ -121,11 +127,42 @@ class Matcher(StatefulProcessor):
 
     def _last(self, call: list) -> int:
         """The last time that counts for how long a call is kept."""
-        _, _, strict_at, first_at, result_at, opened, _ = call
-        start = first_at if strict_at is None else strict_at
+        result_at, opened = call[4:6]
+        start = _start(call)
         return max(start, start if opened is not None else start + self.keep if result_at is None else result_at)
 
 
+def _start(call: list) -> int:
+    return call[3] if call[2] is None else call[2]
+
+
+def _claimed(pool: list[tuple], calls: dict[str, list], at: int, window: int) -> str | None:
+    """Take the nearest open call out of ``pool``, which is (start, id) in order of one place's unclaimed calls; none within the window.
+
+    Contributions ask in order of time, so a call that has its result by now is taken out for good.
+    """
+    best, far = None, window
+    k = bisect.bisect_left(pool, (at,))
+    for step in (-1, 1):
+        i = k - 1 if step < 0 else k
+        while 0 <= i < len(pool) and abs(pool[i][0] - at) <= far:
+            start, call_id = pool[i]
+            result_at, opened = calls[call_id][4:6]
+            if result_at is not None and result_at <= at:
+                del pool[i]
+                if step < 0:
+                    i, k = i - 1, k - 1
+                continue
+            rank = (abs(start - at), opened is not None, opened or 0, start, call_id)
+            if best is None or rank < best:
+                best, far = rank, rank[0]
+            i += step
+    if best is None:
+        return None
+    del pool[bisect.bisect_left(pool, best[-2:])]
+    return best[-1]
+
+
 def _known(calls: dict[str, list], r) -> None:
     """Add a row with a use id to what is known of its call: the earliest prompt, the least tool, start and result."""
     at = int(r.at)

@@ -1,5 +1,6 @@
 """Streams over files equal the batch operators, late files included."""
 
+import json
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
@@ -165,3 +166,39 @@ def test_counters_keep_many_hours_in_a_value(monkeypatch):
                 got |= {r.dedup_key: r.delta for r in out.sort_values("revision").itertuples()}
         assert got == want
         assert (len(handle.map.data) > 100) if block == 5 else (handle.map.calls < 20)
+
+
+def test_a_small_arrival_leaves_large_ones_in_several_files(spark, tmp_path, monkeypatch):
+    """An arrival of few rows made every arrival one file, which one task wrote and read."""
+    from telemill.plans import rows
+
+    monkeypatch.setattr(rows, "FILE_ROWS", 400)
+    monkeypatch.setattr(rows, "folder", lambda t, name: str(tmp_path / name))
+    given = spark.range(1201).select("id", F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") < 1200, F.col("id")).otherwise(86_400)).alias("ingested_at"))
+    stream, got = rows._stream(SimpleNamespace(spark=spark), given, 3), []
+    jobs.run_available(stream, lambda b, k: got.append((k, b.count(), b.where("id = 1200").count())), str(tmp_path / "checkpoint")).awaitTermination()
+    full = [f for f in (tmp_path / "arriving").glob("part-*.parquet") if spark.read.parquet(str(f)).count()]
+    assert sorted(got) == [(0, 1200, 0), (1, 0, 0), (2, 1, 1)] and len(full) >= 4
+
+
+def test_claims_do_not_search_all_calls_of_a_session(monkeypatch):
+    """Each contribution was held against every call of its session, and asked the store for the number of each call that it opened."""
+    from telemill.streaming import calls
+
+    handle, matcher, n = FakeState(), calls.Matcher(), 2000
+    matcher.init(handle)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**12)
+    place, tried = json.dumps(["p", "Edit"]), 0
+    start = calls._start
+
+    def counted(call):
+        nonlocal tried
+        tried += 1
+        return start(call)
+
+    monkeypatch.setattr(calls, "_start", counted)
+    known = {f"c{i:05}": [place, None, i * 10**6, i * 10**6, None, None, False] for i in range(n)}
+    held = {"calls": known, "asks": [[i * 10**6 + 1, None, f"k{i}", place, "r"] for i in range(2 * n)], "timer": None}
+    out = matcher._placed("s", held, now)
+    assert [(c, h) for _, c, h, _ in out[:n]] == [(f"c{i:05}", True) for i in range(n)] and len({c for _, c, _, _ in out}) == n + n // 2  # of the rest every second one claims the call that the one before it opened
+    assert tried <= 4 * n and handle.map.calls <= 3
