@@ -44,6 +44,7 @@ LENGTH = 200
 CORE = 64
 GROUP = 4096  # anchors of one core that are sorted in one place
 KINDS = 1 << 16  # ranges of large groups' contexts that every task gets, some 4 MB; more of them are joined
+NAMES = 1 << 18  # repeated strings' names that every task gets, some 4 MB and as a set 25; more of them are joined
 HELD = 1 << 15  # kinds that a task counts before it gives them out, some 10 MB
 _SLICE = 1 << 20
 _SORTED = 4 << 20  # bytes of contexts that are sorted at once
@@ -295,10 +296,16 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
             yield pa.RecordBatch.from_arrays([batch.column("kind").take(take), batch.column("copies").take(take), pa.array(np.concatenate(starts)), pa.array(names, pa.binary())], names=["kind", "copies", "start", "name"])
 
     own = _with_texts(kept, texts)
-    kinds = own.mapInArrow(kinds_of, "kind binary, bytes binary, copies long").groupBy("kind").agg(F.first("bytes").alias("bytes"), F.sum("copies").alias("copies"))
-    rows = written(kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary"), "repeats-strings")
-    twice = rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name")
-    ranges = written(rows.join(twice, "name").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
+    kinds = written(own.mapInArrow(kinds_of, "kind binary, bytes binary, copies long").groupBy("kind").agg(F.first("bytes").alias("bytes"), F.sum("copies").alias("copies")), "repeats-kinds")
+    rows = kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary")
+    twice = written(rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeats-twice")
+    if twice.count() <= NAMES:
+        # a passage that many kinds share has its strings in all of them, so each kind asks for its own where it is
+        names = kept.sparkSession.sparkContext.broadcast(b"".join(twice.toArrow().column("name").to_pylist()))
+        ranges = written(_repeated_ranges(kinds, names, length), "repeats-ranges")
+        names.destroy()
+    else:
+        ranges = written(rows.join(twice, "name", "left_semi").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
     few = ranges.count() <= KINDS
     table = kept.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
     if few:
@@ -308,11 +315,29 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
 
     def free() -> None:
         table.destroy()
-        dropped(rows, ranges)
+        dropped(kinds, twice, ranges)
 
     return spans, free
 
 
+def _repeated_ranges(kinds: DataFrame, names: Broadcast, length: int) -> DataFrame:
+    """(kind, low, high): from the first to the last of each kind's strings whose name, 16 bytes, is in ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = names.value
+        twice = {own[i : i + 16] for i in range(0, len(own), 16)}
+        for batch in batches:
+            out = []
+            for kind, x in zip(batch.column("kind").to_pylist(), batch.column("bytes").to_pylist()):
+                hit = [i for i in range(len(x) - length + 1) if hashlib.sha256(x[i : i + length]).digest()[:16] in twice]
+                if hit:
+                    out.append((kind, hit[0], hit[-1] + length))
+            kind, low, high = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["kind", "low", "high"])
+
+    return kinds.mapInArrow(run, "kind binary, low long, high long")
+
+
 def _looked_up(texts: DataFrame, table: Broadcast, length: int) -> DataFrame:
     """(node, low, high): of each of ``texts`` (with their anchors) the merged ranges of those of its anchors whose kind is in ``table``, which has at most ``KINDS``."""
 

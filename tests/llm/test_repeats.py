@@ -135,3 +135,23 @@ def test_query_on_small_tables(spark):
     raw = [(r.text or "").encode() for r in rows]
     want = {r.doc_id: digest_of(x, c) for r, x, c in zip(rows, raw, brute(raw, 200))}
     assert {r[0]: tuple(r[1:]) for r in QUERIES["op11_repeats"](spark, SMALL).collect()} == want
+
+
+@pytest.mark.parametrize("names", [repeats.NAMES, 0])
+def test_strings_of_large_groups_are_looked_up_and_not_joined(spark, monkeypatch, names):
+    """A passage that many kinds share was a row of a join for each of its strings in each of them."""
+    monkeypatch.setattr(repeats, "NAMES", names)
+    plans, write = {}, repeats.written
+
+    def kept(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name, *more)
+
+    monkeypatch.setattr(repeats, "written", kept)
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = ["".join(r.choice("ijklmn ") for _ in range(150)) + passage + "".join(r.choice("opqrs ") for _ in range(150)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.repeats for x in repeats.cut(docs, group=3).collect()}
+    assert all(got[i].n_removed >= 300 and got[i].n_spans == 1 for i in range(12))
+    assert ("Join" in plans["repeats-ranges"]) == (names == 0)
