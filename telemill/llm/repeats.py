@@ -15,8 +15,9 @@ anchor about every 70 bytes, not one suffix a byte.
    and ``LENGTH - d`` to the right: neighbours' common extensions cut both
    orders into classes, and strings that share both classes are equal.
 4. Groups of over ``GROUP`` anchors (a passage in a large part of all texts) are
-   not gathered.  Equal contexts of theirs are one row with a count, and each
-   string of a context is counted by 128 bits of its SHA-256, pre-aggregated.
+   not gathered.  Equal contexts of theirs are one row with a count, a kind.
+   Groups of up to ``GROUP`` kinds are sorted like small ones; of those of more,
+   each string of a kind is counted by 128 bits of its SHA-256, pre-aggregated.
 5. Covered ranges go back to their text, which is cut.
 
 Nulls are empty texts; texts of under ``LENGTH`` bytes lose nothing.  Repeated
@@ -32,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ from telemill.llm.text import slices, text_buffers, window_hashes
 
 LENGTH = 200
 CORE = 64
-GROUP = 4096  # anchors of one core that are sorted in one place
+GROUP = 4096  # anchors, or of more anchors kinds, of one core that are sorted in one place, some 1.4 MB
 KINDS = 1 << 16  # ranges of large groups' contexts that every task gets, some 4 MB; more of them are joined
 NAMES = 1 << 18  # repeated strings' names that every task gets, some 4 MB and as a set 25; more of them are joined
 HELD = 1 << 15  # kinds that a task counts before it gives them out, some 10 MB
@@ -218,17 +220,8 @@ def _begin(at: np.ndarray) -> np.ndarray:
     return (at >> 20) - ((at >> 10) & 1023)
 
 
-def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(node, low, high) of all groups that are sorted in one place."""
-
-    def judge(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        body = table.column("bytes").combine_chunks() if table.column("bytes").num_chunks != 1 else table.column("bytes").chunk(0)
-        data, offsets = text_buffers(body.cast(pa.large_binary()).view(pa.large_string()))
-        at, core = table.column("at").to_numpy(), table.column("core").to_numpy()
-        some, low, high = repeated(data, offsets, (at >> 10) & 1023, np.cumsum(np.append(True, core[1:] != core[:-1])), length)
-        node = table.column("node").combine_chunks().take(pa.array(some))
-        return pa.RecordBatch.from_arrays([node, pa.array(_begin(at)[some] + low), pa.array(_begin(at)[some] + high)], names=["node", "low", "high"])
+def _group_wise(contexts: DataFrame, judge: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``judge`` over whole groups of ``contexts`` (by core), some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -241,38 +234,77 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
             if size >= _SORTED and core[0] != core[-1]:
                 cut = int(np.searchsorted(core, core[-1]))
                 held[-1], rest = batch.slice(0, cut), batch.slice(cut)
-                yield judge(pa.Table.from_batches(held))
+                yield judge(pa.Table.from_batches(held).combine_chunks())
                 held, size = [rest], rest.nbytes
         if held:
-            yield judge(pa.Table.from_batches(held))
+            yield judge(pa.Table.from_batches(held).combine_chunks())
+
+    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(run, schema)
+
+
+def _repeated_of(table: pa.Table, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`repeated` of rows (core, bytes) that are sorted by core."""
+    body = table.column("bytes").combine_chunks() if table.column("bytes").num_chunks != 1 else table.column("bytes").chunk(0)
+    data, offsets = text_buffers(body.cast(pa.large_binary()).view(pa.large_string()))
+    core = table.column("core").to_numpy()
+    return repeated(data, offsets, before, np.cumsum(np.append(True, core[1:] != core[:-1])), length)
+
+
+def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """(node, low, high) of all groups that are sorted in one place."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        at = table.column("at").to_numpy()
+        some, low, high = _repeated_of(table, (at >> 10) & 1023, length)
+        node = table.column("node").combine_chunks().take(pa.array(some))
+        return pa.RecordBatch.from_arrays([node, pa.array(_begin(at)[some] + low), pa.array(_begin(at)[some] + high)], names=["node", "low", "high"])
+
+    return _group_wise(contexts, judge, "node binary, low long, high long")
+
+
+def _sorted_kinds(kinds: DataFrame, length: int) -> DataFrame:
+    """(kind, low, high) of large groups of few kinds; what more than one context has repeats whole."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        some, low, high = _repeated_of(table, table.column("before").to_numpy(), length)
+        whole = table.column("copies").to_numpy() > 1
+        one, twice = ~whole[some], np.flatnonzero(whole)
+        size = pc.binary_length(table.column("bytes")).to_numpy().astype(np.int64)
+        kind = table.column("kind").combine_chunks().take(pa.array(np.append(some[one], twice)))
+        return pa.RecordBatch.from_arrays([kind, pa.array(np.append(low[one], np.zeros(len(twice), dtype=np.int64))), pa.array(np.append(high[one], size[twice]))], names=["kind", "low", "high"])
 
-    return contexts.repartition("core").sortWithinPartitions("core").mapInArrow(run, "node binary, low long, high long")
+    return _group_wise(kinds, judge, "kind binary, low long, high long")
 
 
 def _name(bodies: pa.Array) -> list[bytes]:
     return [hashlib.sha256(x).digest()[:16] for x in bodies.to_pylist()]
 
 
-def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[DataFrame, Callable[[], None]]:
+def _counted_spans(kept: DataFrame, texts: DataFrame, length: int, group: int) -> tuple[DataFrame, Callable[[], None]]:
     """(node, low, high) of the large groups, and what frees that which it reads.
 
-    Equal contexts are one kind.  A short list of the kinds' ranges goes to the
-    texts, as one kind may have a large part of all anchors; a long one is joined.
+    Equal contexts are one kind; their core and the place of their anchor are
+    equal, too.  A group of at most ``group`` kinds is sorted, so that only those
+    of more get a row for each string, at most ``length - core + 1`` a kind.  A
+    short list of the kinds' ranges goes to the texts, as one kind may have a
+    large part of all anchors; a long one is joined.
     """
 
     def kinds_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), pa.array([x[0] for x in held.values()], pa.binary()), pa.array([x[1] for x in held.values()], pa.int64())], names=["kind", "bytes", "copies"])
+            columns = zip(("bytes", "copies", "core", "before"), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), *(pa.array([x[k] for x in held.values()], kind) for k, (_, kind) in enumerate(columns))], names=["kind", "bytes", "copies", "core", "before"])
 
         for batch in batches:
-            for _, _, body in _bodies(batch, length):
-                for name, own in zip(_name(body), body):
+            for fields, _, body in _bodies(batch, length):
+                core, before = fields.field("core"), (fields.field("at").to_numpy(zero_copy_only=False) >> 10) & 1023
+                for k, name in enumerate(_name(body)):
                     if name in held:
                         held[name][1] += 1
                     else:
-                        held[name] = [own.as_py(), 1]
+                        held[name] = [body[k].as_py(), 1, core[k].as_py(), int(before[k])]
                 if len(held) >= HELD:
                     yield out()
                     held.clear()
@@ -296,26 +328,31 @@ def _counted_spans(kept: DataFrame, texts: DataFrame, length: int) -> tuple[Data
             yield pa.RecordBatch.from_arrays([batch.column("kind").take(take), batch.column("copies").take(take), pa.array(np.concatenate(starts)), pa.array(names, pa.binary())], names=["kind", "copies", "start", "name"])
 
     own = _with_texts(kept, texts)
-    kinds = written(own.mapInArrow(kinds_of, "kind binary, bytes binary, copies long").groupBy("kind").agg(F.first("bytes").alias("bytes"), F.sum("copies").alias("copies")), "repeats-kinds")
-    rows = kinds.mapInArrow(strings, "kind binary, copies long, start long, name binary")
+    firsts = [F.first(c).alias(c) for c in ("bytes", "core", "before")]
+    every = written(own.mapInArrow(kinds_of, "kind binary, bytes binary, copies long, core long, before long").groupBy("kind").agg(*firsts, F.sum("copies").alias("copies")), "repeats-contexts")
+    kinds = written(every.join(every.groupBy("core").agg((F.count("*") > group).alias("many")), "core"), "repeats-kinds")
+    few = _sorted_kinds(kinds.where("not many").select("core", "kind", "before", "copies", "bytes"), length)
+    many = kinds.where("many").select("kind", "bytes", "copies")
+    rows = many.mapInArrow(strings, "kind binary, copies long, start long, name binary")
     twice = written(rows.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select("name"), "repeats-twice")
     if twice.count() <= NAMES:
         # a passage that many kinds share has its strings in all of them, so each kind asks for its own where it is
         names = kept.sparkSession.sparkContext.broadcast(b"".join(twice.toArrow().column("name").to_pylist()))
-        ranges = written(_repeated_ranges(kinds, names, length), "repeats-ranges")
+        ranges = written(_repeated_ranges(many, names, length).unionByName(few), "repeats-ranges")
         names.destroy()
     else:
-        ranges = written(rows.join(twice, "name", "left_semi").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high")), "repeats-ranges")
-    few = ranges.count() <= KINDS
-    table = kept.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if few else {})
-    if few:
+        asked = rows.join(twice, "name", "left_semi").groupBy("kind").agg(F.min("start").alias("low"), (F.max("start") + length).alias("high"))
+        ranges = written(asked.unionByName(few), "repeats-ranges")
+    short = ranges.count() <= KINDS
+    table = kept.sparkSession.sparkContext.broadcast({bytes(r.kind): (r.low, r.high) for r in ranges.collect()} if short else {})
+    if short:
         spans = _looked_up(own, table, length)
     else:
         spans = own.mapInArrow(named, "kind binary, node binary, begin long").join(ranges, "kind").select("node", (F.col("begin") + F.col("low")).alias("low"), (F.col("begin") + F.col("high")).alias("high"))
 
     def free() -> None:
         table.destroy()
-        dropped(kinds, twice, ranges)
+        dropped(every, kinds, twice, ranges)
 
     return spans, free
 
@@ -405,7 +442,7 @@ def _spans(texts: DataFrame, length: int, core: int, group: int) -> DataFrame:
     shared = written(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > group).alias("large")), "repeats-shared")
     kept = written(rows.join(shared, "core").groupBy("node").agg(F.collect_list(F.struct("core", "large", "at")).alias("anchors")), "repeats-kept")
     dropped(rows, shared)
-    counted, free = _counted_spans(_of_size(kept, True), texts, length)
+    counted, free = _counted_spans(_of_size(kept, True), texts, length, group)
     found = written(_sorted_spans(_contexts(_of_size(kept, False), texts, length), length).unionByName(counted), "repeats-spans")
     dropped(kept)
     free()

@@ -155,3 +155,31 @@ def test_strings_of_large_groups_are_looked_up_and_not_joined(spark, monkeypatch
     got = {x.doc_id: x.repeats for x in repeats.cut(docs, group=3).collect()}
     assert all(got[i].n_removed >= 300 and got[i].n_spans == 1 for i in range(12))
     assert ("Join" in plans["repeats-ranges"]) == (names == 0)
+
+
+@pytest.mark.parametrize("kinds", [repeats.KINDS, 0])
+def test_large_groups_of_few_kinds_are_sorted(spark, monkeypatch, kinds):
+    """A kind of a large group had a row for each of its strings, however few kinds the group had."""
+    monkeypatch.setattr(repeats, "KINDS", kinds)
+    seen, write = [], repeats.written
+
+    def kept(df, name, *more):
+        out = write(df, name, *more)
+        if name == "repeats-kinds":
+            seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(repeats, "written", kept)
+    r = random.Random(7)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    passage, ends = some("abcdefgh ", 500), [some("xyz", 200) for _ in range(3)]
+    texts = [some("ijklmn ", 150) + passage + ends[i % 3] + some("opqrs ", 150) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    raw = [t.encode() for t in texts]
+    got = {x.doc_id: tuple(x.repeats) for x in repeats.cut(docs, group=4).collect()}
+    assert got == {i: digest_of(x, c) for i, (x, c) in enumerate(zip(raw, brute(raw, 200)))}
+    by_core: dict[int, list] = {}
+    for x in seen:
+        by_core.setdefault(x.core, []).append(x)
+    assert all(x.many == (len(own) > 4) for own in by_core.values() for x in own)
+    assert {len(own) for own in by_core.values()} >= {1, 3, 12}
