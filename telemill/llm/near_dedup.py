@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from telemill.llm.bagminhash import bands, overlaps, shingles, signatures, similar, weighted
@@ -99,22 +99,28 @@ def _overlap(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges``, written, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    out = written(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "star")
+    return out, (seen.get.get("n"), seen.get.get("sum"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that ``edges`` (a, b) name; the root is the least node of its component.
 
     Large and small stars in turn until nothing changes; every round is written
-    to the shared folder, none is collected.
+    to the shared folder, none is collected.  Edges that are stars around the
+    least node take one round.
     """
-    cur = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "star")
-    state = None
+    cur, state = _marked(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        new = written(step.where(F.col("a") != F.col("b")).distinct(), "star")
-        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new, mark = _marked(step.where(F.col("a") != F.col("b")).distinct())
         dropped(cur)
         cur = new
         if mark == state:
@@ -124,9 +130,19 @@ def components(edges: DataFrame) -> DataFrame:
         state = mark
 
 
-def _labelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
+def _pointed(links: DataFrame) -> DataFrame:
+    """(node, root): where each text's link of the first round leads in at most four steps.
+
+    There a text has one link at most, to a more central one, so no steps go in a
+    circle.  Longer chains get several roots, which costs comparisons, not links.
+    """
+    up = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for _ in range(2):
+        up = up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return up
+
+
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -200,24 +216,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> D
     rows = written(rows.select("bucket", "node").join(degree, "node"), "shared-buckets")
     dropped(every)
     texts = bucketed(_once(docs).join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near_texts", "node")
-    roots, tried = None, []
-    for _ in range(2):
-        live = written(_open(_labelled(rows, roots)), "open-buckets")
-        tried.append(_star(live, texts, tried[0] if tried else None))
-        seen = tried[0] if len(tried) == 1 else tried[0].unionByName(tried[1])
-        links = seen.where(F.col("similarity") >= least).select("a", "b")
-        dropped(live, *([roots] if roots is not None else []))
-        roots = components(links)
+    near = lambda pairs: pairs.where(F.col("similarity") >= least).select("a", "b")
+    seen = first = _star(rows.withColumn("root", F.col("node")), texts, None)
+    labels = written(_pointed(near(first)), "labels")
+    live = written(_open(_labelled(rows, labels)), "open-buckets")
+    second = None if live.isEmpty() else _star(live, texts, first)
+    dropped(live, labels)
+    if second is not None:
+        seen = first.unionByName(second)
+    roots = components(near(seen))
     live = written(_open(_labelled(rows, roots)), "open-buckets")
-    # buckets that hold the same texts are compared once, and buckets of two texts that were held against each other not again
-    sets = live.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
-    sets = sets.groupBy("sum", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
-    known = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(2).cast("long").alias("n"))
-    todo = sets.join(known, ["x", "y", "n"], "left_anti").select("bucket")
-    more = written(_blocks(live.join(todo, "bucket", "left_semi").select("bucket", "node", "root"), texts, least, block), "block-links")
-    out = components(links.unionByName(more))
-    dropped(rows, texts, live, more, *tried)
-    return out
+    if not live.isEmpty():
+        # buckets that hold the same texts are compared once, and buckets of two texts that were held against each other not again
+        sets = live.groupBy("bucket").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"))
+        sets = sets.groupBy("sum", "n", "x", "y").agg(F.min("bucket").alias("bucket"))
+        known = seen.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.lit(2).cast("long").alias("n"))
+        todo = sets.join(known, ["x", "y", "n"], "left_anti").select("bucket")
+        more = written(_blocks(live.join(todo, "bucket", "left_semi").select("bucket", "node", "root"), texts, least, block), "block-links")
+        if not more.isEmpty():
+            before, roots = roots, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+            dropped(before)
+        dropped(more)
+    dropped(rows, texts, live, first, *([] if second is None else [second]))
+    return roots
 
 
 def _open(rows: DataFrame) -> DataFrame:

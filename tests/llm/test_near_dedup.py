@@ -106,6 +106,33 @@ def test_components_of_a_path(spark):
     assert len(got) == n + 3 and set(got.values()) == {b"\x00\x00", b"\xff\x01"}
 
 
+def test_few_exchanges(spark, docs_of, monkeypatch):
+    """Every exchange is a thread of a driver that keeps it for a minute; stars took three calls of components, of three rounds and more each."""
+    names, write = [], near_dedup.written
+
+    def kept(df, name, *more):
+        names.append(name)
+        return write(df, name, *more)
+
+    monkeypatch.setattr(near_dedup, "written", kept)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(words[:90] + [f"x{i}"] * (i > 0))) for i in range(6)] + [(6, "one two three four five six")]
+    got = {r.doc_id: r.class_id for r in near_dedup.classify(docs_of(*rows)).collect()}
+    assert got == brute_classes(rows) and set(got.values()) == {0, 6}
+    assert names.count("star") <= 4 and names.count("roots") == 1 and "block-links" not in names
+
+
+def test_components_of_nothing_and_of_stars(spark, monkeypatch):
+    names, write = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name, *more: names.append(name) or write(df, name, *more))
+    edges = spark.createDataFrame([(bytes([9 - k % 2, k]), bytes([k % 2])) for k in range(10)], "a binary, b binary")
+    assert near_dedup.components(edges.limit(0)).count() == 0
+    names.clear()
+    got = {bytes(r.node): bytes(r.root) for r in near_dedup.components(edges).collect()}
+    assert got == {bytes([9 - k % 2, k]): bytes([k % 2]) for k in range(10)} | {b"\0": b"\0", b"\1": b"\1"}
+    assert names == ["star", "star", "roots"]
+
+
 def test_words_of_one_text():
     data = np.frombuffer(b"A b", dtype=np.uint8)
     assert len(bagminhash.shingles(words_of(data, np.array([0, 3])))[0]) == 1
