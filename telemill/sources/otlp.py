@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from telemill import schemas
 from telemill.functions import mapping as mp
 from telemill.functions.attributes import clean_json, variant_number, variant_string
+from telemill.session import configure
 
 _NESTED = '"(?:kvlist|array)Value"'  # requests that may hold lists or maps as values go through Arrow batches
 _KV = "array<struct<key string, value variant>>"
@@ -133,6 +134,7 @@ def nested_attribute_map(pairs: Column) -> Column:
 
 def _by_depth(bodies: DataFrame, read) -> DataFrame:
     """``read`` over requests with flat attribute values, and in its way for nested ones over the others."""
+    configure(bodies.sparkSession)  # of equal names the last counts by a session setting
     nested = F.coalesce(F.col("body").rlike(_NESTED), F.lit(False))
     return read(bodies.where(~nested), attribute_map).unionByName(read(bodies.where(nested), nested_attribute_map))
 

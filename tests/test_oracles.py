@@ -37,3 +37,13 @@ def test_query_equals_oracle(spark, duck, name):
     theirs = [tuple(round(x[i], 8) if isinstance(x[i], float) else x[i] for i in at) for x in rel.fetchall()]
     key = lambda x: tuple((v is None, str(v)) for v in x)
     assert sorted(own, key=key) == sorted(theirs, key=key)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+def test_merged_attributes_need_no_query_before_them(spark, duck):
+    """The first query of a session, with Spark's own settings."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    df = QUERIES["C3_merged_attributes"](own, SMALL)
+    theirs = duck.sql(ORACLES["C3_merged_attributes"]).select(*df.columns).fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(theirs)

@@ -76,6 +76,14 @@ def test_unknown_name_and_last_of_equal_attributes(spark):
     assert r.kind == "unknown" and attrs["x"] == "second" and attrs["deep"] == {"a": 1} and attrs["list"] == ["q", 2] and attrs["resource.service.name"] == "claude-code"
 
 
+def test_the_last_of_equal_names_counts_in_a_new_session(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    request = {"resourceLogs": [{"resource": {"attributes": kv(x="r")}, "scopeLogs": [{"scope": {"attributes": kv(x="scope", y="scope")}, "logRecords": [{"attributes": kv(x="first") + kv(x="last")}, {"attributes": []}]}]}]}
+    got = otlp.log_records(own.createDataFrame([(json.dumps(request),)], "body string")).collect()
+    assert sorted(json.loads(r.attrs)["x"] for r in got) == ["last", "scope"] and all(json.loads(r.attrs)["resource.x"] == "r" for r in got)
+
+
 def test_hook_run_success(spark):
     rows, _ = logs(spark, *[record(i, "hook_execution_complete", **a) for i, a in enumerate([{"num_non_blocking_error": 0, "num_cancelled": 0}, {"num_non_blocking_error": 1, "num_cancelled": 0}, {"num_cancelled": 0}])])
     assert [r.success for r in rows] == [True, False, None]
