@@ -16,9 +16,9 @@ def attr(attrs: Column | str, *path: str) -> Column:
     return F.nullif(F.get_json_object(c, "$" + "".join(f"['{p}']" for p in path)), F.lit(""))
 
 
-def variant_string(v: Column, name: str) -> Column:
-    """A string attribute of a VARIANT; a value of another type gives null."""
-    path = f"$['{name}']"
+def variant_string(v: Column, name: str | None = None) -> Column:
+    """A string attribute of a VARIANT, or the string that it is; a value of another type gives null."""
+    path = "$" if name is None else f"$['{name}']"
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 

@@ -59,6 +59,12 @@ def accounts(outcomes: DataFrame, rejects: DataFrame | None = None) -> DataFrame
     return out
 
 
+def balance(outcomes: DataFrame) -> DataFrame:
+    """(outcome, n) of rows that have a ``reason`` and lost ``points`` if they were rejected: events and rejected, in one pass; both are there even if nothing came."""
+    sums = outcomes.agg(F.count_if(F.col("reason").isNull()).alias("event"), F.coalesce(F.sum("points"), F.lit(0)).alias("rejected"))
+    return sums.unpivot([], ["event", "rejected"], "outcome", "n")
+
+
 def with_sequence(rows: DataFrame, offset: int = 0) -> DataFrame:
     """``rows`` with ``seq``: their place by (ts, dedup_key) in the batch, after ``offset``.
 

@@ -17,6 +17,7 @@ from telemill.operators import rollups as ro
 from telemill.operators import sessions as ss
 from telemill.operators import subagents as sa
 from telemill.operators import tool_calls as tc
+from telemill.plans import canonical
 from telemill.plans import oracle_base as ob
 from telemill.plans.queries import _RALL, _SA, _TC, BOTH, EV, RH, SA, SE, START, TC, TU, Tables, _received, query, with_
 from telemill.plans.rows import _stream, _with_state_store, folder
@@ -121,7 +122,7 @@ def _bad_bodies(t: Tables) -> DataFrame:
         F.when(kind == 0, F.substring(good(""), 1, 40)).when(kind == 1, F.lit("[1, 2]")).when(kind == 2, F.concat(F.lit('{"resourceLogs":"'), i, F.lit('"}'))).when(kind == 3, good(',{"key":"deep","value":' + deep + "}"))
         .when(kind == 4, F.regexp_replace(good(""), '"s[0-9]+"', '""')).when(kind == 5, good(odd)).otherwise(good(""))
     )
-    return t.raw("events").select(body.alias("body"))
+    return canonical.spread(t.raw("events").select("event_id"), "event_id").select(body.alias("body"))
 
 
 @query("A11_unreadable_bodies", "SELECT CASE WHEN k < 4 THEN 'unreadable body' ELSE 'missing session.id' END AS outcome, count(*) AS n, NULL::VARCHAR AS session_id, NULL::VARCHAR AS list, NULL::VARCHAR AS nameless FROM (SELECT event_id % 8 AS k FROM events) WHERE k < 5 GROUP BY outcome UNION ALL SELECT 'event', 1, 's' || event_id, CASE WHEN event_id % 8 = 5 THEN '[null,7]' END, CASE WHEN event_id % 8 = 5 THEN 'nameless' END FROM events WHERE event_id % 8 >= 5")
@@ -137,8 +138,7 @@ def _(t):
 @query("I5_balance", "SELECT 'event' AS outcome, count(*) AS n FROM events WHERE event_id % 8 >= 5 UNION ALL SELECT 'rejected', count(*) FROM events WHERE event_id % 8 < 5")
 def _(t):
     """Accounts of the same bodies: written and rejected add up to all that came."""
-    events, rejects = otlp.logs(_bad_bodies(t), _received())
-    return ing.accounts(events.select(F.lit("event").alias("outcome")), rejects)
+    return ing.balance(otlp.log_outcomes(_bad_bodies(t)))
 
 
 @query("A6_typed_sessions", "SELECT CASE WHEN event_id % 4 = 0 THEN 's' || event_id END AS session_id, CASE WHEN event_id % 4 = 0 THEN 'event' ELSE 'invalid hook body' END AS outcome FROM events")

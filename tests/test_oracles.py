@@ -47,3 +47,14 @@ def test_merged_attributes_need_no_query_before_them(spark, duck):
     df = QUERIES["C3_merged_attributes"](own, SMALL)
     theirs = duck.sql(ORACLES["C3_merged_attributes"]).select(*df.columns).fetchall()
     assert sorted(tuple(r) for r in df.collect()) == sorted(theirs)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
+def test_balance_of_no_events(spark, duck, tmp_path):
+    """Both accounts are there; and the bodies are made for flat and for nested requests only, not again for each kind of reject."""
+    none = str(tmp_path / "none")
+    spark.read.parquet(f"{SMALL}/events.parquet").limit(0).coalesce(1).write.parquet(f"{none}/events.parquet")
+    assert sorted(tuple(r) for r in QUERIES["I5_balance"](spark, none).collect()) == [("event", 0), ("rejected", 0)]
+    df = QUERIES["I5_balance"](spark, SMALL)
+    assert sorted(tuple(r) for r in df.collect()) == sorted(duck.sql(ORACLES["I5_balance"]).fetchall())
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2

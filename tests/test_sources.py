@@ -84,6 +84,28 @@ def test_the_last_of_equal_names_counts_in_a_new_session(spark):
     assert sorted(json.loads(r.attrs)["x"] for r in got) == ["last", "scope"] and all(json.loads(r.attrs)["resource.x"] == "r" for r in got)
 
 
+def test_outcomes_are_the_events_and_rejects(spark):
+    """Flat, nested, deep, too deep in either way, with underscores, without a session, and no request at all: each is one row, as in the two tables of ``logs``."""
+    request = lambda attributes: json.dumps({"resourceLogs": [{"resource": {"attributes": kv(a="1")}, "scopeLogs": [{"logRecords": [{"eventName": "e", "attributes": attributes}]}]}]})
+    listed = [{"key": "l", "value": {"arrayValue": {"values": [{"intValue": "1"}]}}}]
+    more = lambda opening, closing: request([])[:-1] + f',"x":{opening}{closing}}}'
+    deep, flat_deep, deeper = more('{"kvlistValue":' * 600 + "{}", "}" * 600), more("[" * 1001, "]" * 1001), more('{"arrayValue":[' * 600, "]}" * 600)
+    snake = request(kv(session__id="snake") + listed).replace("resourceLogs", "resource_logs").replace("scopeLogs", "scope_logs").replace("logRecords", "log_records").replace("stringValue", "string_value").replace("arrayValue", "array_value")
+    long = request(kv(session__id="long", text="x" * 2000) + listed)
+    two = json.loads(request(kv(session__id="two")))
+    two["resourceLogs"][0]["scopeLogs"] *= 2
+    bodies = [request(kv(session__id="flat")), request(kv(session__id="nested") + listed), deep, flat_deep, deeper, snake, long, json.dumps(two), request(listed), request(kv(session__id="")), "[1]", '{"resourceLogs":"x"}', long[:-3], '{"resourceLogs":[]}', "{}", None]
+    frame = spark.createDataFrame([(b,) for b in bodies], "body string")
+    got = otlp.log_outcomes(frame).collect()
+    events, rejects = otlp.logs(frame, F.lit(NOW))
+    assert sorted(r.session_id for r in got if r.reason is None) == sorted(r.session_id for r in events.collect()) == ["flat", "long", "nested", "snake", "two", "two"]
+    some = lambda rows: sorted((r.reason, r.record or "", r.points) for r in rows if r.reason is not None)
+    assert some(got) == some(rejects.collect())
+    bad = [(r.reason, r.record) for r in got if r.reason == "unreadable body"]
+    assert sorted(b or "" for _, b in bad) == sorted(b or "" for b in [deeper, flat_deep, "[1]", '{"resourceLogs":"x"}', long[:-3], None])
+    assert sorted(r.record for r in got if r.reason == "missing session.id") == sorted(['{"resource.a":"1"}', '{"l":[1],"resource.a":"1"}', '{"resource.a":"1","session.id":""}'])
+
+
 def test_hook_run_success(spark):
     rows, _ = logs(spark, *[record(i, "hook_execution_complete", **a) for i, a in enumerate([{"num_non_blocking_error": 0, "num_cancelled": 0}, {"num_non_blocking_error": 1, "num_cancelled": 0}, {"num_cancelled": 0}])])
     assert [r.success for r in rows] == [True, False, None]
