@@ -67,22 +67,28 @@ def _named(bodies: DataFrame) -> DataFrame:
     return bodies.select(F.when(likely & body.rlike(r'(?<!\\)"(?:resource|scope)_(?:logs|metrics)"\s*:'), plain).otherwise(body).alias("body"))
 
 
+def _holds(*texts: str) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, [F.col("body").contains(x) for x in texts]), F.lit(False))
+
+
+def _nested() -> Column:
+    return _holds(*[f'"{x}Value"' for x in _NESTED])
+
+
 def _from_json(body: Column, schema: str) -> Column:
     return F.from_json(body, f"{schema}{_CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
 
 
-def _parsed(bodies: DataFrame, schema: str, deep: bool = False) -> DataFrame:
+def _parsed(bodies: DataFrame, schema: str) -> DataFrame:
     """(body, j, readable): requests by the permissive parser, and whether it could read them whole.
 
-    deep: bodies may be nested deeper than the parser goes.  A schema without
-    fields finds that out by skipping, at a fifth of the cost of building values a
-    thousand levels down first.
+    A nested body may be deeper than the parser goes.  A schema without fields finds
+    that out by skipping, at a fifth of the cost of building values a thousand
+    levels down first.
     """
     body = F.col("body")
-    if deep:
-        bodies = bodies.select("body", F.when(F.octet_length("body") > _LEVELS, _from_json(body, "")[_CORRUPT].isNotNull()).otherwise(F.lit(False)).alias("lost"))
-        body = F.when(~F.col("lost"), body)
-    parsed = bodies.select("body", _from_json(body, f"{schema}, ").alias("j"))
+    too_deep = F.when(_nested() & (F.octet_length(body) > _LEVELS), _from_json(body, "")[_CORRUPT].isNotNull()).otherwise(F.lit(False))
+    parsed = bodies.select("body", _from_json(F.when(~too_deep, body), f"{schema}, ").alias("j"))
     return parsed.select("body", "j", F.coalesce(F.col("j").isNotNull() & F.col(f"j.{_CORRUPT}").isNull() & F.ltrim("body").startswith("{"), F.lit(False)).alias("readable"))
 
 
@@ -92,9 +98,9 @@ def unreadable(bodies: DataFrame, schema: str) -> DataFrame:
     return bad.select(F.lit("unreadable body").alias("reason"), "record", F.lit(1).cast("long").alias("points"))
 
 
-def _resources(bodies: DataFrame, schema: str, name: str, deep: bool = False) -> DataFrame:
+def _resources(bodies: DataFrame, schema: str, name: str) -> DataFrame:
     """(r): the resources of the requests that can be read."""
-    return _parsed(bodies, schema, deep).select(F.explode(F.when(F.col("readable"), F.col(f"j.{name}"))).alias("r"))
+    return _parsed(bodies, schema).select(F.explode(F.when(F.col("readable"), F.col(f"j.{name}"))).alias("r"))
 
 
 def _only(rows: DataFrame, condition: Column) -> DataFrame:
@@ -147,17 +153,13 @@ def nested_attribute_map(pairs: Column) -> Column:
     return F.coalesce(F.from_json(_plain_pairs(F.to_json(pairs)), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
 
 
-def _holds(*texts: str) -> Column:
-    return F.coalesce(reduce(lambda a, b: a | b, [F.col("body").contains(x) for x in texts]), F.lit(False))
-
-
 def _by_depth(bodies: DataFrame, read, named=lambda bodies: bodies) -> DataFrame:
     """``read`` over requests with flat attribute values, and in its way for nested ones over the others, after ``named``.
 
     Each way first leaves out what is surely the other's, as a body may be long.
     """
     configure(bodies.sparkSession)  # of equal names the last counts by a session setting
-    nested = _holds(*[f'"{x}Value"' for x in _NESTED])
+    nested = _nested()
     flat_ones, others = named(_only(bodies, ~nested)), named(_only(bodies, _holds(*_NESTED)))
     return read(_only(flat_ones, ~nested), attribute_map).unionByName(read(_only(others, nested), nested_attribute_map))
 
@@ -174,15 +176,14 @@ def log_records(bodies: DataFrame) -> DataFrame:
 
 
 def _log_records(bodies: DataFrame, attribute_map, rejects: bool = False) -> DataFrame:
-    """rejects: also a row for each body that cannot be read, of an empty record, with ``lost`` set and the body as ``unread``; and the records' ``session_id``."""
-    kept = ["lost", "unread"] if rejects else []
+    """rejects: also a row for each body that cannot be read, of an empty record, with ``lost`` set; and the records' ``session_id``."""
+    kept = ["lost"] if rejects else []
     rows = lambda c: F.when(F.col("lost"), F.array(F.lit(None))).otherwise(F.col(c)) if rejects else F.col(c)
-    deep = attribute_map is nested_attribute_map
     if rejects:
-        j = _parsed(bodies, LOGS, deep).select((~F.col("readable")).alias("lost"), F.when(~F.col("readable"), F.col("body")).alias("unread"), F.col("j.resourceLogs").alias("resources"))
+        j = _parsed(bodies, LOGS).select((~F.col("readable")).alias("lost"), F.col("j.resourceLogs").alias("resources"))
         j = j.select(*kept, F.explode(rows("resources")).alias("r"))
     else:
-        j = _resources(bodies, LOGS, "resourceLogs", deep)
+        j = _resources(bodies, LOGS, "resourceLogs")
     # what a row keeps beside an exploded list is selected before, or each record would carry the list that it is of
     j = j.select(*kept, attribute_map(F.col("r.resource.attributes")).alias("ra"), F.col("r.scopeLogs").alias("scopes"))
     j = j.select(*kept, "ra", F.explode(rows("scopes")).alias("s")).select(*kept, "ra", attribute_map(F.col("s.scope.attributes")).alias("sa"), F.col("s.logRecords").alias("records"))
@@ -202,25 +203,26 @@ def _session(text) -> Column:
 
 
 def log_outcomes(bodies: DataFrame) -> DataFrame:
-    """(session_id, reason, record, points): every log record, and every body that cannot be read; only rejects have the last three.
+    """(session_id, reason, points): every log record, and every body that cannot be read; only rejects have the last two.
 
-    Each body is parsed once, so what counts events and rejects reads this and not both tables of :func:`logs`.
+    Each body is parsed once, so what counts events and rejects reads this and not
+    both tables of :func:`logs`.  Lost bodies themselves are in the latter only:
+    here they would wait beside the nested ones for their Arrow batches.
     """
     rows = _by_depth(bodies, lambda b, attribute_map: _log_records(b, attribute_map, rejects=True), _named)
-    lost = F.col("lost")
-    reason = F.when(lost, "unreadable body").when(F.col("session_id").isNull(), "missing session.id")
-    rows = rows.select("session_id", reason.alias("reason"), F.when(lost, F.col("unread")).otherwise(F.col("attrs")).alias("record"))
-    rejected = F.col("reason").isNotNull()
-    return rows.select("session_id", "reason", F.when(rejected, F.col("record")).alias("record"), F.when(rejected, F.lit(1).cast("long")).alias("points"))
+    reason = F.when(F.col("lost"), "unreadable body").when(F.col("session_id").isNull(), "missing session.id")
+    rows = rows.select("session_id", reason.alias("reason"))
+    return rows.withColumn("points", F.when(F.col("reason").isNotNull(), F.lit(1).cast("long")))
 
 
 def logs(bodies: DataFrame, now: Column, retention_days: int = 90) -> tuple[DataFrame, DataFrame]:
     """(canonical events without seq, rejects) of log exports received at ``now``."""
-    rejects = _only(log_outcomes(bodies).select("reason", "record", "points"), F.col("reason").isNotNull())
     rows = _by_depth(bodies, _log_records, _named).withColumn("v", F.parse_json("attrs")).withColumn("now", now)
     v = F.col("v")
     rows = rows.withColumn("session_id", _session(lambda name: variant_string(v, name)))
     rows = rows.withColumn("event_name", mp.event_name(F.col("record_name"), v, F.col("body_text")))
+    rejects = _only(rows.select("attrs", "session_id"), F.col("session_id").isNull()).select(F.lit("missing session.id").alias("reason"), F.col("attrs").alias("record"), F.lit(1).cast("long").alias("points"))
+    rejects = rejects.unionByName(unreadable(_named(bodies), LOGS))
     raw, apart = mp.timestamp_of(F.col("nanos"), variant_string(v, "event.timestamp"))
     ts, odd = mp.clamped(raw, F.col("now"), retention_days)
     number = variant_number(v, "event.sequence", "long")
